@@ -76,7 +76,7 @@ def detection_latency(df: DataFrame, keys: Sequence[str], pred: str = "pred", pa
     rows = _segmented(df, keys, hot, [pred]).frame()
     start = F.min(F.greatest("idx", F.lit(1)) if parity else F.col("idx"))
     first = F.min(F.when(F.col(pred) == 1, F.col("idx")))
-    segments = rows.where("actual = 1").groupBy(*keys, "seg").agg(F.greatest(first - start, F.lit(0)).alias("_late"))
+    segments = rows.where("actual = 1").groupBy(*keys, "seg").agg(F.when(first.isNotNull(), F.greatest(first - start, F.lit(0))).alias("_late"))
     agg = segments.groupBy(*keys).agg(
         F.count("_late").alias("detected"), F.coalesce(F.sum("_late"), F.lit(0)).cast("long").alias("backfilled")
     )

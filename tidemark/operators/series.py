@@ -235,7 +235,8 @@ def unary(df: DataFrame, op: str) -> DataFrame:
 
 
 def clip_low(df: DataFrame, floor: float = 0.0, column: str = VALUE) -> DataFrame:
-    return df.withColumn(column, F.greatest(F.col(column), F.lit(float(floor))))
+    kept = F.when(F.col(column).isNotNull(), F.greatest(F.col(column), F.lit(float(floor))))  # missing stays missing
+    return df.withColumn(column, kept)
 
 
 def chain(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -31,7 +31,7 @@ def _measures() -> dict[str, Column]:
     return {
         "mae": F.abs(y - p),
         "smape": 2 * F.try_divide(F.abs(y - p), F.abs(y) + F.abs(p)),  # 0/0 terms are null and skipped
-        "ci_sz": F.greatest(up - lo, F.lit(0.0)),
+        "ci_sz": F.when((up - lo).isNotNull(), F.greatest(up - lo, F.lit(0.0))),
         "ci_cov": share((y >= lo) & (y <= up)),
         "ci_ordered": share((p >= lo) & (p <= up)),
         "calib_h": share(y > up),
