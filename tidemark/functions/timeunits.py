@@ -202,3 +202,16 @@ def grid_points(lo: Column, hi: Column, gran: Granularity) -> Column:
     steps = F.sequence(F.lit(0).cast("long"), steps_between(lo, hi, gran))
     points = F.transform(steps, lambda k: step_from(lo, k, gran))
     return F.filter(points, lambda t: t <= hi)
+
+
+def on_grid(lo: Column, ts: Column, gran: Granularity) -> Column:
+    """Whether ``ts`` lies on the grid that starts at ``lo``, by arithmetic alone."""
+    if gran.kind == "fixed":
+        return F.pmod(micros(ts) - micros(lo), F.lit(gran.n)) == 0
+    if gran.kind == "business":
+        count = lambda t: F.floor(F.datediff(t.cast("date"), F.lit("1970-01-05").cast("date")) / 7) * 5 + F.weekday(t.cast("date"))
+        same_clock = (ts.cast("timestamp_ntz") - F.date_trunc("day", ts).cast("timestamp_ntz")) == (
+            lo.cast("timestamp_ntz") - F.date_trunc("day", lo).cast("timestamp_ntz"))
+        return (F.weekday(ts.cast("date")) < 5) & (F.pmod(count(ts) - count(lo), F.lit(gran.n)) == 0) & same_clock
+    months = (F.year(ts) - F.year(lo)) * 12 + F.month(ts) - F.month(lo)
+    return (F.pmod(months, F.lit(gran.n)) == 0) & (step_from(lo, F.floor(months / gran.n), gran) == ts.cast("timestamp_ntz"))

@@ -119,46 +119,45 @@ def temporal_split(df: DataFrame, keys: Sequence[str], fraction: float, hot: Hot
 # --- granularity ---------------------------------------------------------------------------
 
 def _fold_gcd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Gcd per key over one sorted partition; holds one running key, emits a key when it ends."""
-    key, value = None, 0
+    """Gcds per key over one sorted partition; holds one running key, emits a key when it ends."""
+    key, value, names = None, None, None
     for batch in batches:
         if batch.empty:
             continue
-        keys, gaps = batch["_key"].to_numpy(object), batch["gap"].to_numpy(np.int64)
+        names = [c for c in batch.columns if c != "_key"]
+        keys, gaps = batch["_key"].to_numpy(object), batch[names].to_numpy(np.int64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        parts = np.gcd.reduceat(gaps, starts)
         done = []
-        for k, g in zip(keys[starts], parts):
+        for k, g in zip(keys[starts], np.gcd.reduceat(gaps, starts, axis=0)):
             if k == key:
-                value = int(np.gcd(value, g))
+                value = np.gcd(value, g)
             else:
                 if key is not None:
-                    done.append((key, value))
-                key, value = k, int(g)
+                    done.append((key, *value))
+                key, value = k, g
         if done:
-            yield pd.DataFrame(done, columns=["_key", "gap"])
+            yield pd.DataFrame(done, columns=["_key", *names])
     if key is not None:
-        yield pd.DataFrame([(key, value)], columns=["_key", "gap"])
+        yield pd.DataFrame([(key, *value)], columns=["_key", *names])
 
 
-def gap_gcd(gaps: DataFrame, keys: Sequence[str], gap: str = "gap") -> DataFrame:
-    """Greatest common divisor of a long column per key.
+def _key_text(keys: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
+
+
+def gap_gcd(gaps: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Greatest common divisors of long columns per key; the key comes back as the text ``_key``.
 
     Distinct gaps are spread by salt, folded per partition, and the few partial results of a key
     (at most one per salt) are folded by a native expression.
     """
     salts = 64
-    key_json = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
-    distinct = gaps.select(key_json.alias("_key"), F.col(gap).cast("long").alias("gap")).distinct()
-    salted = distinct.repartition("_key", F.pmod(F.xxhash64("gap"), F.lit(salts))).sortWithinPartitions("_key")
-    partial = salted.mapInPandas(_fold_gcd, "_key string, gap long")
-    folded = partial.groupBy("_key").agg(
-        F.aggregate(F.collect_set("gap"), F.lit(0).cast("long"), lambda a, b: gcd2(a, b)).alias("gcd")
-    )
-    if not keys:
-        return folded.select("gcd")
-    known = gaps.select(*keys).distinct().withColumn("_key", key_json)
-    return known.join(folded, "_key").drop("_key")
+    names = list(columns)
+    distinct = gaps.select(_key_text(keys).alias("_key"), *[F.col(c).cast("long").alias(c) for c in names]).distinct()
+    salted = distinct.repartition("_key", F.pmod(F.xxhash64(*names), F.lit(salts))).sortWithinPartitions("_key")
+    partial = salted.mapInPandas(_fold_gcd, "_key string, " + ", ".join(f"`{c}` long" for c in names))
+    fold = lambda c: F.aggregate(F.collect_set(c), F.lit(0).cast("long"), lambda a, b: gcd2(a, b)).alias(c)
+    return partial.groupBy("_key").agg(*[fold(c) for c in names])
 
 
 def infer_granularity(df: DataFrame, keys: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
@@ -169,26 +168,17 @@ def infer_granularity(df: DataFrame, keys: Sequence[str], hot: HotKeys | None =
     their smallest non-zero clock field.
     """
     hot = find_hot(df, keys) if hot is None else hot
-    rows = OrderedRows(df.select(*keys, TS), keys, [TS], hot).previous(_prev=TS).frame()
-    rows = rows.withColumn("_gap", micros(TS) - micros("_prev"))
-    ts = F.col(TS)
-    lo = df.groupBy(*keys).agg(F.min(TS).alias("_first"))
-    anchored = join_on(rows, lo, list(keys))
-    months = (F.year(ts) - F.year("_first")) * 12 + F.month(ts) - F.month("_first")
-    on_month = step_from(F.col("_first"), months, Granularity("month", 1)) == ts
-    on_day = F.pmod(micros(ts) - micros("_first"), F.lit(U.DAY)) == 0
-    month_end = F.last_day(ts) == ts.cast("date")
-    stats = anchored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_gap").alias("_min"), F.bool_and(on_month).alias("_month"),
-        F.bool_and(on_day).alias("_day"), F.bool_and(month_end).alias("_end"),
-        F.bool_and(F.date_trunc("day", ts) == ts).alias("_midnight"), F.max(TS).alias("_one"),
-    )
-    gaps = anchored.where(F.col("_gap").isNotNull()).withColumn(
-        "_mgap", (F.year(ts) - F.year("_prev")) * 12 + F.month(ts) - F.month("_prev")
+    ts, prev = F.col(TS), F.col("_prev")
+    rows = OrderedRows(df.select(*keys, TS), keys, [TS], hot).previous(_prev=TS).total(_first=F.min(TS)).frame()
+    months = lambda t: (F.year(ts) - F.year(t)) * 12 + F.month(ts) - F.month(t)
+    rows = rows.withColumns({"_gap": micros(ts) - micros(prev), "_mgap": months(prev)})
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_gap").alias("_min"), F.max(TS).alias("_one"),
+        F.bool_and(step_from(F.col("_first"), months(F.col("_first")), Granularity("month", 1)) == ts).alias("_month"),
+        F.bool_and(F.last_day(ts) == ts.cast("date")).alias("_end"),
     )
-    fixed = gap_gcd(gaps, keys, "_gap").withColumnRenamed("gcd", "_g")
-    monthly = gap_gcd(gaps.where("_mgap > 0"), keys, "_mgap").withColumnRenamed("gcd", "_mg")
-    out = join_on(join_on(stats, fixed, list(keys), "left"), monthly, list(keys), "left")
+    divisors = gap_gcd(rows.where(F.col("_gap").isNotNull()), keys, ["_gap", "_mgap"]).withColumnsRenamed({"_gap": "_g", "_mgap": "_mg"})
+    out = stats.withColumn("_key", _key_text(keys)).join(divisors, "_key", "left")
     wide = F.col("_min") >= F.lit(27 * U.DAY)
     use_end = wide & F.col("_end")
     use_month = wide & ~F.col("_end") & F.col("_month")
@@ -230,9 +220,10 @@ def index_problems(
     dups = per_bucket.groupBy(*keys).agg(
         F.sum(F.col("_m") - F.col("_d")).alias("duplicate_times"), F.sum(F.col("_d") - 1).alias("duplicate_positions")
     )
-    off = join_on(df.select(*keys, TS).distinct(), grid(df, keys, gran), [*keys, TS], "left_anti")
-    per_key = off.groupBy(*keys).agg(F.count(F.lit(1)).alias("off_grid"))
-    return join_on(dups, per_key, list(keys), "left").withColumn("off_grid", F.coalesce("off_grid", F.lit(0)).cast("long"))
+    first = df.groupBy(*keys).agg(F.min(TS).alias("_lo"))
+    placed = join_on(counted.select(*keys, TS).distinct(), first, list(keys))
+    off = placed.groupBy(*keys).agg(F.sum((~U.on_grid(F.col("_lo"), F.col(TS), gran)).cast("long")).alias("off_grid"))
+    return join_on(dups, off, list(keys))
 
 
 def _span(df: DataFrame) -> Column:

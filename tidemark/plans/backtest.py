@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import join_on
 from tidemark.functions.trend import Options
 from tidemark.operators.ordered import OrderedRows, exact_quantiles
-from tidemark.operators.series import VALUE, same_set
+from tidemark.operators.series import TS, VALUE, same_set
 from tidemark.plans.forecast import fit, forecast
-from tidemark.session import work_dir
+from tidemark.session import materialize
 
 # Metric columns of a back-test result, in order.
 METRICS = (
@@ -51,23 +51,21 @@ def interval_metrics(df: DataFrame, keys: Sequence[str], split: str = "split") -
 def back_test(df: DataFrame, keys: Sequence[str], options: Options = Options(), split: str = "split", timed: bool = False) -> DataFrame:
     """Fit on the train rows, predict all rows, one result row per series.
 
-    ``training_time`` is the seconds a series took inside its task. ``predict_time`` is the wall
-    time of the forecast job over the number of series, measured only with ``timed`` (the forecast
-    is then written once and read back).
+    The rows are written once, spread by key, since fit and forecast both read them; so are the
+    models, one row per series. ``training_time`` is the seconds a series took inside its task.
+    ``predict_time`` is the wall time of the forecast job over the number of series, measured only
+    with ``timed`` (the forecast is then written once and read back).
     """
-    train = df.where(F.col(split) == "train")
-    models = fit(train, keys, options)
-    predicted = forecast(models, df, keys, options, keep=[VALUE, split])
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.select(*keys, TS, VALUE, split).repartition(tasks, *keys), "backtest-rows")
+    models = materialize(fit(rows.where(F.col(split) == "train"), keys, options), "backtest-models")
+    predicted = forecast(models, rows, keys, options, keep=[VALUE, split])
     seconds = F.lit(None).cast("double")
     if timed:
-        spark = df.sparkSession
-        path, fits = work_dir(spark, "forecast"), work_dir(spark, "models")
-        models.write.parquet(fits)
-        models = spark.read.parquet(fits)
         began = time.perf_counter()
-        forecast(models, df, keys, options, keep=[VALUE, split]).write.parquet(path)
+        predicted = materialize(predicted, "backtest-forecast")
         seconds = F.lit((time.perf_counter() - began) / max(models.count(), 1))
-        predicted = spark.read.parquet(path)
     times = models.select(*keys, F.col("fit_seconds").alias("training_time"), seconds.alias("predict_time"))
     return join_on(times, interval_metrics(predicted, keys, split), list(keys)).select(*keys, "training_time", "predict_time", *METRICS)
 

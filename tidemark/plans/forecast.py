@@ -319,13 +319,6 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
 
 
-def _fourier_dot(x: Column, period: float, coef: Column, order: Column) -> Column:
-    """Dot product of cos/sin terms with coefficients laid out as cos 1…K, sin 1…K."""
-    angle = F.lit(2 * np.pi / period) * x
-    terms = F.transform(F.sequence(F.lit(1), order), lambda k: F.element_at(coef, k) * F.cos(angle * k) + F.element_at(coef, order + k) * F.sin(angle * k))
-    return F.when(order > 0, _sum(terms)).otherwise(F.lit(0.0))
-
-
 def features(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Feature arrays per row: scaled time, trend hinges, weekly and daily Fourier terms, scaled y."""
     rows = join_on(df, params, list(keys))
@@ -348,30 +341,58 @@ def features(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
-def _parts(role: str, custom: Sequence[M.Seasonality], width: int) -> dict[str, Column]:
-    """Scaled components of one model on rows that carry ``_t``, ``_x`` and the model columns."""
-    half = 1 if role == "point" else 2
+def _layout(models: DataFrame, custom: Sequence[M.Seasonality], width: int) -> DataFrame:
+    """Coefficients of the three models in one common order, made once per series.
+
+    Order: intercept, slopes, weekly cos and sin, daily cos and sin, custom terms, extras. Interval
+    models have fewer Fourier terms; the missing ones are zero. ``_ends`` holds the end of each part.
+    """
+    k = F.size("changepoints")
+    full = {"weekly": F.col("weekly_order"), "daily": F.col("daily_order")}
+
+    def padded(beta: Column, at: Column, used: Column, order: Column) -> Column:
+        steps = lambda base: F.transform(F.sequence(F.lit(1), order), lambda i: F.when(i <= used, F.try_element_at(beta, base + i - 1)).otherwise(F.lit(0.0)))
+        return F.when(order > 0, F.concat(steps(at), steps(at + used))).otherwise(F.array().cast("array<double>"))
+
+    out = {}
+    for role in M.ROLES:
+        beta, half = F.col(role), 1 if role == "point" else 2
+        parts, at = [F.slice(beta, F.lit(1), k + 1)], k + 2
+        for name in ("weekly", "daily"):
+            used = F.floor(full[name] / half).cast("int")
+            parts.append(padded(beta, at, used, full[name]))
+            at = at + 2 * used
+        tail = sum(2 * s.order for s in custom) + width
+        parts.append(F.slice(beta, at, F.lit(tail)) if tail else F.array().cast("array<double>"))
+        out[f"_b_{role}"] = F.concat(*parts)
+    keep = [c for c in models.columns if c not in M.ROLES]
+    return models.select(*keep, *[c.alias(n) for n, c in out.items()])
+
+
+def _row_features(custom: Sequence[M.Seasonality], width: int) -> Column:
+    """Feature array of a row in the order of ``_layout``."""
     t = F.col("_t")
     x = (t - F.col("first_us")) / F.greatest(F.col("last_us") - F.col("first_us"), F.lit(1))
     days, hours = _clock(t)
-    beta = F.col(role)
-    weekly, daily = (F.floor(F.col(c) / half).cast("int") for c in ("weekly_order", "daily_order"))
-    k = F.size("changepoints")
-    bends = F.zip_with(F.slice("changepoints", F.lit(2), k - 1), F.slice(beta, F.lit(3), k - 1), lambda c, b: b * F.greatest(x - c, F.lit(0.0)))
-    trend = F.element_at(beta, 1) + F.element_at(beta, 2) * x + F.when(k > 1, _sum(bends)).otherwise(F.lit(0.0))
-    at = k + 2
-    parts = {"trend": trend}
-    parts["weekly"] = _fourier_dot(days, M.WEEK_DAYS, F.slice(beta, at, F.greatest(2 * weekly, F.lit(1))), weekly)
-    at = at + 2 * weekly
-    parts["daily"] = _fourier_dot(hours, M.DAY_HOURS, F.slice(beta, at, F.greatest(2 * daily, F.lit(1))), daily)
-    at = at + 2 * daily
-    for s in custom:
-        parts[s.name] = _fourier_dot(t / F.lit(float(M.DAY_US)), s.period, F.slice(beta, at, F.lit(2 * s.order)), F.lit(s.order))
-        at = at + 2 * s.order
-    for j in range(width):
-        value = (F.col("_x")[j] - F.col("extra_mean")[j]) / F.col("extra_std")[j]
-        parts[f"_extra{j}"] = F.element_at(beta, at + j) * value
-    return parts
+
+    def waves(angle: Column, order: Column) -> Column:
+        steps = F.sequence(F.lit(1), order)
+        both = F.concat(F.transform(steps, lambda i: F.cos(angle * i)), F.transform(steps, lambda i: F.sin(angle * i)))
+        return F.when(order > 0, both).otherwise(F.array().cast("array<double>"))
+
+    parts = [
+        F.array(F.lit(1.0), x), F.transform(F.slice("changepoints", F.lit(2), F.size("changepoints")), lambda c: F.greatest(x - c, F.lit(0.0))),
+        waves(F.lit(2 * np.pi / M.WEEK_DAYS) * days, F.col("weekly_order")), waves(F.lit(2 * np.pi / M.DAY_HOURS) * hours, F.col("daily_order")),
+    ]
+    parts += [waves(F.lit(2 * np.pi / (s.period * M.DAY_US)) * t, F.lit(s.order)) for s in custom]
+    if width:
+        scaled = F.zip_with("_x", F.arrays_zip(F.col("extra_mean").alias("m"), F.col("extra_std").alias("s")), lambda v, z: (v - z["m"]) / z["s"])
+        parts.append(scaled)
+    return F.concat(*parts)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def forecast(
@@ -381,31 +402,33 @@ def forecast(
     """``yhat``, ``upper`` and ``lower`` at the (key, ts) rows of ``index``; rows without a model drop out.
 
     Bounds are separate fits and may cross the point; they are not sorted. ``components`` adds a map
-    with the parts of the point forecast.
+    with the parts of the point forecast. Features are computed once per row for all three models.
     """
-    rows = index.select(*keys, TS, *keep, micros(TS).alias("_t"),
-                        (F.array(*[F.col(c).cast("double") for c in extras]) if extras else F.array().cast("array<double>")).alias("_x"))
-    joined = join_on(rows, models, list(keys))
+    custom, width = options.seasonalities, len(extras)
+    extra = F.array(*[F.col(c).cast("double") for c in extras]) if extras else F.array().cast("array<double>")
+    rows = index.select(*keys, TS, *keep, micros(TS).alias("_t"), extra.alias("_x"))
+    joined = join_on(rows, _layout(models, custom, width), list(keys)).withColumn("_f", _row_features(custom, width))
+    trend_size = F.size("changepoints") + 1
     out = {}
-    names = list(extras)
     for role, name in zip(M.ROLES, ("yhat", "upper", "lower")):
-        parts = _parts(role, options.seasonalities, len(names))
-        used = [parts["trend"]] if trend_only else list(parts.values())
-        total = used[0]
-        for p in used[1:]:
-            total = total + p
-        value = total * F.col("y_scale")
+        f, b = F.col("_f"), F.col(f"_b_{role}")
+        if trend_only:
+            f, b = F.slice(f, F.lit(1), trend_size), F.slice(b, F.lit(1), trend_size)
+        value = _dot(f, b) * F.col("y_scale")
         if options.cap is not None:
             value = F.least(value, F.lit(float(options.cap)))
         if options.floor is not None:
             value = F.greatest(value, F.lit(float(options.floor)))
         out[name] = value
-        if role == "point" and components:
-            labels = {f"_extra{j}": n for j, n in enumerate(names)}
-            pairs = [c for n, p in parts.items() for c in (F.lit(labels.get(n, n)), p * F.col("y_scale"))]
-            out["components"] = F.create_map(*pairs)
-    order = ["yhat", "upper", "lower"] + (["components"] if components else [])
-    return joined.select(*keys, TS, *keep, *[out[n].alias(n) for n in order], "interval_width")
+    if components:
+        sizes = [("trend", trend_size), ("weekly", 2 * F.col("weekly_order")), ("daily", 2 * F.col("daily_order"))]
+        sizes += [(s.name, F.lit(2 * s.order)) for s in custom] + [(n, F.lit(1)) for n in extras]
+        at, pairs = F.lit(1), []
+        for name, size in sizes:
+            pairs += [F.lit(name), _dot(F.slice("_f", at, size), F.slice("_b_point", at, size)) * F.col("y_scale")]
+            at = at + size
+        out["components"] = F.create_map(*pairs)
+    return joined.select(*keys, TS, *keep, *[c.alias(n) for n, c in out.items()], "interval_width")
 
 
 def residuals(df: DataFrame, models: DataFrame, keys: Sequence[str], options: Options = Options(), extras: Sequence[str] = ()) -> DataFrame:

@@ -496,6 +496,16 @@ def backtest_metrics(spark, sf):
     return K.back_test(rows, TYPE, timed=True)
 
 
+@query
+def backtest_user_hourly(spark, sf):
+    """Back-test of one dense hourly series per user: the last 48 hours of each are held out."""
+    rows = table(spark, sf, "events").groupBy("user_id", trunc_grain("ts", "hour").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
+    dense = G.make_dense(rows, USER, "hour", 0.0)
+    last = dense.groupBy(*USER).agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("cut"))
+    split = dense.join(last, USER).withColumn("split", F.when(F.col("ts") <= F.col("cut"), "train").otherwise("test")).drop("cut")
+    return K.back_test(split, USER)
+
+
 def _user_results(spark, sf):
     """Two result tables keyed by user: early and late behaviour."""
     ev = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "ts", "value", "event_type")
@@ -630,7 +640,7 @@ def pinball_loss(spark, sf):
 def bounds_ensemble(spark, sf):
     """Linear reconstruction ensemble over the hourly series of all event types."""
     data = _completed(spark, sf).select("ts", F.col("event_type").alias("entity"), "value")
-    model = B.fit_bounds(data.where(F.col("ts") < SPLIT_AT), estimators=20, max_features=3, latent=2)
+    model = materialize(B.fit_bounds(data.where(F.col("ts") < SPLIT_AT), estimators=20, max_features=3, latent=2), "bounds")
     return B.outside_share(B.apply_bounds(data, model))
 
 
