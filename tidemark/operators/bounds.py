@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import join_on
 from tidemark.operators.ordered import exact_quantiles
 from tidemark.operators.series import TS
+from tidemark.session import materialize
 
 
 def outside_share(bounds: DataFrame, by: Sequence[str] = (TS,)) -> DataFrame:
@@ -83,7 +84,8 @@ def fit_bounds(df: DataFrame, estimators: int = 100, max_features: int = 3, late
     size = max_features
     subsets = feature_subsets(df, estimators, size, seed)
     full = subsets.groupBy("estimator").count().where(F.col("count") == size).select("estimator")
-    subsets = subsets.join(full, "estimator", "left_semi")
+    # used by every step below; estimators × size rows
+    subsets = materialize(subsets.join(full, "estimator", "left_semi"), "subsets")
     rows = _vectors(df, subsets, size)
     means = [F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(size)]
     covs = [F.covar_pop(F.col("v")[i], F.col("v")[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(size)]
@@ -91,6 +93,7 @@ def fit_bounds(df: DataFrame, estimators: int = 100, max_features: int = 3, late
         "estimator", F.array(*[f"m{i}" for i in range(size)]).alias("mean"),
         F.array(*[f"c{i}_{j}" for i in range(size) for j in range(size)]).alias("cov"))
     maps = stats.mapInPandas(_projection(size, min(latent, size)), "estimator int, mean array<double>, proj array<double>")
+    maps = materialize(maps, "projections")  # one row per estimator
     rebuilt = _rebuild(rows, maps, size)
     cells = rebuilt.select("estimator", "slot", (F.col("value") - F.col("fit")).alias("r"))
     q = exact_quantiles(cells, ["estimator", "slot"], "r", {"q_low": delta, "q_high": 1 - delta})

@@ -16,7 +16,7 @@ from tidemark.functions.timeunits import Granularity, grid_points, micros, parse
 from tidemark.operators.ordered import HotKeys, OrderedRows, find_hot
 from tidemark.operators.series import TS, VALUE, same_rows
 
-_CHUNK = 10_000  # grid steps per generated row, so that one long series is spread over tasks
+_CHUNK = 1_000  # grid steps per generated row, so that one long series is spread over tasks
 
 
 def time_range(spark, start=None, end=None, periods: int | None = None, gran: str | Granularity = "day") -> DataFrame:
@@ -41,6 +41,8 @@ def _expand(bounds: DataFrame, keys: Sequence[str], gran: Granularity) -> DataFr
     steps = steps_between(F.col("_lo"), F.col("_hi"), gran)
     chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(steps / _CHUNK)))
     parts = bounds.where(F.col("_lo").isNotNull()).select(*keys, "_lo", "_hi", steps.alias("_n"), chunks.alias("_c"))
+    # the small chunk table is spread before it grows, else a few tasks would make all grid rows
+    parts = parts.repartition(int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_c")
     first = F.col("_c") * _CHUNK
     ids = F.sequence(first, F.least(first + _CHUNK - 1, F.col("_n")))
     rows = parts.select(*keys, "_lo", "_hi", F.explode(ids).alias("_k"))

@@ -254,8 +254,8 @@ class OrderedRows:
             return self._with(self._df.withColumns({n: a.over(whole) for n, a in aggs.items()}))
         rows = self._rows()
         if not self.keys:
-            per_key = rows.agg(*[a.alias(n) for n, a in aggs.items()])
-            return self._with(rows.crossJoin(F.broadcast(per_key)))  # one row
+            one = rows.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_t")).scalar()  # one row
+            return self._with(rows.withColumns({n: one[n] for n in aggs}))
         per_key = rows.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
         return self._with(join_on(rows, per_key, self.keys, "left"))
 

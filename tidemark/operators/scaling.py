@@ -24,11 +24,12 @@ def min_max_fit(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def min_max_scale(train: DataFrame, other: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Scale both tables with the range of ``train``; all other columns are carried unchanged."""
-    fit = F.broadcast(min_max_fit(train, columns))  # one row
+    fit = min_max_fit(train, columns)
+    fit = fit.select(F.struct(*fit.columns).alias("fit")).scalar()  # a scalar subquery: one row by construction
 
     def apply(df: DataFrame) -> DataFrame:
-        scaled = {c: scale_unit(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in columns}
-        return df.crossJoin(fit).select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+        scaled = {c: scale_unit(F.col(c), fit[f"lo_{c}"], fit[f"hi_{c}"]) for c in columns}
+        return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
     return apply(train), apply(other)
 

@@ -501,7 +501,7 @@ def backtest_user_hourly(spark, sf):
     """Back-test of one dense hourly series per user: the last 48 hours of each are held out."""
     rows = table(spark, sf, "events").groupBy("user_id", trunc_grain("ts", "hour").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
     dense = G.make_dense(rows, USER, "hour", 0.0)
-    last = dense.groupBy(*USER).agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("cut"))
+    last = rows.groupBy(*USER).agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("cut"))
     split = dense.join(last, USER).withColumn("split", F.when(F.col("ts") <= F.col("cut"), "train").otherwise("test")).drop("cut")
     return K.back_test(split, USER)
 
@@ -565,8 +565,7 @@ def incremental_score(spark, sf):
     data = _completed(spark, sf)
     early = data.where(F.col("ts") < SPLIT_AT)
     algo = {"both": ALGORITHMS["both"]}
-    last = early.groupBy().agg(F.max("ts").alias("last_evaluation_ts"))
-    newer = data.crossJoin(F.broadcast(last)).where(F.col("ts") > F.col("last_evaluation_ts")).drop("last_evaluation_ts")  # one row
+    newer = S.drop_older(data, early.agg(F.max("ts")).scalar())
     checked = D.verdicts(newer, TYPE, D.train(early, TYPE, algo), algo)
     return checked.select("event_type", "ts", "value", "is_anomaly")
 
