@@ -177,4 +177,4 @@ def append_anomalies(rows: DataFrame, path: str) -> None:
 
 
 def read_anomalies(spark, path: str) -> DataFrame:
-    return spark.read.schema(ANOMALY_SCHEMA).parquet(path)
+    return spark.read.schema(ANOMALY_SCHEMA).parquet(path).select(*ANOMALY_SCHEMA.names)

@@ -43,8 +43,11 @@ SCHEMAS = {
 
 
 class StateStore:
+    """State tables below one shared folder; one store serves one job at a time."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._known: dict[str, int] | None = None
 
     def _path(self, table: str, generation: int) -> str:
         return os.path.join(self.root, table, f"gen={generation}")
@@ -59,8 +62,10 @@ class StateStore:
             return self.spark.createDataFrame([], schema)
 
     def _generation(self, table: str) -> int:
-        found = self._load(os.path.join(self.root, "_generations"), "_generations")
-        return found.where(F.col("table") == table).agg(F.coalesce(F.max("generation"), F.lit(0).cast("long"))).first()[0]
+        if self._known is None:
+            found = self._load(os.path.join(self.root, "_generations"), "_generations").groupBy("table").agg(F.max("generation").alias("g"))
+            self._known = {r["table"]: r["g"] for r in found.collect()}  # one row per state table
+        return self._known.get(table, 0)
 
     def append(self, table: str, df: DataFrame) -> None:
         df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[table]]).write.mode("append").parquet(self._path(table, self._generation(table)))
@@ -75,6 +80,7 @@ class StateStore:
         nxt = self._generation(table) + 1
         df.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(self._path(table, nxt))
         self.spark.createDataFrame([(table, nxt)], SCHEMAS["_generations"]).write.mode("append").parquet(os.path.join(self.root, "_generations"))
+        self._known[table] = nxt
 
     def commit(self, run_id: str, name: str, start, params: dict[str, str] | None = None) -> None:
         self.append("runs", self.spark.createDataFrame([(run_id, name, start, params or {})], SCHEMAS["runs"]))
