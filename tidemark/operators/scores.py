@@ -27,8 +27,8 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Ho
 def align_tail(scores: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Scores joined with the last labels of their series: both counted from the end."""
     def from_end(df, name):
-        last = df.groupBy(*keys).agg(F.max("idx").alias("_last"))
-        return join_on(df, last, list(keys)).withColumn("_back", F.col("_last") - F.col("idx")).select(*keys, "_back", "idx", name)
+        rows = OrderedRows(df.select(*keys, "idx", name), keys, ["idx"]).total(_last=F.max("idx")).frame()
+        return rows.withColumn("_back", F.col("_last") - F.col("idx")).drop("_last")
 
     right = from_end(labels, "label").drop("idx")
     return join_on(from_end(scores, "score"), right, [*keys, "_back"]).drop("_back")
@@ -41,6 +41,17 @@ def _segmented(df: DataFrame, keys: Sequence[str], hot: HotKeys | None, extra: S
     return OrderedRows(rows, keys, ["idx"], hot).runs("actual", "seg")
 
 
+def _units(df: DataFrame, keys: Sequence[str], hot: HotKeys | None, **aggs: Column) -> DataFrame:
+    """True segments as one row each and normal rows as they are, in one pass over the rows.
+
+    Columns: ``hit`` 0/1, ``len`` and the given aggregates.
+    """
+    rows = _segmented(df, keys, hot).frame()
+    unit = F.when(F.col("actual") == 1, F.col("seg")).otherwise(-F.col("idx") - 1)
+    grouped = rows.groupBy(*keys, F.col("actual").alias("hit"), unit.alias("_unit"))
+    return grouped.agg(F.count(F.lit(1)).alias("len"), *[c.alias(n) for n, c in aggs.items()]).drop("_unit")
+
+
 def label_segments(df: DataFrame, keys: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
     """Rows with the number of their maximal run of equal labels."""
     return _segmented(df, keys, hot).frame()
@@ -142,12 +153,8 @@ def best_f1(
         agg = pred.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_l")).alias("_tp"), F.sum("_p").alias("_n"), F.sum("_l").alias("_a"))
         f1 = F.coalesce(F.try_divide(2.0 * F.col("_tp"), (F.col("_n") + F.col("_a"))), F.lit(0.0))
         return agg.select(*keys, f1.alias("f1"), F.lit(float(threshold)).alias("threshold"))
-    rows = _segmented(df, keys, hot).frame()
-    score = (F.max if adjust else F.min)("score")
-    hits = rows.where("actual = 1").groupBy(*keys, "seg").agg(score.alias("score"), F.count(F.lit(1)).alias("len"), F.max("idx").alias("end"))
-    hits = hits.select(*keys, "score", "len", "end", F.lit(1).alias("hit"))
-    normal = rows.where("actual = 0").select(*keys, "score", F.lit(1).cast("long").alias("len"), F.col("idx").alias("end"), F.lit(0).alias("hit"))
-    return _best(OrderedRows(hits.unionByName(normal), keys, ["-score", "end"], hot), keys)
+    units = _units(df, keys, hot, score=(F.max if adjust else F.min)("score"), end=F.max("idx"))
+    return _best(OrderedRows(units, keys, ["-score", "end"], hot), keys)
 
 
 # --- threshold grids -------------------------------------------------------------------------
@@ -162,11 +169,19 @@ def _grid_bin(score: Column, start: Column, step: Column, steps: Column) -> Colu
 
 
 def _suffix_counts(bins: DataFrame, keys: Sequence[str], hot: HotKeys) -> DataFrame:
-    """Per grid threshold where the counts change: rows with a score above it (``p`` and ``tp``)."""
+    """Counts of units above a threshold, per stretch of thresholds with equal counts.
+
+    A stretch runs from threshold ``_j`` to ``_nx - 1`` (null: to the last). ``p`` and ``tp`` count
+    the rows and true rows above it, ``n`` and ``a`` all of them. Threshold 0 always starts a stretch.
+    """
     binned = bins.groupBy(*keys, "_j").agg(F.sum("_n").alias("_n"), F.sum("_h").alias("_h"))
     rows = OrderedRows(binned, keys, ["_j"], hot).running_sum(_cn="_n", _ch="_h").total(_tn=F.sum("_n"), _th=F.sum("_h"))
-    return rows.frame().select(*keys, "_j", (F.col("_tn") - F.col("_cn")).alias("p"), (F.col("_th") - F.col("_ch")).alias("tp"),
-                               F.col("_th").alias("a"), F.col("_tn").alias("n"))
+    rows = rows.previous(reverse=True, _nx="_j").frame()
+    here = F.struct(F.col("_j").alias("_j"), F.col("_nx").alias("_nx"), (F.col("_tn") - F.col("_cn")).alias("p"), (F.col("_th") - F.col("_ch")).alias("tp"))
+    start = F.struct(F.lit(0).cast("long").alias("_j"), F.col("_j").alias("_nx"), F.col("_tn").alias("p"), F.col("_th").alias("tp"))
+    opens = (F.col("_cn") == F.col("_n")) & (F.col("_j") > 0)  # lowest bin, above threshold 0
+    points = F.explode(F.when(opens, F.array(start, here)).otherwise(F.array(here))).alias("_x")
+    return rows.select(*keys, points, F.col("_th").alias("a"), F.col("_tn").alias("n")).select(*keys, "_x.*", "a", "n")
 
 
 def best_f1_grid(df: DataFrame, keys: Sequence[str], step: float = 0.05, hot: HotKeys | None = None) -> DataFrame:
@@ -208,14 +223,10 @@ def _search_units(parts: DataFrame, keys: Sequence[str], start: float, end: floa
     else:
         j = _grid_bin(F.col("_s"), F.lit(first), F.lit(size), F.lit(steps).cast("long"))
     bins = parts.select(*keys, j.alias("_j"), F.col("_n").cast("long").alias("_n"), (F.col("_n") * F.col("_hit")).cast("long").alias("_h"))
-    zero = F.lit(0).cast("long")
-    floor = bins.select(*keys).distinct().select(*keys, zero.alias("_j"), zero.alias("_n"), zero.alias("_h"))
-    curve = _suffix_counts(bins.unionByName(floor), keys, hot).where(F.col("_j") < F.lit(steps))
-    if direction == ">":
-        curve = curve.withColumn("_i", F.col("_j"))
-    else:
-        ahead = OrderedRows(curve, keys, ["_j"], hot).previous(reverse=True, _nx="_j").frame()
-        curve = ahead.withColumn("_i", F.lit(steps) - F.coalesce("_nx", F.lit(steps)))
+    curve = _suffix_counts(bins, keys, hot).where(F.col("_j") < F.lit(steps))
+    # first threshold of the stretch in search order
+    last = F.least(F.coalesce("_nx", F.lit(steps)), F.lit(steps))
+    curve = curve.withColumn("_i", F.col("_j") if direction == ">" else F.lit(steps) - last)
     if skip_silent:
         curve = curve.where("a > 0 or p > 0")
     threshold = F.lit(float(start)) + (F.col("_i") + 1) * F.lit(float(size))
@@ -245,16 +256,17 @@ def search_threshold(
     neither rows nor segments are multiplied with the grid.
     """
     hot = find_hot(df, keys) if hot is None else hot
-    rows = _segmented(df, keys, hot).frame().withColumn("_s", _turned(direction))
-    one = F.lit(1).cast("long")
-    at_zero = F.max(F.when(F.col("idx") == 0, F.col("_s")))
-    segments = rows.where("actual = 1").groupBy(*keys, "seg").agg(F.max("_s").alias("_s"), F.count(one).alias("_n"), at_zero.alias("_s0"))
-    alone = F.col("_s0").isNotNull() if parity else F.lit(False)
-    body = segments.select(*keys, "_s", (F.col("_n") - alone.cast("long")).alias("_n"), F.lit(1).alias("_hit"))
-    parts = body.unionByName(rows.where("actual = 0").select(*keys, "_s", one.alias("_n"), F.lit(0).alias("_hit")))
-    if parity:  # row 0 stands for itself
-        row0 = segments.where("_s0 is not null").select(*keys, F.col("_s0").alias("_s"), one.alias("_n"), F.lit(1).alias("_hit"))
-        parts = parts.unionByName(row0)
+    high, at_zero = F.max(_turned(direction)), F.max(F.when(F.col("idx") == 0, _turned(direction)))
+    units = _units(df, keys, hot, _s=high, _s0=at_zero)
+    whole = F.struct(F.col("_s").alias("_s"), F.col("len").alias("_n"))
+    if parity:  # row 0 of a true segment stands for itself
+        alone = (F.col("hit") == 1) & F.col("_s0").isNotNull()
+        rest = F.struct(F.col("_s").alias("_s"), (F.col("len") - 1).alias("_n"))
+        row0 = F.struct(F.col("_s0").alias("_s"), F.lit(1).cast("long").alias("_n"))
+        parts = units.select(*keys, F.explode(F.when(alone, F.array(rest, row0)).otherwise(F.array(whole))).alias("_x"), "hit")
+    else:
+        parts = units.select(*keys, whole.alias("_x"), "hit")
+    parts = parts.select(*keys, "_x._s", "_x._n", F.col("hit").alias("_hit"))
     return _search_units(parts, keys, start, end, steps, direction, max_fpr, hot)
 
 
@@ -388,21 +400,16 @@ def pa_k(df: DataFrame, keys: Sequence[str], ks: Sequence[int] = (20, 40, 60, 80
     segment counts with the larger of its own score and that score, and PA%K is plain F1 on those.
     """
     hot = find_hot(df, keys) if hot is None else hot
-    k_list = F.array(*[F.lit(int(k)) for k in ks])
     rows = _segmented(df, keys, hot).frame()
-    hits = rows.where("actual = 1").select(*keys, "seg", "idx", "score")
     seg_keys = [*keys, "seg"]
-    seg_hot = find_hot(hits, seg_keys) if hot.any else hot
-    ranked = OrderedRows(hits, seg_keys, ["-score", "idx"], seg_hot).position("_r").total(_len=F.count(F.lit(1))).frame()
-    ranked = ranked.withColumn("_ks", F.filter(k_list, lambda k: F.floor(k * F.col("_len") / 100) + 1 == F.col("_r")))
-    lifts = ranked.where(F.size("_ks") > 0).select(*seg_keys, F.explode("_ks").alias("k"), F.col("score").alias("_lift"))
-    trials = hits.select(*seg_keys, "score", F.explode(k_list).alias("k"))
-    hit_rows = join_on(trials, lifts, [*seg_keys, "k"], "left").select(
-        *keys, "k", F.greatest("score", F.col("_lift")).alias("score"), F.lit(1).alias("label"))
-    other = rows.where("actual = 0").groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("m"))
-    other = other.select(*keys, F.explode(k_list).alias("k"), "score", "m", F.lit(0).cast("long").alias("h"))
-    lifted = hit_rows.groupBy(*keys, "k", "score").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("h"))
-    groups = lifted.unionByName(other).groupBy(*keys, "k", "score").agg(F.sum("m").alias("m"), F.sum("h").alias("h"))
+    seg_hot = find_hot(rows, seg_keys) if hot.any else hot
+    ranked = OrderedRows(rows, seg_keys, ["-score", "idx"], seg_hot).position("_r").total(_len=F.count(F.lit(1)))
+    nth = lambda k: F.max(F.when((F.col("actual") == 1) & (F.floor(F.lit(int(k)) * F.col("_len") / 100) + 1 == F.col("_r")), F.col("score")))
+    lifted = ranked.total(**{f"_lift{k}": nth(k) for k in ks}).frame()
+    # greatest skips nulls: rows without a lift keep their own score
+    trials = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.greatest("score", f"_lift{k}").alias("score")) for k in ks])
+    spread = lifted.select(*keys, F.explode(trials).alias("_t"), "actual").select(*keys, "_t.k", "_t.score", "actual")
+    groups = spread.groupBy(*keys, "k", "score").agg(F.count(F.lit(1)).alias("m"), F.sum("actual").alias("h"))
     curve_keys = [*keys, "k"]
     curve_hot = find_hot(groups, curve_keys) if hot.any else hot
     curve = OrderedRows(groups, curve_keys, ["-score"], curve_hot).running_sum(p="m", tp="h").total(n=F.sum("m"), a=F.sum("h")).frame()

@@ -89,11 +89,12 @@ def distribution(pairs: DataFrame) -> DataFrame:
     """Mean, p10, p50 and p90 of both sides and the mean relative difference in percent, per metric."""
     means = pairs.groupBy("metric").agg(
         F.avg("l").alias("lmean"), F.avg("r").alias("rmean"), (100 * F.avg(F.try_divide(F.col("r") - F.col("l"), F.abs("l")))).alias("rel_diff_pct"))
-    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    for side in ("l", "r"):
-        q = exact_quantiles(pairs, ["metric"], side, {f"{side}{n}": p for n, p in probs.items()})
-        means = join_on(means, q, ["metric"], "left")
-    return means
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("v")), F.struct(F.lit("r").alias("side"), F.col("r").alias("v")))).alias("_c")
+    long = pairs.select("metric", sides).select("metric", "_c.side", "_c.v")
+    q = exact_quantiles(long, ["metric", "side"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    wide = q.groupBy("metric").agg(*[
+        F.max(F.when(F.col("side") == s, F.col(p))).alias(s + p) for p in ("p10", "p50", "p90") for s in ("l", "r")])
+    return join_on(means, wide, ["metric"], "left")
 
 
 def ks_statistic(pairs: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def _p_values(batches):
 
 def compare(left: DataFrame, right: DataFrame, key: str = "key", metrics: Sequence[str] | None = None, level: float = 0.05) -> DataFrame:
     """One row per metric: both distributions, relative difference and the two significance tests."""
-    pairs = paired(left, right, key, metrics)
+    pairs = materialize(paired(left, right, key, metrics), "pairs")  # read by four aggregates below
     stats = join_on(ks_statistic(pairs), signed_ranks(pairs), ["metric"], "left")
     tests = stats.mapInPandas(_p_values, "metric string, ks double, wilcoxon_pval double, ks_pval double")  # one row per metric
     out = join_on(distribution(pairs), tests.drop("ks"), ["metric"])

@@ -16,6 +16,7 @@ from tidemark.operators.robust import huber_scale
 from tidemark.operators.series import TS, VALUE, chain, concat
 from tidemark.plans.forecast import fit, fit_residuals, options_from_config, residuals
 from tidemark.plans.metrics import MetricSpec
+from tidemark.session import materialize
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField(n, t, True, {"comment": c}) for n, t, c in [
@@ -111,17 +112,29 @@ def _prepared(df: DataFrame, keys: Sequence[str], algo: Algorithm) -> DataFrame:
     return chain(df, [lambda d, t=t: TRANSFORMS[t](d, keys) for t in algo.transforms])
 
 
+def _shared(algorithms: Mapping[str, Algorithm]) -> list[tuple[Algorithm, list[str]]]:
+    """Algorithms that look at the same residuals, so that these are computed once."""
+    groups: dict[tuple, list[str]] = {}
+    for name, algo in algorithms.items():
+        groups.setdefault((algo.model, algo.transforms), []).append(name)
+    return [(algorithms[names[0]], names) for names in groups.values()]
+
+
 def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm]) -> Trained:
     """Scale of every entity under every algorithm. Entities with too few values have no row."""
     frames, models = [], {}
-    for name, algo in algorithms.items():
+    for algo, names in _shared(algorithms):
         data = _prepared(df, keys, algo)
         if algo.model is not None:
-            models[name] = fit(data, keys, algo.model)
-            data = residuals(data, models[name], keys, algo.model)
-        scale = huber_scale(data, keys)
-        frames.append(scale.select(F.lit(name).alias("algorithm_name"), *keys, "n", "scale", F.lit(float(algo.tolerance)).alias("tolerance"),
-                                   F.lit(algo.direction).cast("string").alias("direction")))
+            # the residuals read the models too; one row per entity is written
+            fitted = materialize(fit(data, keys, algo.model), "detector-models")
+            models.update({n: fitted for n in names})
+            data = residuals(data, fitted, keys, algo.model)
+        settings = F.explode(F.array(*[
+            F.struct(F.lit(n).alias("algorithm_name"), F.lit(float(algorithms[n].tolerance)).alias("tolerance"), F.lit(algorithms[n].direction).cast("string").alias("direction"))
+            for n in names])).alias("_s")
+        scale = huber_scale(data, keys).select(*keys, "n", "scale", settings)
+        frames.append(scale.select("_s.algorithm_name", *keys, "n", "scale", "_s.tolerance", "_s.direction"))
     return Trained(concat(*frames), models)
 
 
@@ -136,17 +149,22 @@ def is_anomaly(residual: Column, scale: Column, tolerance: Column, direction: Co
 def verdicts(df: DataFrame, keys: Sequence[str], trained: Trained, algorithms: Mapping[str, Algorithm]) -> DataFrame:
     """Every observation with its residual and verdict per algorithm; ``has_model`` tells unknown entities."""
     frames = []
-    for name, algo in algorithms.items():
+    for algo, names in _shared(algorithms):
         data = _prepared(df, keys, algo)
         if algo.model is not None:
-            data = residuals(data, trained.models[name], keys, algo.model)
-        resid = data.select(*keys, TS, F.col(VALUE).alias("residual"))
-        rows = join_on(df.select(*keys, TS, VALUE), resid, [*keys, TS], "left") if data is not df else df.select(*keys, TS, VALUE, clean(VALUE).alias("residual"))
-        mine = trained.params.where(F.col("algorithm_name") == name).drop("algorithm_name", "n").withColumn("_known", F.lit(True))
-        rows = join_on(rows, mine, list(keys), "left")
-        flag = is_anomaly(F.col("residual"), F.col("scale"), F.col("tolerance"), F.col("direction"))
-        frames.append(rows.select(F.lit(name).alias("algorithm_name"), *keys, TS, VALUE, "residual", flag.alias("is_anomaly"),
-                                  F.coalesce("_known", F.lit(False)).alias("has_model")))
+            data = residuals(data, trained.models[names[0]], keys, algo.model)
+        if data is df:
+            rows = df.select(*keys, TS, VALUE, clean(VALUE).alias("residual"))
+        else:
+            rows = join_on(df.select(*keys, TS, VALUE), data.select(*keys, TS, F.col(VALUE).alias("residual")), [*keys, TS], "left")
+        # one row per entity with the settings of all its algorithms: observations are joined once
+        entry = F.struct("algorithm_name", "scale", "tolerance", "direction", F.lit(True).alias("known"))
+        mine = trained.params.where(F.col("algorithm_name").isin(names)).groupBy(*keys).agg(F.collect_list(entry).alias("_have"))
+        rows = join_on(rows, mine, list(keys), "left").withColumn("algorithm_name", F.explode(F.array(*[F.lit(n) for n in names])))
+        pick = F.get(F.filter("_have", lambda h: h["algorithm_name"] == F.col("algorithm_name")), 0)
+        rows = rows.withColumn("_p", pick)
+        flag = is_anomaly(F.col("residual"), F.col("_p.scale"), F.col("_p.tolerance"), F.col("_p.direction"))
+        frames.append(rows.select("algorithm_name", *keys, TS, VALUE, "residual", flag.alias("is_anomaly"), F.coalesce("_p.known", F.lit(False)).alias("has_model")))
     return concat(*frames)
 
 

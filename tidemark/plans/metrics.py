@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import join_on
 from tidemark.functions.timeunits import trunc_grain
+from tidemark.session import materialize
 from tidemark.sources.catalog import TIME, Catalog, Table, filter_time
 
 METRIC_TIME = "time"
@@ -177,15 +178,17 @@ def complete_entities(df: DataFrame, value: str, entity: Sequence[str], time: st
     """Long form of "wide frame with gaps set to ``fill``".
 
     Every time seen for any entity meets every entity; duplicates are averaged; rows with a null
-    entity key are dropped. The output has times × entities rows by definition of the operator.
+    entity key are dropped. The output has times × entities rows by definition of the operator. The
+    aggregated cells are written once, since times, entities and values are all read from them.
     """
     entity = list(entity)
     known = df.na.drop(subset=entity) if entity else df
     cells = known.groupBy(time, *entity).agg(F.avg(value).alias(value))
     if not entity:
         return cells.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
-    times = known.select(time).distinct()
-    entities = known.select(*entity).distinct()
+    cells = materialize(cells, "cells")
+    times = cells.select(time).distinct()
+    entities = cells.select(*entity).distinct()
     # the grid is the operator's own output; see spread_product for how it is spread over tasks
     grid = spread_product(times, entities)
     filled = join_on(grid, cells, [time, *entity], "left")
