@@ -165,6 +165,17 @@ def test_tune_and_storage(data, spark, tmp_path):
     assert P.load_models(spark, str(tmp_path / "m"), "v1").select(*models.columns).count() == 2
 
 
+def test_update_models(data, models):
+    df, _ = data
+    opt = Options(passes=10)
+    early = df.where("ts < '2024-01-15'")
+    old = P.fit(early, ["k"], opt)
+    new = df.where("k = 'a' and ts >= '2024-01-14'")  # one day overlaps
+    got = {r.k: r for r in P.update_models(old, early, new, ["k"], opt).collect()}
+    whole = P.fit(df.where("k = 'a'"), ["k"], opt).first()
+    assert got["a"].n == 480 and np.allclose(got["a"].point, whole.point) and got["b"].n == 24 * 14
+
+
 def test_short_series_have_no_model(data):
     df, _ = data
     few = df.where("k = 'a' or ts < '2024-01-01 01:00:00'")

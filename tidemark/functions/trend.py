@@ -170,7 +170,8 @@ def normal_parts(x: np.ndarray, y: np.ndarray, beta: np.ndarray | None, q: float
 
 def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: float | None) -> np.ndarray:
     factor = n if q is None else 2 * n
-    system = gram + np.diag(penalty * factor + 1e-9 * max(np.trace(gram) / len(gram), 1e-12))
+    system, at = gram.copy(), np.arange(len(gram))
+    system[at, at] += penalty * factor + 1e-9 * max(gram[at, at].mean(), 1e-12)
     try:
         return np.linalg.solve(system, rhs)
     except np.linalg.LinAlgError:

@@ -276,17 +276,26 @@ class OrderedRows:
         return self._with(join_on(rows, join_on(cells, per_run, groups), [*groups, _BLOCK]))
 
 
+def count_equal(df: DataFrame, columns: Sequence[str], hot: HotKeys) -> DataFrame:
+    """Rows with a weight ``_m``: 1 each, or equal rows counted together where hot keys exist.
+
+    Counting costs a shuffle of its own, so it is left out where every key fits one task anyway.
+    """
+    if hot.any:
+        return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_m"))
+    return df.select(*columns, F.lit(1).cast("long").alias("_m"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot: HotKeys | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key, with no whole group in one buffer.
 
-    Values are counted per distinct value (map-side combined), ranked by running counts and only
-    the two rows around each quantile position are kept.
+    Values are ranked by running counts and only the two rows around each quantile position are
+    kept. Where hot keys exist, equal values are counted first (map-side combined).
     """
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
-    )
-    rows = OrderedRows(counted, keys, ["_v"], find_hot(df, keys) if hot is None else hot)
+    hot = find_hot(df, keys) if hot is None else hot
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = OrderedRows(count_equal(values, [*keys, "_v"], hot), keys, ["_v"], hot)
     ranked = rows.running_sum(_hi="_m").total(_n=F.sum("_m")).frame().withColumn("_lo", F.col("_hi") - F.col("_m"))
     aggs = []
     for name, p in probs.items():

@@ -455,6 +455,16 @@ def dropped_series(df: DataFrame, models: DataFrame, keys: Sequence[str]) -> Dat
     return join_on(df.select(*keys).distinct(), models.select(*keys), list(keys), "left_anti")
 
 
+def update_models(models: DataFrame, history: DataFrame, new: DataFrame, keys: Sequence[str], options: Options = Options(), extras: Sequence[str] = ()) -> DataFrame:
+    """Models after new rows arrived: series with new rows are fitted again on all their rows (a new
+    row replaces an old one of the same time), all other models are carried over."""
+    touched = new.select(*keys).distinct()
+    rows = [*keys, TS, VALUE, *extras]
+    old = join_on(join_on(history, touched, list(keys), "left_semi"), new.select(*keys, TS), [*keys, TS], "left_anti")
+    fresh = fit(old.select(*rows).unionByName(new.select(*rows)), keys, options, extras)
+    return join_on(models, touched, list(keys), "left_anti").unionByName(fresh)
+
+
 # --- choice of options ---------------------------------------------------------------------------
 
 def tune(train: DataFrame, valid: DataFrame, keys: Sequence[str], trials: Sequence[Options], delta: float = 0.05) -> DataFrame:
