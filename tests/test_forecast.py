@@ -165,6 +165,16 @@ def test_tune_and_storage(data, spark, tmp_path):
     assert P.load_models(spark, str(tmp_path / "m"), "v1").select(*models.columns).count() == 2
 
 
+def test_blocks_of_one_task_add_up(data, monkeypatch):
+    _, pdf = data
+    one = pdf[pdf.k == "a"]
+    t, y, none = micros(one.ts), one.value.to_numpy(), np.zeros((len(one), 0))
+    shape = M.auto_shape(int(t[0]), int(t[-1]), len(t), 60.0, Options())
+    whole = M.fit_rows(t, y, none, shape, Options(), "upper")[0]
+    monkeypatch.setattr(M, "BLOCK_ROWS", 100)
+    assert np.allclose(M.fit_rows(t, y, none, shape, Options(), "upper")[0], whole, atol=1e-6)
+
+
 def test_update_models(data, models):
     df, _ = data
     opt = Options(passes=10)

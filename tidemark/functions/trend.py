@@ -178,13 +178,38 @@ def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: flo
         return np.linalg.lstsq(system, rhs, rcond=None)[0]
 
 
+BLOCK_ROWS = 100_000
+
+
 def fit_local(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, q: float | None, passes: int) -> tuple[np.ndarray, int]:
     """All passes on rows held by one task."""
+    return _passes(lambda beta, eps: normal_parts(x, y, beta, q, eps), penalty, len(y), q, passes)
+
+
+def fit_rows(ts: np.ndarray, y: np.ndarray, extras: np.ndarray, shape: Shape, opt: Options, role: str) -> tuple[np.ndarray, int]:
+    """Fit one model of a series. Features of long series are made block by block in every pass."""
+    part = shape.role(role)
+    penalty, q, scaled = ridge(part, opt, extras.shape[1]), quantile_of(role, opt.interval_width), y / shape.y_scale
+    if len(y) <= BLOCK_ROWS:
+        return fit_local(design(ts, extras, part, opt), scaled, penalty, q, opt.passes)
+
+    def sums(beta, eps):
+        gram = rhs = 0.0
+        for at in range(0, len(y), BLOCK_ROWS):
+            rows = slice(at, at + BLOCK_ROWS)
+            g, b = normal_parts(design(ts[rows], extras[rows], part, opt), scaled[rows], beta, q, eps)
+            gram, rhs = gram + g, rhs + b
+        return gram, rhs
+
+    return _passes(sums, penalty, len(y), q, opt.passes)
+
+
+def _passes(sums, penalty: np.ndarray, n: int, q: float | None, passes: int) -> tuple[np.ndarray, int]:
     beta = None
     for step in range(passes):
         eps = smoothing(step)
-        gram, rhs = normal_parts(x, y, beta, q, eps)
-        new = solve(gram, rhs, penalty, len(y), None if beta is None else q)
+        gram, rhs = sums(beta, eps)
+        new = solve(gram, rhs, penalty, n, None if beta is None else q)
         done = beta is not None and np.max(np.abs(new - beta)) < 1e-7 and (q is None or eps <= 1e-4)
         beta = new
         if done:

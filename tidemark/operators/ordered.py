@@ -30,7 +30,7 @@ from tidemark.session import materialize
 
 HOT_ROWS_KEY = "tidemark.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
-MAX_HOT = 10_000
+MAX_HOT = 50_000
 _BLOCK = "_block"
 _SPAN = 1_000_000  # blocks of the tie-breaking column per block of the first order column
 
@@ -58,9 +58,12 @@ def no_hot(keys: Sequence[str]) -> HotKeys:
     return HotKeys(tuple(keys), None, 0, 0)
 
 
-def find_hot(df: DataFrame, keys: Sequence[str]) -> HotKeys:
-    """The hot keys of ``df``: at most ``MAX_HOT`` of them, collected as literals."""
-    limit = hot_limit(df)
+def find_hot(df: DataFrame, keys: Sequence[str], at_most: int | None = None) -> HotKeys:
+    """The hot keys of ``df``: at most ``MAX_HOT`` of them, kept as a small table.
+
+    ``at_most`` lowers the row limit for operators that cost more per row than a sort.
+    """
+    limit = hot_limit(df) if at_most is None else min(hot_limit(df), at_most)
     total = df.count()
     if total <= limit:
         return no_hot(keys)

@@ -78,6 +78,10 @@ def _rows(df: DataFrame, keys: Sequence[str], extras: Sequence[str], with_value:
     return df.select(*cols, clean(VALUE).alias("_y")).where("_y is not null")
 
 
+# rows of a series that one task may fit; every row costs some 60 passes, so less than a sort takes
+FIT_ROWS = 1_000_000
+
+
 # --- fit in one task ---------------------------------------------------------------------------
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -110,9 +114,7 @@ def _fit_group(table: pa.Table, names: list[str], trials: list[Options], width:
     shape = M.auto_shape(int(t.min()), int(t.max()), len(t), float(np.percentile(np.abs(y), 95.0)), opt, mean, std)
     betas, passes = {}, 0
     for role in M.ROLES:
-        part = shape.role(role)
-        x = M.design(t, extras, part, opt)
-        betas[role], used = M.fit_local(x, y / shape.y_scale, M.ridge(part, opt, width), M.quantile_of(role, opt.interval_width), opt.passes)
+        betas[role], used = M.fit_rows(t, y, extras, shape, opt, role)
         passes = max(passes, used)
     return _model_row(table.select(names).slice(0, 1), shape, betas, opt, passes, time.perf_counter() - began, types)
 
@@ -144,7 +146,7 @@ def fit(
     fewer than two values have no row.
     """
     trials = [options] if isinstance(options, Options) else list(options)
-    hot = find_hot(df, keys) if hot is None else hot
+    hot = find_hot(df, keys, at_most=FIT_ROWS) if hot is None else hot
     rows = _rows(df, keys, extras)
     names = list(keys)
     if not isinstance(options, Options):
@@ -203,14 +205,15 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
         std = [1.0 if flat[j] else r[f"s{j}"] for j in range(width)]
         shapes.append(M.auto_shape(r["first"], r["last"], r["n"], r["p95"], opt, mean, std))
         options.append(opt)
-    id_schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in names] + [T.StructField("_id", T.LongType())])
-    ids = spark.createDataFrame([tuple(r[k] for k in names) + (i,) for i, r in enumerate(info)], id_schema)
-    tagged = join_on(rows, F.broadcast(ids), list(names)).select("_id", "_t", "_y", "_x")  # <= MAX_HOT ids
+    budget = 200_000  # rows of a series in its starting fit
+    id_schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in names]
+                             + [T.StructField("_id", T.LongType()), T.StructField("_stride", T.LongType())])
+    id_rows = [tuple(r[k] for k in names) + (i, max(1, shapes[i].n // budget)) for i, r in enumerate(info)]
+    ids = F.broadcast(spark.createDataFrame(id_rows, id_schema))  # <= MAX_HOT ids
+    tagged = join_on(rows, ids, list(names)).select("_id", "_stride", "_t", "_y", "_x")
     began = time.perf_counter()
     # starting point: a fit on a bounded, evenly spread subset of each series
-    budget = 200_000
-    strides = F.element_at(F.array(*[F.lit(max(1, s.n // budget)) for s in shapes]), (F.col("_id") + 1).cast("int"))
-    thin = tagged.where(F.pmod(F.xxhash64("_t"), strides) == 0)
+    thin = tagged.where(F.pmod(F.xxhash64("_t"), F.col("_stride")) == 0)
 
     def start(table: pa.Table) -> pa.Table:
         i = table.column("_id")[0].as_py()
@@ -218,10 +221,7 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
         extra = _matrix(table.column("_x"), width) if width else np.zeros((len(t), 0))
         out = []
         for role in M.ROLES:
-            part = shapes[i].role(role)
-            x = M.design(t, extra, part, options[i])
-            q = M.quantile_of(role, options[i].interval_width)
-            beta, _ = M.fit_local(x, y / shapes[i].y_scale, M.ridge(part, options[i], width), q, options[i].passes)
+            beta, _ = M.fit_rows(t, y, extra, shapes[i], options[i], role)
             out.append({"_id": i, "role": role, "beta": beta.tolist()})
         return pa.Table.from_pylist(out, schema=pa.schema([("_id", pa.int64()), ("role", pa.string()), ("beta", pa.list_(pa.float64()))]))
 
