@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clean
-from tidemark.operators.ordered import HotKeys, OrderedRows, count_equal, exact_quantiles, find_hot
+from tidemark.operators.ordered import HotKeys, OrderedRows, exact_quantiles, find_hot
 from tidemark.operators.series import VALUE
 
 # Third quartile of the standard normal; tuning constant of the Huber estimate and the
@@ -36,7 +36,9 @@ def huber_scale(df: DataFrame, keys: Sequence[str], value: str = VALUE, min_samp
     """
     hot = find_hot(df, keys) if hot is None else hot
     rows = df.select(*keys, F.abs(clean(value)).alias("a")).where("a is not null")
-    ordered = OrderedRows(count_equal(rows, [*keys, "a"], hot), keys, ["a"], hot)
+    # equal values are counted together: only then is the order total and "next value" well defined
+    counted = rows.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("_m"))
+    ordered = OrderedRows(counted, keys, ["a"], hot)
     ordered = ordered.running_sum(_k="_m", _ss=F.col("_m") * F.col("a") * F.col("a")).total(_n=F.sum("_m"))
     ranked = ordered.previous(reverse=True, _next="a").frame()
     room = F.col("_n") * F.lit(HUBER_GAMMA) - (F.col("_n") - F.col("_k")) * F.lit(HUBER_C**2)
