@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, tokens
+from tidemark.llm import decontam, mixing, near_dup, quality, tokens
 from tidemark.llm.common import shared_table, table
 from tidemark.llm.queries import END_ID, tokenizer_path
 
@@ -14,6 +14,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def benchmark_containment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated so that sources come near their target weights."""
     return mixing.apply_mix(docs, mixing.mixed(docs))
@@ -26,6 +36,8 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark containment", benchmark_containment),
     ("source mix", source_mix),
     ("token records", token_records),
 ]

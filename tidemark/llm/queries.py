@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, tokens
+from tidemark.llm import decontam, mixing, near_dup, quality, tokens
 from tidemark.llm.common import table
 
 END_ID = 2
@@ -26,9 +26,18 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_short_lines", "n_stop_words")
 
 
+def op8_setsketch_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"), k=4, percent=80)
+
+
+def op9_benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_records, op7_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (
+    op2_token_records, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}

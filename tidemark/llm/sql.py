@@ -27,4 +27,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL = {"op7_quality_rules": QUALITY}
+#: Items of which 80 per cent or more of the distinct five-word shingles occur in a document; a shorter text is one shingle.
+CONTAINMENT = r"""
+WITH t AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents
+           UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+w AS (SELECT kind, r, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT kind, r, id, array_to_string(list_slice(w, i, i + 4), ' ') AS k
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s WHERE kind = 'i' GROUP BY r)
+SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_item, count(*) AS n_shared
+FROM s AS i JOIN s AS d ON i.k = d.k AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.r = i.r
+GROUP BY d.r, d.id, i.r, i.id, n.n HAVING 100 * count(*) >= 80 * n.n
+"""
+
+SQL = {"op9_benchmark_containment": CONTAINMENT, "op7_quality_rules": QUALITY}
