@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, near_dup, quality, tokens
+from tidemark.llm import decontam, mixing, near_dup, quality, repeats, tokens
 from tidemark.llm.common import table
 
 END_ID = 2
@@ -21,6 +21,10 @@ def op2_token_records(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encoded(table(spark, sf, "documents"), tokenizer_path(), END_ID)
 
 
+def op6_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.measure(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_short_lines", "n_stop_words")
@@ -40,4 +44,4 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_records, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}
+    op2_token_records, op6_repeated_bytes, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}
