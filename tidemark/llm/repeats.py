@@ -289,8 +289,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     second = survivors.withColumn("rank", F.rank().over(W.partitionBy("string").orderBy("id", "tie", "lo"))).filter("rank > 1")
     lo, hi = _bounds(F.col("p"))
     found = classes.filter("kind < 2").select("id", "tie", lo.alias("lo"), hi.alias("hi"), "kind")
-    found = found.unionByName(merged.filter("string IS NULL").select("id", "tie", "lo", "hi", F.lit(0).alias("kind")))
-    found = found.unionByName(second.select("id", "tie", "lo", "hi", F.lit(0).alias("kind")))
+    found = found.unionByName(merged.filter("string IS NULL").select("id", "tie", "lo", "hi", F.lit(3).alias("kind")))
+    found = found.unionByName(second.select("id", "tie", "lo", "hi", F.lit(3).alias("kind")))
     lists = found.groupBy("id", "tie").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("found"))  # as many as the text has ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
                 pairs = list(zip(lo[on].tolist(), hi[on].tolist()))
                 listed = ranges.as_py() or []
                 none = {(r["lo"], r["hi"]) for r in listed if r["kind"] == 1}
-                pairs += [x for x in {(r["lo"], r["hi"]) for r in listed if r["kind"] == 0} if x not in none]
+                pairs += [(r["lo"], r["hi"]) for r in listed if r["kind"] == 3 or r["kind"] == 0 and (r["lo"], r["hi"]) not in none]
                 edge = np.zeros(len(data) + 1, np.int64)
                 for x, y in pairs:
                     edge[x] += 1
