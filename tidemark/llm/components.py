@@ -7,11 +7,15 @@ skewed key; no neighbour list is ever gathered. Rounds are cut by tables in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_table
 
+HUB_ROUNDS = 6
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
@@ -35,3 +39,57 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     root = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return root.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _pairs(a: Column, b: Column, rows: DataFrame) -> DataFrame:
+    """Distinct pairs; b is the side that many pairs share."""
+    return rows.filter(a != b).select(a.alias("a"), b.alias("b")).distinct()
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    turned = tested.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return pairs.join(tested, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti")
+
+
+def _split_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """``key, id, component`` of the buckets whose members are in several components."""
+    rows = buckets.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
+def bucket_components(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` under the links that ``verify`` confirms among pairs of one bucket of ``bands (key, id)``.
+
+    No bucket is expanded into all pairs: its members are tested against one hub, the member that meets most others;
+    hub rounds go on with other hubs while many pairs of a bucket are in different components. The rest of such pairs
+    is then tested completely, so no link between members of a bucket is lost.
+    """
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    buckets = shared_table(bands.join(shared, "key"), "buckets")
+    score = shared_table(buckets.groupBy("id").agg(F.sum("members").alias("score")), "scores")
+    found, tested, comp = None, None, None
+    for turn in range(HUB_ROUNDS):
+        if turn == 0:
+            open_rows, order = buckets.join(score, "id").withColumn("component", F.col("id")), F.struct("score", (-F.col("id")).alias("low"), "id")
+        else:
+            open_rows = _split_buckets(buckets, comp)
+            size = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+            left = size.groupBy("key").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("r")).agg(F.sum("p"), F.sum("r")).head()
+            if left[0] is None or left[0] <= 4 * left[1]:
+                break
+            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
+        hubs = open_rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("component").alias("hc"))).alias("hub"))
+        rows = open_rows.join(hubs, "key").filter(F.col("hub.hc") != F.col("component"))
+        pairs = _pairs(F.col("id"), F.col("hub.o.id"), rows)
+        pairs = shared_table(pairs if tested is None else _untested(pairs, tested), "tests")
+        new = shared_table(verify(pairs), "links")
+        tested, found = (pairs, new) if tested is None else (tested.unionByName(pairs), found.unionByName(new))
+        comp = shared_table(components(found), "components")
+    open_rows = _split_buckets(buckets, comp)
+    other = open_rows.select("key", F.col("id").alias("id2"), F.col("component").alias("c2"))
+    rest = _pairs(F.col("id"), F.col("id2"), open_rows.join(other, "key").filter("component < c2"))
+    rest = shared_table(_untested(rest, tested), "tests")
+    if not rest.isEmpty():
+        comp = shared_table(components(found.unionByName(verify(rest))), "components")
+    return comp

@@ -24,16 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, shared_table
-from tidemark.llm.components import components
+from tidemark.llm.components import bucket_components
 from tidemark.llm.textnp import BASE, Words, mix, slices, text_shingles
 
 M, ROWS = 128, 4
 B, A, TOP = 1.001, 20.0, 65535
-HUB_ROUNDS = 6
 
 
 def registers(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -136,56 +135,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, perce
     return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long")
 
 
-def _pairs(a: Column, b: Column, rows: DataFrame) -> DataFrame:
-    """Distinct pairs; b is the side that many pairs share."""
-    return rows.filter(a != b).select(a.alias("a"), b.alias("b")).distinct()
-
-
 def links(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``node, component`` of the sets (``id, n, regs``) that have a link."""
     bands = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("band"), "regs").select(
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = shared_table(bands.join(shared, "key"), "near-buckets")
-    # the hub is the member that meets most others over all its buckets
-    score = shared_table(buckets.groupBy("id").agg(F.sum("members").alias("score")), "near-scores")
-    ranked = buckets.join(score, "id")
-    found, tested, comp = None, None, None
-    for turn in range(HUB_ROUNDS):
-        if turn == 0:
-            open_rows, order = ranked.withColumn("component", F.col("id")), F.struct("score", (-F.col("id")).alias("low"), "id")
-        else:
-            open_rows = _split_buckets(buckets, comp)
-            size = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-            left = size.groupBy("key").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("r")).agg(F.sum("p"), F.sum("r")).head()
-            if left[0] is None or left[0] <= 4 * left[1]:
-                break
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
-        hubs = open_rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("component").alias("hc"))).alias("hub"))
-        rows = open_rows.join(hubs, "key").filter(F.col("hub.hc") != F.col("component"))
-        pairs = _pairs(F.col("id"), F.col("hub.o.id"), rows)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = shared_table(pairs, "near-tests")
-        new = shared_table(_verified(pairs, sets, texts, k, percent), "near-links")
-        tested, found = (pairs, new) if tested is None else (tested.unionByName(pairs), found.unionByName(new))
-        comp = shared_table(components(found), "near-components")
-    # complete: every pair of one bucket that is still in two components
-    open_rows = _split_buckets(buckets, comp)
-    other = open_rows.select("key", F.col("id").alias("id2"), F.col("component").alias("c2"))
-    rest = _pairs(F.col("id"), F.col("id2"), open_rows.join(other, "key").filter("component < c2"))
-    rest = rest.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    rest = shared_table(rest, "near-tests")
-    if not rest.isEmpty():
-        comp = shared_table(components(found.unionByName(_verified(rest, sets, texts, k, percent))), "near-components")
-    return comp
-
-
-def _split_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """``key, id, component`` of the buckets whose members are in several components."""
-    rows = buckets.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(several, "key", "left_semi")
+    return bucket_components(bands, lambda pairs: _verified(pairs, sets, texts, k, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
