@@ -75,26 +75,64 @@ def decode(payload: bytes | memoryview):
     return None if flags & 1 else doc, ids
 
 
-def word_encoder(path: str, wide: bool, remember: int = 300_000, longest: int = 64):
-    """Text bytes -> packed ids. ASCII white space always ends a piece of these tokenizers (see ``encode``), so words
-    are encoded one by one and short ones remembered; ``remember`` bounds the table's entries."""
-    from array import array
-
-    from tokenizers import Tokenizer
-
-    tok, code = Tokenizer.from_file(path), "I" if wide else "H"
+def word_encoder(path: str, wide: bool, remember: int = 128 << 20):
+    """A function from text bytes to packed ids that works word by word and remembers words.
 
-    class Known(dict):
-        def __missing__(self, word: bytes) -> bytes:
-            ids = array(code, tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-            if len(word) <= longest:
-                if len(self) >= remember:
-                    self.clear()
-                self[word] = ids
-            return ids
+    ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
+    together where their number of pieces is known, a letter run being one piece and a punctuation mark after it
+    another; the ends of pieces tell them apart, and any doubt sends them through one by one. The memory is bounded by
+    ``remember`` bytes and kept with the library's module, so that later tasks of a Python worker find it.
+    """
+    from array import array
 
-    known = Known()
-    return tok, lambda text: b"".join(map(known.__getitem__, text.split()))
+    import tokenizers
+
+    own = tokenizers.__dict__.setdefault("_remembered_words", {})
+    if (path, wide) not in own:
+        tok = tokenizers.Tokenizer.from_file(path)
+        own[path, wide] = tok, {i for t, i in tok.get_vocab(True).items() if t.endswith("</w>")}, {}
+    tok, ends, known = own[path, wide]
+    code, marks, held = "I" if wide else "H", frozenset(".,;:!?|%$*#&"), [sum(len(w) + len(i) + 150 for w, i in known.items())]
+
+    def ids_of(text: str) -> list[int]:
+        return tok.encode(text, add_special_tokens=False).ids
+
+    def learn(new: list[bytes]) -> None:
+        joined, pieces, rest = [], [], []
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            n = 1 if text.isalpha() else 2 if text[-1] in marks and text[:-1].isalpha() else 0
+            if n:
+                joined.append((w, text))
+                pieces.append(n)
+            else:
+                rest.append((w, text))
+        all_ids = ids_of(" ".join(t for _, t in joined)) if joined else []
+        cuts = [i + 1 for i, x in enumerate(all_ids) if x in ends]
+        if len(cuts) == sum(pieces) and (not cuts or cuts[-1] == len(all_ids)):
+            start, at = 0, 0
+            for (w, _), n in zip(joined, pieces):
+                at += n
+                known[w] = array(code, all_ids[start:cuts[at - 1]]).tobytes()
+                start = cuts[at - 1]
+        else:
+            rest += joined
+        for w, text in rest:
+            known[w] = array(code, ids_of(text)).tobytes()
+        held[0] += sum(len(w) + len(known[w]) + 150 for w in new)
+
+    def run(text: bytes) -> bytes:
+        words = text.split()
+        ids = list(map(known.get, words))
+        if None in ids:
+            if held[0] > remember:
+                known.clear()
+                held[0], ids = 0, [None] * len(words)
+            learn(list({w for w, i in zip(words, ids) if i is None}))
+            ids = list(map(known.get, words))
+        return b"".join(ids)
+
+    return tok, run
 
 
 def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
