@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, licenses, line_dedup, mixing, near_dup, quality, repeats, tokens
+from tidemark.llm import chat, decontam, html_text, licenses, line_dedup, mixing, near_dup, quality, repeats, tokens
 from tidemark.llm.common import shared_table, table
 
 END_ID = 2
@@ -25,6 +25,10 @@ def op2_token_records(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encoded(table(spark, sf, "documents"), tokenizer_path(), END_ID)
 
 
+def op3_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
+
+
 def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations and conversation -1, whose texts look like control strings, rendered and read back."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,4 +69,4 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_sentences, op2_token_records, op4_chat_format, op5_fuzzy_lines, op6_repeated_bytes, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}
+    op1_license_sentences, op2_token_records, op3_page_text, op4_chat_format, op5_fuzzy_lines, op6_repeated_bytes, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}
