@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it and wherever the plan moves it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def filter_here(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that is not pushed below the projection that made its columns, which would compute them twice."""
+    at = fresh("at")
+    return df.withColumn(at, F.monotonically_increasing_id()).filter((F.col(at) >= 0) & condition).drop(at)
+
+
 def fresh(stem: str) -> str:
     """A column name that no input column can clash with."""
     return f"__{stem}_{uuid.uuid4().hex[:8]}"

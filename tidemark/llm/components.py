@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shared_table
 
-HUB_ROUNDS = 6
+HUB_ROUNDS = 4
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,6 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     return root.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+#: Per cent of similarity to a hub from which a member counts as near it and its differences are kept.
+NEAR = 30
+
+
 def _pairs(a: Column, b: Column, rows: DataFrame) -> DataFrame:
     """Distinct pairs; b is the side that many pairs share."""
     return rows.filter(a != b).select(a.alias("a"), b.alias("b")).distinct()
@@ -51,45 +56,85 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti")
 
 
-def _split_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """``key, id, component`` of the buckets whose members are in several components."""
-    rows = buckets.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(several, "key", "left_semi")
+def _sized(tested: DataFrame) -> DataFrame:
+    return tested.select("a", "b", "n", F.size("gone").cast("long").alias("r"), F.size("new").cast("long").alias("m"), "gone", "new")
+
 
+def _linked(percent: int) -> Column:
+    """Similarity of a to b: b has n elements, r of them are missing in a, which has m others."""
+    return F.lit(100) * (F.col("n") - F.col("r")) >= F.lit(percent) * (F.col("n") + F.col("m"))
 
-def bucket_components(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` under the links that ``verify`` confirms among pairs of one bucket of ``bands (key, id)``.
 
-    No bucket is expanded into all pairs: its members are tested against one hub, the member that meets most others;
-    hub rounds go on with other hubs while many pairs of a bucket are in different components. The rest of such pairs
-    is then tested completely, so no link between members of a bucket is lost.
+def _by_difference(near: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members near one hub that may be linked although one of them is not linked to the hub.
+
+    A member lacks r of the hub's n elements and adds m others. With ``load = (100 r + percent m) / (100 + percent)``,
+    two members x, y are linked if and only if they have ``need = load_x + load_y - limit`` lacking or added elements in
+    common, where ``limit = (100 - percent) n / (100 + percent)``; a member that the hub does not link has a load above
+    the limit. Two members either share an added element, or all they share is lacking. In both cases the first shared
+    element, by rarity among the hub's members, must stand so early in both lists that ``need`` can still be reached.
+    Near copies with edits of their own almost never pass, however many they are.
+    """
+    whole = 100 + percent
+    rows = near.select("a", "b", (F.lit(100) * F.col("r") + F.lit(percent) * F.col("m")).alias("load"), (F.lit(100 - percent) * F.col("n")).alias("limit"), "r", "m", "gone", "new")
+    apart = rows.filter("load > limit").select("b").distinct()
+    rows = rows.join(apart, "b", "left_semi").join(comp.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    tag = lambda c, added: F.transform(c, lambda e: F.struct(F.lit(added).alias("added"), e.alias("e")))
+    each = rows.select("a", "b", "component", "load", "limit", "r", "m", F.explode(F.concat(tag("gone", False), tag("new", True))).alias("x")).select("*", "x.added", "x.e").drop("x")
+    often = each.groupBy("b", "added", "e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    own = W.partitionBy("b", "a", "added")
+    each = each.join(often, ["b", "added", "e"])
+    # how many of the list come from here on, elements of its own being first; lacking ones can follow added ones
+    each = each.withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("c", "e")) + 1).withColumn("most", F.col("left") + F.when(F.col("added"), F.col("r")).otherwise(0))
+    each = each.withColumn("less", F.col("most") > F.floor(F.col("load") / whole)).withColumn("more", (F.col("load") > F.col("limit")) & (F.col("most") >= F.ceil((F.col("load") - F.col("limit")) / whole)))
+    each = shared_table(each.filter("less OR more"), "differences")
+    x = each.filter("more").select("b", "added", "e", F.col("a").alias("x"), F.col("component").alias("cx"), F.col("load").alias("lx"), F.col("left").alias("fx"), F.col("r").alias("rx"))
+    need = F.ceil((F.col("lx") + F.col("load") - F.col("limit")) / whole)
+    hit = x.join(each.filter("less"), ["b", "added", "e"]).filter(
+        (F.col("component") != F.col("cx")) & ((F.col("lx") > F.col("load")) | ((F.col("lx") == F.col("load")) & (F.col("x") > F.col("a"))))
+        & (F.least("left", "fx") + F.when(F.col("added"), F.least("r", "rx")).otherwise(0) >= need))
+    return _pairs(F.col("x"), F.col("a"), hit)
+
+
+def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFrame], percent: int) -> DataFrame:
+    """``node, component`` under the links (similarity of ``percent`` or more) among members of one bucket of
+    ``bands (key, id)``.
+
+    ``test(pairs, least)`` returns ``a, b, n, gone, new`` of the pairs (a, b) with at least ``least`` per cent: the
+    size of b's set, its elements that a lacks, and the elements that only a has.
+
+    No bucket is expanded into all pairs. Its members are tested against one hub, the member that meets most others.
+    Links among members near the hub are then found by their differences from it (``_by_difference``). Where some
+    member is far from the hub, those it does not link go on to another hub: a member linked to the hub cannot be
+    linked to one that is far. What is still open after the last round is tested pair by pair, so no link is lost.
     """
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = shared_table(bands.join(shared, "key"), "buckets")
-    score = shared_table(buckets.groupBy("id").agg(F.sum("members").alias("score")), "scores")
-    found, tested, comp = None, None, None
+    score = buckets.groupBy("id").agg(F.sum("members").alias("score"))
+    still, order = buckets.join(score, "id"), F.struct("score", (-F.col("id")).alias("low"), "id")
+    near, tested = None, None
     for turn in range(HUB_ROUNDS):
-        if turn == 0:
-            open_rows, order = buckets.join(score, "id").withColumn("component", F.col("id")), F.struct("score", (-F.col("id")).alias("low"), "id")
-        else:
-            open_rows = _split_buckets(buckets, comp)
-            size = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-            left = size.groupBy("key").agg(((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("r")).agg(F.sum("p"), F.sum("r")).head()
-            if left[0] is None or left[0] <= 4 * left[1]:
-                break
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
-        hubs = open_rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), F.col("component").alias("hc"))).alias("hub"))
-        rows = open_rows.join(hubs, "key").filter(F.col("hub.hc") != F.col("component"))
-        pairs = _pairs(F.col("id"), F.col("hub.o.id"), rows)
+        hubs = still.groupBy("key").agg(F.max(order)["id"].alias("hub"))
+        rows = shared_table(still.select("key", "id").join(hubs, "key").filter("id <> hub"), "members")
+        pairs = _pairs(F.col("id"), F.col("hub"), rows)
         pairs = shared_table(pairs if tested is None else _untested(pairs, tested), "tests")
-        new = shared_table(verify(pairs), "links")
-        tested, found = (pairs, new) if tested is None else (tested.unionByName(pairs), found.unionByName(new))
-        comp = shared_table(components(found), "components")
-    open_rows = _split_buckets(buckets, comp)
-    other = open_rows.select("key", F.col("id").alias("id2"), F.col("component").alias("c2"))
-    rest = _pairs(F.col("id"), F.col("id2"), open_rows.join(other, "key").filter("component < c2"))
-    rest = shared_table(_untested(rest, tested), "tests")
+        new = shared_table(_sized(test(pairs, NEAR)), "near")
+        tested, near = (pairs, new) if tested is None else (tested.unionByName(pairs), near.unionByName(new))
+        met = near.select(F.col("a").alias("id"), F.col("b").alias("hub"), _linked(percent).alias("linked"))
+        met = met.unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("hub"), _linked(percent).alias("linked")))
+        loose = rows.join(met, ["id", "hub"], "left").filter("linked IS NULL OR NOT linked")
+        far = loose.groupBy("key").agg(F.max(F.col("linked").isNull()).alias("far"), F.count(F.lit(1)).alias("c")).filter("far AND c > 1").select("key")
+        still = shared_table(loose.join(far, "key", "left_semi").select("key", "id"), "open")
+        order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
+        if still.isEmpty():
+            break
+    found = near.filter(_linked(percent)).select("a", "b")
+    comp = shared_table(components(found), "components")
+    labelled = still.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    other = labelled.select("key", F.col("id").alias("id2"), F.col("component").alias("c2"))
+    rest = _pairs(F.col("id"), F.col("id2"), labelled.join(other, "key").filter("component < c2"))
+    rest = shared_table(_untested(rest.unionByName(_by_difference(near, comp, percent)).distinct(), tested), "tests")
     if not rest.isEmpty():
-        comp = shared_table(components(found.unionByName(verify(rest))), "components")
+        more = shared_table(_sized(test(rest, percent)).filter(_linked(percent)).select("a", "b"), "links")
+        comp = shared_table(components(found.unionByName(more)), "components")
     return comp

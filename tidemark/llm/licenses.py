@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import filter_here, fresh
 
 #: Identifier of each known sentence and the sentence (fixed values).
 SENTENCES = {
@@ -113,7 +113,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentence
     """
     seq, left = fresh("seq"), [fresh("left") for _ in range(len(rules) + 1)]
     out = df.select(F.col(id_col).alias("doc_id"), _sequence(F.coalesce(F.col(text_col), F.lit("")), known_sentences(sentences)).alias(seq))
-    out = out.filter(F.col(seq).rlike("[A-Za-z]")).withColumn(left[0], F.col(seq))
+    out = filter_here(out, F.col(seq).rlike("[A-Za-z]")).withColumn(left[0], F.col(seq))
     counts = []
     for j, (_, sequence) in enumerate(rules):
         counts.append(fresh("n"))

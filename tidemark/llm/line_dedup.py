@@ -4,7 +4,8 @@
    the smallest of each of 32 ranges of the hash space kept (an empty range is a value too). Equal lines are one class.
 2. Ranges are banded by three; a band with a shingle is a bucket key (a pair at a Jaccard similarity of 0.8 misses all
    eight bands with p < 0.004, at 0.9 with p < 4e-5).
-3. Bucket pairs are tested against hubs, then completely where components still differ, on the full shingle sets.
+3. Members of a bucket are tested against a hub on the full shingle sets of whole lines, and the differences from the
+   hub lead to all further links (``components.bucket_components``).
 4. Star steps join links to components; the first line of a component, by document id and line number, stays.
 
 Lines are exploded twice, once for signatures, once for the decisions, so that the text is never carried through the
@@ -20,18 +21,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, shared_table
+from tidemark.llm.common import WORD, filter_here, let, shared_table
 from tidemark.llm.components import bucket_components
 
 K, BIN_BITS, BANDS, ROWS = 8, 5, 8, 3
 
 
-def _wide(df: DataFrame, line: str, name: str) -> DataFrame:
-    """``df`` with the hashes of the K-character shingles of ``line``, cut out of fixed-width characters at once."""
-    df = df.withColumn(f"{name}_wide", F.encode(F.col(line), "UTF-32"))
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(f"{name}_wide") / 4 - K, F.lit(0)).cast("int")),
-                         lambda i: F.xxhash64(F.substring(F.col(f"{name}_wide"), i * 4 + 1, F.lit(4 * K))))
-    return df.withColumn(name, hashes).drop(f"{name}_wide")
+def shingles(line: Column) -> Column:
+    """Hashes of the K-character shingles of a line, cut out of fixed-width characters at once."""
+    last = F.greatest(F.length(line) - K, F.lit(0))
+    return let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * K)))))
+
+
+def _keys(h: Column) -> Column:
+    """Band keys of a line's shingle hashes."""
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
+    lowest = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.coalesce(F.get(s, i - 1), x))))
+    band = lambda low, j: F.filter(low, lambda x: F.floor(bin_of(x) / ROWS) == j)
+    key = lambda low: lambda j: let(band(low, j), lambda v: F.when(F.size(v) > 0, F.xxhash64(j, v)))
+    made = let(F.sort_array(h), lambda s: let(lowest(s), lambda low: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key(low))))
+    return F.filter(made, lambda x: x.isNotNull())
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,23 +51,19 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """Lines with their band keys instead of the text."""
-    out = _wide(lines, "line", "h").withColumn("h", F.sort_array("h"))
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
-    out = out.withColumn("low", F.filter("h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.coalesce(F.get(F.col("h"), i - 1), x)))))
-    keys = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.transform(
-        F.array(F.filter(F.col("low"), lambda x: F.floor(bin_of(x) / ROWS) == j)), lambda v: F.when(F.size(v) > 0, F.xxhash64(j, v)))[0]), lambda x: x.isNotNull())
-    return out.select("doc_id", "tie", "line_no", "node", keys.alias("keys"))
+    return lines.select("doc_id", "tie", "line_no", "node", _keys(shingles(F.col("line"))).alias("keys"))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs (a, b)`` by exact Jaccard similarity of whole lines."""
+def _tested(pairs: DataFrame, classes: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more, by the full sets of whole lines."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     needed = ids.join(classes.select("id", "node"), "id")
     own = lines.select("node", "line").join(needed, "node").groupBy("id").agg(F.first("line").alias("line"))
     rows = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    rows = _wide(_wide(rows, "line_a", "s_a"), "line_b", "s_b").select("a", "b", F.array_distinct("s_a").alias("s_a"), F.array_distinct("s_b").alias("s_b"))
-    rows = rows.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("both"), (F.size("s_a") + F.size("s_b")).alias("sum"))
-    return rows.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sum") - F.col("both"))).select("a", "b")
+    both = let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: F.struct(
+        F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new"))))
+    rows = rows.select("a", "b", both.alias("s")).select("a", "b", "s.*")
+    return filter_here(rows, F.lit(100) * (F.col("n") - F.size("gone")) >= F.lit(least) * (F.col("n") + F.size("new")))
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -67,7 +72,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = _signed(lines).groupBy("node").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     classes = shared_table(made.withColumn("id", F.monotonically_increasing_id()), "line-classes")
     bands = classes.select("id", F.explode("keys").alias("key"))
-    comp = bucket_components(bands, lambda pairs: _verify(pairs, classes, lines, percent))
+    comp = bucket_components(bands, lambda pairs, least: _tested(pairs, classes, lines, least), percent)
     of = classes.select("id", "node", "first", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     stays = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("stay"))
     label = of.filter("n > 1 OR component IS NOT NULL").join(stays, "component", "left").select("node", F.coalesce("stay", "first").alias("stay"))

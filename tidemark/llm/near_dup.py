@@ -6,11 +6,11 @@ registers are the more likely the more similar two sets are. Steps:
 
 1. One pass over the texts: set size, 128-bit set fingerprint and registers. Equal sets fall into one class.
 2. Bands of ``ROWS`` registers are the candidate buckets (at a similarity of 0.8 a pair misses all 32 with p = 5e-8).
-3. No bucket is expanded into all pairs. Each bucket tests its members against one hub, the member that meets most
-   others; a hub round is repeated with other hubs while many pairs of a bucket are still in different components.
-   What then remains, pairs of one bucket in different components, is tested completely, so no link is lost.
-4. A pair is first compared by the joint likelihood of its registers, given both exact set sizes; where similarity at the threshold
-   is e^20 times less likely than the estimate below it, the pair goes. Others are verified on the full sets of whole texts.
+3. No bucket is expanded into all pairs: each tests its members against one hub, and the differences from the hub lead
+   to all further links (``components.bucket_components``). No link between members of a bucket is lost.
+4. A pair is first compared by the joint likelihood of its registers, given both exact set sizes; where the wanted
+   similarity is e^20 times less likely than the estimate below it, the pair goes. Others are verified on the full sets of
+   whole texts.
 5. Components of all links by star steps.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows with equal ids share
@@ -103,8 +103,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         run, "doc_id long, n long, h1 long, h2 long, regs binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links among ``pairs (a, b)``: likelihood first, then the full sets. Several pairs of one b follow each other, so its set is made once."""
+def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
+    """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more: likelihood first, then the full
+    sets. Several pairs of one b follow each other, so its set is made once."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,34 +113,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, perce
             c = {name: batch.column(name) for name in batch.schema.names}
             ra, rb = (np.frombuffer(b"".join(c[x].to_pylist()), "<u2").reshape(-1, M) for x in ("r_a", "r_b"))
             na, nb = c["n_a"].to_pylist(), c["n_b"].to_pylist()
-            mask = pa.array([plausible(ra[i], rb[i], na[i], nb[i], percent / 100) for i in range(len(na))], pa.bool_())
+            mask = pa.array([plausible(ra[i], rb[i], na[i], nb[i], least / 100) for i in range(len(na))], pa.bool_())
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(mask)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, held_set = Words(), None, None
+        words, held, b_set = Words(), None, None
         for batch in batches:
-            keep = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("t_a"), batch.column("t_b")):
+            out = []
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("t_a"), batch.column("t_b")):
                 if b != held:
-                    held, held_set = b, text_shingles(words, tb.as_py(), k)
-                own = text_shingles(words, ta.as_py(), k)
-                both = len(np.intersect1d(own, held_set, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(held_set) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    held, b_set = b, text_shingles(words, tb.as_py(), k)
+                a_set = text_shingles(words, ta.as_py(), k)
+                gone = np.setdiff1d(b_set, a_set, assume_unique=True)
+                both = len(b_set) - len(gone)
+                if 100 * both >= least * (len(a_set) + len(gone)):
+                    out.append((a, b, len(b_set), gone.view(np.int64), np.setdiff1d(a_set, b_set, assume_unique=True).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if j < 3 else pa.list_(pa.int64())) for j in range(5)], ["a", "b", "n", "gone", "new"])
 
     close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long")
     close = shared_table(close, "near-pairs")
     needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     own = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])  # hashed by id, as the next join needs it
     rows = close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
-    return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long")
+    return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
 
 
 def links(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``node, component`` of the sets (``id, n, regs``) that have a link."""
     bands = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("band"), "regs").select(
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id")
-    return bucket_components(bands, lambda pairs: _verified(pairs, sets, texts, k, percent))
+    return bucket_components(bands, lambda pairs, least: _tested(pairs, sets, texts, k, least), percent)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

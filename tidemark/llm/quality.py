@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh, words
+from tidemark.llm.common import WORD, filter_here, fresh, let, words
 
 #: Frequent function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = (
@@ -77,29 +77,39 @@ def _covered(triples: Column) -> Column:
     def spread(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda s, x: s + x)
 
-    # one-element transforms bind the sorted arrays once
-    bound = F.transform(F.array(ordered), starts)
-    return F.element_at(F.transform(bound, spread), 1).cast("long")
+    return let(let(ordered, starts), spread).cast("long")
+
+
+def _measures(text: Column) -> Column:
+    """All measures of a text as one struct."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+
+    def triples(w: Column) -> Column:
+        return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(
+            F.array().cast("array<string>"))
+
+    def repeated(w: Column) -> Column:
+        return let(triples(w), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0).cast("long")).otherwise(_covered(t)))
+
+    return let(words(text), lambda w: let(lines, lambda ln: F.struct(
+        _count(w).alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (_count(ln) - _count(F.array_distinct(ln))).alias("n_dup_lines"),
+        repeated(w).alias("n_repeat_words"),
+        _count(ln).alias("n_lines"),
+        _count(F.filter(ln, lambda x: F.length(x) < 20)).alias("n_short_lines"),
+        _count(F.filter(w, lambda x: x.isin(STOP_WORDS))).alias("n_stop_words"))))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_short_lines", "n_stop_words")
 
 
 def with_measures(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with the measures; each step is bound by a projection of its own, all in one stage."""
-    w, ln, tri = fresh("words"), fresh("lines"), fresh("triples")
-    out = df.withColumns({w: words(text), ln: F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(WORD))})
-    out = out.withColumn(tri, F.when(F.size(w) >= 3, F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(F.col(w), i), F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)))
-    ).otherwise(F.array().cast("array<string>")))
-    content = F.coalesce(text, F.lit(""))
-    return out.withColumns({
-        "n_words": _count(F.col(w)),
-        "word_chars": F.length(F.array_join(F.col(w), "")).cast("long"),
-        "n_symbols": (F.length(content) - F.length(F.translate(content, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": _count(F.col(ln)) - _count(F.array_distinct(F.col(ln))),
-        "n_repeat_words": F.when(F.size(F.array_distinct(F.col(tri))) == F.size(tri), F.lit(0).cast("long")).otherwise(_covered(F.col(tri))),
-        "n_lines": _count(F.col(ln)),
-        "n_short_lines": _count(F.filter(F.col(ln), lambda x: F.length(x) < 20)),
-        "n_stop_words": _count(F.filter(F.col(w), lambda x: x.isin(STOP_WORDS))),
-    }).drop(w, ln, tri)
+    """``df`` with a column per measure."""
+    m = fresh("measures")
+    out = df.withColumn(m, _measures(F.coalesce(text, F.lit(""))))
+    return out.withColumns({name: F.col(m)[name] for name in MEASURES}).drop(m)
 
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
@@ -113,5 +123,5 @@ def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
     """The rows of ``df`` that pass, with all their columns."""
     row = fresh("row")
     boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
-    out = with_measures(boxed, F.col(row)[text_col]).filter(_passes(base) & _passes(rules))
+    out = filter_here(with_measures(boxed, F.col(row)[text_col]), _passes(base) & _passes(rules))
     return out.select(f"{row}.*")

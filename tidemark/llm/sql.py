@@ -1,5 +1,6 @@
 """SQL of those text queries that SQL can express."""
 
+from tidemark.llm.licenses import RULES, known_sentences, rule_pattern
 from tidemark.llm.quality import STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
@@ -41,4 +42,30 @@ FROM s AS i JOIN s AS d ON i.k = d.k AND i.kind = 'i' AND d.kind = 'd' JOIN n ON
 GROUP BY d.r, d.id, i.r, i.id, n.n HAVING 100 * count(*) >= 80 * n.n
 """
 
-SQL = {"op9_benchmark_containment": CONTAINMENT, "op7_quality_rules": QUALITY}
+
+
+def _licenses() -> str:
+    names = ", ".join(f"'{k}': '{v}'" for k, v in known_sentences().items())
+    steps = [rf"""
+WITH p AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(regexp_split_to_array(
+             regexp_replace(coalesce(text, ''), '([.!?:;])[ \t]+', '\1' || chr(10), 'g'), '[\n\r]+'),
+             lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents),
+l0 AS (SELECT r, doc_id, array_to_string(list_transform(list_filter(list_transform(s, lambda x: coalesce((MAP {{{names}}})[x], '-')), lambda x: x <> ''),
+             lambda x: ';' || x || ';'), '') AS l, array_to_string(list_transform(list_filter(list_transform(s, lambda x: coalesce((MAP {{{names}}})[x], '-')),
+             lambda x: x <> ''), lambda x: ';' || x || ';'), '') AS a FROM p)"""]
+    counts = []
+    for j, (_, sequence) in enumerate(RULES):
+        pattern = rule_pattern(sequence)
+        steps.append(f"l{j + 1} AS (SELECT * REPLACE (regexp_replace(l, '{pattern}', ';-;', 'g') AS l), len(regexp_extract_all(l, '{pattern}')) AS n{j} FROM l{j})")
+        counts.append(f"SELECT r, doc_id, a, '{RULES[j][0]}' AS license, n{j} AS n FROM l{len(RULES)}")
+    known = "len(regexp_extract_all({}, ';[A-Za-z0-9]+;'))"
+    counts.append(f"SELECT r, doc_id, a, 'UNMATCHED', {known.format('l')} FROM l{len(RULES)}")
+    return ",\n".join(steps) + f"""
+SELECT doc_id, license, CAST(sum(n) AS BIGINT) AS n_matches, CAST(any_value({known.format('a')}) AS BIGINT) AS n_sentences
+FROM ({" UNION ALL ".join(counts)}) GROUP BY r, doc_id, license HAVING sum(n) > 0"""
+
+
+#: Counts per licence of the matches of ordered rules over sequences of known sentences.
+LICENSES = _licenses()
+
+SQL = {"op1_license_sentences": LICENSES, "op9_benchmark_containment": CONTAINMENT, "op7_quality_rules": QUALITY}

@@ -75,7 +75,7 @@ def decode(payload: bytes | memoryview):
     return None if flags & 1 else doc, ids
 
 
-def word_encoder(path: str, wide: bool, remember: int = 128 << 20):
+def word_encoder(path: str, wide: bool, remember: int = 96 << 20):
     """A function from text bytes to packed ids that works word by word and remembers words.
 
     ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
