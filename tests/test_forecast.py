@@ -220,11 +220,11 @@ def test_wilcoxon_p_by_enumeration():
     sums = np.array([sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=n)])
     for plus in (3, 10, 22):
         want = min(1.0, 2 * (sums <= min(plus, 45 - plus)).mean())
-        assert K.wilcoxon_p(plus, 45 - plus, n, 0) == pytest.approx(want)
+        assert K.wilcoxon_p(plus, 45 - plus, n, 0, "exact") == pytest.approx(want)
     assert K.normal_tail(1.959963984540054) == pytest.approx(0.025)
     # large sample: agrees with the exact distribution of the signed rank sum
-    assert K.wilcoxon_p(400, 50 * 51 / 2 - 400, 50, 0) == pytest.approx(K.wilcoxon_p(400, 50 * 51 / 2 - 400, 50, 1e-9), rel=0.05)
-    assert math.isnan(K.wilcoxon_p(0, 0, 0, 0))
+    assert K.wilcoxon_p(400, 50 * 51 / 2 - 400, 50, 0, "exact") == pytest.approx(K.wilcoxon_p(400, 50 * 51 / 2 - 400, 50, 1e-9), rel=0.05)
+    assert math.isnan(K.wilcoxon_p(0, 0, 0, 0)) and K.wilcoxon_p(400, 875, 50, 0) == K.wilcoxon_p(400, 875, 50, 1e-12)
 
 
 def test_ks_p_by_enumeration():
@@ -235,6 +235,11 @@ def test_ks_p_by_enumeration():
         gaps.append(np.abs(np.cumsum(steps)).max())
     for h in (1, 2, 3, 5):
         assert K.ks_p(h / n, n, n) == pytest.approx((np.array(gaps) >= h).mean())
+    for n, m in ((5, 5), (20_000, 20_000), (100, 101), (10**6, 10**6), (10**6, 10**6 + 1)):
+        assert K.ks_p(0.0, n, m) == 1.0
+        values = [K.ks_p(x / (n * m / (n + m)) ** 0.5, n, m) for x in (0.3, 0.9, 0.999, 1.001, 1.4, 2.0)]
+        assert values == sorted(values, reverse=True) and abs(values[2] - values[3]) < 0.03 + 2 / n**0.5
+    assert K.ks_p(0.0001, 20_000, 20_000) == pytest.approx(1.0) and K.ks_p(1.36 / 5000**0.5, 10_000, 10_001) == pytest.approx(0.049, abs=1e-3)
     assert K.ks_p(0.02, 9999, 9999) == pytest.approx(K.ks_p(0.02, 10_001, 10_000), rel=0.05)
 
 

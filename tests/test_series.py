@@ -132,6 +132,12 @@ def test_select_and_rename(two):
     assert {r.k for r in renamed.select("k").distinct().collect()} == {"c", "d"}
     with pytest.raises(ValueError):
         S.rename_series(two, ["k"], {("a",): ("c",), ("b",): ("c",)})
+    kept = S.rename_series(two, ["k"], {("a",): ("c",)})
+    assert {r.k for r in kept.select("k").distinct().collect()} == {"c", "b"} and kept.count() == two.count()
+    with pytest.raises(ValueError):
+        S.rename_series(two, ["k"], {("a",): ("b",)})
+    swapped = S.rename_series(two, ["k"], {("a",): ("b",), ("b",): ("a",)})
+    assert swapped.where("k = 'b'").count() == two.where("k = 'a'").count()
     with pytest.raises(ValueError):
         S.drop_level(two, ["k"], "k")
 

@@ -52,14 +52,8 @@ UNIT_LENGTH = {
     "minute": Granularity("fixed", MINUTE),
     "second": Granularity("fixed", SECOND),
 }
-# Which units exist plain and which with a calendar or fiscal prefix.
-PREFIX_UNITS = {
-    "": ("year", "month", "quarter", "week", "day", "hour", "minute", "second"),
-    "calendar": ("week", "month", "quarter", "year"),
-    "year": ("month",),
-    "fiscal": ("month", "quarter", "year", "half_year"),
-    "fy": ("quarter", "year"),
-}
+#: Words that may stand before any unit and do not change its length (fixed values).
+PREFIXES = ("calendar", "year", "fiscal", "fy")
 # Short frequency codes that are no unit names.
 CODES = {
     "MS": Granularity("month", 1), "QS": Granularity("month", 3), "YS": Granularity("month", 12),
@@ -72,12 +66,10 @@ _NUMBERED = re.compile(r"^(\d+)\s*(.+?)$")
 
 
 def _unit(name: str) -> Granularity | None:
-    for prefix, units in PREFIX_UNITS.items():
-        for unit in units:
-            spelled = f"{prefix}_{unit}" if prefix else unit
-            if name == spelled or (prefix not in ("year", "fy") and name == spelled.replace("_", " ")):
-                return UNIT_LENGTH[unit]
-    return None
+    """A unit, or any prefix and a unit, with blanks or underscores between words."""
+    name = name.replace(" ", "_")
+    head, _, tail = name.partition("_")
+    return UNIT_LENGTH.get(name) or (UNIT_LENGTH.get(tail) if head in PREFIXES else None)
 
 
 def parse_granularity(text: str | Granularity) -> Granularity:
@@ -102,6 +94,7 @@ def parse_granularity(text: str | Granularity) -> Granularity:
 def frequency_granularity(name: str) -> Granularity:
     """Granularity of a named forecasting frequency (hourly, daily, … yearly)."""
     key = name.lower()
+    # fixed values: the names of forecasting frequencies
     if key not in ("hourly", "daily", "weekly", "monthly", "quarterly", "yearly"):
         raise ValueError(f"unknown frequency {name!r}")
     return parse_granularity("day" if key == "daily" else key[:-2])

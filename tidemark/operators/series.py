@@ -84,12 +84,19 @@ def contains(df: DataFrame, keys: Sequence[str], wanted) -> bool:
 
 
 def rename_series(df: DataFrame, keys: Sequence[str], names: Mapping[tuple, tuple], to: Sequence[str] | None = None) -> DataFrame:
-    """Rename series by a driver-side map old key → new key; arity and uniqueness are checked."""
-    to = list(to or keys)
+    """Rename series by a driver-side map old key → new key; arity and uniqueness are checked.
+
+    Series that the map does not name keep their names; where the new names have other levels (``to``) every series
+    must be named, and reading one that is not raises. A new name that another series keeps is an error.
+    """
+    same, to = to is None or list(to) == list(keys), list(to or keys)
     if any(len(o) != len(keys) or len(n) != len(to) for o, n in names.items()):
         raise ValueError("series names must have one part per key level")
     if len(set(names.values())) != len(names):
         raise ValueError("new series names must be unique")
+    taken = [tuple(n) for n in names.values() if tuple(n) not in names]
+    if same and taken and not select(df, keys, taken).limit(1).isEmpty():
+        raise ValueError("a new series name is the name of another series")
     spark = df.sparkSession
     rows = [tuple(o) + tuple(n) for o, n in names.items()]
     olds, news = [f"_old{i}" for i in range(len(keys))], [f"_new{i}" for i in range(len(to))]
@@ -97,7 +104,10 @@ def rename_series(df: DataFrame, keys: Sequence[str], names: Mapping[tuple, tupl
     table = spark.createDataFrame(rows, schema)  # as many rows as the caller's map
     renamed = table.select(*[F.col(o).alias(k) for o, k in zip(olds, keys)], *news)
     rest = [c for c in df.columns if c not in keys]
-    return join_on(df, renamed, list(keys)).select(*[F.col(n).alias(t) for n, t in zip(news, to)], *rest)
+    unnamed = F.raise_error(F.concat(F.lit("no new name for series "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("string")
+    named = F.col(news[0]).isNotNull()
+    parts = [F.when(named, F.col(n)).otherwise(F.col(keys[i]).cast("string") if same else unnamed).alias(t) for i, (n, t) in enumerate(zip(news, to))]
+    return join_on(df, renamed, list(keys), "left").select(*parts, *rest)
 
 
 def add_level(df: DataFrame, level: str, name: str) -> DataFrame:

@@ -395,15 +395,34 @@ def _dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
+#: Most different options among the models of one call; they are read by the driver.
+MAX_OPTIONS = 200
+
+
 def forecast(
-    models: DataFrame, index: DataFrame, keys: Sequence[str], options: Options = Options(), extras: Sequence[str] = (),
+    models: DataFrame, index: DataFrame, keys: Sequence[str], options: Options | None = None, extras: Sequence[str] = (),
     trend_only: bool = False, components: bool = False, keep: Sequence[str] = (),
 ) -> DataFrame:
     """``yhat``, ``upper`` and ``lower`` at the (key, ts) rows of ``index``; rows without a model drop out.
 
+    Layout, cap and floor are those stored with each model; models of several options are forecast option by option (as
+    many as the caller has tried, not as many as there are series). ``options`` states them where they are known, which
+    saves reading them.
+
     Bounds are separate fits and may cross the point; they are not sorted. ``components`` adds a map
     with the parts of the point forecast. Features are computed once per row for all three models.
     """
+    if options is None:
+        stored = [r["options"] for r in models.select("options").distinct().limit(MAX_OPTIONS + 1).collect()]
+        if len(stored) > MAX_OPTIONS:
+            raise ValueError(f"models of more than {MAX_OPTIONS} different options")
+        parts = [forecast(models.where(F.col("options") == o), index, keys, Options.from_dict(json.loads(o)), extras, trend_only, components, keep) for o in sorted(stored)]
+        if not parts:
+            return forecast(models, index, keys, Options(), extras, trend_only, components, keep)
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     custom, width = options.seasonalities, len(extras)
     extra = F.array(*[F.col(c).cast("double") for c in extras]) if extras else F.array().cast("array<double>")
     rows = index.select(*keys, TS, *keep, micros(TS).alias("_t"), extra.alias("_x"))
@@ -431,7 +450,7 @@ def forecast(
     return joined.select(*keys, TS, *keep, *[c.alias(n) for n, c in out.items()], "interval_width")
 
 
-def residuals(df: DataFrame, models: DataFrame, keys: Sequence[str], options: Options = Options(), extras: Sequence[str] = ()) -> DataFrame:
+def residuals(df: DataFrame, models: DataFrame, keys: Sequence[str], options: Options | None = None, extras: Sequence[str] = ()) -> DataFrame:
     """Series minus its forecast at the same times."""
     out = forecast(models, df, keys, options, extras, keep=[VALUE])
     return out.select(*keys, TS, (clean(VALUE) - F.col("yhat")).alias(VALUE))
@@ -471,14 +490,19 @@ def tune(train: DataFrame, valid: DataFrame, keys: Sequence[str], trials: Sequen
     """Loss of every (series, trial) on validation rows and the best trial: pinball loss of both bounds."""
     models = fit(train, keys, list(trials))
     spread = valid.withColumn("trial", F.explode(F.array(*[F.lit(i) for i in range(len(trials))])))
-    scored = forecast(models, spread, [*keys, "trial"], trials[0], keep=[VALUE])
+    parts = [forecast(models.where(F.col("trial") == i), spread.where(F.col("trial") == i), [*keys, "trial"], o, keep=[VALUE]) for i, o in enumerate(trials)]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     high, low = F.col(VALUE) - F.col("upper"), F.col(VALUE) - F.col("lower")
     loss = F.greatest((1 - delta) * high, -delta * high) + F.greatest(delta * low, (delta - 1) * low)
     return scored.groupBy(*keys, "trial").agg(F.avg(loss).alias("loss"))
 
 
 def best_trial(losses: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return losses.groupBy(*keys).agg(F.min_by("trial", F.struct("loss", "trial")).alias("trial"), F.min("loss").alias("loss"))
+    """The trial of the smallest loss; one whose loss is unknown (null or NaN) never wins."""
+    known = losses.where(F.col("loss").isNotNull() & ~F.isnan("loss"))
+    return known.groupBy(*keys).agg(F.min_by("trial", F.struct("loss", "trial")).alias("trial"), F.min("loss").alias("loss"))
 
 
 def refit_best(data: DataFrame, best: DataFrame, keys: Sequence[str], trials: Sequence[Options]) -> DataFrame:

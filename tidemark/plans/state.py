@@ -191,11 +191,14 @@ def _add_version(store: StateStore, versions: DataFrame, name: str, tags: dict[s
     store.append("model_versions", store.spark.createDataFrame([(name, top + 1, tags, now, run_id)], SCHEMAS["model_versions"]))
 
 
-def retire_models(store: StateStore, detector: str, mode: str, keep: Sequence[str]) -> None:
-    """Drop the online models of a detector that the last training did not renew."""
+def retire_models(store: StateStore, detector: str, mode: str, keep: Sequence[str] | DataFrame) -> None:
+    """Drop the online models of a detector that the last training did not renew.
+
+    ``keep`` names the models that stay: a short list, or a table with a column ``model``.
+    """
     versions = store.read("model_versions")
     stale = (F.col("tags")["detector"] == detector) & (F.col("tags")["deployment_mode"] == mode) & (F.col("tags")["online"] == "True")
-    dead = versions.where(stale & ~F.col("model").isin(list(keep)))
+    dead = join_on(versions.where(stale), keep, ["model"], "left_anti") if isinstance(keep, DataFrame) else versions.where(stale & ~F.col("model").isin(list(keep)))
     if not dead.isEmpty():
         store.replace("model_versions", join_on(versions, dead.select("model").distinct(), ["model"], "left_anti"))
 

@@ -555,8 +555,12 @@ def state_retention(spark, sf):
 def state_retire(spark, sf):
     """Models without an order since 2001 are dropped from the table."""
     versions = _versions(spark, sf)
-    fresh = versions.where(F.col("created_at") >= "2001-01-01").select("model").distinct()
-    return S.intersection(versions, fresh, ["model"])
+    tags = F.create_map(*[F.lit(x) for x in ("detector", "orders", "deployment_mode", "dev", "online", "True")])
+    store = V.StateStore(spark, work_dir(spark, "state"))
+    store.append("model_versions", versions.withColumn("tags", tags).withColumn("run_id", F.lit("import")))
+    store.commit("import", "orders", dt.datetime(2001, 1, 1))
+    V.retire_models(store, "orders", "dev", versions.where(F.col("created_at") >= "2001-01-01").select("model").distinct())
+    return S.intersection(versions, store.read("model_versions"), ["model"])
 
 
 @query
@@ -587,7 +591,7 @@ def detector_runs(spark, sf):
     V.train_detector(store, cat, conf, "2024-01-01", SPLIT_AT, dt.datetime(2024, 1, 21), "train-1", "dev")
     for i, end in enumerate(("2024-01-25 00:00:00", "2024-01-31 00:00:00"), 1):
         V.score_detector(store, cat, conf, end, dt.datetime.fromisoformat(end), f"score-{i}", sink, "dev")
-    return D.read_anomalies(spark, sink).select("entity", "timestamp", F.round("value", 4).alias("value"), "run_id")
+    return D.read_anomalies(spark, sink, store.read("runs")).select("entity", "timestamp", F.round("value", 4).alias("value"), "run_id")
 
 
 @query

@@ -62,7 +62,7 @@ SQL["wide_to_long"] = """
 SELECT vec_id AS id, (i - 1)::INT AS pos, round(embedding[i]::DOUBLE, 6) AS value
 FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)"""
 SQL["series_level_rename"] = f"""
-WITH {HOURLY} SELECT CASE event_type WHEN 'click' THEN 'clicked' ELSE 'viewed' END AS event_type, ts, value FROM hourly WHERE event_type IN ('click', 'view')"""
+WITH {HOURLY} SELECT CASE event_type WHEN 'click' THEN 'clicked' WHEN 'view' THEN 'viewed' ELSE event_type END AS event_type, ts, value FROM hourly"""
 SQL["series_dense_filled"] = f"WITH {DENSE} SELECT event_type, ts, value FROM dense"
 SQL["series_missing"] = """
 WITH h AS (SELECT DISTINCT user_id, date_trunc('hour', ts)::TIMESTAMP AS ts FROM events),

@@ -31,10 +31,13 @@ def work_dir(spark: SparkSession, name: str = "work") -> str:
     """A fresh path below the shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a laptop) a local temporary folder is made and recorded in the context.
+    unset and the session is local (tests, a laptop) a temporary folder is made and recorded in the
+    context; elsewhere it raises, since each machine would write to its own disk.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         root = spark.sparkContext.getCheckpointDir()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

@@ -25,25 +25,32 @@ def to_wide(df: DataFrame, key: str, names: Sequence[str], time_col: str = "time
 
 
 _POINTS = "array<struct<ts:timestamp_ntz,value:double>>"
-CHUNK_ROWS = 100_000
 
 
-def to_json_rows(df: DataFrame, keys: Sequence[str], gran: str | Granularity, t0: str = "1970-01-01", unit: str = "second") -> DataFrame:
-    """One JSON text per series, or several ``part``s of at most 100,000 rows for long ones."""
+def to_json_rows(df: DataFrame, keys: Sequence[str], gran: str | Granularity, t0: str = "1970-01-01", unit: str = "second", rows_per_part: int = 100_000) -> DataFrame:
+    """JSON texts of every series in ``part``s of at most ``rows_per_part`` rows; ``parts`` tells how many belong together.
+
+    One text can't hold a series of any length, so long ones have several whatever the setting.
+    """
     gran = parse_granularity(gran)
-    rows = OrderedRows(df.select(*keys, TS, VALUE), keys, [TS]).position("_i", start=0).frame()
-    parts = rows.groupBy(*keys, F.floor(F.col("_i") / CHUNK_ROWS).cast("int").alias("part"))
+    rows = OrderedRows(df.select(*keys, TS, VALUE), keys, [TS]).position("_i", start=0).total(_n=F.count(F.lit(1))).frame()
+    parts = rows.groupBy(*keys, F.floor(F.col("_i") / rows_per_part).cast("int").alias("part"), F.ceil(F.col("_n") / rows_per_part).cast("int").alias("parts"))
     points = parts.agg(F.array_sort(F.collect_list(F.struct(TS, VALUE))).alias("points"))
     body = F.struct(
         F.transform("points", lambda p: p[TS].cast("string")).alias("time_array"), F.transform("points", lambda p: p[VALUE]).alias("values"),
         F.struct(*[F.col(k).cast("string").alias(k) for k in keys]).alias("key") if keys else F.struct(F.lit("").alias("all")).alias("key"),
         F.lit(t0).alias("unixtime_t0"), F.lit(unit).alias("unixtime_unit"), F.lit(json.dumps(gran.to_dict())).alias("granularity"),
     )
-    return points.select(*keys, "part", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    return points.select(*keys, "part", "parts", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def from_json_rows(df: DataFrame, keys: Sequence[str], column: str = "json") -> DataFrame:
-    """Series rows of JSON texts written by ``to_json_rows``; keys come back as strings."""
+    """Series rows of JSON texts written by ``to_json_rows``; keys come back as strings. A series of which parts are
+    missing raises when read."""
+    if {"part", "parts", *keys} <= set(df.columns):
+        seen = df.groupBy(*keys).agg((F.count_distinct("part") < F.max("parts")).alias("_cut"))
+        checked = join_on(df, seen, list(keys)) if keys else df.crossJoin(F.broadcast(seen))  # one row without keys
+        df = checked.withColumn(column, F.when(F.col("_cut"), F.raise_error(F.lit("parts of a series are missing")).cast("string")).otherwise(F.col(column)))
     key = ", ".join(f"`{k}`: string" for k in keys) or "`all`: string"
     schema = f"time_array array<string>, `values` array<double>, key struct<{key}>, granularity string"
     parsed = df.select(F.from_json(column, schema).alias("_j"))

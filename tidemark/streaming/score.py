@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import join_on
 from tidemark.operators.series import TS, VALUE
 from tidemark.plans.detect import is_anomaly
+from tidemark.plans.forecast import forecast
 
 
 def windowed_metric(stream: DataFrame, keys: Sequence[str], aggregate: Column, grain: str = "1 hour", lateness: str = "2 hours",
@@ -20,10 +21,18 @@ def windowed_metric(stream: DataFrame, keys: Sequence[str], aggregate: Column, g
     return late.groupBy(window, *keys).agg(aggregate.alias(VALUE)).select(*keys, F.col("window.start").alias(TS), VALUE)
 
 
-def score_windows(metric: DataFrame, keys: Sequence[str], params: DataFrame) -> DataFrame:
-    """Verdicts of finished windows under static detector parameters."""
+def score_windows(metric: DataFrame, keys: Sequence[str], params: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Verdicts of finished windows under static detector parameters.
+
+    For a detector trained on residuals give its forecast ``models``: the scale then belongs to value minus forecast,
+    and windows of series without a model have no verdict.
+    """
+    checked = F.col(VALUE)
+    if models is not None:
+        metric = forecast(models, metric, keys, keep=[VALUE]).select(*keys, TS, VALUE, "yhat")
+        checked = F.col(VALUE) - F.col("yhat")
     joined = join_on(metric, params.select(*keys, "algorithm_name", "scale", "tolerance", "direction"), list(keys), "left")
-    flag = is_anomaly(F.col(VALUE), F.col("scale"), F.col("tolerance"), F.col("direction"))
+    flag = is_anomaly(checked, F.col("scale"), F.col("tolerance"), F.col("direction"))
     return joined.select("algorithm_name", *keys, TS, VALUE, flag.alias("is_anomaly"), F.col("algorithm_name").isNotNull().alias("has_model"))
 
 
