@@ -202,7 +202,13 @@ def test_linear_ensemble(spark):
     long = pdf.assign(ts=pd.date_range("2024-01-01", periods=n, freq="min")).melt("ts", var_name="entity", value_name="value")
     df = spark.createDataFrame(long).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     model = B.fit_bounds(df.where("ts < '2024-01-01 05:00:00'"), estimators=12, max_features=3, latent=1, delta=0.01)
-    assert model.count() == 36
+    assert model.count() == 48 and model.where("axis IS NOT NULL").count() == 36  # every estimator covers every entity
+    few = B.fit_bounds(df.where("entity < 's2'"), estimators=2, max_features=5, latent=3)
+    assert {(r.estimator, r.entity) for r in few.collect()} == {(e, s) for e in (0, 1) for s in ("s0", "s1")}
+    gaps = B.apply_bounds(df.where("entity <> 's1'"), model)
+    assert {r.entity for r in gaps.select("entity").distinct().collect()} == {"s0", "s2", "s3"}
+    with pytest.raises(ValueError):
+        B.fit_bounds(df.limit(0))
     score = B.outside_share(B.apply_bounds(df, model)).orderBy("ts").toPandas().score
     assert score.idxmax() == 350 and score[:300].mean() < 0.05
 

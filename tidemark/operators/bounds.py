@@ -53,74 +53,71 @@ def feature_subsets(entities: DataFrame, estimators: int, size: int, seed: int =
     return near.withColumn("slot", slot).where(F.col("slot") <= size).select("estimator", "slot", "entity")
 
 
-def _projection(size: int, latent: int):
+def _axes(size: int, latent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.itertuples():
             cov = np.array(row.cov, float).reshape(size, size)
             values, vectors = np.linalg.eigh(cov)
-            top = vectors[:, np.argsort(values)[::-1][:latent]]
-            out.append((row.estimator, list(row.mean), (top @ top.T).ravel().tolist()))
-        return pd.DataFrame(out, columns=["estimator", "mean", "proj"])
+            out.append((row.estimator, vectors[:, np.argsort(values)[::-1][:latent]].T.tolist()))
+        return pd.DataFrame(out, columns=["estimator", "axes"])
 
     return lambda batches: (run(b) for b in batches)
 
 
-def _vectors(df: DataFrame, subsets: DataFrame, size: int) -> DataFrame:
-    """One row per (time, estimator) with the values of its entities by slot; incomplete times drop out."""
-    members = df.select(TS, "entity", "value").join(subsets, "entity")  # size rules the join strategy
-    slots = [F.max(F.when(F.col("slot") == i + 1, F.col("value"))).alias(f"v{i}") for i in range(size)]
-    wide = members.groupBy(TS, "estimator").agg(*slots)
-    return wide.na.drop(subset=[f"v{i}" for i in range(size)]).select(TS, "estimator", F.array(*[f"v{i}" for i in range(size)]).alias("v"))
+def _latent(df: DataFrame, members: DataFrame, latent: int) -> DataFrame:
+    """Latent scores ``z`` per (time, estimator). A member without a value at a time counts as its training mean."""
+    rows = df.select(TS, "entity", "value").join(members, "entity")  # size rules the join strategy
+    part = [F.sum(F.element_at("axis", i + 1) * (F.col("value") - F.col("centre"))).alias(f"z{i}") for i in range(latent)]
+    return rows.groupBy(TS, "estimator").agg(*part).select(TS, "estimator", F.array(*[f"z{i}" for i in range(latent)]).alias("z"))
+
+
+def _cells(df: DataFrame, z: DataFrame) -> DataFrame:
+    return df.select(TS, "entity", "value").join(z, TS)
+
+
+def _fitted() -> Column:
+    return F.col("centre") + F.aggregate(F.zip_with("slope", "z", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
 
 
 def fit_bounds(df: DataFrame, estimators: int = 100, max_features: int = 3, latent: int = 2, delta: float = 0.05, seed: int = 0) -> DataFrame:
-    """Linear ensemble: every estimator rebuilds a few entities from their leading components.
+    """Linear ensemble: every estimator rebuilds all entities from the leading components of a few drawn ones.
 
-    Result per (estimator, slot): the entity, the reconstruction and the delta and 1-delta quantiles
-    of its residual on the training rows. Covariances are sums over all tasks; only one small matrix
-    per estimator is decomposed.
+    Result per (estimator, entity): training mean, slopes on the latent scores, the delta and 1-delta quantiles of the
+    residual, and for drawn entities their share in the scores (``axis``). An estimator draws ``max_features`` entities,
+    all of them where there are fewer. Covariances and slopes are sums over all tasks; only one small matrix per
+    estimator is decomposed. Raises without entities, since nothing could be scored.
     """
-    size = max_features
-    subsets = feature_subsets(df, estimators, size, seed)
-    full = subsets.groupBy("estimator").count().where(F.col("count") == size).select("estimator")
-    # used by every step below; estimators × size rows
-    subsets = materialize(subsets.join(full, "estimator", "left_semi"), "subsets")
-    rows = _vectors(df, subsets, size)
-    means = [F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(size)]
-    covs = [F.covar_pop(F.col("v")[i], F.col("v")[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(size)]
-    stats = rows.groupBy("estimator").agg(*means, *covs).select(
-        "estimator", F.array(*[f"m{i}" for i in range(size)]).alias("mean"),
-        F.array(*[f"c{i}_{j}" for i in range(size) for j in range(size)]).alias("cov"))
-    maps = stats.mapInPandas(_projection(size, min(latent, size)), "estimator int, mean array<double>, proj array<double>")
-    maps = materialize(maps, "projections")  # one row per estimator
-    rebuilt = _rebuild(rows, maps, size)
-    cells = rebuilt.select("estimator", "slot", (F.col("value") - F.col("fit")).alias("r"))
-    q = exact_quantiles(cells, ["estimator", "slot"], "r", {"q_low": delta, "q_high": 1 - delta})
-    return subsets.join(maps, "estimator").join(q, ["estimator", "slot"])
-
-
-def _rebuild(rows: DataFrame, maps: DataFrame, size: int) -> DataFrame:
-    joined = rows.join(maps, "estimator")
-    centred = F.zip_with("v", "mean", lambda a, b: a - b)
-    fit = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.element_at("mean", i + 1) + F.aggregate(
-            F.zip_with(F.slice("proj", i * size + 1, F.lit(size)), centred, lambda p, c: p * c), F.lit(0.0), lambda a, b: a + b),
-    )
-    cells = F.posexplode(F.arrays_zip(F.col("v").alias("value"), fit.alias("fit")))
-    out = joined.select(TS, "estimator", cells.alias("_i", "_c"))
-    return out.select(TS, "estimator", (F.col("_i") + 1).alias("slot"), F.col("_c.value").alias("value"), F.col("_c.fit").alias("fit"))
-
-
-def apply_bounds(df: DataFrame, model: DataFrame, max_features: int = 3) -> DataFrame:
-    """Bounds table of new observations under a fitted ensemble."""
-    subsets = model.select("estimator", "slot", "entity")
-    maps = model.select("estimator", "mean", "proj").dropDuplicates(["estimator"])
-    rebuilt = _rebuild(_vectors(df, subsets, max_features), maps, max_features)
-    limits = model.select("estimator", "slot", "entity", "q_low", "q_high")
-    out = rebuilt.join(limits, ["estimator", "slot"])
-    return out.select(TS, "entity", "estimator", "value", (F.col("fit") + F.col("q_low")).alias("lower"), (F.col("fit") + F.col("q_high")).alias("upper"))
+    means = materialize(df.groupBy("entity").agg(F.avg("value").alias("centre")).where(F.col("centre").isNotNull()), "means")
+    size = min(max_features, means.count())
+    if size == 0:
+        raise ValueError("no entity has a value to fit bounds on")
+    latent = min(latent, size)
+    subsets = materialize(feature_subsets(means, estimators, size, seed).join(means, "entity"), "subsets")  # estimators × size rows
+    rows = df.select(TS, "entity", "value").join(subsets, "entity")
+    slots = [F.coalesce(F.max(F.when(F.col("slot") == i + 1, F.col("value") - F.col("centre"))), F.lit(0.0)).alias(f"v{i}") for i in range(size)]
+    wide = rows.groupBy(TS, "estimator").agg(*slots)
+    stats = wide.groupBy("estimator").agg(F.array(*[F.avg(F.col(f"v{i}") * F.col(f"v{j}")) for i in range(size) for j in range(size)]).alias("cov"))
+    axes = stats.mapInPandas(_axes(size, latent), "estimator int, axes array<array<double>>")
+    members = subsets.join(axes, "estimator").withColumn("axis", F.transform("axes", lambda a: F.element_at(a, F.col("slot")))).drop("axes")
+    members = materialize(members, "members")
+    cells = _cells(df, _latent(df, members, latent)).join(means, "entity")
+    slope = [F.coalesce(F.try_divide(F.sum((F.col("value") - F.col("centre")) * F.col("z")[i]), F.sum(F.col("z")[i] * F.col("z")[i])), F.lit(0.0)) for i in range(latent)]
+    slopes = materialize(cells.groupBy("estimator", "entity").agg(F.first("centre").alias("centre"), F.array(*slope).alias("slope")), "slopes")
+    residuals = cells.drop("centre").join(slopes, ["estimator", "entity"]).select("estimator", "entity", (F.col("value") - _fitted()).alias("r"))
+    q = exact_quantiles(residuals, ["estimator", "entity"], "r", {"q_low": delta, "q_high": 1 - delta})
+    return slopes.join(q, ["estimator", "entity"]).join(members.select("estimator", "entity", "axis"), ["estimator", "entity"], "left")
+
+
+def apply_bounds(df: DataFrame, model: DataFrame) -> DataFrame:
+    """Bounds table of new observations under a fitted ensemble; entities it was not fitted on have none."""
+    members = model.where(F.col("axis").isNotNull()).select("estimator", "entity", "centre", "axis")
+    first = members.select(F.size("axis")).head()
+    if first is None:
+        raise ValueError("the ensemble has no members")
+    limits = model.select("estimator", "entity", "centre", "slope", "q_low", "q_high")
+    out = _cells(df, _latent(df, members, first[0])).join(limits, ["estimator", "entity"])
+    return out.select(TS, "entity", "estimator", "value", (_fitted() + F.col("q_low")).alias("lower"), (_fitted() + F.col("q_high")).alias("upper"))
 
 
 def f1_loss(scored: DataFrame, keys: Sequence[str], step: float = 0.05) -> DataFrame:
