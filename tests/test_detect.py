@@ -120,6 +120,9 @@ def test_runs_in_steps_equal_one_run(spark, catalog, tmp_path):
         rows = D.read_anomalies(spark, str(tmp_path / f"alerts-{name}"))
         alerts[name] = {(r.entity, r.timestamp, r.value) for r in rows.collect()}
         assert rows.count() == len(alerts[name])
+        lost = rows.limit(1).withColumn("run_id", F.lit("lost"))  # a run that never committed
+        D.append_anomalies(lost, str(tmp_path / f"alerts-{name}"))
+        assert D.read_anomalies(spark, str(tmp_path / f"alerts-{name}"), store.read("runs")).count() == len(alerts[name])
         last = V.latest_versions(store.read("model_versions")).first()
         assert last.tags["last_evaluation_ts"] == "2024-01-12 23:00:00" and last.version == 1 + len(ends)
     assert alerts["one"] == alerts["steps"] and alerts["one"]

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import join_on
 from tidemark.functions.timeunits import parse_granularity, step_from
+from tidemark.operators.grid import run_bounds
 from tidemark.operators.series import TS, VALUE
 from tidemark.plans import detect as D
 from tidemark.plans.forecast import MODEL_FIELDS
@@ -162,7 +163,11 @@ def observations(catalog: Catalog, spec: MetricSpec, start, end, newer_than=None
 
 def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig, start, end, now, run_id: str, mode: str = "prod",
                    keep_runs: int = 15) -> list[str]:
-    """Train every metric of a detector and register the models. Models not trained here are retired."""
+    """Train every metric of a detector and register the models. Models not trained here are retired, old versions go.
+
+    Without ``start`` or ``end`` the time range is that of the detector's configuration at ``now``.
+    """
+    start, end = _times(store, conf, now, start, end)
     names = []
     versions = store.read("model_versions")
     for spec in conf.metrics:
@@ -182,10 +187,20 @@ def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         names.append(name)
     store.commit(run_id, f"training_{conf.name}", now, {n: json.dumps(str(a)) for n, a in conf.algorithms.items()})
     retire_models(store, conf.name, mode, names)
+    trim_versions(store)
     trim_runs(store, f"training_{conf.name}", keep_runs)
     return names
 
 
+def _times(store: StateStore, conf: D.DetectorConfig, now, start, end) -> tuple:
+    if start is None and conf.time_spec.start is None:
+        raise ValueError(f"detector {conf.name} has no start time")
+    if start is None or end is None:
+        row = run_bounds(store.spark, now, conf.time_spec.start, conf.time_spec.end).first()
+        start, end = row["start_ts"] if start is None else start, row["end_ts"] if end is None else end
+    return start, end
+
+
 def _add_version(store: StateStore, versions: DataFrame, name: str, tags: dict[str, str], now, run_id: str) -> None:
     top = versions.where(F.col("model") == name).agg(F.coalesce(F.max("version"), F.lit(0).cast("long"))).first()[0]
     store.append("model_versions", store.spark.createDataFrame([(name, top + 1, tags, now, run_id)], SCHEMAS["model_versions"]))
@@ -222,8 +237,10 @@ def trim_runs(store: StateStore, name: str, n: int = 200) -> None:
 def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig, end, now, run_id: str, sink: str, mode: str = "prod") -> bool:
     """Score all buckets newer than each model's watermark; returns whether to retrain.
 
-    Alerts are written under the run id, then the new watermarks, then the run itself.
+    Alerts are written under the run id, then the new watermarks, then the run itself; old versions go. Without ``end``
+    it is that of the detector's configuration at ``now``.
     """
+    _, end = _times(store, conf, now, now, end)
     versions = store.read("model_versions")
     online = latest_versions(find_models(versions, online="True", detector=conf.name, deployment_mode=mode))
     retrain = needs_retrain(online, now, conf.time_spec.retrain)
@@ -243,4 +260,5 @@ def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         D.append_anomalies(alerts, sink)
         _add_version(store, versions, row["model"], {**tags, "last_evaluation_ts": str(last)}, row["created_at"], run_id)
     store.commit(run_id, f"inference_{conf.name}", now)
+    trim_versions(store)
     return retrain
