@@ -121,7 +121,7 @@ def temporal_split(df: DataFrame, keys: Sequence[str], fraction: float, hot: Hot
 # --- granularity ---------------------------------------------------------------------------
 
 def _fold_gcd(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Gcds per key over one sorted partition; holds one running key, emits a key when it ends."""
+    """Gcds per run of equal keys over one partition; holds one running key, emits it when the key changes."""
     key, value, names = None, None, None
     for batch in batches:
         if batch.empty:
@@ -150,14 +150,13 @@ def _key_text(keys: Sequence[str]) -> Column:
 def gap_gcd(gaps: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Greatest common divisors of long columns per key; the key comes back as the text ``_key``.
 
-    Distinct gaps are spread by salt, folded per partition, and the few partial results of a key
-    (at most one per salt) are folded by a native expression.
+    The rows come from an ordered operator, a key's rows one after the other, so each task folds them as they are;
+    only one row per key and task is shuffled (more, and still right, where a key's rows are scattered) and folded by a
+    native expression.
     """
-    salts = 64
     names = list(columns)
-    distinct = gaps.select(_key_text(keys).alias("_key"), *[F.col(c).cast("long").alias(c) for c in names]).distinct()
-    salted = distinct.repartition("_key", F.pmod(F.xxhash64(*names), F.lit(salts))).sortWithinPartitions("_key")
-    partial = salted.mapInPandas(_fold_gcd, "_key string, " + ", ".join(f"`{c}` long" for c in names))
+    rows = gaps.select(_key_text(keys).alias("_key"), *[F.col(c).cast("long").alias(c) for c in names])
+    partial = rows.mapInPandas(_fold_gcd, "_key string, " + ", ".join(f"`{c}` long" for c in names))
     fold = lambda c: F.aggregate(F.collect_set(c), F.lit(0).cast("long"), lambda a, b: gcd2(a, b)).alias(c)
     return partial.groupBy("_key").agg(*[fold(c) for c in names])
 
