@@ -36,6 +36,11 @@ def filter_here(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn(at, F.monotonically_increasing_id()).filter((F.col(at) >= 0) & condition).drop(at)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast where a count shows that it has at most ``most`` (short) rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fresh(stem: str) -> str:
     """A column name that no input column can clash with."""
     return f"__{stem}_{uuid.uuid4().hex[:8]}"

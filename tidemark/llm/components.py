@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import shared_table
 
 HUB_ROUNDS = 4
+#: Open pairs per open row below which testing them all is less work than another hub round.
+FEW_PAIRS = 16
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -106,7 +108,7 @@ def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFra
     No bucket is expanded into all pairs. Its members are tested against one hub, the member that meets most others.
     Links among members near the hub are then found by their differences from it (``_by_difference``). Where some
     member is far from the hub, those it does not link go on to another hub: a member linked to the hub cannot be
-    linked to one that is far. What is still open after the last round is tested pair by pair, so no link is lost.
+    linked to one that is far. Once few pairs are open they are all tested, so no link is lost.
     """
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = shared_table(bands.join(shared, "key"), "buckets")
@@ -126,7 +128,8 @@ def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFra
         far = loose.groupBy("key").agg(F.max(F.col("linked").isNull()).alias("far"), F.count(F.lit(1)).alias("c")).filter("far AND c > 1").select("key")
         still = shared_table(loose.join(far, "key", "left_semi").select("key", "id"), "open")
         order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id")
-        if still.isEmpty():
+        left = still.groupBy("key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.sum("c")).head()
+        if left[0] is None or left[0] <= FEW_PAIRS * left[1]:
             break
     found = near.filter(_linked(percent)).select("a", "b")
     comp = shared_table(components(found), "components")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, filter_here, let, shared_table
+from tidemark.llm.common import WORD, filter_here, let, shared_table, sized
 from tidemark.llm.components import bucket_components
 
 K, BIN_BITS, BANDS, ROWS = 8, 5, 8, 3
@@ -57,8 +57,8 @@ def _signed(lines: DataFrame) -> DataFrame:
 def _tested(pairs: DataFrame, classes: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more, by the full sets of whole lines."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = ids.join(classes.select("id", "node"), "id")
-    own = lines.select("node", "line").join(needed, "node").groupBy("id").agg(F.first("line").alias("line"))
+    needed = shared_table(ids.join(classes.select("id", "node"), "id"), "needed-lines")
+    own = lines.select("node", "line").join(sized(needed), "node").groupBy("id").agg(F.first("line").alias("line"))
     rows = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: F.struct(
         F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new"))))

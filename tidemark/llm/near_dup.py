@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, shared_table
+from tidemark.llm.common import fresh, shared_table, sized
 from tidemark.llm.components import bucket_components
 from tidemark.llm.textnp import BASE, Words, mix, slices, text_shingles
 
@@ -133,7 +133,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least:
     close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long")
     close = shared_table(close, "near-pairs")
     needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    own = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])  # hashed by id, as the next join needs it
+    own = texts.join(sized(needed), "id", "left_semi").dropDuplicates(["id"])  # hashed by id, as the next join needs it
     rows = close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
     return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
 
@@ -165,7 +165,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     dropped = marks.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
     boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
     own = F.col(row)[id_col].cast("long")
-    left = boxed.join(dropped, own == F.col(gone), "left_anti")
+    left = boxed.join(sized(dropped), own == F.col(gone), "left_anti")
     again = marks.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(gone)).count().filter("count > 1").select(gone)
     if not again.isEmpty():  # rows that share an id: one of them stays
         again = shared_table(again, "near-again")
