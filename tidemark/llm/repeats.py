@@ -108,28 +108,28 @@ def merge_transforms(transforms: list[np.ndarray], texts: int, rounds: int) -> t
 
     Common prefixes are counted up to ``rounds``; places of one interval agree on ``rounds`` symbols.
     """
-    n = sum(map(len, transforms))
+    sizes = list(map(len, transforms))
+    n, first = sum(sizes), np.concatenate([[0], np.cumsum(sizes)])
     symbols = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), list(map(len, transforms)))
-    src, block = np.arange(n), np.zeros(n, np.int32)
-    common, z = np.full(n, rounds, np.int32), shard
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
+    src, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    common, border = np.full(n, rounds, np.int32), np.empty(n, bool)
     for h in range(1, rounds + 1):
         b = symbols[src]
         order = np.argsort(b, kind="stable")
-        b, z, moved = b[order], z[order], block[order]
-        border = np.empty(n, bool)
+        b, z, block = b[order], z[order], block[order]
         border[0] = True
-        border[1:] = (b[1:] != b[:-1]) | (moved[1:] != moved[:-1])
+        border[1:] = (b[1:] != b[:-1]) | (block[1:] != block[:-1])
         border[1:texts] = False  # the ends of texts are alike and stay in shard order
         z[:texts] = np.sort(z[:texts], kind="stable")
         common[border & (common == rounds)] = h - 1
         block = np.cumsum(border, dtype=np.int32)
-        src = np.empty(n, np.int64)
-        src[np.argsort(z, kind="stable")] = np.arange(n)  # a shard's own order never changes
+        for j in range(len(sizes)):  # a shard's own order never changes
+            src[np.flatnonzero(z == j)] = np.arange(first[j], first[j + 1], dtype=np.int32)
     return src, block, common
 
 
-def repeated_starts(contexts: list[bytes], last: np.ndarray, rank: np.ndarray, shard_symbols: int = 1 << 17) -> list[np.ndarray]:
+def repeated_starts(contexts: list[bytes], last: np.ndarray, rank: np.ndarray, shard_symbols: int = 1 << 15) -> list[np.ndarray]:
     """Of each context the offsets 0..last whose L bytes also start in a context of lower ``rank`` (or earlier in it)."""
     raw = np.frombuffer(b"".join(c + b"\xff" for c in contexts), np.uint8)
     sizes = np.array([len(c) + 1 for c in contexts])
@@ -242,7 +242,7 @@ def _contexts(reps: DataFrame, packed: DataFrame) -> DataFrame:
     return once.join(wanted, ["id", "tie"]).select("id", "tie", "z", "want").mapInArrow(run, "fp long, n long, id long, tie long, lo long, last long, context binary")
 
 
-def _merged(contexts: DataFrame, hot: int, run_symbols: int = 1 << 19) -> DataFrame:
+def _merged(contexts: DataFrame, hot: int, run_symbols: int = 1 << 17) -> DataFrame:
     """``id, tie, lo, hi`` of the starts repeated among the contexts of one anchor, and (salted groups only) the starts
     that are not, with their strings: ``fp, at, string``."""
     salted = contexts.withColumn("salts", F.ceil(F.col("n") / hot).cast("long")).withColumn(
