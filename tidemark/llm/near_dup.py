@@ -5,7 +5,7 @@ of the set under hash i, ``floor(1 - log_B(min / A))`` cut to 16 bits. Sketches
 registers are the more likely the more similar two sets are. Steps:
 
 1. One pass over the texts: set size, 128-bit set fingerprint and registers. Equal sets fall into one class.
-2. Bands of ``ROWS`` registers are the candidate buckets (at a similarity of 0.8 a pair misses all 32 with p = 5e-8).
+2. Bands of ``ROWS`` registers are the candidate buckets (at a similarity of 0.8 a pair misses all 32 with p = 3e-6).
 3. No bucket is expanded into all pairs: each tests its members against one hub, and the differences from the hub lead
    to all further links (``components.bucket_components``). No link between members of a bucket is lost.
 4. A pair is first compared by the joint likelihood of its registers, given both exact set sizes; where the wanted
@@ -31,7 +31,7 @@ from tidemark.llm.common import fresh, shared_table, sized
 from tidemark.llm.components import bucket_components
 from tidemark.llm.textnp import BASE, Words, mix, slices, text_shingles
 
-M, ROWS = 128, 4
+M, ROWS = 160, 5
 B, A, TOP = 1.001, 20.0, 65535
 
 
