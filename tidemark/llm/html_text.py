@@ -34,9 +34,11 @@ FILLER = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmo
 
 def sample_blocks(pages: DataFrame, html_col: str, url_col: str, sample_pages: int) -> list[str]:
     """Text blocks of a bounded sample, tags removed; only their lengths and marks matter."""
-    rows = pages.select(F.substring(F.col(html_col), 1, 20_000).alias("h"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("o")).filter("h IS NOT NULL").orderBy("o").limit(sample_pages)
+    rows = pages.select(F.substring(F.col(html_col), 1, 20_000).alias("h"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("o")).filter("h IS NOT NULL")
+    lowest = [r.o for r in rows.select("o").orderBy("o").limit(sample_pages).collect()]  # hashes only: no task sends pages that are not taken
+    rows = rows.filter(F.col("o").isin(lowest)).dropDuplicates(["o"])
     out = []
-    for r in rows.collect():
+    for r in sorted(rows.collect(), key=lambda r: r.o):
         out += [t for t in (re.sub(r"\s+", " ", x).strip() for x in re.split(r"<[^>]*>", re.sub(r"(?s)<(script|style).*?</\1>", " ", r.h))) if len(t) > 3]
     return out or [FILLER]
 
