@@ -49,6 +49,19 @@ def test_against_brute_force(spark):
         assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.removed) and r.n_removed == len(r.removed)
 
 
+def test_every_bin_is_in_a_band(spark):
+    """Lines of one repeated sign have a single shingle, which may lie in any bin; a full stop adds one shingle of five."""
+    rnd = random.Random(8)
+    lines = [c * n for c in "!=-*_.~#\u2014\u2501\u2026" for n in (9, 12, 30)]
+    for _ in range(400):
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(11))
+        lines += [line, line + "."]
+    rows = list(enumerate(lines))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    want = brute(rows)
+    assert [r.doc_id for r in got if list(r.removed) != want[r.doc_id]] == [] and len(got) == len(rows)
+
+
 def test_awkward_rows(spark):
     df = clashing(awkward(spark))
     got = line_dedup.dedup_lines(df, with_text=False).collect()
