@@ -1,6 +1,7 @@
 """Quality rules, license scans, decontamination and mixing."""
 
 import os
+import textwrap
 
 import numpy as np
 import pytest
@@ -60,6 +61,33 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def wrapped(names, width, mark="", numbers=False):
+    lines = []
+    for i, name in enumerate(names.split()):
+        lines += textwrap.wrap((f"{i + 1}. " if numbers else "") + licenses.SENTENCES[name], width, subsequent_indent="   " if numbers else "") + [""]
+    return "\n".join((mark + x).rstrip() for x in lines)
+
+
+def test_wrapped_licenses(spark):
+    apache = "\n".join([
+        "/*", " * Copyright 2020 A. Body", " *", ' * Licensed under the Apache License, Version 2.0 (the "License");', " * you may not use this file except in compliance with the License.",
+        " * You may obtain a copy of the License at", " *", " *     http://www.apache.org/licenses/LICENSE-2.0", " *", " * Unless required by applicable law or agreed to in writing, software",
+        ' * distributed under the License is distributed on an "AS IS" BASIS,', " * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        " * See the License for the specific language governing permissions and", " * limitations under the License.", " */", "package a;"])
+    gpl, mit, bsd = "GplFree GplUseful GplSee", "MitGrant MitNotice", "BsdRetain BsdBinary BsdEndorse"
+    made = [("Apache-2.0", 4, apache), ("Apache-2.0", 4, apache.replace("\n", "\r\n"))]
+    for width in (40, 70, 80):
+        for mark in ("", "# ", " * ", "// "):
+            made += [("MIT", 2, "Copyright (c) 2020 A. Body\n\n" + wrapped(mit, width, mark)), ("GPL-3.0-or-later", 3, wrapped(gpl, width, mark) + "\nint a;"),
+                     ("BSD-3-Clause", 3, wrapped(bsd, width, mark, True)), ("BSD-2-Clause", 2, wrapped("BsdRetain BsdBinary", width, mark))]
+    made += [("All-Rights-Reserved", 1, "Copyright 2020 A. Body\nAll rights reserved.\nmore"), ("Apache-2.0", 1, "Licensed under the\nApache License, Version\n2.0.")]
+    made += [("CC-BY-4.0", 1, "Notes\n1. Licensed under\n   CC BY 4.0.\n2. More")]
+    made += [("GPL-3.0", 2, "This work is licensed under the GNU General Public License, version\n3. " + licenses.SENTENCES["MitNotice"])]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(made)] + [(900, "not\n" + wrapped("MitNotice", 70).replace("The", "the other")), (901, "All rights\nare reserved.")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.n_matches, r.n_sentences) for r in licenses.scan(df).collect())
+    assert got == sorted([(i, name, 1, n) for i, (name, n, _) in enumerate(made)] + [(len(made) - 1, "UNMATCHED", 1, 2)])
+
+
 def test_containment_against_brute_force(spark):
     import random
 

@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (letters and digits in lower case, single spaces) and looked up
-among known licence sentences, which have identifiers. A document is then a sequence of identifiers, with a gap where
+Texts are cut into parts at line breaks and sentence ends, parts are normalised (letters and digits in lower case, single
+spaces) and each run of neighbouring parts that joins to a known licence sentence becomes its identifier. So a sentence is
+found on one line or wrapped over several, with or without comment marks, blank comment lines and an item number ("1.")
+before it; a part that is a sentence by itself, such as a line without a full stop, is one still. A document is then a sequence of identifiers, with a gap where
 other sentences stand in between; ordered rules are sequences of identifiers, tried from the first to the last, and
 each match uses its identifiers up. What no rule explains is reported as ``UNMATCHED``.
 
@@ -84,14 +86,27 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return out
 
 
+def whole_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
+    """Normal form -> identifier of the whole sentences, then of the parts that stand for one (``known_sentences``)."""
+    out = {normal(text): name for name, text in sentences.items()}
+    return out | {p: name for p, name in known_sentences(sentences).items() if p not in out}
+
+
+def run_pattern(words: str) -> str:
+    """A run of neighbouring parts (``|part|part|``) that joins to just these words, with an item number or none before them."""
+    return r"(?<=\|)(?:[0-9]{1,2} )?" + words.replace(" ", "[ |]") + r"(?=\|)"
+
+
 def _sequence(text: Column, known: dict[str, str]) -> Column:
     """Identifiers in text order as ``;A;B;;-;C;``: every identifier between semicolons of its own, gaps as ``-``."""
     flat = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
     parts = F.filter(F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.transform(parts, lambda s: F.when(s.isin(*known), names[s]).otherwise(F.lit("-")))
+    marked = F.concat(F.lit("|"), F.array_join(parts, "|"), F.lit("|"))
+    for words in sorted(known, key=len, reverse=True):  # a sentence before those that it begins or ends with
+        marked = F.regexp_replace(marked, run_pattern(words), f";{known[words]};")
+    ids = F.filter(F.split(marked, r"\|"), lambda s: ~s.rlike("^([0-9]{1,2}|;;)?$"))  # an item number is no gap
     any_known = reduce_or([F.contains(flat, F.lit(k)) for k, v in known.items() if v])
-    return F.when(any_known, F.array_join(F.transform(F.filter(ids, lambda s: s != ""), lambda s: F.concat(F.lit(";"), s, F.lit(";"))), "")).otherwise("")
+    return F.when(any_known, F.array_join(F.transform(ids, lambda s: F.when(F.startswith(s, F.lit(";")), s).otherwise(";-;")), "")).otherwise("")
 
 
 def reduce_or(conditions: list[Column]) -> Column:
@@ -112,7 +127,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentence
     ``n_sentences``: known sentences of the document; ``UNMATCHED`` counts those that no rule uses.
     """
     seq, left = fresh("seq"), [fresh("left") for _ in range(len(rules) + 1)]
-    out = df.select(F.col(id_col).alias("doc_id"), _sequence(F.coalesce(F.col(text_col), F.lit("")), known_sentences(sentences)).alias(seq))
+    out = df.select(F.col(id_col).alias("doc_id"), _sequence(F.coalesce(F.col(text_col), F.lit("")), whole_sentences(sentences)).alias(seq))
     out = filter_here(out, F.col(seq).rlike("[A-Za-z]")).withColumn(left[0], F.col(seq))
     counts = []
     for j, (_, sequence) in enumerate(rules):
