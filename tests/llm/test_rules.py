@@ -88,6 +88,21 @@ def test_wrapped_licenses(spark):
     assert got == sorted([(i, name, 1, n) for i, (name, n, _) in enumerate(made)] + [(len(made) - 1, "UNMATCHED", 1, 2)])
 
 
+def test_whole_sentences_of_gnu_licenses(spark):
+    free = "This {} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {} Public License as published by\nthe Free Software Foundation{}"
+    later = "either version {} of the License, or\n(at your option) any later version."
+    useful = "\n\nThis {} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {} Public License for more details.\n"
+    made = [("program", ":", "General", ", " + later.format(3), "GPL-3.0-or-later"), ("program", ";", "General", "; " + later.format(2), "GPL-2.0-or-later"), ("program", ";", "General", "; version 2 of the License.", "GPL-2.0-only"),
+            ("program", ":", "General", ", version 3 of the License.", "GPL-3.0-only"), ("library", ";", "Library General", "; " + later.format(2), "LGPL-2.0-or-later"),
+            ("library", ";", "Lesser General", "; " + later.format("2.1"), "LGPL-2.1-or-later"), ("program", ":", "Lesser General", ", " + later.format(3), "LGPL-3.0-or-later"),
+            ("program", ":", "Affero General", ", " + later.format(3), "AGPL-3.0-or-later")]
+    rows = [(i, free.format(a, b, c, d) + useful.format(a, c)) for i, (a, b, c, d, _) in enumerate(made)]
+    parts = ["This program is free software: you may look at it.", "This program is free software; ask us.", 'Licensed under the Apache License, Version 2.0 (the "License"); no more is granted.']
+    rows += [(900 + i, t) for i, t in enumerate(parts)]
+    got = sorted((r.doc_id, r.license, r.n_matches, r.n_sentences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, m[4], 1, 3) for i, m in enumerate(made)]
+
+
 def test_containment_against_brute_force(spark):
     import random
 

@@ -1,7 +1,7 @@
 """License scans by sentence rules.
 
 Texts are cut into parts at line breaks and sentence ends, parts are normalised (letters and digits in lower case, single
-spaces) and each run of neighbouring parts that joins to a known licence sentence becomes its identifier. So a sentence is
+spaces) and each run of neighbouring parts that joins to a known licence sentence becomes its identifier. A match rests on all words of a sentence. So a sentence is
 found on one line or wrapped over several, with or without comment marks, blank comment lines and an item number ("1.")
 before it; a part that is a sentence by itself, such as a line without a full stop, is one still. A document is then a sequence of identifiers, with a gap where
 other sentences stand in between; ordered rules are sequences of identifiers, tried from the first to the last, and
@@ -67,6 +67,31 @@ RULES = (
     ("CC-BY-4.0", "CcBy4"),
     ("All-Rights-Reserved", "Reserved"),
 )
+#: Grants of the other GNU licences: identifier, licence, and the words that differ (fixed values).
+_GNU = [
+    ("Gpl2Later", "GPL-2.0-or-later", "program", "General", "; either version 2 of the License, or (at your option) any later version."),
+    ("Gpl2Only", "GPL-2.0-only", "program", "General", "; version 2 of the License."),
+    ("Gpl3Only", "GPL-3.0-only", "program", "General", ", version 3 of the License."),
+    ("Lgpl20Later", "LGPL-2.0-or-later", "library", "Library General", "; either version 2 of the License, or (at your option) any later version."),
+    ("Lgpl21Later", "LGPL-2.1-or-later", "library", "Lesser General", "; either version 2.1 of the License, or (at your option) any later version."),
+    ("Lgpl21LaterProgram", "LGPL-2.1-or-later", "program", "Lesser General", "; either version 2.1 of the License, or (at your option) any later version."),
+    ("Lgpl3Later", "LGPL-3.0-or-later", "library", "Lesser General", ", either version 3 of the License, or (at your option) any later version."),
+    ("Lgpl3LaterProgram", "LGPL-3.0-or-later", "program", "Lesser General", ", either version 3 of the License, or (at your option) any later version."),
+    ("Agpl3Later", "AGPL-3.0-or-later", "program", "Affero General", ", either version 3 of the License, or (at your option) any later version."),
+    ("Agpl3Only", "AGPL-3.0-only", "program", "Affero General", ", version 3 of the License."),
+]
+#: Known sentences and rules of a scan; ``SENTENCES`` and ``RULES`` are the part that the SQL has.
+ALL_SENTENCES = SENTENCES | {
+    name: f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by "
+          f"the Free Software Foundation{version}" for name, _, thing, kind, version in _GNU
+} | {
+    "LibraryUseful": SENTENCES["GplUseful"].replace("This program", "This library"),
+    "LgplSee": "See the GNU Lesser General Public License for more details.",
+    "Lgpl20See": "See the GNU Library General Public License for more details.",
+    "AgplSee": "See the GNU Affero General Public License for more details.",
+}
+_SEE = {"General": "GplSee", "Library General": "Lgpl20See", "Lesser General": "LgplSee", "Affero General": "AgplSee"}
+ALL_RULES = RULES + tuple((spdx, f"{name} {'LibraryUseful' if thing == 'library' else 'GplUseful'}? {_SEE[kind]}?") for name, spdx, thing, kind, _ in _GNU)
 #: A sentence ends at a line break, or behind . ! ? : ; that white space follows.
 BREAK = r"[\n\r]+|(?<=[.!?:;])[ \t]+"
 
@@ -76,7 +101,8 @@ def normal(sentence: str) -> str:
 
 
 def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Normal form -> identifier. A licence sentence that the break rule cuts is known by its first part."""
+    """Normal form -> identifier, as the SQL has them: a licence sentence that the break rule cuts is known by its first
+    part. A scan wants the whole sentence."""
     out = {}
     for name, text in sentences.items():
         parts = [normal(p) for p in re.split(BREAK, text) if normal(p)]
@@ -86,12 +112,6 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return out
 
 
-def whole_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Normal form -> identifier of the whole sentences, then of the parts that stand for one (``known_sentences``)."""
-    out = {normal(text): name for name, text in sentences.items()}
-    return out | {p: name for p, name in known_sentences(sentences).items() if p not in out}
-
-
 def run_pattern(words: str) -> str:
     """A run of neighbouring parts (``|part|part|``) that joins to just these words, with an item number or none before them."""
     return r"(?<=\|)(?:[0-9]{1,2} )?" + words.replace(" ", "[ |]") + r"(?=\|)"
@@ -104,8 +124,8 @@ def _sequence(text: Column, known: dict[str, str]) -> Column:
     marked = F.concat(F.lit("|"), F.array_join(parts, "|"), F.lit("|"))
     for words in sorted(known, key=len, reverse=True):  # a sentence before those that it begins or ends with
         marked = F.regexp_replace(marked, run_pattern(words), f";{known[words]};")
-    ids = F.filter(F.split(marked, r"\|"), lambda s: ~s.rlike("^([0-9]{1,2}|;;)?$"))  # an item number is no gap
-    any_known = reduce_or([F.contains(flat, F.lit(k)) for k, v in known.items() if v])
+    ids = F.filter(F.split(marked, r"\|"), lambda s: ~s.rlike("^([0-9]{1,2})?$"))  # an item number is no gap
+    any_known = reduce_or([F.contains(flat, F.lit(k)) for k in known])
     return F.when(any_known, F.array_join(F.transform(ids, lambda s: F.when(F.startswith(s, F.lit(";")), s).otherwise(";-;")), "")).otherwise("")
 
 
@@ -120,14 +140,14 @@ def rule_pattern(sequence: str) -> str:
     return "".join(f"(;{s[:-1]};)?" if s.endswith("?") else f";{s};" for s in sequence.split())
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES,
-         rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = ALL_SENTENCES,
+         rules: tuple[tuple[str, str], ...] = ALL_RULES) -> DataFrame:
     """``doc_id, license, n_matches, n_sentences`` of every document with a known licence sentence, a row per licence.
 
     ``n_sentences``: known sentences of the document; ``UNMATCHED`` counts those that no rule uses.
     """
     seq, left = fresh("seq"), [fresh("left") for _ in range(len(rules) + 1)]
-    out = df.select(F.col(id_col).alias("doc_id"), _sequence(F.coalesce(F.col(text_col), F.lit("")), whole_sentences(sentences)).alias(seq))
+    out = df.select(F.col(id_col).alias("doc_id"), _sequence(F.coalesce(F.col(text_col), F.lit("")), {normal(text): name for name, text in sentences.items()}).alias(seq))
     out = filter_here(out, F.col(seq).rlike("[A-Za-z]")).withColumn(left[0], F.col(seq))
     counts = []
     for j, (_, sequence) in enumerate(rules):
