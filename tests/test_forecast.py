@@ -114,6 +114,22 @@ def test_hot_series_get_the_same_model(data, models, spark):
     assert np.abs(x @ (np.array(hot.upper) - np.array(cold.upper))).max() < 0.02
 
 
+def test_hot_series_take_the_same_passes(data, spark):
+    df, trials = data[0].where("k = 'a'"), [Options(passes=3), Options(passes=20, interval_width=0.8)]
+    cold = {r.trial: r for r in P.fit(df, ["k"], trials).collect()}
+    spark.conf.set("tidemark.hotRows", "300")
+    try:
+        hot = {r.trial: r for r in P.fit(df, ["k"], trials).collect()}
+    finally:
+        spark.conf.unset("tidemark.hotRows")
+    fields = [f.name for f in P.MODEL_FIELDS]
+    assert sorted(hot) == sorted(cold) == [0, 1] and "passes" in fields
+    for i in cold:
+        assert hot[i].passes == cold[i].passes
+        for role in M.ROLES:
+            assert np.allclose(hot[i][role], cold[i][role], rtol=0, atol=1e-6), (i, role)
+
+
 def test_options():
     with pytest.raises(ValueError):
         Options.from_dict({"seasonalities": [{"name": "x", "period": 2}]})

@@ -178,6 +178,11 @@ def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: flo
         return np.linalg.lstsq(system, rhs, rcond=None)[0]
 
 
+def settled(new: np.ndarray, beta: np.ndarray, q: float | None, eps: float) -> bool:
+    """No further pass is needed."""
+    return bool(np.max(np.abs(new - beta)) < 1e-7 and (q is None or eps <= 1e-4))
+
+
 BLOCK_ROWS = 100_000
 
 
@@ -210,7 +215,7 @@ def _passes(sums, penalty: np.ndarray, n: int, q: float | None, passes: int) ->
         eps = smoothing(step)
         gram, rhs = sums(beta, eps)
         new = solve(gram, rhs, penalty, n, None if beta is None else q)
-        done = beta is not None and np.max(np.abs(new - beta)) < 1e-7 and (q is None or eps <= 1e-4)
+        done = beta is not None and settled(new, beta, q, eps)
         beta = new
         if done:
             break

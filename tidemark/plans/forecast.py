@@ -183,8 +183,8 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
     """Models of series too large for one task; at most ``MAX_HOT`` series × trials.
 
     The rows are written once. Every pass reads them where they lie: a task adds up the normal
-    equations of the rows it holds, the sums of a series are added in two levels and solved. The
-    starting point is a fit on every m-th row; all later passes use every row.
+    equations of the rows it holds, the sums of a series are added in two levels and solved. Every
+    pass uses every row; only the place where the sums are added differs from ``M.fit_rows``.
     """
     rows = materialize(rows, "hot-rows")
     opt0 = trials[0]
@@ -205,33 +205,22 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
         std = [1.0 if flat[j] else r[f"s{j}"] for j in range(width)]
         shapes.append(M.auto_shape(r["first"], r["last"], r["n"], r["p95"], opt, mean, std))
         options.append(opt)
-    budget = 200_000  # rows of a series in its starting fit
-    id_schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in names]
-                             + [T.StructField("_id", T.LongType()), T.StructField("_stride", T.LongType())])
-    id_rows = [tuple(r[k] for k in names) + (i, max(1, shapes[i].n // budget)) for i, r in enumerate(info)]
+    id_schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in names] + [T.StructField("_id", T.LongType())])
+    id_rows = [tuple(r[k] for k in names) + (i,) for i, r in enumerate(info)]
     ids = F.broadcast(spark.createDataFrame(id_rows, id_schema))  # <= MAX_HOT ids
-    tagged = join_on(rows, ids, list(names)).select("_id", "_stride", "_t", "_y", "_x")
+    tagged = join_on(rows, ids, list(names)).select("_id", "_t", "_y", "_x")
     began = time.perf_counter()
-    # starting point: a fit on a bounded, evenly spread subset of each series
-    thin = tagged.where(F.pmod(F.xxhash64("_t"), F.col("_stride")) == 0)
-
-    def start(table: pa.Table) -> pa.Table:
-        i = table.column("_id")[0].as_py()
-        t, y = table.column("_t").to_numpy(), table.column("_y").to_numpy()
-        extra = _matrix(table.column("_x"), width) if width else np.zeros((len(t), 0))
-        out = []
-        for role in M.ROLES:
-            beta, _ = M.fit_rows(t, y, extra, shapes[i], options[i], role)
-            out.append({"_id": i, "role": role, "beta": beta.tolist()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("_id", pa.int64()), ("role", pa.string()), ("beta", pa.list_(pa.float64()))]))
 
     def collect_betas(df: DataFrame) -> dict:
         return {(r["_id"], r["role"]): np.array(r["beta"]) for r in df.collect()}  # <= 3 · MAX_HOT short arrays
 
-    betas = collect_betas(thin.groupBy("_id").applyInArrow(start, "_id long, role string, beta array<double>"))
-    passes = 0
-    for passes in range(1, opt0.passes + 1):
-        current, eps = dict(betas), 1e-4
+    # start, smoothing, tolerance and number of passes of a model are those of M.fit_rows
+    betas: dict = {}
+    passes = [0] * len(info)
+    active = {(i, role) for i in range(len(info)) for role in M.ROLES if options[i].passes > 0}
+    step = 0
+    while active:
+        current, eps, open_ = dict(betas), M.smoothing(step), frozenset(active)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, str], list[np.ndarray]] = {}
@@ -243,10 +232,10 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
                 extra = batch.column("_x").flatten().to_numpy().reshape(-1, width) if width else np.zeros((len(t), 0))
                 for i in np.unique(id_col):
                     at = id_col == i
-                    for role in M.ROLES:
+                    for role in (r for r in M.ROLES if (int(i), r) in open_):
                         x = M.design(t[at], extra[at], shapes[i].role(role), options[i])
                         q = M.quantile_of(role, options[i].interval_width)
-                        gram, rhs = M.normal_parts(x, y[at] / shapes[i].y_scale, current[(int(i), role)], q, eps)
+                        gram, rhs = M.normal_parts(x, y[at] / shapes[i].y_scale, current.get((int(i), role)), q, eps)
                         have = sums.setdefault((int(i), role), [np.zeros_like(gram), np.zeros_like(rhs)])
                         have[0] += gram
                         have[1] += rhs
@@ -268,15 +257,20 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
             rhs = np.array(total["rhs"])
             penalty = M.ridge(shapes[i].role(role), options[i], width)
             q = M.quantile_of(role, options[i].interval_width)
-            beta = M.solve(np.array(total["gram"]).reshape(len(rhs), -1), rhs, penalty, shapes[i].n, q)
+            beta = M.solve(np.array(total["gram"]).reshape(len(rhs), -1), rhs, penalty, shapes[i].n, q if (i, role) in current else None)
             return pa.Table.from_pylist([{"_id": i, "role": role, "beta": beta.tolist()}],
                                         schema=pa.schema([("_id", pa.int64()), ("role", pa.string()), ("beta", pa.list_(pa.float64()))]))
 
         sums = tagged.mapInArrow(partial, _PARTIAL).withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
         level1 = sums.groupBy("_id", "role", "_b").applyInArrow(add, _PARTIAL)
-        betas = collect_betas(level1.groupBy("_id", "role").applyInArrow(finish, "_id long, role string, beta array<double>"))
-        if max(np.max(np.abs(betas[k] - current[k])) for k in betas) < 1e-5:
-            break
+        made = collect_betas(level1.groupBy("_id", "role").applyInArrow(finish, "_id long, role string, beta array<double>"))
+        betas.update(made)
+        step += 1
+        for i, role in made:
+            passes[i] = step
+            q = M.quantile_of(role, options[i].interval_width)
+            if step >= options[i].passes or (i, role) in current and M.settled(made[(i, role)], current[(i, role)], q, eps):
+                active.discard((i, role))
     seconds = time.perf_counter() - began
     schema = _model_schema(rows, names)
     out = []
@@ -285,7 +279,7 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
         out.append(tuple(r[k] for k in names) + (
             s.first, s.last, s.n, float(s.y_scale), s.weekly, s.daily, s.changepoints.tolist(), s.lam, s.extra_mean.tolist(),
             s.extra_std.tolist(), *[betas[(i, role)].tolist() for role in M.ROLES], options[i].interval_width,
-            json.dumps(options[i].to_dict()), passes, seconds))
+            json.dumps(options[i].to_dict()), passes[i], seconds))
     return spark.createDataFrame(out, schema)
 
 
