@@ -7,7 +7,9 @@ nothing is kept below a dropped element. Parsing, features, trees and decoding r
 Training. There are no labelled pages, so labelled ones are made: the text blocks of a bounded sample of pages
 (``sample_pages``, the smallest hashes of the url) are laid out anew in random page designs whose parts are known
 (article, menus, headers, footers, sidebars, notices, adverts, forms, comments, with usual and with bare markup). The
-model sees densities and structure, no words of the text. It is trained once per call on the driver from that sample;
+model sees densities and structure, no words of the text. Of each sampled page only the first 20,000 characters give
+blocks, so block lengths and marks further down a long page are not in the training; extraction reads whole pages. The
+model is trained once per call on the driver from that sample;
 ``sample_pages`` x ``designs`` bounds the work whatever the table's size.
 
 Defined results: null and empty pages have an empty text; pages without any main text too; repeated rows and urls are
