@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html_text, licenses, line_dedup, mixing, near_dup, quality, repeats, tokens
+from tidemark.llm import chat, decontam, fill_middle, hosts, html_text, importance, licenses, line_dedup, mixing, near_dup, quality, repeats, tokens
 from tidemark.llm.common import shared_table, table
 
 END_ID = 2
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,5 +69,20 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op11_host_trust(spark: SparkSession, sf: str) -> DataFrame:
+    return hosts.judged(table(spark, sf, "pages"), URL_RULES)
+
+
+def op12_importance_draw(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"), percent=10, least_words=20, seed=2024, runs=1, buckets=10_000)
+
+
+def op13_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.transformed(table(spark, sf, "documents"), unit="line", seed=7, percent=100, spm_percent=50)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_sentences, op2_token_records, op3_page_text, op4_chat_format, op5_fuzzy_lines, op6_repeated_bytes, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix)}
+    op1_license_sentences, op2_token_records, op3_page_text, op4_chat_format, op5_fuzzy_lines, op6_repeated_bytes, op7_quality_rules, op8_setsketch_near_dup, op9_benchmark_containment, op10_source_mix,
+    op11_host_trust, op12_importance_draw, op13_fill_middle)}

@@ -1,5 +1,6 @@
 """SQL of those text queries that SQL can express."""
 
+from tidemark.llm import hosts
 from tidemark.llm.licenses import RULES, known_sentences, rule_pattern
 from tidemark.llm.quality import STOP_WORDS
 
@@ -68,4 +69,43 @@ FROM ({" UNION ALL ".join(counts)}) GROUP BY r, doc_id, license HAVING sum(n) >
 #: Counts per licence of the matches of ordered rules over sequences of known sentences.
 LICENSES = _licenses()
 
-SQL = {"op1_license_sentences": LICENSES, "op9_benchmark_containment": CONTAINMENT, "op7_quality_rules": QUALITY}
+#: Verdicts on urls by rule, else by trust and distrust carried over the links of hosts.
+HOSTS = rf"""
+WITH RECURSIVE rules(verdict, rule, r_host, r_path) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+                                         ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+p AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '{hosts.URL}', 1), '{hosts._UPPER}', '{hosts._LOWER}') AS host,
+             regexp_extract(coalesce(url, ''), '{hosts.URL}', 2) AS path, regexp_replace(coalesce(html, ''), '{hosts.HIDDEN}', ' ', 'g') AS html FROM pages),
+fit AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said
+        FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY r),
+seeds AS (SELECT host, count(*) FILTER (said = 'allow') * {hosts.UNIT} // count(*) AS trust, count(*) FILTER (said = 'block') * {hosts.UNIT} // count(*) AS distrust
+          FROM p LEFT JOIN fit USING (r) WHERE host <> '' GROUP BY host),
+e AS (SELECT DISTINCT host AS a, b FROM (SELECT host, translate(unnest(regexp_extract_all(html, '{hosts.LINK}', 1)), '{hosts._UPPER}', '{hosts._LOWER}') AS b FROM p)
+      WHERE host <> b AND host <> '' AND b <> ''),
+steps AS (SELECT true AS good, a AS host, b AS nxt, count(*) OVER (PARTITION BY a) AS deg FROM e
+          UNION ALL SELECT false, b, a, count(*) OVER (PARTITION BY b) FROM e),
+m AS (SELECT 0 AS k, good, host, mass FROM (SELECT true AS good, host, trust AS mass FROM seeds UNION ALL SELECT false, host, distrust FROM seeds) WHERE mass > 0
+      UNION ALL
+      SELECT k + 1, good, nxt, CAST(sum(mass * {hosts.KEEP} // ({hosts.OF} * deg)) AS BIGINT) FROM m JOIN steps USING (good, host)
+      WHERE k < {hosts.rounds()} AND mass * {hosts.KEEP} // ({hosts.OF} * deg) > 0 GROUP BY k, good, nxt),
+score AS (SELECT host, CAST(coalesce(sum(mass) FILTER (good), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (NOT good), 0) AS BIGINT) AS distrust FROM m GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {int(hosts.UNIT * hosts.THRESHOLD)} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM p LEFT JOIN fit USING (r) LEFT JOIN score USING (host)
+"""
+
+#: Texts cut at two line boundaries, the middle moved to the end.
+FILL_MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+             CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS h4 FROM t),
+c AS (SELECT *, array_to_string(list_slice(u, 1, least(c1, c2)), '') AS p, array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS m,
+             array_to_string(list_slice(u, greatest(c1, c2) + 1, n), '') AS s,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+SQL = {"op1_license_sentences": LICENSES, "op9_benchmark_containment": CONTAINMENT, "op7_quality_rules": QUALITY,
+       "op11_host_trust": HOSTS, "op13_fill_middle": FILL_MIDDLE}
