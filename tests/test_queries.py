@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.queries import sql
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
@@ -48,7 +49,7 @@ def check(spark, con, name):
             assert ((a == b) | (a.isna() & b.isna())).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_sql(spark, con, name):
     check(spark, con, name)
 
