@@ -184,6 +184,45 @@ def test_stream_drops_late_rows_and_replays(spark, tmp_path):
     assert got == {("a", "2024-01-01 00:00:00"): (7.0, True, True), ("b", "2024-01-01 00:00:00"): (9.0, False, False), ("a", "2024-01-01 04:00:00"): (1.0, False, True)}
 
 
+def test_stream_with_empty_windows_equals_the_table(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "k string, g long, ts timestamp, value double"
+    make = lambda rows: spark.createDataFrame([(k, 1, pd.Timestamp(t).to_pydatetime(), v) for k, t, v in rows], schema)
+    batch = lambda rows: make(rows).coalesce(1).write.mode("append").parquet(src)
+    keys = ["k", "g"]
+    # q never sends a row, a is known from before its first row, r sends one before the time it is known from
+    known = make([("q", "2024-01-01 01:20", 0.0), ("a", "2023-12-31 22:00", 0.0), ("r", "2024-01-01 06:00", 0.0), ("z", "2024-01-05 00:00", 0.0)])
+    params = spark.createDataFrame([("a", 1, "x", 1.0, 5.0, None)], "k string, g long, algorithm_name string, scale double, tolerance double, direction string")
+    lost = {"left": 1}
+
+    def fail_once(df):
+        if lost["left"] and not df.isEmpty():
+            lost["left"] -= 1
+            raise RuntimeError("lost")
+        return df
+
+    def run(each=None):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        metric = Z.dense_windowed_metric(stream, keys, F.sum("value"), "1 hour", "1 hour", known)
+        Z.start_scoring(Z.score_windows(metric, keys, params), str(tmp_path / "out"), str(tmp_path / "mark"), each).awaitTermination()
+
+    batch([("a", "2024-01-01 00:10", 3.0), ("a", "2024-01-01 00:50", 4.0), ("b", "2024-01-01 00:20", 9.0), ("r", "2024-01-01 01:00", 2.0), (None, "2024-01-01 02:00", 1.0), ("a", "2024-01-01 04:00", 1.0)])
+    run()
+    batch([("a", "2024-01-01 09:00", 1.0), ("c", "2024-01-01 08:00", 1.0)])
+    with pytest.raises(Exception):
+        run(fail_once)
+    run(fail_once)  # the lost batch again
+    batch([("b", "2024-01-01 15:30", 1.0), ("b", "2024-01-01 15:10", -8.0)])
+    batch([("b", "2024-01-02 03:00", 1.0)])
+    run()
+    got = sorted(((r.k, r.g, r.ts, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    want = sorted(map(tuple, Z.dense_windows(spark.read.parquet(src), keys, F.sum("value"), "1 hour", "1 hour", known).collect()), key=str)
+    assert lost["left"] == 0 and got == want
+    assert {(r[0], str(r[2])) for r in got} >= {("q", "2024-01-01 01:00:00"), ("a", "2023-12-31 22:00:00"), ("r", "2024-01-01 01:00:00"), (None, "2024-01-01 05:00:00")}
+    assert not any(r[0] == "z" or (r[0] == "r" and str(r[2]) == "2024-01-01 03:00:00") for r in got)
+    assert {str(r.ts) for r in spark.read.parquet(str(tmp_path / "out")).where("is_anomaly").collect()} == {"2024-01-01 00:00:00"}
+
+
 # --- bounds ----------------------------------------------------------------------------------------
 
 def test_bounds_verdicts(spark):

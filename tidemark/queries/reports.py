@@ -610,6 +610,20 @@ def streaming_score(spark, sf):
     return done.select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "is_anomaly")
 
 
+@query
+def streaming_empty_windows(spark, sf):
+    """Late events as a stream: hourly windows of every user, those without events with 0, checked against the user's early hours."""
+    early = table(spark, sf, "events").where(F.col("ts") < SPLIT_AT).groupBy("user_id", trunc_grain("ts", "hour").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
+    params = materialize(D.train(early, USER, {"both": ALGORITHMS["both"]}).params, "params")
+    known = early.select("user_id", F.lit(SPLIT_AT).cast("timestamp_ntz").alias("ts")).distinct()
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = stream.where(F.col("ts") >= SPLIT_AT).withColumn("ts", F.col("ts").cast("timestamp"))
+    metric = Z.dense_windowed_metric(stream, USER, F.round(F.sum("value"), 4), "1 hour", "2 hours", known)
+    out = work_dir(spark, "stream")
+    Z.start_scoring(Z.score_windows(metric, USER, params), out, work_dir(spark, "mark")).awaitTermination()
+    return spark.read.parquet(out).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", "is_anomaly")
+
+
 # --- bounds ----------------------------------------------------------------------------------------
 
 def _bounds(spark, sf):

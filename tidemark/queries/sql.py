@@ -184,6 +184,13 @@ SQL["streaming_score"] = f"""
 WITH {_TRAINED} SELECT c.event_type, ts, value, coalesce(abs(value) > 1.5 * scale, false) AS is_anomaly
 FROM hourly c LEFT JOIN huber h ON c.event_type = h.event_type
 WHERE ts >= {SPLIT_AT} AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+SQL["streaming_empty_windows"] = f"""
+WITH cells AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS value FROM events GROUP BY ALL),
+{huber(f'SELECT user_id, abs(value) AS a FROM cells WHERE ts < {SPLIT_AT}', 'user_id')},
+begun AS (SELECT user_id, CASE WHEN min(ts) < {SPLIT_AT} THEN {SPLIT_AT} ELSE min(ts) END AS first_ts FROM cells GROUP BY user_id),
+grid AS (SELECT user_id, unnest(generate_series(first_ts, (SELECT date_trunc('hour', max(ts) - INTERVAL 2 HOUR) - INTERVAL 1 HOUR FROM events), INTERVAL 1 HOUR)) AS ts FROM begun)
+SELECT g.user_id, g.ts, coalesce(value, 0.0) AS value, coalesce(abs(coalesce(value, 0.0)) > 1.5 * scale, false) AS is_anomaly
+FROM grid g LEFT JOIN cells c ON g.user_id = c.user_id AND g.ts = c.ts LEFT JOIN huber h ON g.user_id = h.user_id"""
 
 # --- evaluation ------------------------------------------------------------------------------------
 
