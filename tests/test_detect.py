@@ -67,6 +67,21 @@ def test_directions_and_models(observed):
     assert {(r.algorithm_name, r["k"], r["count"]) for r in D.unscored(checked, ["k"]).collect()} == {(a, "unknown", 48) for a in algos}
 
 
+def test_training_report(observed):
+    algos = {"raw": D.Algorithm(tolerance=8.0), "model": D.Algorithm(tolerance=8.0, model=Options(passes=5))}
+    one = observed.where("k = 'x'")
+    kinds = {"x": F.col("value"), "zero": F.lit(0.0), "inf": F.when(F.hour("ts") == 1, float("inf")).otherwise(F.col("value")), "null": F.lit(None).cast("double")}
+    df = one.limit(0)
+    for k, value in kinds.items():
+        df = df.unionByName(one.withColumns({"k": F.lit(k), "value": value}))
+    df = df.unionByName(one.where("ts < '2024-01-01 04:00:00'").withColumn("k", F.lit("few")))
+    trained = D.train(df, ["k"], algos)
+    got = {(r.algorithm_name, r.k): r.status for r in trained.report.collect()}
+    assert got == {("raw", "x"): "ok", ("raw", "zero"): "no scale", ("raw", "inf"): "ok", ("raw", "null"): "empty", ("raw", "few"): "short",
+                   ("model", "x"): "ok", ("model", "zero"): "no scale", ("model", "inf"): "not finite", ("model", "null"): "empty", ("model", "few"): "short"}
+    assert {(r.algorithm_name, r.k) for r in trained.params.where("scale IS NOT NULL").collect()} == {("raw", "x"), ("raw", "inf"), ("model", "x")}
+
+
 def test_transforms(observed):
     algo = {"chain": D.Algorithm.from_args({"tolerance": 6.0, "transforms": ["residuals"]})}
     trained = D.train(observed, ["k"], algo)
@@ -126,6 +141,7 @@ def test_runs_in_steps_equal_one_run(spark, catalog, tmp_path):
         last = V.latest_versions(store.read("model_versions")).first()
         assert last.tags["last_evaluation_ts"] == "2024-01-12 23:00:00" and last.version == 1 + len(ends)
     assert alerts["one"] == alerts["steps"] and alerts["one"]
+    assert {(r.algorithm_name, r.entity_keys, r.n, r.status) for r in store.read("reports").collect()} == {("univariate", f'{{"dim_k":"{k}"}}', 24 * 9, "ok") for k in "xy"}
     assert store.read("training_snapshot").count() == 2 * 24 * 9
     # retraining keeps the watermark and retires models that are no longer configured
     moved = D.DetectorConfig.from_dict({**CONF, "metric_store_metrics": [{"name": "total", "dimension_groupings": []}]})

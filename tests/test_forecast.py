@@ -12,6 +12,7 @@ from tidemark.functions.trend import Options
 from tidemark.operators import grid as G
 from tidemark.plans import backtest as K
 from tidemark.plans import forecast as P
+from tidemark.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -28,8 +29,6 @@ def data(spark):
 
 @pytest.fixture(scope="module")
 def models(data, spark):
-    from tidemark.session import materialize
-
     return materialize(P.fit(data[0], ["k"]), "test-models")
 
 
@@ -130,6 +129,37 @@ def test_hot_series_take_the_same_passes(data, spark):
             assert np.allclose(hot[i][role], cold[i][role], rtol=0, atol=1e-6), (i, role)
 
 
+@pytest.mark.parametrize("hot_rows", ["1000000", "100"])
+def test_one_bad_series_stops_no_other(data, spark, hot_rows):
+    """Each kind of bad series among good ones, fitted in one task and over many tasks."""
+    good = data[0].where("k = 'a'").withColumn("load", F.lit(0.0))
+    first, last = good.agg(F.min("ts"), F.max("ts")).first()
+    parts = {
+        "good": good, "constant": good.withColumn("value", F.lit(3.0)), "short": good.where(F.col("ts") == first), "empty": good.withColumn("value", F.lit(None).cast("double")),
+        "infinite": good.withColumn("value", F.when(F.col("ts") == last, float("-inf")).otherwise(F.col("value"))),
+        "regressor": good.withColumn("load", F.when(F.col("ts") == last, float("nan")).otherwise(0.0)), "overflow": good.withColumn("load", F.lit(1e200)),
+        "holes": good.withColumn("value", F.when(F.hour("ts") == 3, float("nan")).otherwise(F.col("value"))),
+    }
+    df = None
+    for k, part in parts.items():
+        part = part.withColumn("k", F.lit(k))
+        df = part if df is None else df.unionByName(part)
+    spark.conf.set("tidemark.hotRows", hot_rows)
+    try:
+        attempts = materialize(P.fit_attempts(df, ["k"], Options(passes=4, standardize=False), extras=["load"]), "attempts")
+    finally:
+        spark.conf.unset("tidemark.hotRows")
+    said = {r.k: (r.status, r.reason) for r in P.fit_report(df, attempts, ["k"]).collect()}
+    status = {k: s for k, (s, _) in said.items()}
+    assert status == {"good": "ok", "constant": "ok", "holes": "ok", "short": "short", "empty": "empty", "infinite": "not finite", "regressor": "not finite", "overflow": "failed"}
+    assert all((reason is None) == (s == "ok") for s, reason in said.values())
+    models = P.fitted(attempts)
+    assert {r.k for r in models.collect()} == {"good", "constant", "holes"} and models.columns == ["k", *[f.name for f in P.MODEL_FIELDS]]
+    alone = P.fit(good, ["k"], Options(passes=4, standardize=False), extras=["load"]).first()
+    same = models.where("k = 'good'").first()
+    assert np.allclose(alone.point, same.point, atol=1e-6) and np.allclose(alone.upper, same.upper, atol=1e-6)
+
+
 def test_options():
     with pytest.raises(ValueError):
         Options.from_dict({"seasonalities": [{"name": "x", "period": 2}]})

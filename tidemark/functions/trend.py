@@ -172,6 +172,8 @@ def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: flo
     factor = n if q is None else 2 * n
     system, at = gram.copy(), np.arange(len(gram))
     system[at, at] += penalty * factor + 1e-9 * max(gram[at, at].mean(), 1e-12)
+    if not (np.isfinite(system).all() and np.isfinite(rhs).all()):
+        raise FloatingPointError("normal equations overflow")
     try:
         return np.linalg.solve(system, rhs)
     except np.linalg.LinAlgError:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import clean, join_on
 from tidemark.functions.trend import Options
-from tidemark.operators.robust import huber_scale
+from tidemark.operators.robust import MIN_SAMPLE, huber_scale
 from tidemark.operators.series import TS, VALUE, chain, concat
-from tidemark.plans.forecast import fit, fit_residuals, options_from_config, residuals
+from tidemark.plans.forecast import EMPTY, fit_attempts, fit_report, fit_residuals, fitted, options_from_config, residuals
 from tidemark.plans.metrics import MetricSpec
 from tidemark.session import materialize
 
@@ -102,10 +102,11 @@ class DetectorConfig:
 
 @dataclass
 class Trained:
-    """Detector parameters per (algorithm, entity) and the forecast models they use."""
+    """Detector parameters per (algorithm, entity), the forecast models they use and the outcome of every entity."""
 
     params: DataFrame
     models: dict[str, DataFrame]
+    report: DataFrame | None = None
 
 
 def _prepared(df: DataFrame, keys: Sequence[str], algo: Algorithm) -> DataFrame:
@@ -121,21 +122,40 @@ def _shared(algorithms: Mapping[str, Algorithm]) -> list[tuple[Algorithm, list[s
 
 
 def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm]) -> Trained:
-    """Scale of every entity under every algorithm. Entities with too few values have no row."""
-    frames, models = [], {}
+    """Scale of every entity under every algorithm. Entities with too few values have no row.
+
+    An entity that cannot be trained is left out and does not stop the others; ``report`` has one row
+    ``algorithm_name, keys, n, status, reason`` for every entity: ok, short, not finite, failed, empty or no scale.
+    """
+    frames, reports, models = [], [], {}
     for algo, names in _shared(algorithms):
         data = _prepared(df, keys, algo)
         if algo.model is not None:
             # the residuals read the models too; one row per entity is written
-            fitted = materialize(fit(data, keys, algo.model), "detector-models")
-            models.update({n: fitted for n in names})
-            data = residuals(data, fitted, keys, algo.model)
+            attempts = materialize(fit_attempts(data, keys, algo.model), "detector-models")
+            report = fit_report(data, attempts, keys).where("status <> 'ok'")
+            models.update({n: fitted(attempts) for n in names})
+            data = residuals(data, fitted(attempts), keys, algo.model)
         settings = F.explode(F.array(*[
             F.struct(F.lit(n).alias("algorithm_name"), F.lit(float(algorithms[n].tolerance)).alias("tolerance"), F.lit(algorithms[n].direction).cast("string").alias("direction"))
             for n in names])).alias("_s")
-        scale = huber_scale(data, keys).select(*keys, "n", "scale", settings)
-        frames.append(scale.select("_s.algorithm_name", *keys, "n", "scale", "_s.tolerance", "_s.direction"))
-    return Trained(concat(*frames), models)
+        scale = huber_scale(data, keys)
+        outcome = _scale_report(data, scale, keys)
+        reports.append((outcome if algo.model is None else outcome.unionByName(report)).withColumn("algorithm_name", F.explode(F.array(*[F.lit(n) for n in names]))))
+        frames.append(scale.select(*keys, "n", "scale", settings).select("_s.algorithm_name", *keys, "n", "scale", "_s.tolerance", "_s.direction"))
+    return Trained(concat(*frames), models, concat(*reports).select("algorithm_name", *keys, "n", "status", "reason"))
+
+
+NO_SCALE = "most values are zero"
+
+
+def _scale_report(data: DataFrame, scale: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, n, status, reason`` of the scale of every entity."""
+    counts = data.groupBy(*keys).agg(F.count(clean(VALUE)).alias("n"))
+    rows = join_on(counts, scale.select(*keys, "scale"), list(keys), "left")
+    few, sound = f"fewer than {MIN_SAMPLE} values", F.coalesce(F.abs("scale") < float("inf"), F.lit(False))
+    said = lambda texts: F.when(F.col("n") == 0, texts[0]).when(F.col("n") < MIN_SAMPLE, texts[1]).when(~sound, texts[2])
+    return rows.select(*keys, "n", F.coalesce(said(("empty", "short", "no scale")), F.lit("ok")).alias("status"), said((EMPTY, few, NO_SCALE)).alias("reason"))
 
 
 def is_anomaly(residual: Column, scale: Column, tolerance: Column, direction: Column) -> Column:

@@ -39,6 +39,13 @@ MODEL_FIELDS = [
     T.StructField("passes", T.IntegerType()), T.StructField("fit_seconds", T.DoubleType()),
 ]
 
+STR = T.StringType()
+#: Outcome of a series: ``status`` is ok, short, not finite, failed or empty; ``reason`` says why where it is not ok.
+STATUS_FIELDS = [T.StructField("status", STR), T.StructField("reason", STR)]
+SHORT, INFINITE, UNSOLVED, EMPTY = "fewer than 2 values", "a value or regressor is not finite", "coefficients are not finite", "no values"
+#: What numerics of one series may raise. Anything else (lost files, memory) fails the task, which is run again.
+SERIES_ERRORS = (ArithmeticError, LookupError, TypeError, ValueError)
+
 
 # --- rows ------------------------------------------------------------------------------------
 
@@ -103,32 +110,54 @@ def _extra_stats(extras: np.ndarray, opt: Options) -> tuple[np.ndarray, np.ndarr
 
 
 def _fit_group(table: pa.Table, names: list[str], trials: list[Options], width: int, types: pa.Schema) -> pa.Table:
-    began = time.perf_counter()
-    if len(table) < 2:
-        return types.empty_table()
+    """One row: the model of a series, or the reason why it has none. No series ends the job."""
+    began, head, n = time.perf_counter(), table.select(names).slice(0, 1), len(table)
+    if n < 2:
+        return _failed_row(head, n, "short", SHORT, types)
     opt = trials[table.column("trial")[0].as_py()] if "trial" in names else trials[0]
-    t = table.column("_t").to_numpy()
-    y = table.column("_y").to_numpy()
-    extras = _matrix(table.column("_x"), width) if width else np.zeros((len(t), 0))
-    mean, std = _extra_stats(extras, opt)
-    shape = M.auto_shape(int(t.min()), int(t.max()), len(t), float(np.percentile(np.abs(y), 95.0)), opt, mean, std)
-    betas, passes = {}, 0
-    for role in M.ROLES:
-        betas[role], used = M.fit_rows(t, y, extras, shape, opt, role)
-        passes = max(passes, used)
-    return _model_row(table.select(names).slice(0, 1), shape, betas, opt, passes, time.perf_counter() - began, types)
+    try:
+        t = table.column("_t").to_numpy()
+        y = table.column("_y").to_numpy()
+        extras = _matrix(table.column("_x"), width) if width else np.zeros((len(t), 0))
+        if not (np.isfinite(y).all() and np.isfinite(extras).all()):
+            return _failed_row(head, n, "not finite", INFINITE, types)
+        with np.errstate(all="ignore"):
+            mean, std = _extra_stats(extras, opt)
+            shape = M.auto_shape(int(t.min()), int(t.max()), n, float(np.percentile(np.abs(y), 95.0)), opt, mean, std)
+            betas, passes = {}, 0
+            for role in M.ROLES:
+                betas[role], used = M.fit_rows(t, y, extras, shape, opt, role)
+                passes = max(passes, used)
+    except SERIES_ERRORS as error:
+        return _failed_row(head, n, "failed", f"{type(error).__name__}: {error}", types)
+    if not _usable(shape, betas):
+        return _failed_row(head, n, "failed", UNSOLVED, types)
+    return _model_row(head, shape, betas, opt, passes, time.perf_counter() - began, types)
+
+
+def _usable(shape: M.Shape, betas: dict) -> bool:
+    return bool(np.isfinite(shape.y_scale) and all(np.isfinite(b).all() for b in betas.values()))
 
 
 def _model_row(head: pa.Table, shape: M.Shape, betas: dict, opt: Options, passes: int, seconds: float, types: pa.Schema) -> pa.Table:
     values = [shape.first, shape.last, shape.n, shape.y_scale, shape.weekly, shape.daily, shape.changepoints.tolist(), shape.lam,
               shape.extra_mean.tolist(), shape.extra_std.tolist(), *[betas[r].tolist() for r in M.ROLES], opt.interval_width,
-              json.dumps(opt.to_dict()), passes, seconds]
-    arrays = [c for c in head.columns] + [pa.array([v], types.field(f.name).type) for v, f in zip(values, MODEL_FIELDS)]
-    return pa.table(dict(zip([*head.column_names, *[f.name for f in MODEL_FIELDS]], arrays))).cast(types)
+              json.dumps(opt.to_dict()), passes, seconds, "ok", None]
+    return _one_row(head, values, types)
+
+
+def _failed_row(head: pa.Table, n: int, status: str, reason: str, types: pa.Schema) -> pa.Table:
+    known = {"n": n, "status": status, "reason": reason}
+    return _one_row(head, [known.get(f.name) for f in [*MODEL_FIELDS, *STATUS_FIELDS]], types)
+
+
+def _one_row(head: pa.Table, values: list, types: pa.Schema) -> pa.Table:
+    arrays = [c for c in head.columns] + [pa.array([v], types.field(f.name).type) for v, f in zip(values, [*MODEL_FIELDS, *STATUS_FIELDS])]
+    return pa.table(dict(zip([*head.column_names, *[f.name for f in [*MODEL_FIELDS, *STATUS_FIELDS]]], arrays))).cast(types)
 
 
 def _model_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + MODEL_FIELDS)
+    return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + MODEL_FIELDS + STATUS_FIELDS)
 
 
 def _arrow_types(schema: T.StructType) -> pa.Schema:
@@ -142,8 +171,33 @@ def fit(
 ) -> DataFrame:
     """One model row per series: shape, coefficients of the point, upper and lower model.
 
-    A list of options fits every series with each of them under the extra key ``trial``. Series with
-    fewer than two values have no row.
+    A list of options fits every series with each of them under the extra key ``trial``. Series that cannot be fitted
+    have no row; ``fit_attempts`` has one for them too.
+    """
+    return fitted(fit_attempts(df, keys, options, extras, hot))
+
+
+def fitted(attempts: DataFrame) -> DataFrame:
+    """The models among the attempts."""
+    return attempts.where(F.col("status") == "ok").drop(*[f.name for f in STATUS_FIELDS])
+
+
+def fit_report(df: DataFrame, attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, n, status, reason`` of every series of ``df``, also of those whose values are all missing."""
+    trial = [c for c in ("trial",) if c in attempts.columns]
+    tried = attempts.select(*keys, *trial, "n", *[f.name for f in STATUS_FIELDS])
+    empty = df.groupBy(*keys).agg(F.count(clean(VALUE)).alias("n")).where("n = 0")
+    empty = empty.select(*keys, *[F.lit(None).cast("int").alias(c) for c in trial], "n", F.lit("empty").alias("status"), F.lit(EMPTY).alias("reason"))
+    return tried.unionByName(empty)
+
+
+def fit_attempts(
+    df: DataFrame, keys: Sequence[str], options: Options | Sequence[Options] = Options(), extras: Sequence[str] = (), hot: HotKeys | None = None
+) -> DataFrame:
+    """One row per series (and trial): its model with status ok, or its status and reason with an empty model.
+
+    A series with an infinite value or regressor is not fitted, one whose numerics raise or end in coefficients that are
+    not finite is not kept; neither ends the job nor touches other series.
     """
     trials = [options] if isinstance(options, Options) else list(options)
     hot = find_hot(df, keys, at_most=FIT_ROWS) if hot is None else hot
@@ -179,8 +233,13 @@ def fit(
 _PARTIAL = "_id long, role string, gram array<double>, rhs array<double>"
 
 
+def _unfit(key: tuple, n: int, status: str, reason: str) -> tuple:
+    known = {"n": n, "status": status, "reason": reason}
+    return key + tuple(known.get(f.name) for f in [*MODEL_FIELDS, *STATUS_FIELDS])
+
+
 def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width: int) -> DataFrame:
-    """Models of series too large for one task; at most ``MAX_HOT`` series × trials.
+    """Attempts on series too large for one task; at most ``MAX_HOT`` series × trials.
 
     The rows are written once. Every pass reads them where they lie: a task adds up the normal
     equations of the rows it holds, the sums of a series are added in two levels and solved. Every
@@ -188,7 +247,9 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
     """
     rows = materialize(rows, "hot-rows")
     opt0 = trials[0]
-    agg = [F.min("_t").alias("first"), F.max("_t").alias("last"), F.count(F.lit(1)).alias("n")]
+    finite = lambda c: (F.abs(c) < float("inf")) & ~F.isnan(c)
+    sound = F.coalesce(finite(F.col("_y")) & F.forall("_x", finite), F.lit(False))
+    agg = [F.min("_t").alias("first"), F.max("_t").alias("last"), F.count(F.lit(1)).alias("n"), F.bool_and(sound).alias("sound")]
     for j in range(width):
         x = F.col("_x")[j]
         agg += [F.avg(x).alias(f"m{j}"), F.stddev_pop(x).alias(f"s{j}"), F.bool_and((x == 0) | (x == 1)).alias(f"f{j}")]
@@ -196,6 +257,11 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
     scale = exact_quantiles(rows.withColumn("_a", F.abs("_y")), names, "_a", {"p95": 0.95})
     info = join_on(stats, scale, list(names)).collect()  # one row per hot series
     spark = rows.sparkSession
+    schema = _model_schema(rows, names)
+    unfit = [_unfit(tuple(r[k] for k in names), r["n"], "not finite", INFINITE) for r in info if not r["sound"]]
+    info = [r for r in info if r["sound"]]
+    if not info:
+        return spark.createDataFrame(unfit, schema)
     shapes: list[M.Shape] = []
     options: list[Options] = []
     for r in info:
@@ -257,7 +323,11 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
             rhs = np.array(total["rhs"])
             penalty = M.ridge(shapes[i].role(role), options[i], width)
             q = M.quantile_of(role, options[i].interval_width)
-            beta = M.solve(np.array(total["gram"]).reshape(len(rhs), -1), rhs, penalty, shapes[i].n, q if (i, role) in current else None)
+            with np.errstate(all="ignore"):
+                try:
+                    beta = M.solve(np.array(total["gram"]).reshape(len(rhs), -1), rhs, penalty, shapes[i].n, q if (i, role) in current else None)
+                except SERIES_ERRORS:
+                    beta = np.full(len(rhs), np.nan)
             return pa.Table.from_pylist([{"_id": i, "role": role, "beta": beta.tolist()}],
                                         schema=pa.schema([("_id", pa.int64()), ("role", pa.string()), ("beta", pa.list_(pa.float64()))]))
 
@@ -269,17 +339,19 @@ def fit_hot(rows: DataFrame, names: Sequence[str], trials: list[Options], width:
         for i, role in made:
             passes[i] = step
             q = M.quantile_of(role, options[i].interval_width)
-            if step >= options[i].passes or (i, role) in current and M.settled(made[(i, role)], current[(i, role)], q, eps):
+            if step >= options[i].passes or not np.isfinite(made[(i, role)]).all() or (i, role) in current and M.settled(made[(i, role)], current[(i, role)], q, eps):
                 active.discard((i, role))
     seconds = time.perf_counter() - began
-    schema = _model_schema(rows, names)
-    out = []
+    out = unfit
     for i, r in enumerate(info):
         s = shapes[i]
+        if not _usable(s, {role: betas[(i, role)] for role in M.ROLES}):
+            out.append(_unfit(tuple(r[k] for k in names), r["n"], "failed", UNSOLVED))
+            continue
         out.append(tuple(r[k] for k in names) + (
             s.first, s.last, s.n, float(s.y_scale), s.weekly, s.daily, s.changepoints.tolist(), s.lam, s.extra_mean.tolist(),
             s.extra_std.tolist(), *[betas[(i, role)].tolist() for role in M.ROLES], options[i].interval_width,
-            json.dumps(options[i].to_dict()), passes[i], seconds))
+            json.dumps(options[i].to_dict()), passes[i], seconds, "ok", None))
     return spark.createDataFrame(out, schema)
 
 

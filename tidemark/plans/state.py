@@ -39,6 +39,8 @@ SCHEMAS = {
                                      T.StructField("entity_keys", STR), *MODEL_FIELDS, T.StructField("run_id", STR)]),
     "training_snapshot": T.StructType([T.StructField("run_id", STR), T.StructField("metric", STR), T.StructField("entity_keys", STR),
                                        T.StructField("ts", NTZ), T.StructField("value", T.DoubleType())]),
+    "reports": T.StructType([T.StructField("model", STR), T.StructField("algorithm_name", STR), T.StructField("entity_keys", STR),
+                             T.StructField("n", T.LongType()), T.StructField("status", STR), T.StructField("reason", STR), T.StructField("run_id", STR)]),
     "_generations": T.StructType([T.StructField("table", STR), T.StructField("generation", T.LongType())]),
 }
 
@@ -177,6 +179,7 @@ def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         name = model_name(conf.name, spec, mode)
         tagged = lambda df: df.withColumns({"model": F.lit(name), "trained_by": F.lit(run_id), "run_id": F.lit(run_id), "entity_keys": _entity_json(keys)})
         store.append("model_params", tagged(trained.params))
+        store.append("reports", tagged(trained.report))
         for algo, models in trained.models.items():
             store.append("forecast_models", tagged(models.withColumn("algorithm_name", F.lit(algo))))
         store.append("training_snapshot", data.select(F.lit(run_id).alias("run_id"), F.lit(spec.name).alias("metric"), _entity_json(keys).alias("entity_keys"), TS, VALUE))
@@ -234,9 +237,14 @@ def trim_runs(store: StateStore, name: str, n: int = 200) -> None:
         store.replace("runs", join_on(runs, dropped.select("run_id"), ["run_id"], "left_anti"))
 
 
+NO_MODEL = "values without a trained model"
+
+
 def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig, end, now, run_id: str, sink: str, mode: str = "prod") -> bool:
     """Score all buckets newer than each model's watermark; returns whether to retrain.
 
+    Observations without a trained model are counted by entity in the table ``reports``.
+
     Alerts are written under the run id, then the new watermarks, then the run itself; old versions go. Without ``end``
     it is that of the detector's configuration at ``now``.
     """
@@ -258,6 +266,8 @@ def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         checked = D.verdicts(new, keys, D.Trained(mine("model_params"), models), conf.algorithms)
         alerts = D.with_run(D.anomaly_rows(checked, keys), conf.name, run_id, now, tags["query"])
         D.append_anomalies(alerts, sink)
+        left_out = D.unscored(checked, keys).select("algorithm_name", _entity_json(keys).alias("entity_keys"), F.col("count").alias("n"))
+        store.append("reports", left_out.withColumns({"model": F.lit(row["model"]), "status": F.lit("no model"), "reason": F.lit(NO_MODEL), "run_id": F.lit(run_id)}))
         _add_version(store, versions, row["model"], {**tags, "last_evaluation_ts": str(last)}, row["created_at"], run_id)
     store.commit(run_id, f"inference_{conf.name}", now)
     trim_versions(store)

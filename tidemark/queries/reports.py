@@ -440,6 +440,31 @@ def forecast_fit(spark, sf):
     return P.forecast(P.fit(df, TYPE), index, TYPE)
 
 
+def _defective(spark, sf):
+    """Hourly series of every user, some of them spoilt by their id: constant, one hour only, an infinite hour, no values, a regressor beyond all sums."""
+    kind = F.col("user_id") % 10
+    rows = table(spark, sf, "events").groupBy("user_id", trunc_grain("ts", "hour").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
+    ends = rows.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    rows = rows.join(ends, "user_id").where((kind != 1) | (F.col("ts") == F.col("first_ts")))
+    value = F.when(kind == 0, 5.0).when((kind == 2) & (F.col("ts") == F.col("last_ts")), float("inf")).when(kind != 4, F.col("value"))
+    return rows.select("user_id", "ts", value.alias("value"), F.when(kind == 3, 1e200).otherwise((F.dayofweek("ts") == 1).cast("double")).alias("load"))
+
+
+@query
+def forecast_report(spark, sf):
+    """Outcome of the fit of every user: one bad series neither stops nor changes another."""
+    df = _defective(spark, sf)
+    attempts = P.fit_attempts(df, USER, Options(weekly_order=1, daily_order=1, n_changepoints=1, passes=3, standardize=False), extras=["load"])
+    return P.fit_report(df, materialize(attempts, "attempts"), USER).withColumn("reason", F.when(F.col("status") != "failed", F.col("reason")))
+
+
+@query
+def detector_report(spark, sf):
+    """Outcome of the training of every user under two algorithms: hours of constant users are compared with 5, so nothing is left to scale."""
+    df = _defective(spark, sf).where("value IS NULL OR value < double('infinity')").withColumn("value", F.col("value") - F.when(F.col("user_id") % 10 == 0, 5.0).otherwise(0.0))
+    return D.train(df.select("user_id", "ts", "value"), USER, ALGORITHMS).report
+
+
 @query
 def forecast_components(spark, sf):
     """Decomposition with a holiday flag and a custom seasonality of 12 hours."""

@@ -184,6 +184,22 @@ SQL["streaming_score"] = f"""
 WITH {_TRAINED} SELECT c.event_type, ts, value, coalesce(abs(value) > 1.5 * scale, false) AS is_anomaly
 FROM hourly c LEFT JOIN huber h ON c.event_type = h.event_type
 WHERE ts >= {SPLIT_AT} AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+_DEFECTIVE = """
+cells AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS value FROM events GROUP BY ALL),
+spoilt AS (SELECT user_id, ts, CASE WHEN user_id % 10 = 0 THEN 5.0 WHEN user_id % 10 = 2 AND ts = max(ts) OVER u THEN 'inf'::DOUBLE WHEN user_id % 10 <> 4 THEN value END AS value
+           FROM cells WINDOW u AS (PARTITION BY user_id) QUALIFY user_id % 10 <> 1 OR ts = min(ts) OVER u)"""
+SQL["forecast_report"] = f"""
+WITH {_DEFECTIVE}, t AS (SELECT user_id, count(value) AS n, bool_or(isinf(value)) AS bad FROM spoilt GROUP BY user_id)
+SELECT user_id, n, CASE WHEN n = 0 THEN 'empty' WHEN n < 2 THEN 'short' WHEN bad THEN 'not finite' WHEN user_id % 10 = 3 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN n = 0 THEN 'no values' WHEN n < 2 THEN 'fewer than 2 values' WHEN bad THEN 'a value or regressor is not finite' END AS reason FROM t"""
+SQL["detector_report"] = f"""
+WITH {_DEFECTIVE}, sane AS (SELECT user_id, value - CASE WHEN user_id % 10 = 0 THEN 5.0 ELSE 0.0 END AS value FROM spoilt WHERE value IS NULL OR NOT isinf(value)),
+{huber('SELECT user_id, abs(value) AS a FROM sane WHERE value IS NOT NULL', 'user_id')},
+t AS (SELECT user_id, count(value) AS n FROM sane GROUP BY user_id)
+SELECT unnest(['both', 'high']) AS algorithm_name, t.user_id, t.n,
+       CASE WHEN t.n = 0 THEN 'empty' WHEN t.n < 10 THEN 'short' WHEN scale IS NULL THEN 'no scale' ELSE 'ok' END AS status,
+       CASE WHEN t.n = 0 THEN 'no values' WHEN t.n < 10 THEN 'fewer than 10 values' WHEN scale IS NULL THEN 'most values are zero' END AS reason
+FROM t LEFT JOIN huber h ON t.user_id = h.user_id"""
 SQL["streaming_empty_windows"] = f"""
 WITH cells AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS value FROM events GROUP BY ALL),
 {huber(f'SELECT user_id, abs(value) AS a FROM cells WHERE ts < {SPLIT_AT}', 'user_id')},
