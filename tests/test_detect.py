@@ -11,7 +11,7 @@ from tidemark.operators import bounds as B
 from tidemark.operators.robust import HUBER_C, HUBER_GAMMA, huber_scale, mad_scale
 from tidemark.plans import detect as D
 from tidemark.plans import state as V
-from tidemark.plans.metrics import MetricSpec
+from tidemark.plans.metrics import MetricSpec, ZeroFilled
 from tidemark.sources.catalog import Catalog, Metric, Table
 from tidemark.streaming import score as Z
 
@@ -41,6 +41,34 @@ def test_scales(spark, rows):
         assert mad[k] == pytest.approx(np.median(np.abs(samples[k])) / 0.6744897501960817)
 
 
+@pytest.mark.parametrize("rows", ["1000000", "60"])
+def test_implied_zeros_give_the_scales_of_the_grid(spark, rows):
+    rng = np.random.default_rng(5)
+    days = pd.date_range("2024-01-01", periods=120, freq="D")
+    frames = [pd.DataFrame({"k": k, "ts": days[at], "value": rng.normal(10, 4, len(at))}) for k, share in (("full", 1.0), ("some", 0.8), ("half", 0.5), ("rare", 0.1)) for at in [np.flatnonzero(rng.random(120) < share)]]
+    frames += [pd.DataFrame({"k": "dup", "ts": days[[3, 3, 4]], "value": [1.0, 5.0, np.nan]}), pd.DataFrame({"k": [None], "ts": days[:1], "value": [1.0]})]
+    df = spark.createDataFrame(pd.concat(frames)).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    series = ZeroFilled.of(df, "value", ["k"], "ts")
+    spark.conf.set("tidemark.hotRows", rows)
+    part = series.where(F.col("ts") < "2024-03-01")
+    for scale in (huber_scale, mad_scale):
+        got = {r.k: r.asDict() for r in scale(part.cells, ["k"], zeros=part.zeros()).collect()}
+        want = {r.k: r.asDict() for r in scale(part.dense(), ["k"]).collect()}
+        assert set(got) == set(want) == {"full", "some", "half", "rare", "dup"}
+        for k, row in want.items():
+            assert {c: pytest.approx(v) for c, v in row.items()} == got[k]
+    algos = {"both": D.Algorithm(tolerance=1.5), "up": D.Algorithm(tolerance=1.0, direction="up")}
+    late = series.where(F.col("ts") >= "2024-03-01")
+    found = {tuple(r) for r in D.anomaly_rows(D.verdicts(late, ["k"], D.train(part, ["k"], algos), algos), ["k"]).collect()}
+    full = {tuple(r) for r in D.anomaly_rows(D.verdicts(late.dense(), ["k"], D.train(part.dense(), ["k"], algos), algos), ["k"]).collect()}
+    assert found == full and found
+    reports = [{tuple(r) for r in D.train(x, ["k"], algos).report.collect()} for x in (part, part.dense())]
+    assert reports[0] == reports[1]
+    plan = D.verdicts(late, ["k"], D.train(part, ["k"], algos), algos)._jdf.queryExecution().toString()
+    spark.conf.unset("tidemark.hotRows")
+    assert "_salt" not in plan
+
+
 @pytest.fixture(scope="module")
 def observed(spark):
     rng = np.random.default_rng(4)
@@ -143,6 +171,7 @@ def test_runs_in_steps_equal_one_run(spark, catalog, tmp_path):
     assert alerts["one"] == alerts["steps"] and alerts["one"]
     assert {(r.algorithm_name, r.entity_keys, r.n, r.status) for r in store.read("reports").collect()} == {("univariate", f'{{"dim_k":"{k}"}}', 24 * 9, "ok") for k in "xy"}
     assert store.read("training_snapshot").count() == 2 * 24 * 9
+    assert V.training_data(store, "t", "total", ["dim_k"]).dense().count() == 2 * 24 * 9
     # retraining keeps the watermark and retires models that are no longer configured
     moved = D.DetectorConfig.from_dict({**CONF, "metric_store_metrics": [{"name": "total", "dimension_groupings": []}]})
     V.train_detector(store, catalog, conf, "2024-01-01", "2024-01-12", dt.datetime(2024, 1, 14), "t2", "dev")

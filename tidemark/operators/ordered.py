@@ -289,16 +289,22 @@ def count_equal(df: DataFrame, columns: Sequence[str], hot: HotKeys) -> DataFram
     return df.select(*columns, F.lit(1).cast("long").alias("_m"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot: HotKeys | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot: HotKeys | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key, with no whole group in one buffer.
 
+    With ``weight`` a row stands for that many rows (distinct values per key then).
+
     Values are ranked by running counts and only the two rows around each quantile position are
     kept. Where hot keys exist, equal values are counted first (map-side combined).
     """
     keys = list(keys)
     hot = find_hot(df, keys) if hot is None else hot
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    rows = OrderedRows(count_equal(values, [*keys, "_v"], hot), keys, ["_v"], hot)
+    values = df.where(F.col(value).isNotNull())
+    if weight is None:
+        counted = count_equal(values.select(*keys, F.col(value).alias("_v")), [*keys, "_v"], hot)
+    else:
+        counted = values.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_m"))
+    rows = OrderedRows(counted, keys, ["_v"], hot)
     ranked = rows.running_sum(_hi="_m").total(_n=F.sum("_m")).frame().withColumn("_lo", F.col("_hi") - F.col("_m"))
     aggs = []
     for name, p in probs.items():

@@ -15,7 +15,7 @@ from tidemark.functions.trend import Options
 from tidemark.operators.robust import MIN_SAMPLE, huber_scale
 from tidemark.operators.series import TS, VALUE, chain, concat
 from tidemark.plans.forecast import EMPTY, fit_attempts, fit_report, fit_residuals, fitted, options_from_config, residuals
-from tidemark.plans.metrics import MetricSpec
+from tidemark.plans.metrics import MetricSpec, ZeroFilled
 from tidemark.session import materialize
 
 ANOMALY_SCHEMA = T.StructType([
@@ -121,7 +121,12 @@ def _shared(algorithms: Mapping[str, Algorithm]) -> list[tuple[Algorithm, list[s
     return [(algorithms[names[0]], names) for names in groups.values()]
 
 
-def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm]) -> Trained:
+def _plain(algo: Algorithm) -> bool:
+    """Looks at the values themselves: a gap of zero is zero away from what is expected and never an alert."""
+    return algo.model is None and not algo.transforms
+
+
+def train(df: DataFrame | ZeroFilled, keys: Sequence[str], algorithms: Mapping[str, Algorithm]) -> Trained:
     """Scale of every entity under every algorithm. Entities with too few values have no row.
 
     An entity that cannot be trained is left out and does not stop the others; ``report`` has one row
@@ -129,7 +134,11 @@ def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm
     """
     frames, reports, models = [], [], {}
     for algo, names in _shared(algorithms):
-        data = _prepared(df, keys, algo)
+        zeros = None
+        if isinstance(df, ZeroFilled) and _plain(algo):
+            data, zeros = df.cells, df.zeros()
+        else:
+            data = _prepared(df.dense() if isinstance(df, ZeroFilled) else df, keys, algo)
         if algo.model is not None:
             # the residuals read the models too; one row per entity is written
             attempts = materialize(fit_attempts(data, keys, algo.model), "detector-models")
@@ -139,8 +148,8 @@ def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm
         settings = F.explode(F.array(*[
             F.struct(F.lit(n).alias("algorithm_name"), F.lit(float(algorithms[n].tolerance)).alias("tolerance"), F.lit(algorithms[n].direction).cast("string").alias("direction"))
             for n in names])).alias("_s")
-        scale = huber_scale(data, keys)
-        outcome = _scale_report(data, scale, keys)
+        scale = huber_scale(data, keys, zeros=zeros)
+        outcome = _scale_report(data, scale, keys, zeros)
         reports.append((outcome if algo.model is None else outcome.unionByName(report)).withColumn("algorithm_name", F.explode(F.array(*[F.lit(n) for n in names]))))
         frames.append(scale.select(*keys, "n", "scale", settings).select("_s.algorithm_name", *keys, "n", "scale", "_s.tolerance", "_s.direction"))
     return Trained(concat(*frames), models, concat(*reports).select("algorithm_name", *keys, "n", "status", "reason"))
@@ -149,9 +158,11 @@ def train(df: DataFrame, keys: Sequence[str], algorithms: Mapping[str, Algorithm
 NO_SCALE = "most values are zero"
 
 
-def _scale_report(data: DataFrame, scale: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _scale_report(data: DataFrame, scale: DataFrame, keys: Sequence[str], zeros: DataFrame | None = None) -> DataFrame:
     """``keys, n, status, reason`` of the scale of every entity."""
     counts = data.groupBy(*keys).agg(F.count(clean(VALUE)).alias("n"))
+    if zeros is not None:
+        counts = counts.unionByName(zeros.select(*keys, F.col("zeros").alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
     rows = join_on(counts, scale.select(*keys, "scale"), list(keys), "left")
     few, sound = f"fewer than {MIN_SAMPLE} values", F.coalesce(F.abs("scale") < float("inf"), F.lit(False))
     said = lambda texts: F.when(F.col("n") == 0, texts[0]).when(F.col("n") < MIN_SAMPLE, texts[1]).when(~sound, texts[2])
@@ -166,10 +177,15 @@ def is_anomaly(residual: Column, scale: Column, tolerance: Column, direction: Co
     return F.coalesce(down | up, F.lit(False))
 
 
-def verdicts(df: DataFrame, keys: Sequence[str], trained: Trained, algorithms: Mapping[str, Algorithm]) -> DataFrame:
-    """Every observation with its residual and verdict per algorithm; ``has_model`` tells unknown entities."""
+def verdicts(data_in: DataFrame | ZeroFilled, keys: Sequence[str], trained: Trained, algorithms: Mapping[str, Algorithm]) -> DataFrame:
+    """Every observation with its residual and verdict per algorithm; ``has_model`` tells unknown entities.
+
+    Of ``ZeroFilled`` series, gaps have rows only under algorithms that compare with a forecast or a transform; under the
+    others they cannot be alerts.
+    """
     frames = []
     for algo, names in _shared(algorithms):
+        df = data_in if isinstance(data_in, DataFrame) else data_in.cells if _plain(algo) else data_in.dense()
         data = _prepared(df, keys, algo)
         if algo.model is not None:
             data = residuals(data, trained.models[names[0]], keys, algo.model)
@@ -189,7 +205,7 @@ def verdicts(df: DataFrame, keys: Sequence[str], trained: Trained, algorithms: M
 
 
 def unscored(checked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of observations without a trained model per algorithm and entity."""
+    """Number of observations (rows of ``checked``) without a trained model per algorithm and entity."""
     return checked.where(~F.col("has_model")).groupBy("algorithm_name", *keys).count()
 
 

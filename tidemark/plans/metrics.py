@@ -174,25 +174,55 @@ def run_metric(catalog: Catalog, metric: str, spec: QuerySpec) -> DataFrame:
     return metric_query(catalog, metric, spec).orderBy(METRIC_TIME, *spec.groupings)
 
 
+@dataclass(frozen=True)
+class ZeroFilled:
+    """Series of all entities over all times seen for any of them, gaps zero, without a row for any gap.
+
+    ``cells`` has the values there are (duplicates averaged), ``times`` and ``entities`` what the grid is made of. What
+    can be said from present values and a number of zeros per entity never meets the grid; ``dense`` makes it for
+    operators that need each row.
+    """
+
+    cells: DataFrame
+    times: DataFrame
+    entities: DataFrame
+    keys: tuple[str, ...]
+    time: str = METRIC_TIME
+    value: str = "value"
+
+    @classmethod
+    def of(cls, df: DataFrame, value: str, keys: Sequence[str], time: str = METRIC_TIME) -> "ZeroFilled":
+        """Rows with a null entity key are dropped; the aggregated cells are written once."""
+        known = df.na.drop(subset=list(keys)) if keys else df
+        cells = materialize(known.groupBy(time, *keys).agg(F.avg(value).alias(value)), "cells")
+        return cls(cells.where(F.col(value).isNotNull()), cells.select(time).distinct(), cells.select(*keys).distinct(), tuple(keys), time, value)
+
+    def where(self, condition) -> "ZeroFilled":
+        """A range of times; entities stay."""
+        return ZeroFilled(self.cells.where(condition), self.times.where(condition), self.entities, self.keys, self.time, self.value)
+
+    def zeros(self) -> DataFrame:
+        """``keys, zeros``: the number of gaps of every entity."""
+        seen = self.times.agg(F.count(F.lit(1))).scalar()  # one row
+        have = self.cells.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_have"))
+        rows = join_on(self.entities, have, list(self.keys), "left") if self.keys else have
+        return rows.select(*self.keys, (seen - F.coalesce("_have", F.lit(0))).alias("zeros"))
+
+    def dense(self, fill: float = 0.0) -> DataFrame:
+        """Every time with every entity. The output has times × entities rows by definition."""
+        grid = spread_product(self.times, self.entities) if self.keys else self.times
+        filled = join_on(grid, self.cells, [self.time, *self.keys], "left")
+        return filled.withColumn(self.value, F.coalesce(self.value, F.lit(float(fill))))
+
+
 def complete_entities(df: DataFrame, value: str, entity: Sequence[str], time: str = METRIC_TIME, fill: float = 0.0) -> DataFrame:
     """Long form of "wide frame with gaps set to ``fill``".
 
     Every time seen for any entity meets every entity; duplicates are averaged; rows with a null
-    entity key are dropped. The output has times × entities rows by definition of the operator. The
-    aggregated cells are written once, since times, entities and values are all read from them.
+    entity key are dropped. The output has times × entities rows by definition of the operator; ``ZeroFilled`` holds the
+    same series without them.
     """
-    entity = list(entity)
-    known = df.na.drop(subset=entity) if entity else df
-    cells = known.groupBy(time, *entity).agg(F.avg(value).alias(value))
-    if not entity:
-        return cells.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
-    cells = materialize(cells, "cells")
-    times = cells.select(time).distinct()
-    entities = cells.select(*entity).distinct()
-    # the grid is the operator's own output; see spread_product for how it is spread over tasks
-    grid = spread_product(times, entities)
-    filled = join_on(grid, cells, [time, *entity], "left")
-    return filled.withColumn(value, F.coalesce(F.col(value), F.lit(float(fill))))
+    return ZeroFilled.of(df, value, entity, time).dense(fill).select(time, *entity, value)
 
 
 def spread_product(small: DataFrame, large: DataFrame) -> DataFrame:

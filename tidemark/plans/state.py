@@ -23,7 +23,7 @@ from tidemark.operators.grid import run_bounds
 from tidemark.operators.series import TS, VALUE
 from tidemark.plans import detect as D
 from tidemark.plans.forecast import MODEL_FIELDS
-from tidemark.plans.metrics import METRIC_TIME, MetricSpec, complete_entities, metric_query
+from tidemark.plans.metrics import METRIC_TIME, MetricSpec, ZeroFilled, metric_query
 from tidemark.sources.catalog import Catalog
 
 NTZ, STR = T.TimestampNTZType(), T.StringType()
@@ -147,8 +147,8 @@ def _entity_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.get_json_object("entity_keys", f"$.{k}").alias(k) for k in keys], *[c for c in df.columns if c != "entity_keys"])
 
 
-def observations(catalog: Catalog, spec: MetricSpec, start, end, newer_than=None, grain_complete: bool = True) -> DataFrame:
-    """Series of a metric in long form, gaps zero. With ``newer_than`` only strictly newer buckets.
+def observations(catalog: Catalog, spec: MetricSpec, start, end, newer_than=None, grain_complete: bool = True) -> ZeroFilled:
+    """Series of a metric, gaps zero and without rows. With ``newer_than`` only strictly newer buckets.
 
     Buckets that end after ``end`` are left for the next run, so no partial bucket is ever scored.
     """
@@ -159,8 +159,8 @@ def observations(catalog: Catalog, spec: MetricSpec, start, end, newer_than=None
     if grain_complete:
         closes = step_from(F.col(METRIC_TIME), F.lit(1), parse_granularity(spec.time_granularity))
         raw = raw.where(closes <= F.lit(end).cast("timestamp_ntz"))
-    full = complete_entities(raw, spec.name, keys)
-    return full.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(METRIC_TIME).cast("timestamp_ntz").alias(TS), F.col(spec.name).cast("double").alias(VALUE))
+    rows = raw.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(METRIC_TIME).cast("timestamp_ntz").alias(TS), F.col(spec.name).cast("double").alias(VALUE))
+    return ZeroFilled.of(rows, VALUE, keys, TS)
 
 
 def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig, start, end, now, run_id: str, mode: str = "prod",
@@ -182,8 +182,8 @@ def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         store.append("reports", tagged(trained.report))
         for algo, models in trained.models.items():
             store.append("forecast_models", tagged(models.withColumn("algorithm_name", F.lit(algo))))
-        store.append("training_snapshot", data.select(F.lit(run_id).alias("run_id"), F.lit(spec.name).alias("metric"), _entity_json(keys).alias("entity_keys"), TS, VALUE))
-        watermark = last_evaluation(versions, name, data)
+        store.append("training_snapshot", data.cells.select(F.lit(run_id).alias("run_id"), F.lit(spec.name).alias("metric"), _entity_json(keys).alias("entity_keys"), TS, VALUE))
+        watermark = last_evaluation(versions, name, data.times)
         tags = {"online": "True", "detector": conf.name, "deployment_mode": mode, "creation_run_id": run_id, "last_evaluation_ts": str(watermark),
                 "datasource": "metric_store", "query": spec.to_json(), "trained_by": run_id}
         _add_version(store, versions, name, tags, now, run_id)
@@ -195,6 +195,12 @@ def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
     return names
 
 
+def training_data(store: StateStore, run_id: str, metric: str, keys: Sequence[str]) -> ZeroFilled:
+    """The series a run trained on. The snapshot has a row for every value that was there."""
+    rows = store.read("training_snapshot").where((F.col("run_id") == run_id) & (F.col("metric") == metric)).select("entity_keys", TS, VALUE)
+    return ZeroFilled.of(_entity_columns(rows, keys), VALUE, keys, TS)
+
+
 def _times(store: StateStore, conf: D.DetectorConfig, now, start, end) -> tuple:
     if start is None and conf.time_spec.start is None:
         raise ValueError(f"detector {conf.name} has no start time")
@@ -258,7 +264,7 @@ def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         keys = list(spec.dimension_groupings or [])
         since = tags["last_evaluation_ts"]
         new = observations(catalog, spec, since, end, newer_than=since)
-        last = new.agg(F.max(TS)).first()[0]
+        last = new.times.agg(F.max(TS)).first()[0]
         if last is None:
             continue
         mine = lambda table: _entity_columns(store.read(table).where((F.col("model") == row["model"]) & (F.col("trained_by") == tags["trained_by"])), keys).drop("model", "trained_by", "run_id")

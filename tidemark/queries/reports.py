@@ -20,7 +20,7 @@ from tidemark.plans import backtest as K
 from tidemark.plans import detect as D
 from tidemark.plans import forecast as P
 from tidemark.plans import state as V
-from tidemark.plans.metrics import QuerySpec, complete_entities, metric_query, metric_sql
+from tidemark.plans.metrics import QuerySpec, ZeroFilled, complete_entities, metric_query, metric_sql
 from tidemark.queries.inputs import catalog, daily_orders, hourly, rounded, table, user_scores, user_series
 from tidemark.session import materialize, work_dir
 from tidemark.sources import series_io as IO
@@ -295,7 +295,7 @@ ALGORITHMS = {"both": D.Algorithm(tolerance=TOLERANCE), "high": D.Algorithm(tole
 
 def _completed(spark, sf):
     cells = table(spark, sf, "events").groupBy(trunc_grain("ts", "hour").alias("time"), "event_type").agg(F.round(F.sum("value"), 4).alias("value"))
-    return complete_entities(cells, "value", TYPE).withColumnRenamed("time", "ts")
+    return ZeroFilled.of(cells.withColumnRenamed("time", "ts"), "value", TYPE, "ts")
 
 
 @query
@@ -305,6 +305,20 @@ def detect_flags(spark, sf):
     return D.anomaly_rows(D.verdicts(late, TYPE, D.train(early, TYPE, ALGORITHMS), ALGORITHMS), TYPE)
 
 
+@query
+def detect_sparse_entities(spark, sf):
+    """Alerts of every customer's daily order sums: almost all days are gaps, which are counted and never made."""
+    days = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("customer_id"), trunc_grain("o_orderdate", "day").alias("ts")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    data = ZeroFilled.of(days, "value", ["customer_id"], "ts")
+    month = ZeroFilled.of(days.withColumn("ts", trunc_grain("ts", "quarter")).groupBy("customer_id", "ts").agg(F.round(F.sum("value"), 2).alias("value")), "value", ["customer_id"], "ts")
+    frames = []
+    for grain, series in (("day", data), ("quarter", month)):
+        early, late = series.where(F.col("ts") < "1999-01-01"), series.where(F.col("ts") >= "1999-01-01")
+        found = D.anomaly_rows(D.verdicts(late, ["customer_id"], D.train(early, ["customer_id"], ALGORITHMS), ALGORITHMS), ["customer_id"])
+        frames.append(found.select(F.lit(grain).alias("grain"), "algorithm_name", "entity", "timestamp", "value"))
+    return S.concat(*frames)
+
+
 @query
 def detect_with_forecast(spark, sf):
     algo = {"residual": D.Algorithm(tolerance=3.0, model=Options())}
@@ -594,7 +608,7 @@ def incremental_score(spark, sf):
     data = _completed(spark, sf)
     early = data.where(F.col("ts") < SPLIT_AT)
     algo = {"both": ALGORITHMS["both"]}
-    newer = S.drop_older(data, early.agg(F.max("ts")).scalar())
+    newer = S.drop_older(data.dense(), early.times.agg(F.max("ts")).scalar())
     checked = D.verdicts(newer, TYPE, D.train(early, TYPE, algo), algo)
     return checked.select("event_type", "ts", "value", "is_anomaly")
 
@@ -653,7 +667,7 @@ def streaming_empty_windows(spark, sf):
 
 def _bounds(spark, sf):
     """Three estimators per event type: central quantile bands of the early hours."""
-    data = _completed(spark, sf)
+    data = _completed(spark, sf).dense()
     early = data.where(F.col("ts") < SPLIT_AT)
     probs = {f"{side}_{e}": (p if side == "lo" else 1 - p) for e, p in enumerate((0.05, 0.1, 0.2)) for side in ("lo", "hi")}
     q = exact_quantiles(early, TYPE, "value", probs)
@@ -681,7 +695,7 @@ def pinball_loss(spark, sf):
 @query
 def bounds_ensemble(spark, sf):
     """Linear reconstruction ensemble over the hourly series of all event types."""
-    data = _completed(spark, sf).select("ts", F.col("event_type").alias("entity"), "value")
+    data = _completed(spark, sf).dense().select("ts", F.col("event_type").alias("entity"), "value")
     model = materialize(B.fit_bounds(data.where(F.col("ts") < SPLIT_AT), estimators=20, max_features=3, latent=2), "bounds")
     return B.outside_share(B.apply_bounds(data, model))
 

@@ -184,6 +184,18 @@ SQL["streaming_score"] = f"""
 WITH {_TRAINED} SELECT c.event_type, ts, value, coalesce(abs(value) > 1.5 * scale, false) AS is_anomaly
 FROM hourly c LEFT JOIN huber h ON c.event_type = h.event_type
 WHERE ts >= {SPLIT_AT} AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+
+
+def _sparse(grain: str) -> str:
+    rows = f"(SELECT o_custkey AS customer_id, date_trunc('{grain}', CAST(o_orderdate AS TIMESTAMP)) AS ts, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL)"
+    dense = f"(SELECT c.customer_id, t.ts, coalesce(value, 0.0) AS value FROM (SELECT DISTINCT customer_id FROM {rows}) c CROSS JOIN (SELECT DISTINCT ts FROM {rows}) t LEFT JOIN {rows} r ON r.customer_id = c.customer_id AND r.ts = t.ts)"
+    return f"""SELECT '{grain}' AS grain, algorithm_name, CAST(customer_id AS VARCHAR) AS entity, ts AS timestamp, value FROM (
+WITH d AS MATERIALIZED {dense}, {huber("SELECT customer_id, abs(value) AS a FROM d WHERE ts < TIMESTAMP '1999-01-01'", 'customer_id')}
+SELECT unnest(CASE WHEN value > 0 THEN ['both', 'high'] ELSE ['both'] END) AS algorithm_name, d.customer_id, ts, value
+FROM d JOIN huber h ON d.customer_id = h.customer_id WHERE ts >= TIMESTAMP '1999-01-01' AND abs(value) > 1.5 * scale)"""
+
+
+SQL["detect_sparse_entities"] = f"{_sparse('day')} UNION ALL {_sparse('quarter')}"
 _DEFECTIVE = """
 cells AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS value FROM events GROUP BY ALL),
 spoilt AS (SELECT user_id, ts, CASE WHEN user_id % 10 = 0 THEN 5.0 WHEN user_id % 10 = 2 AND ts = max(ts) OVER u THEN 'inf'::DOUBLE WHEN user_id % 10 <> 4 THEN value END AS value
