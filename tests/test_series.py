@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +246,51 @@ def test_run_bounds(spark):
     row = G.run_bounds(spark, "2024-01-31 10:00:00", "2024-01-01", None).first()
     assert (str(row.start_ts), str(row.end_ts)) == ("2024-01-01 00:00:00", "2024-01-31 10:00:00")
     assert str(G.run_bounds(spark, "2024-01-31", "1 day", "0s").first().end_ts) == "2024-01-31 00:00:00"
+
+
+def _calls(spark, fn):
+    """Names of tables written while ``fn`` runs, with their numbers of rows."""
+    from tidemark.operators import ordered
+
+    written, real = [], ordered.materialize
+
+    def spy(df, name="cut"):
+        out = real(df, name)
+        written.append((name, out.count()))
+        return out
+
+    ordered.materialize = spy
+    try:
+        return fn(), written
+    finally:
+        ordered.materialize = real
+
+
+@pytest.mark.parametrize("order", [["big"], ["-big"], ["word", "-day"], ["-day", "word"], ["flag", "big"]])
+def test_one_hot_key_among_many(spark, order):
+    """Long integers beyond 2**53, strings, dates with nulls as order; only the hot key's rows are written."""
+    import random
+
+    rnd = random.Random(1)
+    rows = []
+    for k, n in [("hot", 900), (None, 30), *[(f"c{i}", 20) for i in range(20)]]:
+        for i in range(n):
+            day = None if i % 37 == 0 else dt.date(2024, 1, 1) + dt.timedelta(days=i % 50)
+            rows.append((k, 2**60 + i, f"w{i * 7919 % n:05d}", day, i % 3 == 0, rnd.choice([None, 1.0, 2.0, -3.0]), rnd.randrange(2)))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, big long, word string, day date, flag boolean, v double, y int")
+
+    def work():
+        made = OrderedRows(df, ["k"], order).position("p").position("q", reverse=True).previous(before="v").previous(reverse=True, after="v")
+        made = made.running_sum(s="v").running_max(m="big").total(n=F.count("v"), top=F.max("word")).runs("y", "run").per_run("run", r=F.sum("v"))
+        return made.frame()
+
+    plain, none = _calls(spark, work)
+    spark.conf.set("tidemark.hotRows", "100")
+    try:
+        blocks, written = _calls(spark, work)
+    finally:
+        spark.conf.unset("tidemark.hotRows")
+    assert not none and written and all(n == 900 for _, n in written)
+    assert blocks.columns == plain.columns and sorted(map(str, blocks.collect())) == sorted(map(str, plain.collect()))
+    assert blocks.where("k = 'hot' AND p + q <> 901").isEmpty()

@@ -3,14 +3,15 @@
 A window partitioned by a series key puts that series in one task. That is the right plan while
 every series fits one task, and a wall once one series holds a large share of all rows. So:
 
-1. ``find_hot`` counts rows per key (map-side combined) and keeps the keys above a row limit. The
-   limit is at least ``total / MAX_HOT``, hence at most ``MAX_HOT`` keys can be hot: a proven bound.
-2. With no hot key the operators are plain windows over ``keys``.
-3. With hot keys, those series are cut into blocks of consecutive rows at quantiles of the order
-   column. Windows run per (keys, block); a small table with one row per block carries the running
-   state from block to block and is joined back. Results are the same as in plan 2. The rows are
-   written to the shared folder before each such step, so that the two branches of a step read a
-   table: plans stay short and nothing upstream runs twice.
+1. ``find_hot`` counts rows per key (map-side combined, one job) and keeps the keys above a row limit, the ``MAX_HOT``
+   largest at most: a proven bound, and a key beyond them holds no more than total / ``MAX_HOT`` rows.
+2. Rows of other keys are never written or moved for the sake of hot ones: plain windows over ``keys``.
+3. Rows of hot keys are cut into blocks of consecutive rows by a range partitioning on the keys and the order columns
+   themselves, whatever their types, and written once with the number of their block. Windows run per
+   (keys, block); a small table with one row per block carries the running state (a sum, an extremum, the last row) from
+   block to block and is joined back: a segmented parallel prefix. Before each further step the hot rows are written to
+   the shared folder, so that the two branches of a step read a table.
+4. ``frame()`` is the union of both parts. Results are those of plain windows.
 
 The limit is the session setting ``tidemark.hotRows``.
 """
@@ -18,10 +19,9 @@ The limit is the session setting ``tidemark.hotRows``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,6 @@ HOT_ROWS_KEY = "tidemark.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
 MAX_HOT = 50_000
 _BLOCK = "_block"
-_SPAN = 1_000_000  # blocks of the tie-breaking column per block of the first order column
 
 
 @dataclass(frozen=True)
@@ -64,14 +63,11 @@ def find_hot(df: DataFrame, keys: Sequence[str], at_most: int | None = None) ->
     ``at_most`` lowers the row limit for operators that cost more per row than a sort.
     """
     limit = hot_limit(df) if at_most is None else min(hot_limit(df), at_most)
-    total = df.count()
-    if total <= limit:
-        return no_hot(keys)
-    limit = max(limit, math.ceil(total / MAX_HOT))
     if not keys:
-        return HotKeys((), df.sparkSession.range(1).select(F.lit(total).alias("_n")), limit, total)
+        total = df.count()
+        return HotKeys((), df.sparkSession.range(1).select(F.lit(total).alias("_n")), limit, total) if total > limit else no_hot(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    rows = counts.collect()  # < total / limit <= MAX_HOT rows
+    rows = counts.orderBy(F.desc("_n")).limit(MAX_HOT).collect()
     if not rows:
         return no_hot(keys)
     table = df.sparkSession.createDataFrame(rows, counts.schema)
@@ -80,7 +76,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], at_most: int | None = None) ->
 
 @dataclass(frozen=True)
 class OrderKey:
-    """One order column; ``numeric`` maps it to a double for block cuts."""
+    """One order column."""
 
     name: str
     descending: bool = False
@@ -88,61 +84,19 @@ class OrderKey:
     def sort(self) -> Column:
         return F.col(self.name).desc_nulls_last() if self.descending else F.col(self.name).asc_nulls_last()
 
-    def numeric(self, df: DataFrame) -> Column:
-        col = F.col(self.name)
-        if dict(df.dtypes)[self.name].startswith(("timestamp", "date")):
-            col = F.unix_micros(col.cast("timestamp"))
-        col = F.coalesce(F.nanvl(col.cast("double"), F.lit(None)), F.lit(-math.inf if self.descending else math.inf))
-        return -col if self.descending else col
-
-    def reversed(self) -> "OrderKey":
-        return OrderKey(self.name, not self.descending)
+    def turned(self) -> Column:
+        return F.col(self.name).asc_nulls_first() if self.descending else F.col(self.name).desc_nulls_first()
 
 
 def _order(spec: Sequence[str | OrderKey]) -> list[OrderKey]:
     return [s if isinstance(s, OrderKey) else OrderKey(s.lstrip("-"), s.startswith("-")) for s in spec]
 
 
-def _cuts(df: DataFrame, column: str, pieces: int) -> list[float]:
-    """Strictly increasing block borders; a value heavy enough to fill a block gets its own block."""
-    probs = [i / pieces for i in range(1, pieces)]
-    found = df.approxQuantile(column, probs, 1.0 / (4 * pieces)) if probs else []
-    borders: set[float] = set()
-    seen: set[float] = set()
-    for value in found:
-        if math.isinf(value):
-            continue
-        borders.add(value)
-        if value in seen:
-            borders.add(math.nextafter(value, math.inf))
-        seen.add(value)
-    return [-math.inf, *sorted(borders), math.inf]
-
-
-def _bucket(df: DataFrame, column: str, borders: list[float], out: str) -> DataFrame:
-    if len(borders) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=borders, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
-
-
 def add_blocks(df: DataFrame, hot: HotKeys, order: Sequence[OrderKey]) -> DataFrame:
-    """Add ``_block``: a number that grows with the order inside a key; 0 for keys that are not hot."""
-    marked = _mark(df, hot)
+    """Hot rows with ``_block``, a number that grows with the order inside a key; written once."""
     pieces = max(2, 2 * math.ceil(hot.rows / hot.limit))
-    first = marked.withColumn("_o0", order[0].numeric(df))
-    hot_part = first.where("_hot")
-    borders = _cuts(hot_part, "_o0", pieces)
-    first = _bucket(first, "_o0", borders, "_b0")
-    block = F.col("_b0").cast("long") * _SPAN
-    if len(order) > 1:
-        singles = [b for b in borders if math.nextafter(b, math.inf) in borders]
-        if singles:
-            second = first.withColumn("_o1", order[1].numeric(df))
-            tied = second.where(F.col("_hot") & F.col("_o0").isin(singles))
-            first = _bucket(second, "_o1", _cuts(tied, "_o1", pieces), "_b1")
-            block = block + F.when(F.col("_o0").isin(singles), F.col("_b1").cast("long")).otherwise(F.lit(0))
-    out = first.withColumn(_BLOCK, F.when(F.col("_hot"), block).otherwise(F.lit(0)).cast("long"))
-    return out.drop("_hot", "_o0", "_o1", "_b0", "_b1")
+    ranged = df.repartitionByRange(pieces, *[F.col(k) for k in hot.keys], *[o.sort() for o in order])
+    return materialize(ranged.withColumn(_BLOCK, F.spark_partition_id().cast("long")), "blocks")
 
 
 def _mark(df: DataFrame, hot: HotKeys) -> DataFrame:
@@ -164,35 +118,43 @@ class OrderedRows:
         self.keys = list(keys)
         self.order = _order(order)
         self.hot = find_hot(df, self.keys) if hot is None else hot
-        self._df = add_blocks(df, self.hot, self.order) if self.hot.any else df
-        self._written = False
-
-    def _with(self, df: DataFrame) -> "OrderedRows":
+        self._cold: DataFrame | None = df
+        self._blocks: DataFrame | None = None
+        self._written = True
+        if self.hot.any:
+            marked = _mark(df, self.hot)
+            self._cold = marked.where(~F.col("_hot")).drop("_hot") if self.keys else None
+            self._blocks = add_blocks(marked.where("_hot").drop("_hot"), self.hot, self.order)
+
+    def _with(self, cold: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame]) -> "OrderedRows":
         out = object.__new__(OrderedRows)
-        out.keys, out.order, out.hot, out._df, out._written = self.keys, self.order, self.hot, df, False
+        out.keys, out.order, out.hot, out._written = self.keys, self.order, self.hot, False
+        out._cold = None if self._cold is None else cold(self._cold)
+        out._blocks = None if self._blocks is None else blocks(self._blocks)
         return out
 
-    def _rows(self) -> DataFrame:
-        """The rows, written once where a step is about to read them on two branches."""
-        if self.hot.any and not self._written:
-            self._df = materialize(self._df, "rows")
-            self._written = True
-        return self._df
+    def _stepped(self, cold: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame]) -> "OrderedRows":
+        """A step that reads the hot rows on two branches."""
+        if self._blocks is not None and not self._written:
+            self._blocks, self._written = materialize(self._blocks, "blocks"), True
+        return self._with(cold, blocks)
 
-    def map(self, fn) -> "OrderedRows":
+    def map(self, fn: Callable[[DataFrame], DataFrame]) -> "OrderedRows":
         """Apply a row-wise DataFrame function (keys and order columns must survive)."""
-        return self._with(fn(self._df))
+        return self._with(fn, fn)
 
     def frame(self) -> DataFrame:
-        return self._df.drop(_BLOCK)
+        if self._blocks is None:
+            return self._cold
+        hot = self._blocks.drop(_BLOCK)
+        return hot if self._cold is None else self._cold.unionByName(hot)
 
     @property
     def _cells(self) -> list[str]:
-        return [*self.keys, _BLOCK] if self.hot.any else self.keys
+        return [*self.keys, _BLOCK]
 
-    def _window(self, reverse: bool = False):
-        order = [o.reversed() if reverse else o for o in self.order]
-        return Window.partitionBy(*self._cells).orderBy(*[o.sort() for o in order])
+    def _window(self, cells: Sequence[str], reverse: bool = False):
+        return Window.partitionBy(*cells).orderBy(*[o.turned() if reverse else o.sort() for o in self.order])
 
     def _block_window(self, reverse: bool = False):
         return Window.partitionBy(*self.keys).orderBy(F.col(_BLOCK).desc() if reverse else F.col(_BLOCK).asc())
@@ -204,18 +166,20 @@ class OrderedRows:
             "max": (F.max, lambda a, b: F.greatest(a, b)),
             "min": (F.min, lambda a, b: F.least(a, b)),
         }[how]
-        local = self._window(reverse).rowsBetween(Window.unboundedPreceding, 0)
         source = {n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()}
-        rows = self._rows()
-        out = rows.withColumns({n: agg(c).over(local) for n, c in source.items()})
-        if not self.hot.any:
-            return self._with(out)
-        before = self._block_window(reverse).rowsBetween(Window.unboundedPreceding, -1)
-        per_block = rows.groupBy(*self._cells).agg(*[agg(c).alias(n) for n, c in source.items()])
-        carry = per_block.select(*self._cells, *[agg(F.col(n)).over(before).alias(f"_c_{n}") for n in source])
-        joined = join_on(out, carry, self._cells, "left")
-        joined = joined.withColumns({n: join(F.col(n), F.col(f"_c_{n}")) for n in source})
-        return self._with(joined.drop(*[f"_c_{n}" for n in source]))
+
+        def within(rows: DataFrame, cells: Sequence[str]) -> DataFrame:
+            local = self._window(cells, reverse).rowsBetween(Window.unboundedPreceding, 0)
+            return rows.withColumns({n: agg(c).over(local) for n, c in source.items()})
+
+        def across(rows: DataFrame) -> DataFrame:
+            before = self._block_window(reverse).rowsBetween(Window.unboundedPreceding, -1)
+            per_block = rows.groupBy(*self._cells).agg(*[agg(c).alias(n) for n, c in source.items()])
+            carry = per_block.select(*self._cells, *[agg(F.col(n)).over(before).alias(f"_c_{n}") for n in source])
+            joined = join_on(within(rows, self._cells), carry, self._cells, "left")
+            return joined.withColumns({n: join(F.col(n), F.col(f"_c_{n}")) for n in source}).drop(*[f"_c_{n}" for n in source])
+
+        return self._stepped(lambda rows: within(rows, self.keys), across)
 
     def running_sum(self, **cols) -> "OrderedRows":
         return self.running("sum", **cols)
@@ -225,42 +189,46 @@ class OrderedRows:
 
     def position(self, name: str = "pos", start: int = 1, reverse: bool = False) -> "OrderedRows":
         """Position in the key, counted from ``start`` (from the end with ``reverse``)."""
-        if not self.hot.any:
-            return self._with(self._df.withColumn(name, F.row_number().over(self._window(reverse)).cast("long") + F.lit(start - 1)))
-        return self.running("sum", reverse, **{name: F.lit(1).cast("long")}).map(
-            lambda d: d.withColumn(name, F.col(name) + F.lit(start - 1))
-        )
+
+        def across(rows: DataFrame) -> DataFrame:
+            sizes = rows.groupBy(*self._cells).agg(F.count(F.lit(1)).alias("_c"))
+            before = self._block_window(reverse).rowsBetween(Window.unboundedPreceding, -1)
+            carry = sizes.select(*self._cells, F.coalesce(F.sum("_c").over(before), F.lit(0).cast("long")).alias("_c"))
+            joined = join_on(rows, carry, self._cells, "left")
+            return joined.withColumn(name, number(self._cells) + F.col("_c")).drop("_c")
+
+        number = lambda cells: F.row_number().over(self._window(cells, reverse)).cast("long") + F.lit(start - 1)
+        return self._stepped(lambda rows: rows.withColumn(name, number(self.keys)), across)
 
     def previous(self, reverse: bool = False, **cols: Column | str) -> "OrderedRows":
         """Value of the row before (after, with ``reverse``); null on the first row."""
-        window = self._window(reverse)
         source = {n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()}
-        if not self.hot.any:
-            return self._with(self._df.withColumns({n: F.lag(c, 1).over(window) for n, c in source.items()}))
-        rows = self._rows()
-        last = F.struct(*[c.alias(n) for n, c in source.items()])
-        at = F.struct(*[(-o.numeric(rows) if reverse else o.numeric(rows)) for o in self.order])
-        per_block = rows.groupBy(*self._cells).agg(F.max_by(last, at).alias("_last"))
-        carry = per_block.select(*self._cells, F.lag("_last", 1).over(self._block_window(reverse)).alias("_carry"))
-        local = rows.withColumn("_rn", F.row_number().over(window)).withColumns(
-            {n: F.lag(c, 1).over(window) for n, c in source.items()}
-        )
-        joined = join_on(local, carry, self._cells, "left").withColumns(
-            {n: F.when(F.col("_rn") == 1, F.col("_carry")[n]).otherwise(F.col(n)) for n in source}
-        )
-        return self._with(joined.drop("_rn", "_carry"))
+
+        def within(rows: DataFrame, cells: Sequence[str]) -> DataFrame:
+            window = self._window(cells, reverse)
+            return rows.withColumns({n: F.lag(c, 1).over(window) for n, c in source.items()})
+
+        def across(rows: DataFrame) -> DataFrame:
+            value = F.struct(*[c.alias(n) for n, c in source.items()])
+            last = rows.select(*self._cells, value.alias("_last"), F.row_number().over(self._window(self._cells, not reverse)).alias("_rn")).where("_rn = 1")
+            carry = last.select(*self._cells, F.lag("_last", 1).over(self._block_window(reverse)).alias("_carry"))
+            local = within(rows.withColumn("_rn", F.row_number().over(self._window(self._cells, reverse))), self._cells)
+            joined = join_on(local, carry, self._cells, "left")
+            return joined.withColumns({n: F.when(F.col("_rn") == 1, F.col("_carry")[n]).otherwise(F.col(n)) for n in source}).drop("_rn", "_carry")
+
+        return self._stepped(lambda rows: within(rows, self.keys), across)
 
     def total(self, **aggs: Column) -> "OrderedRows":
         """Aggregates over the whole key on every row (grouped once and joined back on hot keys)."""
-        if not self.hot.any:
-            whole = Window.partitionBy(*self.keys)
-            return self._with(self._df.withColumns({n: a.over(whole) for n, a in aggs.items()}))
-        rows = self._rows()
-        if not self.keys:
-            one = rows.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_t")).scalar()  # one row
-            return self._with(rows.withColumns({n: one[n] for n in aggs}))
-        per_key = rows.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
-        return self._with(join_on(rows, per_key, self.keys, "left"))
+
+        def across(rows: DataFrame) -> DataFrame:
+            if not self.keys:
+                one = rows.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_t")).scalar()  # one row
+                return rows.withColumns({n: one[n] for n in aggs})
+            return join_on(rows, rows.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()]), self.keys, "left")
+
+        whole = Window.partitionBy(*self.keys)
+        return self._stepped(lambda rows: rows.withColumns({n: a.over(whole) for n, a in aggs.items()}), across)
 
     def runs(self, value: str, out: str = "run") -> "OrderedRows":
         """Number maximal runs of equal ``value`` from 1 upwards inside the key."""
@@ -270,13 +238,15 @@ class OrderedRows:
 
     def per_run(self, run: str, **aggs: Column) -> "OrderedRows":
         """Aggregates over (key, run) on every row."""
-        if not self.hot.any:
-            whole = Window.partitionBy(*self.keys, run)
-            return self._with(self._df.withColumns({n: a.over(whole) for n, a in aggs.items()}))
-        rows, groups = self._rows(), [*self.keys, run]
-        per_run = rows.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()])
-        cells = rows.select(*groups, _BLOCK).distinct()
-        return self._with(join_on(rows, join_on(cells, per_run, groups), [*groups, _BLOCK]))
+        groups = [*self.keys, run]
+
+        def across(rows: DataFrame) -> DataFrame:
+            per_run = rows.groupBy(*groups).agg(*[a.alias(n) for n, a in aggs.items()])
+            cells = rows.select(*groups, _BLOCK).distinct()
+            return join_on(rows, join_on(cells, per_run, groups), [*groups, _BLOCK])
+
+        whole = Window.partitionBy(*groups)
+        return self._stepped(lambda rows: rows.withColumns({n: a.over(whole) for n, a in aggs.items()}), across)
 
 
 def count_equal(df: DataFrame, columns: Sequence[str], hot: HotKeys) -> DataFrame:
