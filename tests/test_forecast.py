@@ -160,6 +160,20 @@ def test_one_bad_series_stops_no_other(data, spark, hot_rows):
     assert np.allclose(alone.point, same.point, atol=1e-6) and np.allclose(alone.upper, same.upper, atol=1e-6)
 
 
+def test_certificate_tells_the_optimum(data, spark):
+    opt = Options.from_dict({"seasonalities": [{"name": "x", "period": 0.5, "order": 2, "prior_scale": 3.0}], "extra_prior": [None, 0.7], "passes": 200})
+    df = data[0].withColumn("e", (F.hour("ts") == 5).cast("double")).withColumn("g", F.dayofweek("ts") / 7.0)
+    models = materialize(P.fit(df, ["k"], opt, extras=["e", "g"]), "models")
+    found = {(r.k, r.role): r for r in P.certificate(df, models, ["k"], opt, ["e", "g"]).collect()}
+    assert len(found) == 3 * models.count()
+    for (_, role), r in found.items():
+        assert r.gradient < (1e-6 if role == "point" else 5e-3)
+        assert role == "point" or abs(r.above - {"upper": 0.025, "lower": 0.975}[role]) * r.n <= r.terms
+    off = models.withColumns({role: F.transform(role, lambda b: b * 1.01) for role in M.ROLES})
+    worse = {(r.k, r.role): r.gradient for r in P.certificate(df, off, ["k"], opt, ["e", "g"]).collect()}
+    assert all(worse[k] > 10 * found[k].gradient or worse[k] > 1e-3 for k in found)
+
+
 def test_options():
     with pytest.raises(ValueError):
         Options.from_dict({"seasonalities": [{"name": "x", "period": 2}]})

@@ -43,8 +43,10 @@ def scale_scores(df: DataFrame, keys: Sequence[str], score: str = "score", flip:
 
 
 def uniform_hash(*columns: str, seed: int = 0) -> Column:
-    """A repeatable uniform number in [0, 1) from column values, the same under any partitioning."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    """A repeatable uniform number in [0, 1) from column values, the same under any partitioning and in any engine that
+    has md5: the first 52 bits of the hash of ``value:value:...:seed``."""
+    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def jitter_scores(df: DataFrame, ids: Sequence[str], score: str = "score", scale: float = 0.1, seed: int = 0) -> DataFrame:

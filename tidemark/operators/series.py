@@ -239,6 +239,15 @@ def combine(a: DataFrame, op: str, b: DataFrame | float | int, keys: Sequence[st
     return joined.withColumn(VALUE, math_column(op, y, x) if reverse else math_column(op, x, y)).drop("_other")
 
 
+def combine_all(a: DataFrame, ops: Sequence[str], b: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
+    """Rows of ``a op b`` for several operators, with the column ``op``; the series are joined once."""
+    if check:
+        require_same_index(a, b, keys)
+    joined = join_on(a.select(*keys, TS, VALUE), b.select(*keys, TS, F.col(VALUE).alias("_other")), [*keys, TS])
+    made = F.explode(F.array(*[F.struct(F.lit(o).alias("op"), math_column(o, clean(VALUE), clean("_other")).alias(VALUE)) for o in ops])).alias("_m")
+    return joined.select(*keys, TS, made).select(*keys, TS, f"_m.{VALUE}", "_m.op")
+
+
 def unary(df: DataFrame, op: str) -> DataFrame:
     ops = {"abs": F.abs, "-": lambda c: -c, "+": lambda c: c}
     return df.withColumn(VALUE, ops[op](clean(VALUE)))

@@ -516,6 +516,41 @@ def forecast(
     return joined.select(*keys, TS, *keep, *[c.alias(n) for n, c in out.items()], "interval_width")
 
 
+def certificate(df: DataFrame, models: DataFrame, keys: Sequence[str], options: Options = Options(), extras: Sequence[str] = ()) -> DataFrame:
+    """``keys, role, n, terms, gradient, above``: how far each model is from the optimum of its (convex) objective on ``df``.
+
+    ``gradient`` is the largest component of the objective's gradient per row, in units of the value scale: Huber loss
+    with ridge for the point model, smoothed pinball loss with ridge for the bounds. It is zero at the optimum only.
+    ``above`` is the share of rows above the model, which for a bound is one minus its quantile up to ``terms`` (the
+    number of coefficients) over n. Both are sums over rows, so no series is gathered.
+    """
+    custom, width = options.seasonalities, len(extras)
+    extra = F.array(*[F.col(c).cast("double") for c in extras]) if extras else F.array().cast("array<double>")
+    rows = df.select(*keys, micros(TS).alias("_t"), clean(VALUE).alias("_y"), extra.alias("_x")).where("_y IS NOT NULL")
+    fields = ["first_us", "last_us", "n", "y_scale", "changepoints", "extra_mean", "extra_std"]
+    priors = [0.0 if i >= len(options.extra_prior) or options.extra_prior[i] is None else float(options.extra_prior[i]) for i in range(width)]
+    frames = []
+    for role in M.ROLES:
+        q, part = M.quantile_of(role, options.interval_width), 1 if role == "point" else 2
+        lam, k = F.col("lambda_reg") * F.lit(1.0 if part == 1 else 10.0), F.size("changepoints")
+        own = models.select(*keys, *fields, lam.alias("_lam"), F.col(role).alias("_b"), *[F.floor(F.col(c) / part).cast("int").alias(c) for c in ("weekly_order", "daily_order")])
+        joined = join_on(rows, own, list(keys)).withColumn("_f", _row_features(custom, width))
+        r = F.col("_y") / F.col("y_scale") - _dot(F.col("_f"), F.col("_b"))
+        pull = F.greatest(F.least(F.col("_r"), F.lit(1.0)), F.lit(-1.0)) if q is None else F.col("_r") / (F.abs("_r") + F.lit(M.smoothing(options.passes))) + F.lit(2 * q - 1)
+        pulled = joined.withColumn("_r", r).select(*keys, pull.alias("_p"), (F.col("_r") > 0).cast("double").alias("_a"), F.posexplode("_f").alias("_j", "_v"))
+        sums = pulled.groupBy(*keys, "_j").agg(F.sum(F.col("_p") * F.col("_v")).alias("_g"), F.avg("_a").alias("_a"))
+        repeat = lambda weight, times: F.array_repeat(weight, F.when(times > 0, times).otherwise(F.lit(0)).cast("int"))
+        lam, k = F.col("_lam"), F.size("changepoints")
+        ridge = [F.array(F.lit(0.0)), repeat(lam / k, k)] + [repeat(lam / F.greatest(F.col(c), F.lit(1)), 2 * F.col(c)) for c in ("weekly_order", "daily_order")]
+        ridge += [repeat(lam / s.order if s.prior_scale is None else F.lit(1.0) / (F.col("n") * s.prior_scale**2), F.lit(2 * s.order)) for s in custom]
+        ridge += [F.array(F.lit(0.0) if not p else F.lit(1.0) / (F.col("n") * p**2)) for p in priors]
+        pen = own.withColumn("_w", F.concat(*ridge)).select(*keys, F.col("n").alias("_n"), F.posexplode(F.zip_with("_b", "_w", lambda b, w: b * w)).alias("_j", "_pb"))
+        each = join_on(sums, pen, [*keys, "_j"]).withColumn("_g", F.abs(F.col("_g") - part * F.col("_n") * F.col("_pb")) / F.col("_n"))
+        frames.append(each.groupBy(*keys).agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("terms"), F.max("_g").alias("gradient"), F.max("_a").alias("above")).withColumn("role", F.lit(role)))
+    out = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return out.select(*keys, "role", "n", "terms", "gradient", "above")
+
+
 def residuals(df: DataFrame, models: DataFrame, keys: Sequence[str], options: Options | None = None, extras: Sequence[str] = ()) -> DataFrame:
     """Series minus its forecast at the same times."""
     out = forecast(models, df, keys, options, extras, keep=[VALUE])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -230,39 +231,49 @@ def time_int_scale(spark, sf):
 
 # --- arithmetic ------------------------------------------------------------------------------------
 
-def _pair(spark, sf, left, right):
-    dense = G.make_dense(hourly(spark, sf), TYPE, "hour", 0.0).withColumnRenamed("ts", "ts")
-    inside = S.time_slice(dense, "2024-01-02", "2024-01-29")
-    pick = lambda t: inside.where(F.col("event_type") == t).select("ts", "value")
-    return pick(left), pick(right)
+def _pairs(spark, sf):
+    """Hourly series of all event types over the whole range of the table, as left and right side of every pair of types."""
+    rows = hourly(spark, sf)
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    types = rows.select("event_type").distinct()
+    grid = types.withColumn("ts", F.explode(F.sequence(span.select("lo").scalar(), span.select("hi").scalar(), F.expr("INTERVAL 1 HOUR"))))
+    dense = materialize(grid.join(rows, ["event_type", "ts"], "left").fillna(0.0, ["value"]), "dense")
+    names = F.array(*[F.lit(r["event_type"]) for r in types.sort("event_type").collect()])  # a handful of event types
+    left = dense.select(F.col("event_type").alias("left"), F.explode(F.filter(names, lambda n: n > F.col("event_type"))).alias("right"), "ts", "value")
+    right = dense.select(F.explode(F.filter(names, lambda n: n < F.col("event_type"))).alias("left"), F.col("event_type").alias("right"), "ts", "value")
+    return left, right
+
+
+SIDES = ["left", "right"]
 
 
 @query
 def series_arith(spark, sf):
-    a, b = _pair(spark, sf, "click", "error")
-    S.require_same_index(a, b, [])
-    parts = [S.combine(a, op, b, [], check=False).withColumn("op", F.lit(op)) for op in ("+", "-", "*", "/", "//", "%")]
-    parts.append(S.combine(a, "-", 100, [], reverse=True).withColumn("op", F.lit("100-")))
-    parts.append(S.unary(S.combine(a, "-", b, [], check=False), "abs").withColumn("op", F.lit("abs")))
+    """All operators on all pairs of event types, and numbers on the left one."""
+    a, b = _pairs(spark, sf)
+    parts = [S.combine_all(a, ("+", "-", "*", "/", "//", "%"), b, SIDES)]
+    parts.append(S.combine(a, "-", 100, SIDES, reverse=True).withColumn("op", F.lit("100-")))
+    parts.append(S.combine(a, "**", 2, SIDES).withColumn("op", F.lit("**2")))
+    parts.append(S.unary(S.combine(a, "-", b, SIDES, check=False), "abs").withColumn("op", F.lit("abs")))
     return rounded(S.concat(*parts), digits=4)
 
 
 @query
 def series_compare(spark, sf):
-    a, b = _pair(spark, sf, "view", "signup")
-    S.require_same_index(a, b, [])
-    return S.concat(*[S.combine(a, op, b, [], check=False).withColumn("op", F.lit(op)) for op in ("<", "<=", ">", ">=")])
+    a, b = _pairs(spark, sf)
+    return S.combine_all(a, ("<", "<=", ">", ">="), b, SIDES)
 
 
 # --- scaling ---------------------------------------------------------------------------------------
 
 @query
 def minmax_scale(spark, sf):
-    """Feature columns of late hours scaled with the range of early hours; the label column is carried."""
+    """Feature columns of all hours scaled with the range of early hours; the label column is carried."""
     cells = table(spark, sf, "events").groupBy(trunc_grain("ts", "hour").alias("ts")).agg(
         F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).cast("double").alias("n"), F.max((F.col("event_type") == "error").cast("int")).alias("is_attack"))
     train, other = cells.where(F.col("ts") < SPLIT_AT), cells.where(F.col("ts") >= SPLIT_AT)
-    return rounded(C.min_max_scale(train, other, ["total", "n"])[1])
+    early, late = C.min_max_scale(train, other, ["total", "n"])
+    return rounded(early.withColumn("split", F.lit("train")).unionByName(late.withColumn("split", F.lit("test"))))
 
 
 @query
@@ -490,6 +501,71 @@ def forecast_components(spark, sf):
     return out.select("event_type", "ts", F.explode("components").alias("component", "part"))
 
 
+@query
+def forecast_components_sum(spark, sf):
+    """The parts of every row add up to its forecast."""
+    opt = Options.from_dict({"seasonalities": [{"name": "half_day", "period": 0.5, "order": 2}], "passes": 20})
+    holidays = spark.createDataFrame([(dt.date(2024, 1, 15), 0, 1)], "ds date, lower_window int, upper_window int")
+    df = P.holiday_flags(hourly(spark, sf), holidays)
+    out = P.forecast(P.fit(df, TYPE, opt, extras=["is_holiday"]), df, TYPE, opt, extras=["is_holiday"], components=True)
+    whole = F.aggregate(F.map_values("components"), F.lit(0.0), lambda a, b: a + b)
+    gap = F.round(F.abs(F.col("yhat") - whole) / F.greatest(F.abs("yhat"), F.lit(1.0)), 6) + F.lit(0.0)
+    return out.select("event_type", "ts", F.array_join(F.array_sort(F.map_keys("components")), ",").alias("parts"), gap.alias("gap"))
+
+
+@query
+def forecast_certificate(spark, sf):
+    """Every fitted model stands at the optimum of its objective, by the gradient over all rows; bounds have their share of rows above."""
+    df = hourly(spark, sf)
+    found = P.certificate(df, materialize(P.fit(df, TYPE), "models"), TYPE)
+    limit = F.when(F.col("role") == "point", 1e-6).otherwise(0.01)
+    share = F.when(F.col("role") == "upper", 0.025).when(F.col("role") == "lower", 0.975).otherwise(F.col("above"))
+    return found.select("event_type", "role", "n", (F.col("gradient") < limit).alias("optimal"), (F.abs(F.col("above") - share) * F.col("n") <= F.col("terms")).alias("balanced"))
+
+
+#: One straight line by least squares, which SQL can fit too.
+LINE = Options(weekly_order=0, daily_order=0, n_changepoints=0, lambda_reg=0.0, passes=1)
+
+
+def _user_hours(spark, sf):
+    """Hourly sums of users with ten early hours or more."""
+    rows = table(spark, sf, "events").groupBy("user_id", trunc_grain("ts", "hour").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"))
+    known = rows.where(F.col("ts") < SPLIT_AT).groupBy(*USER).count().where("count >= 10")
+    return rows.join(known.select(*USER), USER, "left_semi")
+
+
+@query
+def forecast_trend(spark, sf):
+    """The line of every user at the first and last hour."""
+    df = _user_hours(spark, sf)
+    out = P.forecast(P.fit(df, USER, LINE), df, USER, LINE)
+    return rounded(out.groupBy(*USER).agg(F.count(F.lit(1)).alias("n"), F.min_by("yhat", "ts").alias("first_yhat"), F.max_by("yhat", "ts").alias("last_yhat")), digits=3)
+
+
+@query
+def detect_with_trend(spark, sf):
+    """Late hours far from the line through the user's early hours."""
+    df, algo = _user_hours(spark, sf), {"trend": D.Algorithm(tolerance=2.0, model=LINE)}
+    early, late = df.where(F.col("ts") < SPLIT_AT), df.where(F.col("ts") >= SPLIT_AT)
+    return D.anomaly_rows(D.verdicts(late, USER, D.train(early, USER, algo), algo), USER)
+
+
+@query
+def backtest_trend(spark, sf):
+    """Back-test of the line of every user; its bounds coincide with it."""
+    rows = _user_hours(spark, sf).withColumn("split", F.when(F.col("ts") < SPLIT_AT, "train").otherwise("test"))
+    return rounded(K.back_test(rows, USER, LINE).drop("training_time", "predict_time"), digits=2)
+
+
+@query
+def tune_trend(spark, sf):
+    """The best of three penalties on the slope by loss on the late hours."""
+    df = _user_hours(spark, sf)
+    trials = [replace(LINE, lambda_reg=x) for x in (0.0, 0.05, 0.5)]
+    losses = P.tune(df.where(F.col("ts") < SPLIT_AT), df.where(F.col("ts") >= SPLIT_AT), USER, trials)
+    return rounded(P.best_trial(losses, USER), digits=3)
+
+
 @query
 def forecast_holidays(spark, sf):
     """Order days within two days after a new year or within a day around the first of May."""

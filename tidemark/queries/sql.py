@@ -130,24 +130,24 @@ make_date(year(l_shipdate), 12, 31)::TIMESTAMP AS to_y, date_trunc('year', l_shi
 date_trunc('day', l_shipdate)::TIMESTAMP AS to_day, time_bucket(INTERVAL 12 HOUR, l_shipdate, TIMESTAMP '1970-01-01') AS to_12_hours FROM lineitem"""
 SQL["time_int_scale"] = "SELECT event_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 900000000)::BIGINT AS ts_int FROM events"
 
-_PAIR = DENSE + (
-    ", pair AS (SELECT a.ts, a.value AS x, b.value AS y FROM dense a JOIN dense b ON a.ts = b.ts AND a.event_type = '{0}' AND b.event_type = '{1}' "
-    "WHERE a.ts >= TIMESTAMP '2024-01-02' AND a.ts < TIMESTAMP '2024-01-29')"
-)
+_PAIRS = HOURLY + """, span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM hourly),
+grid AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT event_type FROM hourly), span),
+whole AS (SELECT g.event_type, g.ts, coalesce(h.value, 0.0) AS value FROM grid g LEFT JOIN hourly h ON h.event_type = g.event_type AND h.ts = g.ts),
+pair AS (SELECT a.event_type AS "left", b.event_type AS "right", a.ts, a.value AS x, b.value AS y FROM whole a JOIN whole b ON a.ts = b.ts AND a.event_type < b.event_type)"""
 _OPS = [("+", "x + y"), ("-", "x - y"), ("*", "x * y"), ("/", "x / nullif(y, 0)"), ("//", "floor(x / nullif(y, 0))"),
-        ("%", "x - floor(x / nullif(y, 0)) * nullif(y, 0)"), ("100-", "100.0 - x"), ("abs", "abs(x - y)")]
-SQL["series_arith"] = f"WITH {_PAIR.format('click', 'error')} " + " UNION ALL ".join(
-    f"SELECT ts, round({e}, 4) + 0.0 AS value, '{o}' AS op FROM pair" for o, e in _OPS)
-SQL["series_compare"] = f"WITH {_PAIR.format('view', 'signup')} " + " UNION ALL ".join(
-    f"SELECT ts, (x {o} y)::INT::DOUBLE AS value, '{o}' AS op FROM pair" for o in ("<", "<=", ">", ">="))
+        ("%", "x - floor(x / nullif(y, 0)) * nullif(y, 0)"), ("100-", "100.0 - x"), ("**2", "pow(x, 2)"), ("abs", "abs(x - y)")]
+SQL["series_arith"] = f"WITH {_PAIRS} " + " UNION ALL ".join(
+    f"""SELECT "left", "right", ts, round({e}, 4) + 0.0 AS value, '{o}' AS op FROM pair""" for o, e in _OPS)
+SQL["series_compare"] = f"WITH {_PAIRS} " + " UNION ALL ".join(
+    f"""SELECT "left", "right", ts, (x {o} y)::INT::DOUBLE AS value, '{o}' AS op FROM pair""" for o in ("<", "<=", ">", ">="))
 
 # --- scaling ---------------------------------------------------------------------------------------
 
 SQL["minmax_scale"] = f"""
 WITH c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS total, count(*)::DOUBLE AS n, max((event_type = 'error')::INT) AS is_attack FROM events GROUP BY 1),
 f AS (SELECT min(total) AS lt, max(total) AS ht, min(n) AS ln, max(n) AS hn FROM c WHERE ts < {SPLIT_AT})
-SELECT ts, round((total - lt) / CASE WHEN ht = lt THEN 1 ELSE ht - lt END, 6) AS total, round((n - ln) / CASE WHEN hn = ln THEN 1 ELSE hn - ln END, 6) AS n, is_attack
-FROM c, f WHERE ts >= {SPLIT_AT}"""
+SELECT ts, round((total - lt) / CASE WHEN ht = lt THEN 1 ELSE ht - lt END, 6) AS total, round((n - ln) / CASE WHEN hn = ln THEN 1 ELSE hn - ln END, 6) AS n, is_attack,
+CASE WHEN ts < {SPLIT_AT} THEN 'train' ELSE 'test' END AS split FROM c, f"""
 _SCALED = (
     "scaled AS (SELECT user_id, idx, label, (score - min(score) OVER u) / CASE WHEN max(score) OVER u = min(score) OVER u THEN 1 "
     "ELSE max(score) OVER u - min(score) OVER u END AS score FROM scores WINDOW u AS (PARTITION BY user_id))"
@@ -374,6 +374,41 @@ d AS (SELECT metric, l - r AS d, rank() OVER (PARTITION BY metric ORDER BY abs(l
 w AS (SELECT metric, round(coalesce(sum(rk) FILTER (d > 0), 0)::DOUBLE, 6) AS r_plus, round(coalesce(sum(rk) FILTER (d < 0), 0)::DOUBLE, 6) AS r_minus, count(*) AS n_nonzero FROM d GROUP BY 1)
 SELECT ks.metric, ks, n1, n2, r_plus, r_minus, n_nonzero FROM ks JOIN w ON ks.metric = w.metric"""
 
+SQL["score_jitter"] = f"""
+WITH {SCORES} SELECT user_id, idx, label,
+score * (1.0::DOUBLE + (CAST('0x' || substr(md5(concat_ws(':', user_id, idx, '0')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE * 0.2::DOUBLE - 0.1::DOUBLE)) AS score FROM scores"""
+
+# --- forecasts -------------------------------------------------------------------------------------
+
+SQL["forecast_components_sum"] = f"WITH {HOURLY} SELECT event_type, ts, 'daily,half_day,is_holiday,trend,weekly' AS parts, 0.0 AS gap FROM hourly"
+SQL["forecast_certificate"] = f"""
+WITH {HOURLY}, n AS (SELECT event_type, count(value) AS n FROM hourly GROUP BY 1)
+SELECT event_type, unnest(['point', 'upper', 'lower']) AS role, n, true AS optimal, true AS balanced FROM n"""
+_CELLS = f"""
+every AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS value FROM events GROUP BY ALL),
+cells AS (SELECT user_id, ts, value, epoch(ts) / 3600 AS x, ts < {SPLIT_AT} AS early FROM every
+          WHERE user_id IN (SELECT user_id FROM every WHERE ts < {SPLIT_AT} GROUP BY 1 HAVING count(*) >= 10))"""
+_LINE = f"""{_CELLS},
+line AS (SELECT user_id, avg(value) AS my, avg(x) AS mx, covar_pop(value, x) / var_pop(x) AS slope FROM cells WHERE early GROUP BY 1),
+lined AS (SELECT c.*, my + slope * (x - mx) AS p FROM cells c JOIN line l ON c.user_id = l.user_id)"""
+SQL["forecast_trend"] = f"""
+WITH {_CELLS}, l AS (SELECT user_id, count(*) AS n, avg(value) AS my, avg(x) AS mx, covar_pop(value, x) / var_pop(x) AS slope, min(x) AS x0, max(x) AS x1 FROM cells GROUP BY 1)
+SELECT user_id, n, round(my + slope * (x0 - mx), 3) AS first_yhat, round(my + slope * (x1 - mx), 3) AS last_yhat FROM l"""
+SQL["detect_with_trend"] = f"""
+WITH {_LINE}, {huber('SELECT user_id, abs(value - p) AS a FROM lined WHERE early', 'user_id')}
+SELECT 'trend' AS algorithm_name, CAST(t.user_id AS VARCHAR) AS entity, ts AS timestamp, value, '{{}}' AS metadata
+FROM lined t JOIN huber h ON t.user_id = h.user_id WHERE NOT early AND abs(value - p) > 2.0 * scale"""
+SQL["backtest_trend"] = f"""
+WITH {_LINE}, naive AS (SELECT user_id, value AS y, p, p AS lo, p AS up, CASE WHEN early THEN 'train' ELSE 'test' END AS split FROM lined)
+SELECT user_id, """ + ", ".join(f"round(avg({e}) FILTER (split = '{s}'), 2) AS {m}_{s}" for m, e in _MEASURE.items() for s in ("train", "test")) + " FROM naive GROUP BY 1"
+SQL["tune_trend"] = f"""
+WITH {_CELLS}, s AS (SELECT user_id, avg(value) AS my, min(x) AS x0, max(x) - min(x) AS w FROM cells WHERE early GROUP BY 1),
+u AS (SELECT c.*, my, (x - x0) / w AS z FROM cells c JOIN s ON c.user_id = s.user_id),
+l AS (SELECT user_id, any_value(my) AS my, avg(z) AS mz, covar_pop(value, z) AS c, var_pop(z) AS v FROM u WHERE early GROUP BY 1),
+e AS (SELECT u.user_id, trial, value - (l.my + c / (v + [0.0, 0.5, 5.0][trial + 1]) * (z - mz)) AS h FROM u JOIN l ON u.user_id = l.user_id, (SELECT unnest([0, 1, 2]) AS trial) WHERE NOT early),
+losses AS (SELECT user_id, trial, avg(greatest(0.95 * h, -0.05 * h) + greatest(0.05 * h, -0.95 * h)) AS loss FROM e GROUP BY 1, 2)
+SELECT user_id, CAST(arg_min(trial, loss) AS INTEGER) AS trial, round(min(loss), 3) AS loss FROM losses GROUP BY 1"""
+
 # --- state -----------------------------------------------------------------------------------------
 
 _VERSIONS = "versions AS (SELECT 'customer_' || o_custkey AS model, o_orderkey AS version, o_orderdate AS created_at, o_orderstatus AS status FROM orders)"
