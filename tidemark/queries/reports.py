@@ -554,7 +554,10 @@ def detect_with_trend(spark, sf):
 def backtest_trend(spark, sf):
     """Back-test of the line of every user; its bounds coincide with it."""
     rows = _user_hours(spark, sf).withColumn("split", F.when(F.col("ts") < SPLIT_AT, "train").otherwise("test"))
-    return rounded(K.back_test(rows, USER, LINE).drop("training_time", "predict_time"), digits=2)
+    out = K.back_test(rows, USER, LINE).drop("training_time", "predict_time")
+    sizes, smape = [f"{m}_{s}" for m in ("mae", "ci_sz") for s in ("train", "test")], ["smape_train", "smape_test"]
+    shares = [c for c in out.columns if c not in (*USER, *sizes, *smape)]
+    return rounded(rounded(rounded(out, *sizes, digits=2), *smape, digits=4), *shares, digits=9)
 
 
 @query

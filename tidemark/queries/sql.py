@@ -400,7 +400,7 @@ SELECT 'trend' AS algorithm_name, CAST(t.user_id AS VARCHAR) AS entity, ts AS ti
 FROM lined t JOIN huber h ON t.user_id = h.user_id WHERE NOT early AND abs(value - p) > 2.0 * scale"""
 SQL["backtest_trend"] = f"""
 WITH {_LINE}, naive AS (SELECT user_id, value AS y, p, p AS lo, p AS up, CASE WHEN early THEN 'train' ELSE 'test' END AS split FROM lined)
-SELECT user_id, """ + ", ".join(f"round(avg({e}) FILTER (split = '{s}'), 2) AS {m}_{s}" for m, e in _MEASURE.items() for s in ("train", "test")) + " FROM naive GROUP BY 1"
+SELECT user_id, """ + ", ".join(f"round(avg({e}) FILTER (split = '{s}'), { {'mae': 2, 'ci_sz': 2, 'smape': 4}.get(m, 9)}) AS {m}_{s}" for m, e in _MEASURE.items() for s in ("train", "test")) + " FROM naive GROUP BY 1"
 SQL["tune_trend"] = f"""
 WITH {_CELLS}, s AS (SELECT user_id, avg(value) AS my, min(x) AS x0, max(x) - min(x) AS w FROM cells WHERE early GROUP BY 1),
 u AS (SELECT c.*, my, (x - x0) / w AS z FROM cells c JOIN s ON c.user_id = s.user_id),
