@@ -176,3 +176,12 @@ def test_mix_awkward(spark):
     rows = {(r.source, r.doc_id): r.copies for r in got}
     assert taken.count() == sum(c * (2 if k == (None, 4) else 1) for k, c in rows.items())
     assert mixing.mixed(empty(spark)).count() == 0 and mixing.apply_mix(empty(spark), mixing.mixed(empty(spark))).count() == 0
+
+
+def test_mix_source_without_words(spark):
+    rows = [(1, None, "empty"), (2, " \n", "empty"), (3, "a b c", "words"), (4, "d e", "words"), (5, "f", None)]
+    got = {r.doc_id: r for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == 5 and got[1].target == got[2].target == 0 and got[1].copies == got[2].copies == 0
+    assert all(got[i].copies in (0, 1, 2) for i in (3, 4, 5)) and sum(got[i].copies * got[i].size for i in (3, 4)) > 0
+    only = mixing.mixed(spark.createDataFrame(rows[:2], "doc_id long, text string, source string")).collect()
+    assert [r.copies for r in only] == [0, 0]

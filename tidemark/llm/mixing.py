@@ -90,7 +90,7 @@ def _settle(last: bool, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def mix(units: DataFrame, plan: DataFrame, seed: int = 7, group: int = 4096) -> DataFrame:
     """``source, doc_id, size, source_size, target, copies`` for units ``source, doc_id, size``."""
-    copies = F.col("target") / F.col("source_size")
+    copies = F.try_divide(F.col("target"), F.col("source_size"))  # null for a source without words
     rows = units.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.coalesce(copies, F.lit(0.0)))
     rows = rows.withColumn("whole", F.floor("rate").cast("long")).withColumn("u", F.xxhash64(F.lit(seed), "doc_id", "source"))
     rows = rows.withColumn("mass", (F.col("rate") - F.col("whole")) * F.col("size")).withColumn("open", F.lit(True)).withColumn("extra", F.lit(0).cast("long"))
