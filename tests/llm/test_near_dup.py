@@ -88,3 +88,47 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_unlike_texts_under_one_id(spark):
+    rnd = random.Random(6)
+    a, b = (sentence(rnd, 100, 10**6) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " end"), (4, "only here " + sentence(rnd, 30, 10**6)), (4, a + " end more"), (1, a.upper()), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df, k=4).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True), (5, 5, True), (5, 5, True)]
+    left = sorted(near_dup.drop_near_duplicates(df).collect(), key=str)
+    assert [r.doc_id for r in left] == [1, 1, 4, 5] and {r.text for r in left if r.doc_id == 1} - {a, a.upper()} == {b}
+
+
+def test_member_that_was_hub_of_its_hub(spark):
+    """x meets h in a bucket of their own with x as hub, then h is the hub of a large bucket: the link of x to y, near h but
+    not linked to it, hangs on the differences from h."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import components as C
+
+    rnd = random.Random(1)
+    core = {f"s{i}" for i in range(200)}
+    sets = {"h": core}
+    mark = {f"e{i}" for i in range(60)}
+    sets["x"], sets["y"] = core | mark, core | mark | {"z"}
+    sets |= {f"m{i}": core | {f"o{i}-{j}" for j in range(10)} for i in range(90)}
+    sets["f"] = {f"far{i}" for i in range(200)}
+    # ids that make x the first hub (the smallest id) and h the hub of the second round (the largest hash)
+    second = spark.range(1, len(sets)).orderBy(F.desc(F.xxhash64(F.lit(0), "id"))).first().id
+    rest = iter(i for i in range(1, len(sets)) if i != second)
+    ids = {n: 0 if n == "x" else second if n == "h" else next(rest) for n in sets}
+    bands = [("K1", ids[n]) for n in "xh"] + [("K2", ids[n]) for n in sets]
+    bands += [(f"L{i}", ids["f"]) for i in range(3)] + [(f"L{i}", ids[n]) for i in range(3) for n in [m for m in sets if m[0] == "m"][30 * i:30 * i + 30]]
+    code = {e: i for i, e in enumerate(sorted(set().union(*sets.values())))}
+    table = spark.createDataFrame([(ids[n], sorted(code[e] for e in s)) for n, s in sets.items()], "id long, s array<long>")
+
+    def test(pairs, least):
+        side = lambda c: table.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
+        rows = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", F.size("s_b").cast("long").alias("n"), F.array_except("s_b", "s_a").alias("gone"), F.array_except("s_a", "s_b").alias("new"))
+        return rows.filter(100 * (F.col("n") - F.size("gone")) >= least * (F.col("n") + F.size("new")))
+
+    comp = {r.node: r.component for r in C.bucket_components(spark.createDataFrame(bands, "key string, id long"), test, 80).collect()}
+    assert comp[ids["x"]] == comp[ids["y"]]

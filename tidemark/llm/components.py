@@ -58,6 +58,15 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested, ["a", "b"], "left_anti").join(turned, ["a", "b"], "left_anti")
 
 
+def _turned(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows of ``near`` for members that were hub of their present hub before: no second test, but each hub has all its
+    members in the search by differences."""
+    wanted = _pairs(F.col("id"), F.col("hub"), members).join(near.select("a", "b"), ["a", "b"], "left_anti")
+    old = near.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") - F.col("r") + F.col("m")).alias("n"), F.col("m").alias("r"), F.col("r").alias("m"),
+                      F.col("new").alias("gone"), F.col("gone").alias("new"))
+    return old.join(wanted, ["a", "b"], "left_semi")
+
+
 def _sized(tested: DataFrame) -> DataFrame:
     return tested.select("a", "b", "n", F.size("gone").cast("long").alias("r"), F.size("new").cast("long").alias("m"), "gone", "new")
 
@@ -120,7 +129,10 @@ def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFra
         rows = shared_table(still.select("key", "id").join(hubs, "key").filter("id <> hub"), "members")
         pairs = _pairs(F.col("id"), F.col("hub"), rows)
         pairs = shared_table(pairs if tested is None else _untested(pairs, tested), "tests")
-        new = shared_table(_sized(test(pairs, NEAR)), "near")
+        new = _sized(test(pairs, NEAR))
+        if turn:
+            new = new.unionByName(_turned(rows, near))
+        new = shared_table(new, "near")
         tested, near = (pairs, new) if tested is None else (tested.unionByName(pairs), near.unionByName(new))
         met = near.select(F.col("a").alias("id"), F.col("b").alias("hub"), _linked(percent).alias("linked"))
         met = met.unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("hub"), _linked(percent).alias("linked")))

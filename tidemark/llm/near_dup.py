@@ -13,8 +13,8 @@ registers are the more likely the more similar two sets are. Steps:
    whole texts.
 5. Components of all links by star steps.
 
-Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows with equal ids share
-one component; rows without id are linked with nothing and kept; an empty table gives an empty result; other columns
+Defined results: null, empty and blank texts have an empty set and are linked with nothing; equal rows share one
+component; unlike texts under one id are classes of their own, each kept or linked by itself; rows without id are linked with nothing and kept; an empty table gives an empty result; other columns
 are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, shared_table, sized
+from tidemark.llm.common import fresh, give_back, shared_table, sized, small_batches
 from tidemark.llm.components import bucket_components
 from tidemark.llm.textnp import BASE, Words, mix, slices, text_shingles
 
@@ -77,8 +77,15 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, threshold: float
     return best >= threshold or float(ll[grid >= threshold - 1e-9].max(initial=-np.inf)) >= float(ll.max()) - nats
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set, as signed integers."""
+    sums = mix(shingles).sum(dtype=np.uint64), mix(shingles ^ np.uint64(BASE)).sum(dtype=np.uint64)
+    return tuple(int(x.astype(np.int64)) for x in sums)
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc_id, n, h1, h2, regs`` of every row; ``regs`` is null for an empty set."""
+    """``doc_id, tie, n, h1, h2, regs`` of every row: the hash of its text, size and fingerprint of its set, and the
+    registers, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -94,18 +101,21 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     for r, d in enumerate(full):
                         own = np.unique(sh[first[d]:first[d + 1]])
                         n[d], regs[d] = len(own), made[r].tobytes()
-                        h[0, d], h[1, d] = mix(own).sum(dtype=np.uint64), mix(own ^ np.uint64(BASE)).sum(dtype=np.uint64)
+                        h[:, d] = np.array(fingerprint(own), np.int64).view(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(offs) - 1), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(regs, pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "regs"])
+                    [ids.slice(at, len(offs) - 1), batch.column(2).slice(at, len(offs) - 1), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(regs, pa.binary())],
+                    ["doc_id", "tie", "n", "h1", "h2", "regs"])
+        give_back()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, regs binary")
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), tie.alias("tie")).mapInArrow(
+        run, "doc_id long, tie long, n long, h1 long, h2 long, regs binary")
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
     """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more: likelihood first, then the full
-    sets. Several pairs of one b follow each other, so its set is made once."""
+    sets. Several pairs of one b follow each other, so its set is made once. Of several texts under the document id of
+    a class, the one with the class's fingerprint counts."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,26 +130,32 @@ def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least:
         words, held, b_set = Words(), None, None
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("t_a"), batch.column("t_b")):
-                if b != held:
-                    held, b_set = b, text_shingles(words, tb.as_py(), k)
+            c = {name: batch.column(name) for name in batch.schema.names}
+            for a, b, h_a, h_b, ta, tb in zip(*(c[x].to_pylist() for x in ("a", "b", "h_a", "h_b")), c["t_a"], c["t_b"]):
+                if (b, tb) != held:
+                    held, b_set = (b, tb), text_shingles(words, tb.as_py(), k)
                 a_set = text_shingles(words, ta.as_py(), k)
+                if fingerprint(a_set)[0] != h_a or fingerprint(b_set)[0] != h_b:
+                    continue
                 gone = np.setdiff1d(b_set, a_set, assume_unique=True)
                 both = len(b_set) - len(gone)
                 if 100 * both >= least * (len(a_set) + len(gone)):
                     out.append((a, b, len(b_set), gone.view(np.int64), np.setdiff1d(a_set, b_set, assume_unique=True).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if j < 3 else pa.list_(pa.int64())) for j in range(5)], ["a", "b", "n", "gone", "new"])
+        give_back()
 
     close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long")
     close = shared_table(close, "near-pairs")
     needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    own = texts.join(sized(needed), "id", "left_semi").dropDuplicates(["id"])  # hashed by id, as the next join needs it
-    rows = close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
-    return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
+    needed = needed.join(sets.select("id", "doc", "h1"), "id")
+    own = texts.join(sized(needed), "doc").withColumn("tie", F.xxhash64("text")).dropDuplicates(["id", "tie"])
+    end = lambda x: own.select(F.col("id").alias(x), F.col("h1").alias(f"h_{x}"), F.col("text").alias(f"t_{x}"))
+    rows = close.join(end("a"), "a").join(end("b"), "b")
+    return rows.select("a", "b", "h_a", "h_b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
 
 
 def links(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``node, component`` of the sets (``id, n, regs``) that have a link."""
+    """``node, component`` of the sets (``id, doc, h1, n, regs``) that have a link; ``texts (doc, text)``."""
     bands = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("band"), "regs").select(
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id")
     return bucket_components(bands, lambda pairs, least: _tested(pairs, sets, texts, k, least), percent)
@@ -147,28 +163,48 @@ def links(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    made = shared_table(sketches(df, id_col, text_col, k), "near-sketches")
-    classes = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
-    classes = shared_table(classes, "near-classes")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    comp = links(classes.select("id", "n", "regs"), texts, k, percent)
-    label = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("root"))
+    marked = _marked(df, id_col, text_col, k, percent)
+    return marked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``doc_id, tie, h1, h2, n, component_id, kept`` of every row. Nodes are classes of equal sets, not document ids, so
+    unlike texts under one id are linked apart."""
+    spark = df.sparkSession
+    with small_batches(spark):
+        made = shared_table(sketches(df, id_col, text_col, k), "near-sketches")
+    classes = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs"))
+    classes = shared_table(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    with small_batches(spark):
+        comp = links(classes.select("id", "doc", "h1", "n", "regs"), texts, k, percent).withColumnRenamed("node", "id")
+    joined = classes.select("id", "doc", "h1", "h2", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stays = comp.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
+    label = joined.join(stays, "component", "left").select(
+        "h1", "h2", "n", F.coalesce("least.doc", "doc").alias("root"), F.coalesce(F.col("least.id") == F.col("id"), F.lit(True)).alias("own"))
     out = made.drop("regs").join(label, ["h1", "h2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` without the documents whose component has a smaller id, with all its columns;
-    of rows that share an id one stays."""
-    row, gone = fresh("row"), fresh("gone")
-    marks = shared_table(near_duplicates(df, id_col, text_col, **options), "near-marks")
-    dropped = marks.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    kept = F.coalesce((F.col("doc_id") == F.col("component_id")) & F.coalesce("own", F.lit(True)), F.lit(True))
+    return out.select("doc_id", "tie", "h1", "h2", "n", "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` without the documents whose component has a smaller id, with all its columns; of rows that share an id and
+    a set one stays. Unlike texts under one id are judged apart, each by its own text."""
+    row, own, tie = fresh("row"), fresh("id"), fresh("tie")
+    marks = shared_table(_marked(df, id_col, text_col, k, percent), "near-marks")
+    group = ["doc_id", "h1", "h2", "n"]
+    again = marks.filter("kept AND doc_id IS NOT NULL").groupBy(*group).agg(F.min("tie").alias("one"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    again = shared_table(again, "near-again")
+    several = not again.isEmpty()
+    dropped = marks.filter("NOT kept").select("doc_id", "tie")
+    if several:
+        dropped = dropped.unionByName(marks.filter("kept").join(again, group).filter("tie <> one").select("doc_id", "tie"))
+    dropped = dropped.distinct().toDF(own, tie)
     boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row))
-    own = F.col(row)[id_col].cast("long")
-    left = boxed.join(sized(dropped), own == F.col(gone), "left_anti")
-    again = marks.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(gone)).count().filter("count > 1").select(gone)
-    if not again.isEmpty():  # rows that share an id: one of them stays
-        again = shared_table(again, "near-again")
-        one = left.join(again, own == F.col(gone), "left_semi").withColumn(gone, own).groupBy(gone).agg(F.first(row).alias(row))
-        left = left.join(again, own == F.col(gone), "left_anti").unionByName(one.select(row))
+    boxed = boxed.withColumn(own, F.col(row)[id_col].cast("long")).withColumn(tie, F.xxhash64(F.coalesce(F.col(row)[text_col], F.lit(""))))
+    left = boxed.join(sized(dropped), [own, tie], "left_anti")
+    if several:  # equal rows: one of them stays
+        equal = again.select("doc_id", "one").distinct().toDF(own, tie)
+        one = left.join(equal, [own, tie], "left_semi").groupBy(own, tie).agg(F.first(row).alias(row))
+        left = left.join(equal, [own, tie], "left_anti").unionByName(one.select(*left.columns))
     return left.select(f"{row}.*")
