@@ -18,6 +18,7 @@ separate records, ordered by a hash of their text; an empty table gives no recor
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_table, tasks, work_dir
+from tidemark.llm.common import give_back, shared_table, small_batches, tasks, work_dir
 
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, META = "<QI", "<I", "<Bq"
@@ -75,24 +76,43 @@ def decode(payload: bytes | memoryview):
     return None if flags & 1 else doc, ids
 
 
-def word_encoder(path: str, wide: bool, remember: int = 96 << 20):
-    """A function from text bytes to packed ids that works word by word and remembers words.
+class WordMemory:
+    """Packed ids of the words a task has met before.
+
+    ``most`` bounds the bytes its keys, values and table take, as Python reports them; beyond it all words are forgotten.
+    It goes with its task.
+    """
+
+    def __init__(self, path: str, most: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = {i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith("</w>")}
+        self.most, self.ids, self.content = most, {}, 0
+
+    def learn(self, word: bytes, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.content += sys.getsizeof(word) + sys.getsizeof(ids)
+
+    def full(self) -> bool:
+        return self.content + sys.getsizeof(self.ids) > self.most
+
+    def forget(self) -> None:
+        self.ids, self.content = {}, 0
+
+
+def word_encoder(path: str, wide: bool, remember: int = 48 << 20):
+    """A function from text bytes to packed ids that works word by word and remembers words, and its memory.
 
     ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
     together where their number of pieces is known, a letter run being one piece and a punctuation mark after it
-    another; the ends of pieces tell them apart, and any doubt sends them through one by one. The memory is bounded by
-    ``remember`` bytes and kept with the library's module, so that later tasks of a Python worker find it.
+    another; the ends of pieces tell them apart, and any doubt sends them through one by one.
     """
     from array import array
 
-    import tokenizers
-
-    own = tokenizers.__dict__.setdefault("_remembered_words", {})
-    if (path, wide) not in own:
-        tok = tokenizers.Tokenizer.from_file(path)
-        own[path, wide] = tok, {i for t, i in tok.get_vocab(True).items() if t.endswith("</w>")}, {}
-    tok, ends, known = own[path, wide]
-    code, marks, held = "I" if wide else "H", frozenset(".,;:!?|%$*#&"), [sum(len(w) + len(i) + 150 for w, i in known.items())]
+    memory = WordMemory(path, remember)
+    tok, ends = memory.tokenizer, memory.ends
+    code, marks = "I" if wide else "H", frozenset(".,;:!?|%$*#&")
 
     def ids_of(text: str) -> list[int]:
         return tok.encode(text, add_special_tokens=False).ids
@@ -113,26 +133,25 @@ def word_encoder(path: str, wide: bool, remember: int = 96 << 20):
             start, at = 0, 0
             for (w, _), n in zip(joined, pieces):
                 at += n
-                known[w] = array(code, all_ids[start:cuts[at - 1]]).tobytes()
+                memory.learn(w, array(code, all_ids[start:cuts[at - 1]]).tobytes())
                 start = cuts[at - 1]
         else:
             rest += joined
         for w, text in rest:
-            known[w] = array(code, ids_of(text)).tobytes()
-        held[0] += sum(len(w) + len(known[w]) + 150 for w in new)
+            memory.learn(w, array(code, ids_of(text)).tobytes())
 
     def run(text: bytes) -> bytes:
         words = text.split()
-        ids = list(map(known.get, words))
+        ids = list(map(memory.ids.get, words))
         if None in ids:
-            if held[0] > remember:
-                known.clear()
-                held[0], ids = 0, [None] * len(words)
+            if memory.full():
+                memory.forget()
+                ids = [None] * len(words)
             learn(list({w for w, i in zip(words, ids) if i is None}))
-            ids = list(map(known.get, words))
+            ids = list(map(memory.ids.get, words))
         return b"".join(ids)
 
-    return tok, run
+    return memory, run
 
 
 def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
@@ -147,13 +166,15 @@ def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_i
     order = [F.col("id").asc_nulls_first(), F.col("tie"), F.col("row")]
     placed = rows.repartitionByRange(files or tasks(df.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
 
+    from tokenizers import Tokenizer
+
+    wide = Tokenizer.from_file(path).get_vocab_size(True) > 65536
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array
 
-        from tokenizers import Tokenizer
-
-        wide = Tokenizer.from_file(path).get_vocab_size(True) > 65536
-        tok, fast = word_encoder(path, wide)
+        memory, fast = word_encoder(path, wide)
+        tok = memory.tokenizer
         code = "I" if wide else "H"
         last = array(code, [end_id]).tobytes()
         for batch in batches:
@@ -168,9 +189,12 @@ def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_i
                     out_rows, held = [], 0
             if out_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary())], ["frame"])
+        memory.forget()
+        give_back()
 
-    placed.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame")).write.option(
-        "maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(out)
+    with small_batches(df.sparkSession):
+        placed.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame")).write.option(
+            "maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(out)
     return out
 
 
