@@ -1,6 +1,9 @@
 import hashlib
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import chat
 
 RECORDS = [
@@ -56,3 +59,25 @@ def test_query_hashes(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (
             len(want[r.conv_id]), sha("".join(f"{a}\n{b}\n" for a, b in want[r.conv_id])), len(loss), sha(loss))
         assert r.formatted_chars >= len(loss)
+
+
+@pytest.mark.parametrize("size", [6, 24])
+def test_conversations_beyond_a_variant(spark, size):
+    """Texts of 6 MB fit a variant, longer ones are read from the record's text; every layout comes back whole."""
+    piece = 'wörd "quoted" \\ back\n'
+    times = (size << 20) // len(piece.encode())
+    records = [
+        {"messages": [{"role": "user", "content": "@"}, {"role": "assistant", "content": "yes"}]}, {"prompt": "p", "response": "@"},
+        {"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "@"}]}, {"dialog": {"system": "s", "turns": [{"speaker": "user", "text": "@"}]}},
+        {"instruction": "i", "input": "@", "output": None}, {"messages": [{"role": "user", "content": "@", "name": "n"}]}, {"unknown": "@"},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, shape string").repartition(len(records))
+    long = F.repeat(F.lit(json.dumps(piece)[1:-1]), times)
+    rows = rows.select("id", F.concat(F.substring_index("shape", "@", 1), long, F.substring_index("shape", "@", -1)).alias("record"))
+    turn = lambda t: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("n"), F.sha2(t["text"], 256).alias("sha"))
+    got = {r.id: r for r in chat.canonical(rows).select("id", "layout", F.transform("turns", turn).alias("turns")).collect()}
+    sha = hashlib.sha256((piece * times).encode()).hexdigest()
+    seen = lambda i: [(t.role, "long" if (t.n, t.sha) == (len(piece) * times, sha) else t.n) for t in got[i].turns]
+    assert [got[i].layout for i in range(7)] == ["messages", "prompt", "conversations", "nested", "instruction", None, None]
+    assert seen(0) == [("user", "long"), ("assistant", 3)] and seen(1) == [("user", 1), ("assistant", "long")] and seen(2) == [("user", 1), ("assistant", "long")]
+    assert seen(3) == [("system", 1), ("user", "long")] and seen(4) == [("system", 1), ("user", "long"), ("assistant", 0)] and seen(5) == seen(6) == []

@@ -15,6 +15,7 @@ ignored. A conversation becomes one string, so all its turns meet in one row.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh
+
 TURNS = "array<struct<role: string, text: string>>"
+#: Texts up to this many bytes always fit a variant, if they are JSON.
+LONG = 4 << 20
+LONGEST = str(2**31 - 1)
 
 
 @dataclass(frozen=True)
@@ -73,17 +79,62 @@ def _mapped(v: Column, layout: Layout) -> Column:
     return F.concat(*parts).cast(TURNS)
 
 
+def _fields(text: Column) -> Column:
+    """The fields of a JSON object and their values as texts, however long."""
+    return F.from_json(text, "map<string,string>", {"maxStringLen": LONGEST})
+
+
+def _items(text: Column) -> Column:
+    return F.from_json(text, "array<map<string,string>>", {"maxStringLen": LONGEST})
+
+
+def _has_fields(text: Column, example: dict) -> Column:
+    """True where a JSON text has the fields of the example, at every level, and no others."""
+    same = lambda m, keys: F.array_sort(F.map_keys(m)) == F.array(*[F.lit(k) for k in sorted(keys)])
+    fields = _fields(text)
+    fits = same(fields, example)
+    for name, value in example.items():
+        if isinstance(value, dict):
+            fits = fits & _has_fields(fields[name], value)
+        elif isinstance(value, list):
+            items = _items(fields[name])
+            fits = fits & items.isNotNull() & F.forall(items, lambda m: same(m, value[0]))
+    return F.coalesce(fits, F.lit(False))
+
+
+def _mapped_text(text: Column, layout: Layout) -> Column:
+    """``_mapped`` straight from the text, for records that no variant can hold."""
+    at = lambda path: reduce(lambda c, name: _fields(c)[name], path.split(".")[1:], text)
+    parts = [F.array(F.struct(F.lit(role).alias("role"), F.coalesce(at(path), F.lit("")).alias("text"))) for role, path in layout.fields]
+    if layout.turns:
+        name = F.create_map(*[F.lit(x) for pair in layout.roles.items() for x in pair]) if layout.roles else None
+        role = lambda t: F.coalesce(*([name[t[layout.role]]] if name is not None else []), t[layout.role], F.lit(""))
+        turns = F.coalesce(_items(at(layout.turns)), F.array().cast("array<map<string,string>>"))
+        parts.append(F.transform(turns, lambda t: F.struct(role(t).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text"))))
+    return F.concat(*parts).cast(TURNS)
+
+
 def canonical(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``df`` with ``layout`` and canonical ``turns`` instead of the record."""
-    df = df.withColumn("__v", F.try_parse_json(record)).withColumn("__f", fingerprint(F.col("__v")))
+    """``df`` with ``layout`` and canonical ``turns`` instead of the record.
+
+    A variant holds some 16 MB. Longer records are read from their text: the layout whose fields they have, level by
+    level, is the one the hash of their paths would select.
+    """
+    v, f = fresh("variant"), fresh("fingerprint")
+    df = df.withColumn(v, F.try_parse_json(record)).withColumn(f, fingerprint(F.col(v)))
     known = [(fingerprint(F.parse_json(F.lit(x.example))), x) for x in layouts]
     # an empty list shows no fields of its elements
     known += [(fingerprint(F.parse_json(F.lit(re.sub(r"\[.*?\]", "[]", x.example)))), x) for x in layouts if x.turns]
     name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for f, x in reversed(known):
-        hit = F.col("__f") == f
-        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, _mapped(F.col("__v"), x)).otherwise(turns)
-    return df.withColumn("layout", name).withColumn("turns", turns).drop("__v", "__f", record)
+    for h, x in reversed(known):
+        hit = F.col(f) == h
+        name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, _mapped(F.col(v), x)).otherwise(turns)
+    long_name, long_turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    for x in reversed(layouts):
+        hit = _has_fields(F.col(record), json.loads(x.example))
+        long_name, long_turns = F.when(hit, F.lit(x.name)).otherwise(long_name), F.when(hit, _mapped_text(F.col(record), x)).otherwise(long_turns)
+    unread = F.col(v).isNull() & (F.octet_length(record) > LONG)
+    return df.withColumn("layout", F.when(unread, long_name).otherwise(name)).withColumn("turns", F.when(unread, long_turns).otherwise(turns)).drop(v, f, record)
 
 
 @dataclass(frozen=True)
@@ -122,13 +173,14 @@ def formatted(df: DataFrame, key: str, template: Template = Template(), learn: t
 
 def parsed(df: DataFrame, template: Template = Template()) -> DataFrame:
     """``df`` of ``formatted, loss`` with the ``turns`` and the ``loss_text`` read back from them."""
+    p = fresh("pieces")
     pieces = F.split("formatted", re.escape(template.end))
-    df = df.withColumn("__p", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.substring(p, len(template.mark) + 1, F.length(p))))
-    df = df.withColumn("turns", F.transform("__p", lambda p: F.struct(
+    df = df.withColumn(p, F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.substring(p, len(template.mark) + 1, F.length(p))))
+    df = df.withColumn("turns", F.transform(p, lambda p: F.struct(
         F.url_decode(F.substring_index(p, "\n", 1)).alias("role"),
         template.unescape(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))).alias("text"))))
     texts = F.transform("loss", lambda s: template.unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"])))
-    return df.withColumn("loss_text", F.array_join(texts, "")).drop("__p")
+    return df.withColumn("loss_text", F.array_join(texts, "")).drop(p)
 
 
 def records_of_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
