@@ -36,6 +36,26 @@ def test_page_with_all_parts(model):
     assert read(model, source) == "The title\nFirst paragraph, with bold & more <x>.\nSecond paragraph."
 
 
+@pytest.mark.parametrize("inside, want", [
+    ("First line of verse<br>Second<br/>third", "First line of verse Second third"), ("<div>It is here<hr>second part</div>", "It is here\nsecond part"),
+    ("One<p></p>two<div></div>three", "One\ntwo\nthree"), ("a &amp; b &am<b>p;</b> c &lt;p&gt;", "a & b &amp; c <p>"), ("x&nbsp;y<b>z</b> w", "x yz w")])
+def test_breaks_blocks_and_references(inside, want):
+    page = Page(f"<html><body><article>{inside}</article></body></html>")
+    assert page.main_text([True] * len(page.tag)) == want
+
+
+def test_reader_is_linear_in_open_elements():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        Page("<span>" * n + "<li>x" * n + "<td>y" * n)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 40 * max(seconds(1_000), 0.01)
+
+
 def test_decoding_has_no_kept_child_below_a_dropped_parent():
     rnd = random.Random(8)
     for _ in range(50):

@@ -110,17 +110,23 @@ class Page:
                 if self.tag[stack[-1]] == "p":
                     pop()
             if tag in CLOSES:
-                for depth in range(len(stack) - 1, 0, -1):
+                depth = len(stack) - 1
+                while depth > 0 and any(open_tags.get(t) for t in CLOSES[tag]):
                     name = self.tag[stack[depth]]
                     if name in CLOSES[tag]:
                         while len(stack) > depth:
                             pop()
                     elif name in BORDER:
                         break
+                    depth -= 1
             self.tag.append(tag)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
             self._attributes(inside)
+            if tag in BLOCK:  # parts the texts before and after it, also where it is empty
+                self.texts.append((len(self.tag) - 1, ""))
+            elif tag == "br":
+                add_text("\n")
             if tag in VOID or inside.endswith("/"):
                 continue
             if tag in RAW:
@@ -213,20 +219,14 @@ class Page:
             block[e] = e if self.tag[e] in BLOCK else block[self.parent[e]]
         blocks: list[list[str]] = []
         at = None
-        starts = iter(range(1, n))
-        nxt = next(starts, n)
         for e, text in self.texts:
-            while nxt <= e:  # a new block element, or a line break, parts what stands before and after
-                if self.tag[nxt] in BLOCK:
-                    at = None
-                elif self.tag[nxt] == "br" and blocks and at is not None:
-                    blocks[-1].append(" ")
-                nxt = next(starts, n)
+            if not text:  # a block element begins
+                at = None
             if not keep[e]:
                 continue
             if at != block[e]:
                 blocks.append([])
                 at = block[e]
-            blocks[-1].append(text)
-        lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+            blocks[-1].append(html.unescape(text))
+        lines = (" ".join("".join(b).split()) for b in blocks)
         return "\n".join(x for x in lines if x)

@@ -7,7 +7,7 @@ nothing is kept below a dropped element. Parsing, features, trees and decoding r
 Training. There are no labelled pages, so labelled ones are made: the text blocks of a bounded sample of pages
 (``sample_pages``, the smallest hashes of the url) are laid out anew in random page designs whose parts are known
 (article, menus, headers, footers, sidebars, notices, adverts, forms, comments, with usual and with bare markup). The
-model sees densities and structure, no words of the text. Of each sampled page only the first 20,000 characters give
+model sees densities and structure, no words of the text. Of each sampled page the first ``sample_chars`` characters give
 blocks, so block lengths and marks further down a long page are not in the training; extraction reads whole pages. The
 model is trained once per call on the driver from that sample;
 ``sample_pages`` x ``designs`` bounds the work whatever the table's size.
@@ -34,9 +34,9 @@ from tidemark.llm.gbt import Forest, fit
 FILLER = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
 
 
-def sample_blocks(pages: DataFrame, html_col: str, url_col: str, sample_pages: int) -> list[str]:
+def sample_blocks(pages: DataFrame, html_col: str, url_col: str, sample_pages: int, sample_chars: int = 20_000) -> list[str]:
     """Text blocks of a bounded sample, tags removed; only their lengths and marks matter."""
-    rows = pages.select(F.substring(F.col(html_col), 1, 20_000).alias("h"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("o")).filter("h IS NOT NULL")
+    rows = pages.select(F.substring(F.col(html_col), 1, sample_chars).alias("h"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("o")).filter("h IS NOT NULL")
     lowest = [r.o for r in rows.select("o").orderBy("o").limit(sample_pages).collect()]  # hashes only: no task sends pages that are not taken
     rows = rows.filter(F.col("o").isin(lowest)).dropDuplicates(["o"])
     out = []
@@ -167,9 +167,10 @@ def _marks(source: str) -> list[int]:
     return seen
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 200, designs: int = 700, model: Forest | None = None) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = 200, designs: int = 700, model: Forest | None = None,
+            sample_chars: int = 20_000) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    model = model or train(sample_blocks(pages, html_col, url_col, sample_pages), designs)
+    model = model or train(sample_blocks(pages, html_col, url_col, sample_pages, sample_chars), designs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
