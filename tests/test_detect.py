@@ -195,6 +195,32 @@ def test_unfinished_run_is_invisible(spark, tmp_path):
     assert {r.run_id for r in store.read("runs").collect()} == {"r1", "r4", "r5"}  # r1 carries a live version
 
 
+def test_state_stays_bounded_and_readers_see_one_version(spark, tmp_path):
+    root = tmp_path / "s"
+    store = V.StateStore(spark, str(root))
+    row = lambda i, run: spark.createDataFrame([(f"m{i % 3}", "a", "{}", i, "ok", None, run)], V.SCHEMAS["reports"]).coalesce(1)
+    for i in range(30):
+        store.append("reports", row(i, f"r{i}"))
+        if i % 10 != 9:  # every tenth run is lost
+            store.commit(f"r{i}", "run", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i))
+        if i == 20:
+            reader = V.StateStore(spark, str(root)).read("reports")
+            before = reader.count()
+        if i % 4 == 3:
+            store.tidy(max_files=6)
+        if i == 23:
+            assert reader.count() == before  # a reader from before the last rewrite
+    want = {i for i in range(30) if i % 10 != 9}
+    assert {r.n for r in V.StateStore(spark, str(root)).read("reports").collect()} == want
+    V.trim_runs(store, "run", 5)
+    files = [f for f in root.rglob("part-*.parquet")]
+    assert len(files) < 45 and len(list((root / "_manifest").iterdir())) <= V.KEEP
+    assert store.tidy(max_files=0) and store.files("reports") == 1
+    assert {r.n for r in V.StateStore(spark, str(root)).read("reports").collect()} == want & set(range(24, 30))
+    (root / "_manifest" / "v=999").mkdir()  # a manifest that was never completed does not count
+    assert V.StateStore(spark, str(root)).read("reports").count() == len(want & set(range(24, 30)))
+
+
 def test_retrain_rule(spark):
     models = spark.createDataFrame([("m", dt.datetime(2024, 1, 1))], "model string, created_at timestamp_ntz")
     now = dt.datetime(2024, 1, 8)

@@ -1,9 +1,14 @@
 """Model versions, detector state and runs as tables; incremental scoring and retraining.
 
-Every table is a folder of generations. Appends go to the newest generation; a rewrite (retention)
-writes a new one and records it only after the data is complete. Rows carry the id of the run that
-wrote them and count only once that run is recorded in ``runs``, the last write of a run. So a lost
-job leaves nothing half visible and can be run again under a new id.
+Every table is a folder of generations. Appends go to the newest generation; a rewrite (retention, compaction)
+writes a new one. Which generation of each table counts is said by the newest complete manifest, a small folder written
+after the data. Rows carry the id of the run that wrote them and count only once that run is recorded in ``runs``, the
+last write of a run. So a lost job leaves nothing half visible and can be run again under a new id.
+
+Runs leave many small files. ``tidy`` rewrites a table whose newest generation has more than ``max_files``: rows of
+completed runs that are still listed stay, rows of lost and trimmed runs go. Manifests before the last ``KEEP`` and
+generations that these do not name are deleted, so a reader that opened a table still finds its files while the next
+generation is written, and reads never scan history.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ SCHEMAS = {
                                        T.StructField("ts", NTZ), T.StructField("value", T.DoubleType())]),
     "reports": T.StructType([T.StructField("model", STR), T.StructField("algorithm_name", STR), T.StructField("entity_keys", STR),
                              T.StructField("n", T.LongType()), T.StructField("status", STR), T.StructField("reason", STR), T.StructField("run_id", STR)]),
-    "_generations": T.StructType([T.StructField("table", STR), T.StructField("generation", T.LongType())]),
+    "_manifest": T.StructType([T.StructField("table", STR), T.StructField("generation", T.LongType())]),
 }
+#: Manifests that stay, the newest included.
+KEEP = 2
 
 
 class StateStore:
@@ -64,10 +71,31 @@ class StateStore:
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema)
 
+    def _folder(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, *path: str) -> list[str]:
+        folder, fs = self._folder(os.path.join(self.root, *path))
+        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+    def _drop(self, *path: str) -> None:
+        folder, fs = self._folder(os.path.join(self.root, *path))
+        fs.delete(folder, True)
+
+    def _manifests(self) -> list[int]:
+        """Numbers of the complete manifests in order."""
+        found = sorted(int(n[2:]) for n in self._names("_manifest") if n.startswith("v="))
+        return [n for n in found if "_SUCCESS" in self._names("_manifest", f"v={n}")]
+
+    def _manifest(self, number: int) -> dict[str, int]:
+        rows = self._load(os.path.join(self.root, "_manifest", f"v={number}"), "_manifest").collect()  # one row per state table
+        return {r["table"]: r["generation"] for r in rows}
+
     def _generation(self, table: str) -> int:
         if self._known is None:
-            found = self._load(os.path.join(self.root, "_generations"), "_generations").groupBy("table").agg(F.max("generation").alias("g"))
-            self._known = {r["table"]: r["g"] for r in found.collect()}  # one row per state table
+            numbers = self._manifests()
+            self._known = self._manifest(numbers[-1]) if numbers else {}
         return self._known.get(table, 0)
 
     def append(self, table: str, df: DataFrame) -> None:
@@ -79,11 +107,49 @@ class StateStore:
         return rows if table == "runs" else join_on(rows, self.read("runs").select("run_id").distinct(), ["run_id"], "left_semi")
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """A new generation with the rows of ``df``; readers switch once it is complete."""
-        nxt = self._generation(table) + 1
-        df.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(self._path(table, nxt))
-        self.spark.createDataFrame([(table, nxt)], SCHEMAS["_generations"]).write.mode("append").parquet(os.path.join(self.root, "_generations"))
-        self._known[table] = nxt
+        """A new generation with the rows of ``df``; readers switch once its manifest is complete."""
+        self.replace_all({table: df})
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> None:
+        """New generations of several tables under one manifest: a reader sees all of them or none."""
+        now = {**{t: self._generation(t) for t in tables}, **self._known}
+        for table, df in tables.items():
+            now[table] = self._generation(table) + 1
+            df.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(self._path(table, now[table]))
+        numbers = self._manifests()
+        number = numbers[-1] + 1 if numbers else 1
+        rows = self.spark.createDataFrame(sorted(now.items()), SCHEMAS["_manifest"]).coalesce(1)
+        rows.write.mode("overwrite").parquet(os.path.join(self.root, "_manifest", f"v={number}"))
+        self._known = now
+        self._forget(number)
+
+    def _forget(self, newest: int) -> None:
+        """Delete manifests before the last ``KEEP`` and the generations that only they name."""
+        numbers = [n for n in self._manifests() if n <= newest]
+        kept = [self._manifest(n) for n in numbers[-KEEP:]]
+        for n in numbers[:-KEEP]:
+            self._drop("_manifest", f"v={n}")
+        for table in SCHEMAS:
+            oldest = min(m.get(table, 0) for m in kept)
+            for name in self._names(table):
+                if name.startswith("gen=") and int(name[4:]) < oldest:
+                    self._drop(table, name)
+
+    def files(self, table: str) -> int:
+        """Data files of the newest generation."""
+        return sum(n.startswith("part-") for n in self._names(table, f"gen={self._generation(table)}"))
+
+    def tidy(self, max_files: int = 64) -> list[str]:
+        """Rewrite tables of more than ``max_files`` files, for the job that holds the store; returns their names."""
+        done = [t for t in SCHEMAS if not t.startswith("_") and self.files(t) > max_files]
+        rewritten = {}
+        for table in done:
+            folder, fs = self._folder(self._path(table, self._generation(table)))
+            size = fs.getContentSummary(folder).getLength()
+            rewritten[table] = self.read(table).repartition(max(1, min(max_files, -(-size // (128 << 20)))))
+        if rewritten:
+            self.replace_all(rewritten)
+        return done
 
     def commit(self, run_id: str, name: str, start, params: dict[str, str] | None = None) -> None:
         self.append("runs", self.spark.createDataFrame([(run_id, name, start, params or {})], SCHEMAS["runs"]))
@@ -192,6 +258,7 @@ def train_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
     retire_models(store, conf.name, mode, names)
     trim_versions(store)
     trim_runs(store, f"training_{conf.name}", keep_runs)
+    store.tidy()
     return names
 
 
@@ -277,4 +344,6 @@ def score_detector(store: StateStore, catalog: Catalog, conf: D.DetectorConfig,
         _add_version(store, versions, row["model"], {**tags, "last_evaluation_ts": str(last)}, row["created_at"], run_id)
     store.commit(run_id, f"inference_{conf.name}", now)
     trim_versions(store)
+    trim_runs(store, f"inference_{conf.name}")
+    store.tidy()
     return retrain
