@@ -287,6 +287,25 @@ def test_wilcoxon_p_by_enumeration():
     assert math.isnan(K.wilcoxon_p(0, 0, 0, 0)) and K.wilcoxon_p(400, 875, 50, 0) == K.wilcoxon_p(400, 875, 50, 1e-12)
 
 
+def test_exact_ks_p_of_unequal_sizes_by_enumeration():
+    for n in range(1, 9):
+        for m in range(1, 9):
+            gaps = []
+            for mine in itertools.combinations(range(n + m), n):
+                i = j = top = 0
+                for at in range(n + m):
+                    i, j = (i + 1, j) if at in mine else (i, j + 1)
+                    top = max(top, abs(i * m - j * n))
+                gaps.append(top)
+            gaps = np.array(gaps)
+            for gap in np.unique(gaps):
+                want = (gaps >= gap).mean()
+                assert K.ks_exact(gap / (n * m), n, m) == pytest.approx(want) == K.ks_p(gap / (n * m), n, m, "exact")
+    assert K.ks_p(0.05, 2000, 1500, "exact") == pytest.approx(K.ks_p(0.05, 2000, 1500), abs=0.01)
+    with pytest.raises(ValueError):
+        K.ks_p(0.1, 100_000, 99_999, "exact")
+
+
 def test_ks_p_by_enumeration():
     n = 5
     gaps = []

@@ -145,14 +145,42 @@ def wilcoxon_p(r_plus: float, r_minus: float, n: int, ties: float, method: str =
     return 2.0 * normal_tail(abs(t - n * (n + 1) / 4.0) / spread) if spread else float("nan")
 
 
-def ks_p(d: float, n1: int, n2: int) -> float:
-    """Two-sided p-value: the closed form for equal sizes, the limit distribution for unequal ones, whatever the size.
+#: Most steps of the exact recursion.
+EXACT_STEPS = 10_000_000
+
+
+def ks_exact(d: float, n1: int, n2: int) -> float:
+    """Two-sided p-value for any two sizes: the share of all orders of the pooled values whose largest gap is at least ``d``.
+
+    An order is a path over the grid of both samples. ``inside[j]`` is the share of the paths to (i, j) that have kept
+    their gap below ``d``; it follows from both neighbours by the shares of paths that come from there.
+    """
+    if n1 * n2 > EXACT_STEPS:
+        raise ValueError(f"{n1} x {n2} values are too many for the exact distribution")
+    limit = round(d * n1 * n2)  # gaps are whole multiples of 1 / (n1 n2)
+    inside = [1.0] * (n2 + 1)
+    for i in range(n1 + 1):
+        for j in range(n2 + 1):
+            if abs(i * n2 - j * n1) >= limit:
+                inside[j] = 0.0
+            elif i + j:
+                inside[j] = (i * inside[j] * (i > 0) + j * (inside[j - 1] if j else 0.0)) / (i + j)
+    return min(1.0, max(0.0, 1.0 - inside[n2])) if limit > 0 else 1.0
+
+
+def ks_p(d: float, n1: int, n2: int, method: str = "limit") -> float:
+    """Two-sided p-value: the closed form for equal sizes, the limit distribution for unequal ones, whatever the size;
+    ``exact`` counts paths for unequal sizes too (``ks_exact``, n1 n2 steps).
 
     The terms of the closed form fall like exp(-k^2 / n) and are summed until they vanish in double precision. The limit
     is summed in the form that converges at once: the alternating series in the tail, its dual near 0.
     """
+    if method not in ("limit", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     if d <= 0:
         return 1.0
+    if method == "exact" and n1 != n2:
+        return ks_exact(d, n1, n2)
     if n1 == n2:
         n, h = n1, int(round(d * n1))
         if h == 0:
@@ -169,18 +197,18 @@ def ks_p(d: float, n1: int, n2: int) -> float:
     return float(np.clip(2.0 * np.sum((-1.0) ** (k - 1) * np.exp(-2.0 * k**2 * z**2)), 0.0, 1.0))
 
 
-def _p_values(batches):
+def _p_values(batches, method: str = "limit"):
     for pdf in batches:
         pdf["wilcoxon_pval"] = [wilcoxon_p(a, b, int(n), t) if n == n else float("nan") for a, b, n, t in zip(pdf.r_plus, pdf.r_minus, pdf.n, pdf.ties)]
-        pdf["ks_pval"] = [ks_p(d, int(a), int(b)) for d, a, b in zip(pdf.ks, pdf.n1, pdf.n2)]
+        pdf["ks_pval"] = [ks_p(d, int(a), int(b), method) for d, a, b in zip(pdf.ks, pdf.n1, pdf.n2)]
         yield pdf[["metric", "ks", "wilcoxon_pval", "ks_pval"]]
 
 
-def compare(left: DataFrame, right: DataFrame, key: str = "key", metrics: Sequence[str] | None = None, level: float = 0.05) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, key: str = "key", metrics: Sequence[str] | None = None, level: float = 0.05, ks_method: str = "limit") -> DataFrame:
     """One row per metric: both distributions, relative difference and the two significance tests."""
     pairs = materialize(paired(left, right, key, metrics), "pairs")  # read by four aggregates below
     stats = join_on(ks_statistic(pairs), signed_ranks(pairs), ["metric"], "left")
-    tests = stats.mapInPandas(_p_values, "metric string, ks double, wilcoxon_pval double, ks_pval double")  # one row per metric
+    tests = stats.mapInPandas(lambda batches: _p_values(batches, ks_method), "metric string, ks double, wilcoxon_pval double, ks_pval double")  # one row per metric
     out = join_on(distribution(pairs), tests.drop("ks"), ["metric"])
     sig = lambda c: F.coalesce((F.nanvl(F.col(c), F.lit(1.0)) < level), F.lit(False)).cast("int")
     return out.select("metric", "lmean", "rmean", "rel_diff_pct", sig("wilcoxon_pval").alias("significant_w"), sig("ks_pval").alias("significant_k"),
