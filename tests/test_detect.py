@@ -134,7 +134,7 @@ def test_alert_table(observed, tmp_path, spark):
     assert full.schema["entity"].metadata["comment"]
     for _ in range(2):
         D.append_anomalies(full, str(tmp_path / "alerts"))
-    back = D.read_anomalies(spark, str(tmp_path / "alerts"))
+    back = D.read_all_anomalies(spark, str(tmp_path / "alerts"))
     assert back.columns == D.ANOMALY_SCHEMA.names and back.count() == 2 * full.count() and back.first().tags == {"team": "t"}
 
 
@@ -160,7 +160,7 @@ def test_runs_in_steps_equal_one_run(spark, catalog, tmp_path):
         for i, end in enumerate(ends):
             retrain = V.score_detector(store, catalog, conf, end, dt.datetime(2024, 1, 10 + i), f"s{i}", str(tmp_path / f"alerts-{name}"), "dev")
             assert retrain is False
-        rows = D.read_anomalies(spark, str(tmp_path / f"alerts-{name}"))
+        rows = D.read_all_anomalies(spark, str(tmp_path / f"alerts-{name}"))
         alerts[name] = {(r.entity, r.timestamp, r.value) for r in rows.collect()}
         assert rows.count() == len(alerts[name])
         lost = rows.limit(1).withColumn("run_id", F.lit("lost"))  # a run that never committed
@@ -326,6 +326,16 @@ def test_linear_ensemble(spark):
     assert score.idxmax() == 350 and score[:300].mean() < 0.05
 
 
+def test_aligned_scores_report_added_and_missing_entities(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(80, 4)), columns=list("abcd")).assign(ts=pd.date_range("2024-01-01", periods=80, freq="min"))
+    df = spark.createDataFrame(pdf.melt("ts", var_name="entity", value_name="value")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    model = B.fit_bounds(df.where("entity <> 'd'"), estimators=3, max_features=2, latent=1)
+    scored, left_out = B.score_aligned(df.where("entity <> 'a'"), model)
+    assert {(r.entity, r.n, r.status) for r in left_out.collect()} == {("d", 80, "not in the model"), ("a", 0, "no values")}
+    assert {(r.entity, r["count"]) for r in scored.groupBy("entity").count().collect()} == {("b", 240), ("c", 240)}
+
+
 def test_context(spark):
     old = spark.createDataFrame([("a", dt.datetime(2024, 1, i), float(i)) for i in range(1, 6)], "k string, ts timestamp_ntz, value double")
     new = spark.createDataFrame([("a", dt.datetime(2024, 1, 9), 9.0)], old.schema)

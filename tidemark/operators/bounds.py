@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import join_on
 from tidemark.operators.ordered import exact_quantiles
-from tidemark.operators.series import TS
+from tidemark.operators.series import TS, align_columns
 from tidemark.session import materialize
 
 
@@ -120,6 +120,18 @@ def apply_bounds(df: DataFrame, model: DataFrame) -> DataFrame:
     return out.select(TS, "entity", "estimator", "value", (_fitted() + F.col("q_low")).alias("lower"), (_fitted() + F.col("q_high")).alias("upper"))
 
 
+def score_aligned(df: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bounds of the entities that the ensemble knows, and a report ``entity, n, status`` of all others: values of an
+    entity it was not fitted on (``not in the model``) and entities it was fitted on that sent none (``no values``),
+    which count as their training mean in the scores."""
+    known = model.select("entity").distinct()
+    aligned, extra = align_columns(df, known, ["entity"], strict=False)
+    added = join_on(df, extra, ["entity"], "left_semi").groupBy("entity").agg(F.count("value").alias("n")).withColumn("status", F.lit("not in the model"))
+    silent = join_on(known, aligned.where(F.col("value").isNotNull()).select("entity").distinct(), ["entity"], "left_anti")
+    missing = silent.select("entity", F.lit(0).cast("long").alias("n"), F.lit("no values").alias("status"))
+    return apply_bounds(aligned, model), added.unionByName(missing)
+
+
 def f1_loss(scored: DataFrame, keys: Sequence[str], step: float = 0.05) -> DataFrame:
     """Negated best grid F1 per trial."""
     from tidemark.operators.scores import best_f1_grid

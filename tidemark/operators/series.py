@@ -290,14 +290,13 @@ def concat(*frames: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), frames)
 
 
-def align_columns(new: DataFrame, known: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def align_columns(new: DataFrame, known: DataFrame, keys: Sequence[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """New observations restricted to the known series, plus the ignored extra series.
 
-    A known series without any new observation raises.
+    A known series without any new observation raises if ``strict``.
     """
     on = list(keys)
     known_keys, new_keys = known.select(*on).distinct(), new.select(*on).distinct()
-    missing = join_on(known_keys, new_keys, on, "left_anti")
-    if not missing.isEmpty():
+    if strict and not join_on(known_keys, new_keys, on, "left_anti").isEmpty():
         raise ValueError("series known from training are missing in the new observations")
     return join_on(new, known_keys, on, "left_semi"), join_on(new_keys, known_keys, on, "left_anti")

@@ -230,8 +230,11 @@ def append_anomalies(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("detector").parquet(path)
 
 
-def read_anomalies(spark, path: str, runs: DataFrame | None = None) -> DataFrame:
-    """Alerts below ``path``; with ``runs`` (the table of completed runs) only theirs, so that those of a lost run and
-    its repeat are not both read."""
-    rows = spark.read.schema(ANOMALY_SCHEMA).parquet(path).select(*ANOMALY_SCHEMA.names)
-    return rows if runs is None else rows.join(runs.select("run_id").distinct(), "run_id", "left_semi").select(*ANOMALY_SCHEMA.names)
+def read_all_anomalies(spark, path: str) -> DataFrame:
+    """Alerts below ``path`` of every run, also of lost ones and of their repeats."""
+    return spark.read.schema(ANOMALY_SCHEMA).parquet(path).select(*ANOMALY_SCHEMA.names)
+
+
+def read_anomalies(spark, path: str, runs: DataFrame) -> DataFrame:
+    """Alerts below ``path`` of completed runs (``runs``, a table with their ``run_id``)."""
+    return read_all_anomalies(spark, path).join(runs.select("run_id").distinct(), "run_id", "left_semi").select(*ANOMALY_SCHEMA.names)

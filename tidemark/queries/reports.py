@@ -779,6 +779,17 @@ def bounds_ensemble(spark, sf):
     return B.outside_share(B.apply_bounds(data, model))
 
 
+@query
+def bounds_alignment(spark, sf):
+    """An ensemble fitted without page views scores late hours without clicks: what was scored and what was left out."""
+    data = _completed(spark, sf).dense().select("ts", F.col("event_type").alias("entity"), "value")
+    early, late = data.where(F.col("ts") < SPLIT_AT), data.where(F.col("ts") >= SPLIT_AT)
+    model = materialize(B.fit_bounds(early.where("entity <> 'view'"), estimators=4, max_features=2, latent=1), "bounds")
+    scored, left_out = B.score_aligned(late.where("entity <> 'click'"), model)
+    done = scored.where("estimator = 0").groupBy("entity").agg(F.count("value").alias("n")).withColumn("status", F.lit("scored"))
+    return done.unionByName(left_out)
+
+
 @query
 def bounds_f1_loss(spark, sf):
     score = B.outside_share(_bounds(spark, sf))

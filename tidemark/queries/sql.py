@@ -421,6 +421,9 @@ SQL["state_retire"] = f"WITH {_VERSIONS} SELECT * FROM versions WHERE model IN (
 _BOUNDS = COMPLETED + f""", ps AS (SELECT unnest([0, 1, 2])::INT AS estimator),
 q AS (SELECT event_type, quantile_cont(value, [0.05, 0.1, 0.2]) AS lo, quantile_cont(value, [0.95, 0.9, 0.8]) AS hi FROM completed WHERE ts < {SPLIT_AT} GROUP BY 1),
 bounds AS (SELECT ts, c.event_type AS entity, estimator, value, lo[estimator + 1] AS lower, hi[estimator + 1] AS upper FROM completed c JOIN q ON c.event_type = q.event_type, ps WHERE ts >= {SPLIT_AT})"""
+SQL["bounds_alignment"] = f"""
+WITH {COMPLETED} SELECT event_type AS entity, CASE WHEN event_type = 'click' THEN 0 ELSE count(*) FILTER (ts >= {SPLIT_AT}) END AS n,
+CASE event_type WHEN 'click' THEN 'no values' WHEN 'view' THEN 'not in the model' ELSE 'scored' END AS status FROM completed GROUP BY event_type"""
 SQL["bounds_score"] = f"WITH {_BOUNDS} SELECT ts, round(avg((value < lower OR value > upper)::INT), 6) AS score FROM bounds GROUP BY 1"
 SQL["bounds_verdict"] = f"""
 WITH {_BOUNDS} SELECT ts, entity, round(value, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper, value > upper AS is_anomaly
