@@ -59,12 +59,12 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def _turned(members: DataFrame, near: DataFrame) -> DataFrame:
-    """Rows of ``near`` for members that were hub of their present hub before: no second test, but each hub has all its
-    members in the search by differences."""
-    wanted = _pairs(F.col("id"), F.col("hub"), members).join(near.select("a", "b"), ["a", "b"], "left_anti")
+    """Rows of ``near`` for ``members (id, hub)`` that were hub of their present hub before: no second test, but each hub
+    has all its members in the search by differences."""
     old = near.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") - F.col("r") + F.col("m")).alias("n"), F.col("m").alias("r"), F.col("r").alias("m"),
                       F.col("new").alias("gone"), F.col("gone").alias("new"))
-    return old.join(wanted, ["a", "b"], "left_semi")
+    met = members.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    return old.join(near.select("a", "b"), ["a", "b"], "left_anti").join(met, ["a", "b"], "left_semi")
 
 
 def _sized(tested: DataFrame) -> DataFrame:
@@ -129,10 +129,8 @@ def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFra
         rows = shared_table(still.select("key", "id").join(hubs, "key").filter("id <> hub"), "members")
         pairs = _pairs(F.col("id"), F.col("hub"), rows)
         pairs = shared_table(pairs if tested is None else _untested(pairs, tested), "tests")
-        new = _sized(test(pairs, NEAR))
-        if turn:
-            new = new.unionByName(_turned(rows, near))
-        new = shared_table(new, "near")
+        new = shared_table(_sized(test(pairs, NEAR)), "near")
+        members = rows.select("id", "hub") if tested is None else members.unionByName(rows.select("id", "hub"))
         tested, near = (pairs, new) if tested is None else (tested.unionByName(pairs), near.unionByName(new))
         met = near.select(F.col("a").alias("id"), F.col("b").alias("hub"), _linked(percent).alias("linked"))
         met = met.unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("hub"), _linked(percent).alias("linked")))
@@ -144,6 +142,8 @@ def bucket_components(bands: DataFrame, test: Callable[[DataFrame, int], DataFra
         if left[0] is None or left[0] <= FEW_PAIRS * left[1]:
             break
     found = near.filter(_linked(percent)).select("a", "b")
+    if turn:
+        near = near.unionByName(shared_table(_turned(members, near), "near"))
     comp = shared_table(components(found), "components")
     labelled = still.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     other = labelled.select("key", F.col("id").alias("id2"), F.col("component").alias("c2"))

@@ -114,8 +114,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
     """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more: likelihood first, then the full
-    sets. Several pairs of one b follow each other, so its set is made once. Of several texts under the document id of
-    a class, the one with the class's fingerprint counts."""
+    sets. Several pairs of one b follow each other, so its set is made once."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +129,10 @@ def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least:
         words, held, b_set = Words(), None, None
         for batch in batches:
             out = []
-            c = {name: batch.column(name) for name in batch.schema.names}
-            for a, b, h_a, h_b, ta, tb in zip(*(c[x].to_pylist() for x in ("a", "b", "h_a", "h_b")), c["t_a"], c["t_b"]):
-                if (b, tb) != held:
-                    held, b_set = (b, tb), text_shingles(words, tb.as_py(), k)
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("t_a"), batch.column("t_b")):
+                if b != held:
+                    held, b_set = b, text_shingles(words, tb.as_py(), k)
                 a_set = text_shingles(words, ta.as_py(), k)
-                if fingerprint(a_set)[0] != h_a or fingerprint(b_set)[0] != h_b:
-                    continue
                 gone = np.setdiff1d(b_set, a_set, assume_unique=True)
                 both = len(b_set) - len(gone)
                 if 100 * both >= least * (len(a_set) + len(gone)):
@@ -147,15 +143,15 @@ def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least:
     close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long")
     close = shared_table(close, "near-pairs")
     needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    needed = needed.join(sets.select("id", "doc", "h1"), "id")
-    own = texts.join(sized(needed), "doc").withColumn("tie", F.xxhash64("text")).dropDuplicates(["id", "tie"])
-    end = lambda x: own.select(F.col("id").alias(x), F.col("h1").alias(f"h_{x}"), F.col("text").alias(f"t_{x}"))
-    rows = close.join(end("a"), "a").join(end("b"), "b")
-    return rows.select("a", "b", "h_a", "h_b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
+    needed = needed.join(sets.select("id", "doc", "tie"), "id")
+    own = texts.join(sized(needed), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"])  # hashed by id, as the next join needs it
+    rows = close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
+    return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
 
 
 def links(sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``node, component`` of the sets (``id, doc, h1, n, regs``) that have a link; ``texts (doc, text)``."""
+    """``node, component`` of the sets (``id, n, regs`` and ``doc, tie`` of one row) that have a link; ``texts (doc, tie,
+    text)``."""
     bands = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1))).alias("band"), "regs").select(
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("key"), "id")
     return bucket_components(bands, lambda pairs, least: _tested(pairs, sets, texts, k, least), percent)
@@ -173,11 +169,13 @@ def _marked(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     spark = df.sparkSession
     with small_batches(spark):
         made = shared_table(sketches(df, id_col, text_col, k), "near-sketches")
-    classes = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs"))
+    classes = made.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.first("regs").alias("regs"))
+    classes = classes.select("h1", "h2", "n", "regs", F.col("one.doc_id").alias("doc"), "one.tie")
     classes = shared_table(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
     with small_batches(spark):
-        comp = links(classes.select("id", "doc", "h1", "n", "regs"), texts, k, percent).withColumnRenamed("node", "id")
+        comp = links(classes.select("id", "doc", "tie", "n", "regs"), texts, k, percent).withColumnRenamed("node", "id")
     joined = classes.select("id", "doc", "h1", "h2", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stays = comp.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min(F.struct("doc", "id")).alias("least"))
     label = joined.join(stays, "component", "left").select(

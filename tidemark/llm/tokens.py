@@ -21,6 +21,7 @@ import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -77,12 +78,23 @@ def decode(payload: bytes | memoryview):
 
 
 class WordMemory:
-    """Packed ids of the words a task has met before.
+    """A tokenizer and the packed ids of the words met before.
 
     ``most`` bounds the bytes its keys, values and table take, as Python reports them; beyond it all words are forgotten.
-    It goes with its task.
+    Functions travel to tasks by value and classes are made anew there, so a Python worker keeps its one memory as an
+    entry of ``sys.modules``, where later tasks of the same tokenizer find it; that of another one is dropped.
     """
 
+    PLACE = "tidemark_word_memory"
+
+    @classmethod
+    def of(cls, path: str, most: int) -> "WordMemory":
+        found = sys.modules.get(cls.PLACE)
+        if found is None or (found.path, found.memory.most) != (path, most):
+            sys.modules[cls.PLACE] = found = ModuleType(cls.PLACE)
+            found.path, found.memory = path, cls(path, most)
+        return found.memory
+
     def __init__(self, path: str, most: int) -> None:
         from tokenizers import Tokenizer
 
@@ -101,7 +113,7 @@ class WordMemory:
         self.ids, self.content = {}, 0
 
 
-def word_encoder(path: str, wide: bool, remember: int = 48 << 20):
+def word_encoder(path: str, wide: bool, remember: int = 64 << 20):
     """A function from text bytes to packed ids that works word by word and remembers words, and its memory.
 
     ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
@@ -110,7 +122,7 @@ def word_encoder(path: str, wide: bool, remember: int = 48 << 20):
     """
     from array import array
 
-    memory = WordMemory(path, remember)
+    memory = WordMemory.of(path, remember)
     tok, ends = memory.tokenizer, memory.ends
     code, marks = "I" if wide else "H", frozenset(".,;:!?|%$*#&")
 
@@ -189,7 +201,6 @@ def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_i
                     out_rows, held = [], 0
             if out_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary())], ["frame"])
-        memory.forget()
         give_back()
 
     with small_batches(df.sparkSession):
