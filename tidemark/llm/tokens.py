@@ -113,7 +113,7 @@ class WordMemory:
         self.ids, self.content = {}, 0
 
 
-def word_encoder(path: str, wide: bool, remember: int = 64 << 20):
+def word_encoder(path: str, wide: bool, remember: int):
     """A function from text bytes to packed ids that works word by word and remembers words, and its memory.
 
     ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
@@ -167,11 +167,12 @@ def word_encoder(path: str, wide: bool, remember: int = 64 << 20):
 
 
 def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
-           records_per_file: int = 50_000, by_word: bool = True) -> str:
+           records_per_file: int = 50_000, by_word: bool = True, remember: int = 112 << 20) -> str:
     """Write the records of ``df`` below ``out`` and return ``out``.
 
     ``by_word``: the tokenizer drops white space and never joins across it, so encoding word by word is exact; pass
-    False for tokenizers that keep spaces. ``path`` must be readable on every executor.
+    False for tokenizers that keep spaces. ``remember`` bounds the bytes of words a Python worker remembers. ``path`` must
+    be readable on the driver and every executor.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())  # equal rows of a hot id can be split
@@ -185,7 +186,7 @@ def encode(df: DataFrame, path: str, out: str, end_id: int, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array
 
-        memory, fast = word_encoder(path, wide)
+        memory, fast = word_encoder(path, wide, remember)
         tok = memory.tokenizer
         code = "I" if wide else "H"
         last = array(code, [end_id]).tobytes()
