@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records of all documents left; the rows are read back from the written files."""
-    return tokens.encoded(docs, tokenizer_path(), END_ID)
+    return tokens.encoded(docs, tokenizer_path(), END_ID, remember=48 << 20)  # earlier stages have taken memory too
 
 
 STAGES = [
