@@ -100,6 +100,22 @@ def test_forecast_matches_design(data, models):
     assert np.allclose(trend.yhat, [c["trend"] for c in out.components])
 
 
+def test_line_is_the_least_squares_line():
+    """What keeps dependent columns solvable does not pull the coefficients of independent ones."""
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.choice(480, 40, replace=False)).astype(np.int64) * 3_600_000_000
+    y = np.round(rng.gamma(1.0, 60.0, 40), 2)
+    opt = Options(weekly_order=0, daily_order=0, n_changepoints=0, lambda_reg=0.0, passes=1)
+    shape = M.auto_shape(int(t.min()), int(t.max()), len(t), float(np.percentile(y, 95.0)), opt)
+    beta, _ = M.fit_rows(t, y, np.zeros((len(t), 0)), shape, opt, "point")
+    x = (t - t.min()) / (t.max() - t.min())
+    slope = np.mean((x - x.mean()) * (y - y.mean())) / np.mean((x - x.mean()) ** 2)
+    assert np.allclose(beta * shape.y_scale, [y.mean() - slope * x.mean(), slope], rtol=1e-12, atol=0)
+    twice = np.c_[x, x]  # dependent columns still get finite coefficients, and the same fit
+    both = M.solve(twice.T @ twice, twice.T @ y, np.zeros(2), len(t), None)
+    assert np.allclose(both.sum(), (x @ y) / (x @ x), rtol=1e-6)
+
+
 def test_hot_series_get_the_same_model(data, models, spark):
     df, pdf = data
     spark.conf.set("tidemark.hotRows", "300")

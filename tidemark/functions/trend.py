@@ -169,13 +169,17 @@ def normal_parts(x: np.ndarray, y: np.ndarray, beta: np.ndarray | None, q: float
 
 
 def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: float | None) -> np.ndarray:
+    """The coefficients. A small weight keeps dependent columns solvable; a step of refinement takes its pull out again."""
     factor = n if q is None else 2 * n
     system, at = gram.copy(), np.arange(len(gram))
-    system[at, at] += penalty * factor + 1e-9 * max(gram[at, at].mean(), 1e-12)
+    system[at, at] += penalty * factor
+    guard = 1e-9 * max(gram[at, at].mean(), 1e-12)
+    system[at, at] += guard
     if not (np.isfinite(system).all() and np.isfinite(rhs).all()):
         raise FloatingPointError("normal equations overflow")
     try:
-        return np.linalg.solve(system, rhs)
+        beta = np.linalg.solve(system, rhs)
+        return beta + np.linalg.solve(system, rhs - system @ beta + guard * beta)
     except np.linalg.LinAlgError:
         return np.linalg.lstsq(system, rhs, rcond=None)[0]
 
