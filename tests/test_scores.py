@@ -221,6 +221,21 @@ def test_window_rows(spark):
     assert got.adj_pred.tolist() == [0, 0, 1, 1, 1, 1, 1, 1]
 
 
+def test_rows_of_a_task_do_not_grow_with_the_table(spark):
+    rows = spark.range(4000).select((F.col("id") % 200).alias("g"), F.col("id").alias("at"), F.lit(1.0).alias("score"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    spark.conf.set("tidemark.taskRows", "100")
+    try:
+        out = S.index_rows(rows, ["g"], ["at"])
+        largest = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        found = S.pa_k(out, ["g"]).toPandas()
+    finally:
+        spark.conf.unset("tidemark.taskRows")
+    assert largest <= 500  # 4000 rows lay in one task
+    plain = S.pa_k(S.index_rows(rows, ["g"], ["at"]), ["g"]).toPandas()
+    order = ["g", "k"]
+    assert found.sort_values(order).reset_index(drop=True).equals(plain.sort_values(order).reset_index(drop=True))
+
+
 def test_pa_k(frame):
     df, pdf = frame
     got = S.pa_k(df.withColumnRenamed("k", "g"), ["g"]).toPandas().set_index(["g", "k"])

@@ -14,6 +14,9 @@ every series fits one task, and a wall once one series holds a large share of al
 4. ``frame()`` is the union of both parts. Results are those of plain windows.
 
 The limit is the session setting ``tidemark.hotRows``.
+
+The rows of other keys are dealt by key into as many tasks as keep about ``tidemark.taskRows`` rows in each, since the
+sorts and aggregates that follow all run in one task on the same rows: its memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -31,17 +34,20 @@ from tidemark.session import materialize
 HOT_ROWS_KEY = "tidemark.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
 MAX_HOT = 50_000
+TASK_ROWS_KEY = "tidemark.taskRows"
+DEFAULT_TASK_ROWS = 100_000
 _BLOCK = "_block"
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more rows than one task should sort, and the row limit used."""
+    """Keys with more rows than one task should sort, the row limit used and the number of all rows counted."""
 
     keys: tuple[str, ...]
     table: DataFrame | None
     limit: int
     rows: int
+    total: int = 0
 
     @property
     def any(self) -> bool:
@@ -66,12 +72,22 @@ def find_hot(df: DataFrame, keys: Sequence[str], at_most: int | None = None) ->
     if not keys:
         total = df.count()
         return HotKeys((), df.sparkSession.range(1).select(F.lit(total).alias("_n")), limit, total) if total > limit else no_hot(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if largest <= limit:
+        return HotKeys(tuple(keys), None, 0, 0, total)
+    counts = sizes.where(F.col("_n") > limit)
     rows = counts.orderBy(F.desc("_n")).limit(MAX_HOT).collect()
-    if not rows:
-        return no_hot(keys)
     table = df.sparkSession.createDataFrame(rows, counts.schema)
-    return HotKeys(tuple(keys), table, limit, sum(r["_n"] for r in rows))
+    return HotKeys(tuple(keys), table, limit, sum(r["_n"] for r in rows), total)
+
+
+def spread(df: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """Rows dealt by key into tasks of about ``tidemark.taskRows``; left as they are where they fit one."""
+    rows = int(df.sparkSession.conf.get(TASK_ROWS_KEY, str(DEFAULT_TASK_ROWS)))
+    if not keys or total <= rows:
+        return df
+    return df.repartition(max(math.ceil(total / rows), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 @dataclass(frozen=True)
@@ -118,12 +134,12 @@ class OrderedRows:
         self.keys = list(keys)
         self.order = _order(order)
         self.hot = find_hot(df, self.keys) if hot is None else hot
-        self._cold: DataFrame | None = df
+        self._cold: DataFrame | None = spread(df, self.keys, self.hot.total)
         self._blocks: DataFrame | None = None
         self._written = True
         if self.hot.any:
             marked = _mark(df, self.hot)
-            self._cold = marked.where(~F.col("_hot")).drop("_hot") if self.keys else None
+            self._cold = spread(marked.where(~F.col("_hot")).drop("_hot"), self.keys, self.hot.total - self.hot.rows) if self.keys else None
             self._blocks = add_blocks(marked.where("_hot").drop("_hot"), self.hot, self.order)
 
     def _with(self, cold: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame]) -> "OrderedRows":

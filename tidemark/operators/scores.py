@@ -406,14 +406,22 @@ def pa_k(df: DataFrame, keys: Sequence[str], ks: Sequence[int] = (20, 40, 60, 80
     ranked = OrderedRows(rows, seg_keys, ["-score", "idx"], seg_hot).position("_r").total(_len=F.count(F.lit(1)))
     nth = lambda k: F.max(F.when((F.col("actual") == 1) & (F.floor(F.lit(int(k)) * F.col("_len") / 100) + 1 == F.col("_r")), F.col("score")))
     lifted = ranked.total(**{f"_lift{k}": nth(k) for k in ks}).frame()
+    # a normal row has the same score for every k and stands once, a true row once per k: the counts lie side by side.
     # greatest skips nulls: rows without a lift keep their own score
-    trials = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.greatest("score", f"_lift{k}").alias("score")) for k in ks])
-    spread = lifted.select(*keys, F.explode(trials).alias("_t"), "actual").select(*keys, "_t.k", "_t.score", "actual")
-    groups = spread.groupBy(*keys, "k", "score").agg(F.count(F.lit(1)).alias("m"), F.sum("actual").alias("h"))
-    curve_keys = [*keys, "k"]
-    curve_hot = find_hot(groups, curve_keys) if hot.any else hot
-    curve = OrderedRows(groups, curve_keys, ["-score"], curve_hot).running_sum(p="m", tp="h").total(n=F.sum("m"), a=F.sum("h")).frame()
-    return best_point_f1(curve, curve_keys)
+    one = lambda k: F.struct(F.greatest("score", f"_lift{k}").alias("score"), F.lit(int(k)).alias("k"))
+    normal = F.array(F.struct(F.col("score").alias("score"), F.lit(None).cast("int").alias("k")))
+    spread = lifted.select(*keys, F.explode(F.when(F.col("actual") == 1, F.array(*[one(k) for k in ks])).otherwise(normal)).alias("_t")).select(*keys, "_t.*")
+    here = {f"_h{k}": F.count(F.when(F.col("k") == int(k), 1)) for k in ks}
+    groups = spread.groupBy(*keys, "score").agg(F.count(F.when(F.col("k").isNull(), 1)).alias("_m"), *[c.alias(n) for n, c in here.items()])
+    curve_hot = find_hot(groups, keys) if hot.any else hot
+    curve = OrderedRows(groups, keys, ["-score"], curve_hot).running_sum(_p="_m", **{f"_t{k}": f"_h{k}" for k in ks}).total(a=F.sum(f"_h{ks[0]}")).frame()
+    top = []
+    for k in ks:
+        f1 = F.coalesce(F.try_divide(2.0 * F.col(f"_t{k}"), F.col("_p") + F.col(f"_t{k}") + F.col("a")), F.lit(0.0))
+        point = F.struct(f1.alias("f1"), F.col("score").alias("threshold"))
+        top.append(F.max(F.when(F.col("_m") + F.col(f"_h{k}") > 0, point)).alias(f"_b{k}"))
+    best = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.col(f"_b{k}").alias("_b")) for k in ks])).alias("_x")
+    return curve.groupBy(*keys).agg(*top).select(*keys, best).select(*keys, "_x.k", "_x._b.f1", "_x._b.threshold")
 
 
 def benchmark_table(results: DataFrame, groups: Sequence[str] = ("dataset", "model", "metric_name"), order: str = "k",
