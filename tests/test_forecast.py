@@ -282,6 +282,40 @@ def test_back_test(data):
     assert future.count() == 96
 
 
+def test_back_test_in_one_pass(data, spark, monkeypatch):
+    """Fit, forecast and measures of a series in one pass are those of separate jobs, also above the row limit."""
+    opt = Options(passes=8)
+    rows = data[0].where("k = 'a' OR ts < '2024-01-10'").withColumn("split", F.when(F.col("ts") < "2024-01-08", "train").otherwise("test"))
+    rows = rows.withColumn("value", F.when(F.hour("ts") != 5, F.col("value")))
+    models = materialize(P.fit(rows.where("split = 'train'"), ["k"], opt), "models")
+    want = K.interval_metrics(P.forecast(models, rows, ["k"], opt, keep=["value", "split"]), ["k"]).toPandas().sort_values("k")
+    joined = []
+    monkeypatch.setattr(K, "forecast", lambda *a, **k: joined.append(a))
+    for limit in ("1000", "300"):  # above 300 rows lies a
+        spark.conf.set("tidemark.hotRows", limit)
+        try:
+            out = K.back_test(rows, ["k"], opt)
+            got = out.toPandas().sort_values("k")
+        finally:
+            spark.conf.unset("tidemark.hotRows")
+        assert out.columns == ["k", "training_time", "predict_time", *K.METRICS]
+        assert list(got.k) == ["a", "b"] and (got.training_time > 0).all()
+        for m in K.METRICS:
+            assert np.allclose(got[m], want[m], rtol=1e-5, atol=1e-7, equal_nan=True), (limit, m)
+    assert not joined  # the rows met a table of models before
+
+
+def test_bounds_side_by_side():
+    rng = np.random.default_rng(8)
+    t = np.arange(500, dtype=np.int64) * 3_600_000_000
+    y, none = rng.gamma(1.0, 60.0, 500) * (rng.random(500) < 0.3), np.zeros((500, 0))
+    shape = M.auto_shape(0, int(t[-1]), 500, float(np.percentile(y, 95.0)), Options())
+    made = M.fit_roles(t, y, none, shape, Options())
+    for role in M.ROLES:
+        beta, passes = M.fit_rows(t, y, none, shape, Options(), role)
+        assert passes == made[role][1] and np.allclose(beta, made[role][0], rtol=1e-6, atol=1e-8)
+
+
 def test_interval_metrics(spark):
     pdf = pd.DataFrame({"k": "a", "value": [1.0, 0.0, 5.0, 2.0], "yhat": [2.0, 0.0, 4.0, 2.0], "lower": [0.0, 1.0, 6.0, 1.0], "upper": [3.0, 2.0, 4.5, 3.0], "split": ["train"] * 3 + ["test"]})
     row = K.interval_metrics(spark.createDataFrame(pdf), ["k"]).first()

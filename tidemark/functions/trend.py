@@ -161,27 +161,29 @@ def normal_parts(x: np.ndarray, y: np.ndarray, beta: np.ndarray | None, q: float
     else:
         r = np.abs(y - x @ beta)
         w = 1.0 / np.maximum(r, 1.0) if q is None else 1.0 / (eps + r)
-    xw = x * w[:, None]
-    rhs = xw.T @ y
+    xw = x * np.sqrt(w)[:, None]  # one matrix times itself takes half the products
+    rhs = x.T @ (w * y)
     if q is not None and beta is not None:
         rhs = rhs + (2 * q - 1) * x.sum(axis=0)
-    return xw.T @ x, rhs
+    return xw.T @ xw, rhs
 
 
 def solve(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray, n: int, q: float | None) -> np.ndarray:
-    """The coefficients. A small weight keeps dependent columns solvable; a step of refinement takes its pull out again."""
+    """The coefficients of one system or a stack of them. A small weight keeps dependent columns solvable; a step of
+    refinement takes its pull out again."""
     factor = n if q is None else 2 * n
-    system, at = gram.copy(), np.arange(len(gram))
-    system[at, at] += penalty * factor
-    guard = 1e-9 * max(gram[at, at].mean(), 1e-12)
-    system[at, at] += guard
+    system, at, rhs = gram.copy(), np.arange(gram.shape[-1]), rhs[..., None]
+    guard = 1e-9 * np.maximum(gram[..., at, at].mean(axis=-1, keepdims=True), 1e-12)
+    system[..., at, at] += penalty * factor + guard
     if not (np.isfinite(system).all() and np.isfinite(rhs).all()):
         raise FloatingPointError("normal equations overflow")
     try:
         beta = np.linalg.solve(system, rhs)
-        return beta + np.linalg.solve(system, rhs - system @ beta + guard * beta)
+        return (beta + np.linalg.solve(system, rhs - system @ beta + guard[..., None] * beta))[..., 0]
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(system, rhs, rcond=None)[0]
+        if system.ndim > 2:
+            return np.stack([np.linalg.lstsq(a, b, rcond=None)[0][:, 0] for a, b in zip(system, rhs)])
+        return np.linalg.lstsq(system, rhs, rcond=None)[0][:, 0]
 
 
 def settled(new: np.ndarray, beta: np.ndarray, q: float | None, eps: float) -> bool:
@@ -197,6 +199,31 @@ def fit_local(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, q: float | None
     return _passes(lambda beta, eps: normal_parts(x, y, beta, q, eps), penalty, len(y), q, passes)
 
 
+def fit_roles(ts: np.ndarray, y: np.ndarray, extras: np.ndarray, shape: Shape, opt: Options) -> dict[str, tuple[np.ndarray, int]]:
+    """``fit_rows`` for all roles: both bounds have the same features, which are made once, and pass side by side."""
+    if len(y) > BLOCK_ROWS or not opt.passes:
+        return {role: fit_rows(ts, y, extras, shape, opt, role) for role in ROLES}
+    out, part = {"point": fit_rows(ts, y, extras, shape, opt, "point")}, shape.role("upper")
+    x, scaled, penalty = design(ts, extras, part, opt), y / shape.y_scale, ridge(part, opt, extras.shape[1])
+    gram, rhs = normal_parts(x, scaled, None, None, 0.0)
+    roles = [r for r in ROLES if r != "point"]
+    beta = np.stack([solve(gram, rhs, penalty, len(y), None)] * len(roles))
+    sums, xt = x.sum(axis=0), np.ascontiguousarray(x.T)
+    for step in range(1, opt.passes):
+        eps, q = smoothing(step), np.array([quantile_of(r, opt.interval_width) for r in roles])
+        w = 1.0 / (eps + np.abs(scaled - beta @ xt))
+        grams = np.stack([(xw := xt * half) @ xw.T for half in np.sqrt(w)])
+        new = solve(grams, (w * scaled) @ x + (2 * q - 1)[:, None] * sums, penalty, len(y), 0.5)
+        done = [settled(a, b, 0.5, eps) for a, b in zip(new, beta)]
+        for role, at, end in zip(roles, new, done):
+            if end:
+                out[role] = at, step + 1
+        roles, beta = [r for r, end in zip(roles, done) if not end], new[~np.array(done)]
+        if not roles:
+            break
+    return out | {role: (at, opt.passes) for role, at in zip(roles, beta)}
+
+
 def fit_rows(ts: np.ndarray, y: np.ndarray, extras: np.ndarray, shape: Shape, opt: Options, role: str) -> tuple[np.ndarray, int]:
     """Fit one model of a series. Features of long series are made block by block in every pass."""
     part = shape.role(role)

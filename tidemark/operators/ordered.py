@@ -82,9 +82,13 @@ def find_hot(df: DataFrame, keys: Sequence[str], at_most: int | None = None) ->
     return HotKeys(tuple(keys), table, limit, sum(r["_n"] for r in rows), total)
 
 
+def task_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(TASK_ROWS_KEY, str(DEFAULT_TASK_ROWS)))
+
+
 def spread(df: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
     """Rows dealt by key into tasks of about ``tidemark.taskRows``; left as they are where they fit one."""
-    rows = int(df.sparkSession.conf.get(TASK_ROWS_KEY, str(DEFAULT_TASK_ROWS)))
+    rows = task_rows(df)
     if not keys or total <= rows:
         return df
     return df.repartition(max(math.ceil(total / rows), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -15,7 +15,7 @@ from tidemark.functions.numeric import join_on
 from tidemark.functions.trend import Options
 from tidemark.operators.ordered import OrderedRows, exact_quantiles
 from tidemark.operators.series import TS, VALUE, same_set
-from tidemark.plans.forecast import fit, forecast
+from tidemark.plans.forecast import fit, fit_forecast, forecast
 from tidemark.session import materialize
 
 # Metric columns of a back-test result, in order.
@@ -51,12 +51,16 @@ def interval_metrics(df: DataFrame, keys: Sequence[str], split: str = "split") -
 def back_test(df: DataFrame, keys: Sequence[str], options: Options = Options(), split: str = "split", timed: bool = False) -> DataFrame:
     """Fit on the train rows, predict all rows, one result row per series.
 
-    The rows are written once, since fit and forecast both read them (``fit`` finds hot series
-    before it groups by key); so are the models, one row per series. ``training_time`` is the seconds a series took inside its task.
+    The rows are written once, since hot series are found before they are dealt by key. A series is fitted and forecast
+    in one pass; its measures are one aggregate. ``training_time`` is the seconds a series took inside its task.
     ``predict_time`` is the wall time of the forecast job over the number of series, measured only
-    with ``timed`` (the forecast is then written once and read back).
+    with ``timed``: fit and forecast are jobs of their own then, models and forecast are written and read back.
     """
     rows = materialize(df.select(*keys, TS, VALUE, split), "backtest-rows")
+    if keys and not timed:
+        fitted_rows = fit_forecast(rows.withColumn("_train", F.col(split) == "train"), keys, "_train", options, keep=[VALUE, split])
+        out = interval_metrics(fitted_rows, [*keys, "fit_seconds"], split)
+        return out.select(*keys, F.col("fit_seconds").alias("training_time"), F.lit(None).cast("double").alias("predict_time"), *METRICS)
     models = materialize(fit(rows.where(F.col(split) == "train"), keys, options), "backtest-models")
     predicted = forecast(models, rows, keys, options, keep=[VALUE, split])
     seconds = F.lit(None).cast("double")
