@@ -59,3 +59,29 @@ def test_awkward_rows(spark):
     assert len(got) == df.count() and ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
     assert {r.doc_id: r.n_tokens for r in got}[0] == 1 and got[-1].start == sum(r.n_tokens for r in got[:-1])
     assert tokens.encoded(empty(spark), PATH, END).count() == 0
+
+
+def test_marks_and_capitals_make_no_new_word():
+    memory, run = tokens.word_encoder(PATH, False, 1 << 20)
+    real, seen = memory.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(" ".join(texts).split())
+            return real.encode_batch_fast(texts, **kw)
+
+        def encode(self, text, **kw):
+            seen.append(text)
+            return real.encode(text, **kw)
+
+    memory.forget()
+    memory.tokenizer = Counting()
+    try:
+        _, run = tokens.word_encoder(PATH, False, 1 << 20)
+        texts = ["Quixotry quixotry, QUIXOTRY!!! quixotry.", "quixotry;; Quixotry?! don't Don't İ. \u0130 J\u030c. l'Été.. ab1. ...", ".. a|| A|"]
+        for text in texts:
+            assert np.frombuffer(run(text.encode()), "<u2").tolist() == real.encode(text, add_special_tokens=False).ids
+    finally:
+        memory.tokenizer = real
+        memory.forget()
+    assert sum("quixotry" in w.lower() for w in seen) == 1

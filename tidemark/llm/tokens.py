@@ -17,10 +17,12 @@ separate records, ordered by a hash of their text; an empty table gives no recor
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import zlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 from types import ModuleType
 
 import pyarrow as pa
@@ -77,6 +79,9 @@ def decode(payload: bytes | memoryview):
     return None if flags & 1 else doc, ids
 
 
+MARKS = b".,;:!?|%$*#&"
+
+
 class WordMemory:
     """A tokenizer and the packed ids of the words met before.
 
@@ -96,10 +101,16 @@ class WordMemory:
         return found.memory
 
     def __init__(self, path: str, most: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {i for t, i in self.tokenizer.get_vocab(True).items() if t.endswith("</w>")}
+        pieces = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str
+        normal = self.tokenizer.normalizer and self.tokenizer.normalizer.normalize_str
+        #: A mark behind a letter starts a piece; capital ASCII letters are read as small ones.
+        self.parts = bool(pieces) and all(len(found := pieces("a" + m * n)) > 1 and found[0][0] == "a" for m in MARKS.decode() for n in (1, 2))
+        self.folds = bool(normal) and normal(ascii_uppercase) == ascii_lowercase
         self.most, self.ids, self.content = most, {}, 0
 
     def learn(self, word: bytes, ids: bytes) -> None:
@@ -117,29 +128,46 @@ def word_encoder(path: str, wide: bool, remember: int):
     """A function from text bytes to packed ids that works word by word and remembers words, and its memory.
 
     ASCII white space always ends a piece of these tokenizers (see ``encode``). New words of a text are encoded
-    together where their number of pieces is known, a letter run being one piece and a punctuation mark after it
-    another; the ends of pieces tell them apart, and any doubt sends them through one by one.
+    together where their number of pieces is known, a letter run being one piece and the punctuation marks after it
+    another; the ends of pieces tell them apart, and any doubt sends them through one by one. Words of ASCII letters are
+    put together from their letters and the marks behind them, so that neither marks nor capitals make a word new.
     """
     from array import array
 
     memory = WordMemory.of(path, remember)
     tok, ends = memory.tokenizer, memory.ends
-    code, marks = "I" if wide else "H", frozenset(".,;:!?|%$*#&")
+    code, marks = "I" if wide else "H", MARKS.decode()
 
     def ids_of(text: str) -> list[int]:
         return tok.encode(text, add_special_tokens=False).ids
 
+    def parts(w: bytes) -> tuple[bytes, ...]:
+        """ASCII letters, small where that is the same, and the marks behind them; other words whole."""
+        core = w.rstrip(MARKS) if memory.parts else w
+        if not core.isalpha():
+            return (w,)
+        low = core.lower() if memory.folds else core
+        return (low,) if len(core) == len(w) else (low, w[len(core):])
+
     def learn(new: list[bytes]) -> None:
+        made = [(w, parts(w)) for w in new]
+        encode_new({p for _, found in made for p in found if p not in memory.ids})
+        for w, found in made:
+            if found[0] is not w and w not in memory.ids:
+                memory.learn(w, b"".join([memory.ids[p] for p in found]))
+
+    def encode_new(new: set[bytes]) -> None:
         joined, pieces, rest = [], [], []
         for w in new:
             text = w.decode("utf-8", "replace")
-            n = 1 if text.isalpha() else 2 if text[-1] in marks and text[:-1].isalpha() else 0
+            n = 1 if text.isalpha() else 2 if text.rstrip(marks).isalpha() else 0
             if n:
                 joined.append((w, text))
                 pieces.append(n)
             else:
                 rest.append((w, text))
-        all_ids = ids_of(" ".join(t for _, t in joined)) if joined else []
+        # the fast call leaves out the offsets, which nobody reads
+        all_ids = tok.encode_batch_fast([" ".join(t for _, t in joined)], add_special_tokens=False)[0].ids if joined else []
         cuts = [i + 1 for i, x in enumerate(all_ids) if x in ends]
         if len(cuts) == sum(pieces) and (not cuts or cuts[-1] == len(all_ids)):
             start, at = 0, 0
