@@ -132,3 +132,54 @@ def test_member_that_was_hub_of_its_hub(spark):
 
     comp = {r.node: r.component for r in C.bucket_components(spark.createDataFrame(bands, "key string, id long"), test, 80).collect()}
     assert comp[ids["x"]] == comp[ids["y"]]
+
+
+def test_small_tables_take_few_tasks(spark):
+    """However many shuffle partitions there are, tables between the steps are written by tasks that their rows need."""
+    import glob
+
+    from tidemark.session import work_dir
+
+    rnd = random.Random(9)
+    base = sentence(rnd, 100, 10**6).split()
+    rows = [(i, " ".join(edited(rnd, base, rnd.randrange(0, 9)))) for i in range(150)]
+    want = classes({i: shingles(t, 4) for i, t in rows}, 80)
+    root = work_dir(spark).rsplit("/", 1)[0]
+    before, keys = set(glob.glob(f"{root}/*")), {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
+    made = [d for d in set(glob.glob(f"{root}/*")) - before if d.split("/")[-1].split("-")[0] in ("links", "members", "tests", "near", "open", "differences") and "sketches" not in d and "classes" not in d]
+    assert made and max(len(glob.glob(f"{d}/part-*")) for d in made) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_strangers_in_one_bucket_are_not_paired(spark):
+    """150 sets with a passage in common, some with near copies, one with 20: tests do not grow with the square of the bucket (17,020 pairs)."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import components as C
+
+    passage = [f"p{i}" for i in range(12)]
+    sets = [passage + [f"s{i}-{j}" for j in range(40 + i % 9)] for i in range(150)]
+    sets += [s[:-2] + [f"new{i}"] for i, s in enumerate(sets[::10])] + [sets[3] + [f"more{i}"] for i in range(20)]
+    want = classes({i: set(s) for i, s in enumerate(sets)}, 80)
+    code = {e: i for i, e in enumerate(sorted({e for s in sets for e in s}))}
+    table, tested = spark.createDataFrame([(i, sorted(code[e] for e in s)) for i, s in enumerate(sets)], "id long, s array<long>"), []
+
+    def test(pairs, least):
+        tested.append(pairs.count())
+        side = lambda c: table.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
+        rows = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", F.size("s_b").cast("long").alias("n"), F.array_except("s_b", "s_a").alias("gone"), F.array_except("s_a", "s_b").alias("new"))
+        return rows.filter(100 * (F.col("n") - F.size("gone")) >= least * (F.col("n") + F.size("new")))
+
+    bands = spark.createDataFrame([("K", i) for i in range(len(sets))], "key string, id long")
+    comp = {r.node: r.component for r in C.bucket_components(bands, test, 80).collect()}
+    assert {i: comp.get(i, i) for i in range(len(sets))} == want
+    assert sum(tested) <= 6 * len(sets)

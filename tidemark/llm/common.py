@@ -43,6 +43,12 @@ def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def few_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` of at most ``rows`` short rows in tasks of about ``each``, one per core at least: a stage over a small table
+    that a shuffle has dealt out thinly costs its number of tasks. Never more tasks than there are."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def fresh(stem: str) -> str:
     """A column name that no input column can clash with."""
     return f"__{stem}_{uuid.uuid4().hex[:8]}"

@@ -6,7 +6,7 @@ registers are the more likely the more similar two sets are. Steps:
 
 1. One pass over the texts: set size, 128-bit set fingerprint and registers. Equal sets fall into one class.
 2. Bands of ``ROWS`` registers are the candidate buckets (at a similarity of 0.8 a pair misses all 32 with p = 3e-6).
-3. No bucket is expanded into all pairs: each tests its members against one hub, and the differences from the hub lead
+3. No bucket is expanded into all pairs: each tests its members against a hub or two, and the differences from the hub lead
    to all further links (``components.bucket_components``). No link between members of a bucket is lost.
 4. A pair is first compared by the joint likelihood of its registers, given both exact set sizes; where the wanted
    similarity is e^20 times less likely than the estimate below it, the pair goes. Others are verified on the full sets of
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, give_back, shared_table, sized, small_batches
+from tidemark.llm.common import few_tasks, fresh, give_back, shared_table, sized, small_batches
 from tidemark.llm.components import bucket_components
 from tidemark.llm.textnp import BASE, Words, mix, slices, text_shingles
 
@@ -140,12 +140,15 @@ def _tested(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, least:
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if j < 3 else pa.list_(pa.int64())) for j in range(5)], ["a", "b", "n", "gone", "new"])
         give_back()
 
-    close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(likely, "a long, b long")
+    n = pairs.count()
+    close = few_tasks(few_tasks(pairs.join(side("a"), "a"), n, 10_000).join(side("b"), "b"), n, 10_000).mapInArrow(likely, "a long, b long")
     close = shared_table(close, "near-pairs")
-    needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    needed = needed.join(sets.select("id", "doc", "tie"), "id")
+    n = close.count()
+    needed = few_tasks(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct(), 2 * n)
+    needed = shared_table(few_tasks(needed.join(sets.select("id", "doc", "tie"), "id"), 2 * n), "needed-texts")
     own = texts.join(sized(needed), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"])  # hashed by id, as the next join needs it
-    rows = close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
+    rows = few_tasks(close.join(own.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a"), n, 2_000)
+    rows = few_tasks(rows.join(own.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b"), n, 2_000)
     return rows.select("a", "b", "t_a", "t_b").mapInArrow(exact, "a long, b long, n long, gone array<long>, new array<long>")
 
 
