@@ -90,3 +90,26 @@ def test_awkward_rows(spark):
     assert by[11].n_removed == 300 and by[10].n_removed == 299  # all but the first start repeats
     assert by[3].n_removed == by[3].n_bytes  # the row without id comes first
     assert len({r.n_removed for r in got if r.doc_id == 4}) == 1
+
+
+def test_only_open_parts_are_merged(monkeypatch):
+    """Borders of plain copies, cut to what they share, are equal and need no merge; what differs on is merged."""
+    rnd = random.Random(7)
+    letters = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    contexts = []
+    for _ in range(40):
+        core = letters(130)
+        contexts += [letters(20) + core + letters(9), core + letters(30), letters(25) + core]
+    core = letters(160)
+    contexts += [letters(5) + core[:140], core[20:] + letters(5), letters(8) + core[8:150] + letters(3)]
+    last = [len(c) - R.L for c in contexts]
+    seen, want = set(), []
+    for c, n in zip(contexts, last):
+        own = [j for j in range(n + 1) if c[j:j + R.L] in seen]
+        seen |= {c[j:j + R.L] for j in range(n + 1)}
+        want.append(own)
+    merged, orig = [], R.merge_transforms
+    monkeypatch.setattr(R, "merge_transforms", lambda transforms, *a: merged.append(sum(map(len, transforms))) or orig(transforms, *a))
+    got = R.repeated_starts(contexts, np.array(last), np.arange(len(contexts)))
+    assert [x.tolist() for x in got] == want
+    assert 0 < sum(merged) < 1000 < sum(map(len, contexts))

@@ -10,7 +10,9 @@ differ:
 3. *Suffixes.* The bytes of those ranges, grouped by anchor, are the shards' texts. Each shard's suffixes are sorted once
    into a Burrows-Wheeler transform; the transforms are merged by refining an interleave vector, one symbol a round: a
    stable sort of the vector by the symbols it brings together gives the order by one symbol more, and a border between
-   neighbours first seen in round h says that their common prefix has h - 1 symbols. After L rounds what is still
+   neighbours first seen in round h says that their common prefix has h - 1 symbols. Before, each text is cut to the
+   starts whose strings have a hash that comes twice, and texts that are equal then are merged as one, again and again
+   until nothing falls away (``_open_parts``): equal strings have equal hashes, so none is lost. After L rounds what is still
    between two borders is a repeated interval; its earliest start stays, the others are repeats. No suffix is compared
    or sorted again in the merge.
 
@@ -129,8 +131,58 @@ def merge_transforms(transforms: list[np.ndarray], texts: int, rounds: int) -> t
     return src, block, common
 
 
+def _open_parts(words: Words, raw: np.ndarray, begin: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts to merge, their first and last start, which contexts are a part of an earlier one from which to which start).
+
+    Contexts at ``begin`` in ``raw`` are in order of rank. Parts that hold all starts with a string that may come twice;
+    of equal parts the first stands for all, the others (index, first, last start) are repeated throughout.
+    """
+    words._powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(words.table[raw] * words.up[:len(raw)], out=total[1:])
+    own, lo, hi, again = np.arange(len(begin)), np.zeros(len(begin), np.int64), last.astype(np.int64), []
+    while len(own):
+        count = hi - lo + 1
+        which = np.repeat(np.arange(len(own)), count)
+        start = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
+        at = begin[own][which] + start
+        _, code, times = np.unique(mix((total[at + L] - total[at]) * words.down[at]), return_inverse=True, return_counts=True)
+        twice = times[code] > 1
+        which, start = which[twice], start[twice]
+        keep, first = np.unique(which, return_index=True)
+        cut_lo, cut_hi = start[first], start[np.append(first[1:], len(which))[:len(keep)] - 1]
+        stays, seen = np.ones(len(keep), bool), set()
+        for j, (i, x, y) in enumerate(zip((begin[own[keep]]).tolist(), cut_lo.tolist(), cut_hi.tolist())):
+            part = raw[i + x:i + y + L].tobytes()
+            stays[j] = part not in seen
+            seen.add(part)
+        again.append(np.stack([own[keep], cut_lo, cut_hi])[:, ~stays])
+        done = len(keep) == len(own) and stays.all()
+        own, lo, hi = own[keep][stays], cut_lo[stays], cut_hi[stays]
+        if done:
+            break
+    return own, lo, hi, np.concatenate([np.zeros((3, 0), np.int64), *again], axis=1)
+
+
 def repeated_starts(contexts: list[bytes], last: np.ndarray, rank: np.ndarray, shard_symbols: int = 1 << 15) -> list[np.ndarray]:
     """Of each context the offsets 0..last whose L bytes also start in a context of lower ``rank`` (or earlier in it)."""
+    by = np.argsort(rank, kind="stable")
+    ordered, words = [contexts[i] for i in by], Words(lower=False)
+    sizes = np.array([len(c) for c in ordered])
+    own, lo, hi, again = _open_parts(words, np.frombuffer(b"".join(ordered), np.uint8), np.cumsum(sizes) - sizes, np.asarray(last)[by])
+    found: list[list[np.ndarray]] = [[] for _ in contexts]
+    for i, x, y in again.T.tolist():
+        found[by[i]].append(np.arange(x, y + 1))
+    if len(own):
+        parts = [ordered[i][x:y + L] for i, x, y in zip(own.tolist(), lo.tolist(), hi.tolist())]
+        for i, x, o in zip(own.tolist(), lo.tolist(), _merged_starts(parts, hi - lo, np.arange(len(parts)), shard_symbols)):
+            found[by[i]].append(o + x)
+    none = np.zeros(0, np.int64)
+    return [none if not f else f[0] if len(f) == 1 else np.sort(np.concatenate(f)) for f in found]
+
+
+def _merged_starts(contexts: list[bytes], last: np.ndarray, rank: np.ndarray, shard_symbols: int = 1 << 15) -> list[np.ndarray]:
+    """``repeated_starts`` by merging the transforms of shards."""
     raw = np.frombuffer(b"".join(c + b"\xff" for c in contexts), np.uint8)
     sizes = np.array([len(c) + 1 for c in contexts])
     ends = np.cumsum(sizes)
@@ -257,6 +309,8 @@ def _merged(contexts: DataFrame, hot: int, run_symbols: int = 1 << 17) -> DataFr
         out = []
         again = repeated_starts([r[7] for r in rows], np.array([r[6] for r in rows]), np.arange(len(rows)))
         for r, o in zip(rows, again):
+            if not len(o) and r[2] == 1:
+                continue
             cut = np.flatnonzero(np.diff(o) != 1) + 1
             out += [(r[3], r[4], r[5] + int(x[0]), r[5] + int(x[-1]), None, None, None) for x in np.split(o, cut) if len(x)]
             if r[2] > 1:
@@ -279,6 +333,41 @@ def _merged(contexts: DataFrame, hot: int, run_symbols: int = 1 << 17) -> DataFr
     return placed.mapInArrow(run, "id long, tie long, lo long, hi long, fp long, at long, string binary")
 
 
+def _cut(words: Words, docs: pa.Array, texts: list[bytes], listed: pa.Array) -> pa.RecordBatch:
+    """The result rows of some texts: their own repeated ranges and the ``listed`` ones go."""
+    import hashlib
+
+    import pyarrow.compute as pc
+
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    d, _, lo, hi, fp, whole = anchors(words, data, offs)
+    on = ~first_of_text(d, fp, whole)
+    lo, hi = lo[on] + offs[d[on]], hi[on] + offs[d[on]]
+    rows, of = pc.list_flatten(listed), pc.list_parent_indices(listed).to_numpy()
+    x, y, kind = (rows.field(j).to_numpy() for j in range(3))
+    x, y = x + offs[of], y + offs[of]
+    key = x * 128 + (y - x)  # a range has at most L - K + 1 starts
+    gone = (kind == 3) | ((kind == 0) & ~np.isin(key, key[kind == 1]))
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, np.concatenate([lo, x[gone]]), 1)
+    np.add.at(edge, np.concatenate([hi, y[gone]]) + L, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    first, end = gone.copy(), gone.copy()  # the first and last byte of a span; none crosses texts
+    first[1:] &= ~gone[:-1]
+    end[:-1] &= ~gone[1:]
+    start, close = offs[:-1][np.diff(offs) > 0], offs[1:][np.diff(offs) > 0] - 1
+    first[start], end[close] = gone[start], gone[close]
+    first, end = np.flatnonzero(first), np.flatnonzero(end) + 1
+    own = np.searchsorted(offs, first, "right") - 1
+    spans = np.searchsorted(first, offs)
+    kept, left = data[~gone], np.concatenate([[0], np.cumsum(~gone)])[offs]
+    shas = [hashlib.sha256(kept[i:j].tobytes()).hexdigest() for i, j in zip(left[:-1].tolist(), left[1:].tolist())]
+    span = pa.StructArray.from_arrays([pa.array(first - offs[own]), pa.array(end - offs[own])], ["from", "to"])
+    return pa.RecordBatch.from_arrays(
+        [docs, pa.array(np.diff(offs)), pa.array(np.diff(offs) - np.diff(left)), pa.array(np.diff(spans)), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(spans, pa.int32()), span)],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; spans are (from, to) byte offsets."""
     texts = _texts(df, id_col, text_col)
@@ -294,33 +383,18 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     lists = found.groupBy("id", "tie").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("found"))  # as many as the text has ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         import zstandard
 
         unpack, words = zstandard.ZstdDecompressor().decompress, Words(lower=False)
         for batch in batches:
-            rows = []
-            for doc, z, ranges in zip(*(batch.column(j) for j in range(3))):
-                text = unpack(z.as_buffer())
-                data = np.frombuffer(text, np.uint8)
-                d, _, lo, hi, fp, whole = anchors(words, data, np.array([0, len(data)], np.int64))
-                on = ~first_of_text(d, fp, whole)
-                pairs = list(zip(lo[on].tolist(), hi[on].tolist()))
-                listed = ranges.as_py() or []
-                none = {(r["lo"], r["hi"]) for r in listed if r["kind"] == 1}
-                pairs += [(r["lo"], r["hi"]) for r in listed if r["kind"] == 3 or r["kind"] == 0 and (r["lo"], r["hi"]) not in none]
-                edge = np.zeros(len(data) + 1, np.int64)
-                for x, y in pairs:
-                    edge[x] += 1
-                    edge[y + L] -= 1
-                gone = np.cumsum(edge)[:-1] > 0
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                rows.append((doc.as_py(), len(data), int(gone.sum()), len(turn) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest(),
-                             [{"from": int(x), "to": int(y)} for x, y in zip(turn[::2], turn[1::2])]))
-            span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((*[pa.int64()] * 4, pa.string(), span))],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            at = 0
+            while at < len(batch):
+                texts, size = [], 0
+                while at + len(texts) < len(batch) and size < 1 << 20:
+                    texts.append(unpack(batch.column(1)[at + len(texts)].as_buffer()))
+                    size += len(texts[-1])
+                yield _cut(words, batch.column(0).slice(at, len(texts)), texts, batch.column(2).slice(at, len(texts)))
+                at += len(texts)
 
     return packed.join(lists, ["id", "tie"], "left").select("doc_id", "z", "found").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from: long, to: long>>")
