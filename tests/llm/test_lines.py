@@ -1,3 +1,4 @@
+import os
 import random
 
 from tests.llm.helpers import awkward, clashing, empty, sentence
@@ -74,3 +75,35 @@ def test_awkward_rows(spark):
 def test_only_built_in_functions(spark):
     plan = line_dedup.dedup_lines(awkward(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_written_tables_stay_below_the_text(spark):
+    """Unlike lines with a phrase in common share buckets; no list of their differences is written."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    phrase = " ".join(word() for _ in range(9))
+    rows = [(i, " ".join([phrase, *(word() for _ in range(30))])) for i in range(600)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    used = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if f.endswith(".parquet"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = used()
+    got = line_dedup.dedup_lines(df, with_text=False).collect()
+    assert len(got) == 600 and not any(r.n_removed for r in got)
+    assert used() - before < 3 * sum(len(t) for _, t in rows)
+
+
+def test_small_and_large_buckets_agree(spark, monkeypatch):
+    """Families of edited copies: pairs by marks, hubs, and both beside each other give the links of brute force."""
+    rnd = random.Random(6)
+    rows = []
+    for f in range(6):
+        base = sentence(rnd, 50, 10**6).split()
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rnd.randrange(0, 9)):
+                w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    for small in (line_dedup.SMALL, 5, 1):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        assert {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(df, with_text=False).collect()} == want

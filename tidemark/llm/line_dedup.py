@@ -18,13 +18,22 @@ rows count as one; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, filter_here, let, shared_table, sized
-from tidemark.llm.components import bucket_components
+from tidemark.llm.common import WORD, few_tasks, filter_here, let, shared_table, sized
+from tidemark.llm.components import bucket_components, components
 
 K, BIN_BITS, BANDS, ROWS = 8, 5, 11, 3
+#: Buckets of up to this many members are compared pair by pair on their marks, larger ones go through hubs.
+SMALL = 64
+#: Most bins in which two lines may differ to be tested: of 32, a similarity of 0.8 leaves more unlike with p < 1e-5.
+UNLIKE = 17
+MARK_BITS = 5
 
 
 def shingles(line: Column) -> Column:
@@ -33,47 +42,95 @@ def shingles(line: Column) -> Column:
     return let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * K)))))
 
 
-def _keys(h: Column) -> Column:
-    """Band keys of a line's shingle hashes."""
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
-    lowest = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.coalesce(F.get(s, i - 1), x))))
-    band = lambda low, j: F.filter(low, lambda x: F.floor(bin_of(x) / ROWS) == j)
-    key = lambda low: lambda j: let(band(low, j), lambda v: F.when(F.size(v) > 0, F.xxhash64(j, v)))
-    made = let(F.sort_array(h), lambda s: let(lowest(s), lambda low: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key(low))))
-    return F.filter(made, lambda x: x.isNotNull())
-
-
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     out = own.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(WORD))
     return out.withColumn("node", F.unhex(F.md5("line")))
 
 
+def _unlike(a: Column, b: Column) -> Column:
+    """In how many marks two numbers differ."""
+    x = a.bitwiseXOR(b)
+    any_bit = reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, i) for i in range(1, MARK_BITS)], x)
+    return F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << MARK_BITS * j for j in range(BANDS)))))
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """Lines with their band keys instead of the text."""
-    return lines.select("doc_id", "tie", "line_no", "node", _keys(shingles(F.col("line"))).alias("keys"))
+    """``node, doc_id, tie, line_no, n, keys, mark0..`` of each distinct line: its first place, how often it comes, band
+    keys (null where all bins are empty), and the last bits of the smallest hash of each bin (of an empty one: 0), ``mark<i>`` holding bin i of each band.
+    Equal lines meet first, so each is signed once; its shingles are rows that never leave the task. An empty bin is null
+    and adds nothing to the hash of a band."""
+    once = lines.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
+    own = ["node", "doc_id", "tie", "line_no", "n"]
+    wide = filter_here(once.select("node", "first.*", "n", F.encode("line", "UTF-32").alias("wide")), F.length("wide") >= 0)  # encoded once a line
+    each = wide.select(*own, "wide", F.explode(F.sequence(F.lit(1), F.greatest(F.length("wide") - (4 * K - 1), F.lit(1)), F.lit(4))).alias("at"))
+    each = each.select(*own, F.xxhash64(F.substring("wide", F.col("at"), F.lit(4 * K))).alias("h")).withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int"))
+    each = each.withColumn("band", F.floor(F.col("bin") / ROWS).cast("int"))
+    low = [f"low{i}" for i in range(ROWS)]
+    parts = each.groupBy(*own, "band").agg(*[F.min(F.when(F.col("bin") == F.col("band") * ROWS + i, F.col("h"))).alias(x) for i, x in enumerate(low)])
+    mark = lambda x: F.call_function("shiftleft", F.coalesce(F.col(x), F.lit(0)).bitwiseAND(F.lit((1 << MARK_BITS) - 1)), F.col("band") * MARK_BITS)
+    parts = parts.select(*own, "band", F.xxhash64("band", *low).alias("key"), *[mark(x).alias(f"m{i}") for i, x in enumerate(low)])
+    rows = parts.groupBy(*own).agg(*[F.max(F.when(F.col("band") == j, F.col("key"))).alias(f"key{j}") for j in range(BANDS)], *[F.bit_or(f"m{i}").alias(f"mark{i}") for i in range(ROWS)])
+    return rows.select(*own, F.array(*[f"key{j}" for j in range(BANDS)]).alias("keys"), *[f"mark{i}" for i in range(ROWS)])
+
+
+def _both(pairs: DataFrame, own: DataFrame, made: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a, b`` and the fields of ``made`` of the sets of shingles of both lines of each pair; ``own (id, line)``."""
+    rows = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    both = let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: made(x, y)))
+    return rows.select("a", "b", both.alias("s")).select("a", "b", "s.*")
 
 
-def _tested(pairs: DataFrame, classes: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def _tested(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
     """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more, by the full sets of whole lines."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = shared_table(ids.join(classes.select("id", "node"), "id"), "needed-lines")
-    own = lines.select("node", "line").join(sized(needed), "node").groupBy("id").agg(F.first("line").alias("line"))
-    rows = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    both = let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: F.struct(
-        F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new"))))
-    rows = rows.select("a", "b", both.alias("s")).select("a", "b", "s.*")
+    rows = _both(pairs, own, lambda x, y: F.struct(F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new")))
     return filter_here(rows, F.lit(100) * (F.col("n") - F.size("gone")) >= F.lit(least) * (F.col("n") + F.size("new")))
 
 
+def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` with ``percent`` or more, by the full sets of whole lines."""
+    rows = _both(pairs, own, lambda x, y: F.struct((F.size(x) + F.size(y)).cast("long").alias("n"), F.size(F.array_intersect(x, y)).cast("long").alias("both")))
+    return filter_here(rows, F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both"))).select("a", "b")
+
+
+def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` under the links among members of one bucket; ``classes (id, node, keys, mark0..)``."""
+    bands = classes.select("id", F.explode("keys").alias("key")).filter("key IS NOT NULL")
+    buckets = bands.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
+    buckets = shared_table(buckets, "buckets")
+    size = buckets.count()
+    few = lambda df: few_tasks(df, size)
+    marks = [f"mark{i}" for i in range(ROWS)]
+    small = few(few(buckets.filter(F.col("c") <= SMALL)).join(classes.select("id", *marks), "id"))
+    other = small.select("key", F.col("id").alias("b"), *[F.col(m).alias(f"b_{m}") for m in marks])
+    met = small.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b", reduce(Column.__add__, [_unlike(F.col(m), F.col(f"b_{m}")) for m in marks]).alias("unlike"))
+    near = shared_table(few(few(met.filter(F.col("unlike") <= UNLIKE)).distinct()), "near-lines")
+    large = buckets.filter(F.col("c") > SMALL).select("key", "id")
+    # whole texts of the lines to be tested, read once
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(large.select("id"))
+    needed = shared_table(few(ids.distinct()).join(classes.select("id", "node"), "id"), "needed-lines")
+    own = lines.select("node", "line").join(sized(needed), "node").groupBy("id").agg(F.first("line").alias("line"))
+    own = shared_table(own, "lines")
+    # each line and the one most like it by the marks: joins most copies, and pairs within a component need no further test
+    best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "unlike")).groupBy("b").agg(F.min(F.struct("unlike", "a"))["a"].alias("a"))
+    first = shared_table(few(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "tests")
+    found = shared_table(_linked(first, own, percent), "links")
+    if not large.isEmpty():
+        found = found.unionByName(bucket_components(large, lambda pairs, least: _tested(pairs, own, least), percent).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    comp = shared_table(components(found), "components")
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = shared_table(few(rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")), "tests")
+    more = shared_table(_linked(rest, own, percent), "links")
+    return comp if more.isEmpty() else shared_table(components(found.unionByName(more)), "components")
+
+
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``doc_id, tie, line_no`` of the lines that go; ``tie`` is the hash of the row's text."""
     lines = _lines(df, id_col, text_col)
-    made = _signed(lines).groupBy("node").agg(F.min(F.struct("doc_id", "tie", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
-    classes = shared_table(made.withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    bands = classes.select("id", F.explode("keys").alias("key"))
-    comp = bucket_components(bands, lambda pairs, least: _tested(pairs, classes, lines, least), percent)
-    of = classes.select("id", "node", "first", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    classes = shared_table(_signed(lines).withColumn("id", F.monotonically_increasing_id()), "line-classes")
+    comp = _components(classes, lines, percent)
+    of = classes.select("id", "node", F.struct("doc_id", "tie", "line_no").alias("first"), "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     stays = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("stay"))
     label = of.filter("n > 1 OR component IS NOT NULL").join(stays, "component", "left").select("node", F.coalesce("stay", "first").alias("stay"))
     return lines.drop("line").join(label, "node").filter(F.struct("doc_id", "tie", "line_no") != F.col("stay")).select("doc_id", "tie", "line_no").distinct()
