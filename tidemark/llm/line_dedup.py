@@ -74,23 +74,37 @@ def _signed(lines: DataFrame) -> DataFrame:
     return rows.select(*own, F.array(*[f"key{j}" for j in range(BANDS)]).alias("keys"), *[f"mark{i}" for i in range(ROWS)])
 
 
-def _both(pairs: DataFrame, own: DataFrame, made: Callable[[Column, Column], Column]) -> DataFrame:
-    """``a, b`` and the fields of ``made`` of the sets of shingles of both lines of each pair; ``own (id, line)``."""
-    rows = pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    both = let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: made(x, y)))
-    return rows.select("a", "b", both.alias("s")).select("a", "b", "s.*")
+def _with_lines(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``pairs`` with both lines; ``own (id, line)``."""
+    return pairs.join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+
+
+def _sets(made: Callable[[Column, Column], Column]) -> Column:
+    """``made`` of the sets of shingles of both lines."""
+    return let(F.array_distinct(shingles(F.col("line_a"))), lambda x: let(F.array_distinct(shingles(F.col("line_b"))), lambda y: made(x, y)))
 
 
 def _tested(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
     """``a, b, n, gone, new`` of the ``pairs (a, b)`` with ``least`` per cent or more, by the full sets of whole lines."""
-    rows = _both(pairs, own, lambda x, y: F.struct(F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new")))
+    made = _sets(lambda x, y: F.struct(F.size(y).cast("long").alias("n"), F.array_except(y, x).alias("gone"), F.array_except(x, y).alias("new")))
+    rows = _with_lines(pairs, own).select("a", "b", made.alias("s")).select("a", "b", "s.*")
     return filter_here(rows, F.lit(100) * (F.col("n") - F.size("gone")) >= F.lit(least) * (F.col("n") + F.size("new")))
 
 
-def _linked(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` with ``percent`` or more, by the full sets of whole lines."""
-    rows = _both(pairs, own, lambda x, y: F.struct((F.size(x) + F.size(y)).cast("long").alias("n"), F.size(F.array_intersect(x, y)).cast("long").alias("both")))
-    return filter_here(rows, F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both"))).select("a", "b")
+def _measured(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``a, b, n_a, n_b, both`` of the ``pairs (a, b)``: sizes of the full sets of whole lines, and of what they share."""
+    made = _sets(lambda x, y: F.struct(F.size(x).cast("long").alias("n_a"), F.size(y).cast("long").alias("n_b"), F.size(F.array_intersect(x, y)).cast("long").alias("both")))
+    return _with_lines(pairs, own).select("a", "b", made.alias("s")).select("a", "b", "s.*")
+
+
+def _linked(percent: int) -> Column:
+    return F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
+def _shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``pairs (a, b, n_a, n_b)``, the sizes of both sets being known, with ``both``."""
+    rows = _with_lines(pairs, own)
+    return rows.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b")))).cast("long").alias("both"))
 
 
 def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -114,14 +128,19 @@ def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame
     # each line and the one most like it by the marks: joins most copies, and pairs within a component need no further test
     best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "unlike")).groupBy("b").agg(F.min(F.struct("unlike", "a"))["a"].alias("a"))
     first = shared_table(few(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "tests")
-    found = shared_table(_linked(first, own, percent), "links")
+    measured = shared_table(_measured(first, own), "measured")
+    found = measured.filter(_linked(percent)).select("a", "b")
     if not large.isEmpty():
         found = found.unionByName(bucket_components(large, lambda pairs, least: _tested(pairs, own, least), percent).select(F.col("node").alias("a"), F.col("component").alias("b")))
     comp = shared_table(components(found), "components")
     of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    sizes = measured.select(F.col("a").alias("id"), F.col("n_a").alias("n")).unionByName(measured.select(F.col("b").alias("id"), F.col("n_b").alias("n"))).distinct()
+    size_of = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
     rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = shared_table(few(rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")), "tests")
-    more = shared_table(_linked(rest, own, percent), "links")
+    rest = rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(size_of("a"), "a").join(size_of("b"), "b")
+    # sets of too unlike sizes cannot be linked
+    rest = shared_table(few(rest.filter(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))), "tests")
+    more = shared_table(filter_here(_shared(rest, own), _linked(percent)).select("a", "b"), "links")
     return comp if more.isEmpty() else shared_table(components(found.unionByName(more)), "components")
 
 
