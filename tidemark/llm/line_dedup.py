@@ -1,15 +1,16 @@
 """Near-duplicate lines over all documents, on built-in functions only.
 
-1. Every line gets its content hash and one-permutation MinHash: hashes of its distinct ``K``-character shingles, sorted,
-   the smallest of each of 32 ranges of the hash space kept (an empty range is a value too). Equal lines are one class.
+1. Equal lines are one class. Every class gets its one-permutation MinHash: of the hashes of its ``K``-character shingles
+   the smallest of each of 32 ranges of the hash space (an empty range is a value too).
 2. All ranges are banded by three, the last two in a band of their own; a band with a shingle is a bucket key (a pair at
    a Jaccard similarity of 0.8 misses all eleven bands with p < 3e-4, at 0.9 with p < 1e-6; equal sets never do).
-3. Members of a bucket are tested against a hub on the full shingle sets of whole lines, and the differences from the
-   hub lead to all further links (``components.bucket_components``).
+3. Buckets of up to ``SMALL`` members: pairs are compared by the last bits of their 32 minima; those that may be similar
+   enough (at 0.8 a pair is passed over with p < 1e-5) are tested on the full shingle sets of whole lines, first each line
+   and the one most like it, then the pairs that this left in different components. Larger buckets: members are tested
+   against a hub, and the differences from the hub lead to all further links (``components.bucket_components``).
 4. Star steps join links to components; the first line of a component, by document id and line number, stays.
 
-Lines are exploded twice, once for signatures, once for the decisions, so that the text is never carried through the
-aggregation.
+Lines are exploded three times: for the classes, for the texts of lines to be tested, for the decisions.
 
 Defined results: null and empty texts have no lines to remove; blank lines always stay; a line shorter than ``K`` is its
 own single shingle; rows without id come first; rows with equal id are ordered by a hash of their text and identical
@@ -29,8 +30,9 @@ from tidemark.llm.common import WORD, few_tasks, filter_here, let, shared_table,
 from tidemark.llm.components import bucket_components, components
 
 K, BIN_BITS, BANDS, ROWS = 8, 5, 11, 3
-#: Buckets of up to this many members are compared pair by pair on their marks, larger ones go through hubs.
-SMALL = 64
+#: Buckets of up to this many members are compared pair by pair on their marks (a few operations on three numbers, a
+#: thousandth of a test on whole lines), larger ones go through hubs.
+SMALL = 512
 #: Most bins in which two lines may differ to be tested: of 32, a similarity of 0.8 leaves more unlike with p < 1e-5.
 UNLIKE = 17
 MARK_BITS = 5
