@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 from tests.llm.helpers import awkward, clashing, empty, sentence
 from tidemark.llm import line_dedup
@@ -108,3 +109,62 @@ def test_small_and_large_buckets_agree(spark, monkeypatch):
     for small in (line_dedup.SMALL, 5, 1):
         monkeypatch.setattr(line_dedup, "SMALL", small)
         assert {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(df, with_text=False).collect()} == want
+
+
+def family(rnd, copies, words=50, edits=9):
+    base = sentence(rnd, words, 10**6).split()
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(rnd.randrange(0, edits)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+        yield " ".join(w)
+
+
+def test_pairs_left_by_the_hubs_are_found(spark, monkeypatch):
+    """With one or two hubs to a bucket most links are met later; parts of lines that come twice count once."""
+    rnd = random.Random(12)
+    lines = [x for _ in range(4) for x in family(rnd, 14)]
+    for _ in range(6):
+        half = sentence(rnd, 14, 10**6)
+        lines += [f"{half} {x} {half}" for x in family(rnd, 5, 4, 3)]
+    rows = list(enumerate(lines))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    for hubs, words in ((1, 1), (2, 8), (line_dedup.HUBS, 1)):
+        monkeypatch.setattr(line_dedup, "HUBS", hubs)
+        monkeypatch.setattr(line_dedup, "WORDS", words)
+        assert {r.doc_id: list(r.removed) for r in line_dedup.dedup_lines(df, with_text=False).collect()} == want
+
+
+def test_tables_grow_with_the_lines_of_a_family(spark, monkeypatch):
+    """Near copies of one line share buckets; their pairs, 45,000 of 300 lines, are not written."""
+    rows = list(enumerate(family(random.Random(9), 300)))
+    kept, counts = line_dedup.shared_table, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "shared_table", counted)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False)
+    assert {r.doc_id: list(r.removed) for r in got.collect()} == brute(rows)
+    assert max(counts.values()) <= 20 * len(rows), counts
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """Only the last job, which the caller runs, leaves shuffle files; the session's setting is as before."""
+    jvm = spark._jvm
+
+    def files():
+        found = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+        return {f.getName() for f in found if f.getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = spark.createDataFrame(list(enumerate(family(random.Random(2), 30))), "doc_id long, text string")
+    before, was = files(), spark.conf.get(key)
+    out = line_dedup.dedup_lines(df, with_text=False)
+    for _ in range(20):  # they go in the background
+        if left := files() - before:
+            time.sleep(0.5)
+    assert not left and spark.conf.get(key) == was
+    assert out.count() == out.count() == 30

@@ -70,6 +70,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job run inside go when it ends, not whenever the driver next collects its garbage. For jobs that
+    write a table which later ones read: none of them reads the shuffles of another."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Hand memory that a task no longer uses back to the machine: Python workers go on to other stages."""
     import pyarrow as pa

@@ -4,10 +4,12 @@
    the smallest of each of 32 ranges of the hash space (an empty range is a value too).
 2. All ranges are banded by three, the last two in a band of their own; a band with a shingle is a bucket key (a pair at
    a Jaccard similarity of 0.8 misses all eleven bands with p < 3e-4, at 0.9 with p < 1e-6; equal sets never do).
-3. Buckets of up to ``SMALL`` members: pairs are compared by the last bits of their 32 minima; those that may be similar
-   enough (at 0.8 a pair is passed over with p < 1e-5) are tested on the full shingle sets of whole lines, first each line
-   and the one most like it, then the pairs that this left in different components. Larger buckets: members are tested
-   against a hub, and the differences from the hub lead to all further links (``components.bucket_components``).
+3. Buckets of up to ``SMALL`` members: a member stays if the last bits of its 32 minima are close enough to those of another
+   (at 0.8 a pair is passed over with p < 1e-5). Sizes and parity sketches of the full shingle sets, which rule out no
+   linked pair, are compared within joins on the bucket; pairs that pass are tested on whole lines. First each line and the
+   hub most like it, then one pair of any two components, then all pairs that lie in different components. Pairs within a
+   component are never written, so tables grow with the lines, not with the square of a bucket. Larger buckets: members are
+   tested against a hub, and the differences from the hub lead to all further links (``components.bucket_components``).
 4. Star steps join links to components; the first line of a component, by document id and line number, stays.
 
 Lines are exploded three times: for the classes, for the texts of lines to be tested, for the decisions.
@@ -26,16 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, few_tasks, filter_here, let, shared_table, sized
+from tidemark.llm.common import WORD, dropped_shuffles, few_tasks, filter_here, let, shared_table, sized
 from tidemark.llm.components import bucket_components, components
 
 K, BIN_BITS, BANDS, ROWS = 8, 5, 11, 3
-#: Buckets of up to this many members are compared pair by pair on their marks (a few operations on three numbers, a
-#: thousandth of a test on whole lines), larger ones go through hubs.
-SMALL = 512
+#: Buckets of up to this many members are compared pair by pair within a join (a few operations on numbers, a thousandth of
+#: a test on whole lines), larger ones go through hubs and lists of differences.
+SMALL = 4096
 #: Most bins in which two lines may differ to be tested: of 32, a similarity of 0.8 leaves more unlike with p < 1e-5.
 UNLIKE = 17
 MARK_BITS = 5
+#: Each member of a bucket first meets so many others of it, its hubs.
+HUBS = 16
+#: A sketch has so many words of 64 bits.
+WORDS = 8
 
 
 def shingles(line: Column) -> Column:
@@ -93,20 +99,49 @@ def _tested(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
     return filter_here(rows, F.lit(100) * (F.col("n") - F.size("gone")) >= F.lit(least) * (F.col("n") + F.size("new")))
 
 
-def _measured(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b, both`` of the ``pairs (a, b)``: sizes of the full sets of whole lines, and of what they share."""
-    made = _sets(lambda x, y: F.struct(F.size(x).cast("long").alias("n_a"), F.size(y).cast("long").alias("n_b"), F.size(F.array_intersect(x, y)).cast("long").alias("both")))
-    return _with_lines(pairs, own).select("a", "b", made.alias("s")).select("a", "b", "s.*")
-
-
 def _linked(percent: int) -> Column:
     return F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
-def _shared(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """``pairs (a, b, n_a, n_b)``, the sizes of both sets being known, with ``both``."""
-    rows = _with_lines(pairs, own)
-    return rows.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b")))).cast("long").alias("both"))
+def _links(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs (a, b, n_a, n_b)``, the sizes of both sets being known, by the full sets of whole lines."""
+    rows = _with_lines(pairs.select("a", "b", "n_a", "n_b"), own)
+    rows = rows.select("a", "b", "n_a", "n_b", F.size(F.array_intersect(shingles(F.col("line_a")), shingles(F.col("line_b")))).cast("long").alias("both"))
+    return shared_table(filter_here(rows, _linked(percent)).select("a", "b"), "links")
+
+
+def _sketches(own: DataFrame) -> DataFrame:
+    """``id, n, s0..``: the size of the set of shingles of a line, and its parity sketch: a bit is set where an odd number of
+    shingles has the hash of its place. Shingles that two lines share cancel out, so two sketches differ in at most as many
+    bits as the sets in shingles."""
+    each = own.select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("h"))
+    each = each.select("id", F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    out = each.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *[F.bit_xor(F.when(F.col("word") == i, F.col("bit"))).alias(f"s{i}") for i in range(WORDS)])
+    return out.select("id", "n", *[F.coalesce(f"s{i}", F.lit(0).cast("long")).alias(f"s{i}") for i in range(WORDS)])
+
+
+def _near(rows: DataFrame, pair: Column, percent: int) -> DataFrame:
+    """``a, b, n_a, n_b, differ`` of the pairs within a bucket of ``rows (key, id, n, s0..)``, x and y under the condition
+    ``pair``, that may be linked by sizes and sketches; no linked pair is left out. Others end within the join."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(WORDS)])
+    n, m = F.col("x.n"), F.col("y.n")
+    may = (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m))
+    rows = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & pair & may)
+    up = F.col("x.id") < F.col("y.id")
+    return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(up, n).otherwise(m).alias("n_a"), F.when(up, m).otherwise(n).alias("n_b"), differ.alias("differ"))
+
+
+def _best(pairs: DataFrame, *by: Column) -> DataFrame:
+    """Of the pairs of each group the one whose sketches differ least."""
+    own = F.struct("differ", "a", "b", "n_a", "n_b")
+    return pairs.groupBy(*by).agg(F.min(own).alias("p")).select("p.*").distinct()
+
+
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The ``pairs`` whose lines lie in different components, with ``of_a, of_b``."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return rows.withColumns({f"of_{x}": F.coalesce(f"of_{x}", x) for x in "ab"}).filter("of_a <> of_b")
 
 
 def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -117,40 +152,53 @@ def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame
     size = buckets.count()
     few = lambda df: few_tasks(df, size)
     marks = [f"mark{i}" for i in range(ROWS)]
-    small = few(few(buckets.filter(F.col("c") <= SMALL)).join(classes.select("id", *marks), "id"))
-    other = small.select("key", F.col("id").alias("b"), *[F.col(m).alias(f"b_{m}") for m in marks])
-    met = small.withColumnRenamed("id", "a").join(other, "key").filter("a < b").select("a", "b", reduce(Column.__add__, [_unlike(F.col(m), F.col(f"b_{m}")) for m in marks]).alias("unlike"))
-    near = shared_table(few(few(met.filter(F.col("unlike") <= UNLIKE)).distinct()), "near-lines")
+    small = few(buckets.filter(F.col("c") <= SMALL)).join(classes.select("id", *marks), "id").select("id", "key", *marks)
+    # members with another one in their bucket that they may be linked with, how many there are and their order in it
+    alike = reduce(Column.__add__, [_unlike(F.col(f"x.{m}"), F.col(f"y.{m}")) for m in marks]) <= UNLIKE
+    met = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & alike, "left_semi").select("key", "id")
+    met = met.withColumns({"c": F.count(F.lit(1)).over(W.partitionBy("key")), "rank": F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("id"), "id"))})
+    members = shared_table(few(met), "members")
     large = buckets.filter(F.col("c") > SMALL).select("key", "id")
     # whole texts of the lines to be tested, read once
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).unionByName(large.select("id"))
+    ids = members.select("id").unionByName(large.select("id"))
     needed = shared_table(few(ids.distinct()).join(classes.select("id", "node"), "id"), "needed-lines")
     own = lines.select("node", "line").join(sized(needed), "node").groupBy("id").agg(F.first("line").alias("line"))
     own = shared_table(own, "lines")
-    # each line and the one most like it by the marks: joins most copies, and pairs within a component need no further test
-    best = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "unlike")).groupBy("b").agg(F.min(F.struct("unlike", "a"))["a"].alias("a"))
-    first = shared_table(few(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "tests")
-    measured = shared_table(_measured(first, own), "measured")
-    found = measured.filter(_linked(percent)).select("a", "b")
+    sketches = shared_table(_sketches(own), "sketches")
+    # pairs with a hub of their bucket; each line is tested with the one most like it
+    wide = few(members.join(sketches, "id")).select("key", "rank", *sketches.columns)
+    near = _near(wide, (F.col("x.id") < F.col("y.id")) & (F.least("x.rank", "y.rank") <= HUBS), percent)
+    near = shared_table(few(few(near).distinct()), "near-lines")
+    first = shared_table(_best(near.withColumn("node", F.explode(F.array("a", "b"))), F.col("node")), "tests")
+    found = _links(first, own, percent)
     if not large.isEmpty():
         found = found.unionByName(bucket_components(large, lambda pairs, least: _tested(pairs, own, least), percent).select(F.col("node").alias("a"), F.col("component").alias("b")))
     comp = shared_table(components(found), "components")
-    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    sizes = measured.select(F.col("a").alias("id"), F.col("n_a").alias("n")).unionByName(measured.select(F.col("b").alias("id"), F.col("n_b").alias("n"))).distinct()
-    size_of = lambda x: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
-    rest = near.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(size_of("a"), "a").join(size_of("b"), "b")
-    # sets of too unlike sizes cannot be linked
-    rest = shared_table(few(rest.filter(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))), "tests")
-    more = shared_table(filter_here(_shared(rest, own), _linked(percent)).select("a", "b"), "links")
+    # then one pair of any two components
+    rest = shared_table(_between(near.join(first, ["a", "b"], "left_anti"), comp), "near-lines")
+    second = shared_table(_best(rest, F.least("of_a", "of_b"), F.greatest("of_a", "of_b")), "tests")
+    found = found.unionByName(_links(second, own, percent))
+    comp = shared_table(components(found), "components")
+    # then all that lie in different components, also those without a hub
+    rest = _between(rest.join(second, ["a", "b"], "left_anti").drop("of_a", "of_b"), comp)
+    of = members.filter(F.col("c") > HUBS + 1).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
+    mixed = of.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
+    of = shared_table(few(of.join(mixed, "key", "left_semi")).select("key", "id", "of"), "members")
+    wide = few(of.join(sketches, "id")).select("key", "of", *sketches.columns)
+    other = _near(wide, F.col("x.of") < F.col("y.of"), percent)
+    done = near.select("a", "b")
+    rest = rest.select(*other.columns).unionByName(few(few(other).distinct()).join(done, ["a", "b"], "left_anti").select(*other.columns))
+    rest = shared_table(rest, "tests")
+    more = _links(rest, own, percent)
     return comp if more.isEmpty() else shared_table(components(found.unionByName(more)), "components")
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``doc_id, tie, line_no`` of the lines that go; ``tie`` is the hash of the row's text."""
     lines = _lines(df, id_col, text_col)
-    classes = shared_table(_signed(lines).withColumn("id", F.monotonically_increasing_id()), "line-classes")
-    comp = _components(classes, lines, percent)
+    with dropped_shuffles(df.sparkSession):
+        classes = shared_table(_signed(lines).withColumn("id", F.monotonically_increasing_id()), "line-classes")
+        comp = _components(classes, lines, percent)
     of = classes.select("id", "node", F.struct("doc_id", "tie", "line_no").alias("first"), "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
     stays = of.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("stay"))
     label = of.filter("n > 1 OR component IS NOT NULL").join(stays, "component", "left").select("node", F.coalesce("stay", "first").alias("stay"))
