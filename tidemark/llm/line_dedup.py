@@ -39,9 +39,9 @@ SMALL = 4096
 UNLIKE = 17
 MARK_BITS = 5
 #: Each member of a bucket first meets so many others of it, its hubs.
-HUBS = 16
+HUBS = 8
 #: A sketch has so many words of 64 bits.
-WORDS = 8
+WORDS = 16
 
 
 def shingles(line: Column) -> Column:
