@@ -39,7 +39,7 @@ SMALL = 4096
 UNLIKE = 17
 MARK_BITS = 5
 #: Each member of a bucket first meets so many others of it, its hubs.
-HUBS = 8
+HUBS = 16
 #: A sketch has so many words of 64 bits.
 WORDS = 16
 
@@ -183,9 +183,9 @@ def _components(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame
     rest = _between(rest.join(second, ["a", "b"], "left_anti").drop("of_a", "of_b"), comp)
     of = members.filter(F.col("c") > HUBS + 1).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
     mixed = of.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high").select("key")
-    of = shared_table(few(of.join(mixed, "key", "left_semi")).select("key", "id", "of"), "members")
-    wide = few(of.join(sketches, "id")).select("key", "of", *sketches.columns)
-    other = _near(wide, F.col("x.of") < F.col("y.of"), percent)
+    of = shared_table(few(of.join(mixed, "key", "left_semi")).select("key", "id", "rank", "of"), "members")
+    wide = few(of.join(sketches, "id")).select("key", "rank", "of", *sketches.columns)
+    other = _near(wide, (F.col("x.of") < F.col("y.of")) & (F.least("x.rank", "y.rank") > HUBS), percent)
     done = near.select("a", "b")
     rest = rest.select(*other.columns).unionByName(few(few(other).distinct()).join(done, ["a", "b"], "left_anti").select(*other.columns))
     rest = shared_table(rest, "tests")
