@@ -34,7 +34,7 @@ from tidemark.llm.components import bucket_components, components
 K, BIN_BITS, BANDS, ROWS = 8, 5, 11, 3
 #: Buckets of up to this many members are compared pair by pair within a join (a few operations on numbers, a thousandth of
 #: a test on whole lines), larger ones go through hubs and lists of differences.
-SMALL = 4096
+SMALL = 16_384
 #: Most bins in which two lines may differ to be tested: of 32, a similarity of 0.8 leaves more unlike with p < 1e-5.
 UNLIKE = 17
 MARK_BITS = 5
